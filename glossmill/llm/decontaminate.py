@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from glossmill.llm.common import Batches, small_batches, texts_of
 
-RATE = 0.08
+RATE = 0.1
 BLOCK_CHARS = 2_000_000
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmill.llm import bpe, decontaminate, exact_dedup, language_id, quality
+from glossmill.llm import bpe, decontaminate, exact_dedup, language_id, near_dup, quality, token_counts, warc
 from glossmill.llm.common import table
 
 
@@ -30,8 +30,20 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_token_counts(spark, table(spark, sf_dir, "documents"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.jaccard_join(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_exact_dedup, op4_decontamination, op5_quality, op6_bpe)
+    f.__name__: f for f in (op1_language_id, op3_exact_dedup, op4_decontamination, op5_quality, op6_bpe, op8_token_counts, op9_jaccard_join, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -41,4 +53,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM t WINDOW g AS (PARTITION BY text_sha256)""",
+    "op10_warc": """
+        WITH t AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        d AS (
+            SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest FROM t)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = max(page_id) OVER g THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> max(page_id) OVER g THEN max(page_id) OVER g END AS refers_to
+        FROM d WINDOW g AS (PARTITION BY payload_digest)""",
 }
