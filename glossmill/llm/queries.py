@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmill.llm import bpe, decontaminate, exact_dedup, language_id, near_dup, quality, token_counts, warc
+from glossmill.llm import bpe, decontaminate, exact_dedup, language_id, lm_score, near_dup, quality, token_counts, warc
 from glossmill.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(spark, table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_exact_dedup, op4_decontamination, op5_quality, op6_bpe, op8_token_counts, op9_jaccard_join, op10_warc)
+    f.__name__: f for f in (op1_language_id, op3_exact_dedup, op4_decontamination, op5_quality, op6_bpe, op7_lm_score, op8_token_counts, op9_jaccard_join, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
