@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmill.llm import bpe, decontaminate, exact_dedup, language_id, lm_score, near_dup, quality, token_counts, warc
+from glossmill.llm import bpe, decontaminate, exact_dedup, language_id, lm_score, near_dup, quality, substring_dedup, token_counts, warc
 from glossmill.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_of(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(spark, table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_exact_dedup, op4_decontamination, op5_quality, op6_bpe, op7_lm_score, op8_token_counts, op9_jaccard_join, op10_warc)
+    f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_exact_dedup, op4_decontamination, op5_quality, op6_bpe, op7_lm_score, op8_token_counts, op9_jaccard_join, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
