@@ -1,10 +1,410 @@
-"""Queries over the driver's tables, and their SQL."""
+"""Queries over the driver's tables, each applying an operator of the engine to whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from glossmill.functions import text as T
+from glossmill.operators import cards, choice, lookup, measures, preset, profile, sheets, triage, vocabulary
+from glossmill.plans import chapters as chain
+from glossmill.plans import standins as S
+from glossmill.schema import CHAPTER
+from glossmill.sources.tables import html_texts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+_C = "book_title, book_author, chapter"
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_FREQUENCIES = f"""WITH {S.CHAPTERS_SQL},
+    forms AS (SELECT {_C}, unnest(regexp_extract_all(text, {S.WORD_SQL})) AS form FROM chapters),
+    freq AS (SELECT {_C}, lower(form) AS word, count(*) AS frequency, count(*) FILTER (WHERE regexp_matches(form, '^\\p{{Lu}}')) AS capitalized FROM forms GROUP BY ALL)"""
+
+
+def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = measures.word_frequencies(S.chapters(spark, sf_dir), list(CHAPTER))
+    return rows.select(*CHAPTER, F.col("word").alias("lemma"), F.lit("NOUN").alias("pos"), "frequency")
+
+
+_OCCURRENCES = f"{_FREQUENCIES}, occ AS (SELECT {_C}, word AS lemma, 'NOUN' AS pos, frequency FROM freq), ranks AS (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY frequency DESC, lemma, pos) AS rank FROM occ)"
+
+
+@_query(f"{_FREQUENCIES} SELECT * FROM freq")
+def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.word_frequencies(S.chapters(spark, sf_dir), list(CHAPTER))
+
+
+@_query(f"{_OCCURRENCES} SELECT * FROM ranks WHERE rank <= 10")
+def top_k_by_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.ranked(_occurrences(spark, sf_dir)).filter("rank <= 10")
+
+
+@_query(f"{_OCCURRENCES} SELECT {_C}, lemma, pos, frequency FROM ranks WHERE rank > 25")
+def beyond_word_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.beyond_word_limit(_occurrences(spark, sf_dir), 25)
+
+
+@_query(f"{_OCCURRENCES}, mark AS (SELECT {_C}, rank AS upto FROM ranks WHERE lemma = 'that') SELECT {_C}, lemma, pos, frequency FROM ranks JOIN mark USING ({_C}) WHERE rank <= upto")
+def bulk_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    occurrences = _occurrences(spark, sf_dir)
+    return triage.bulk_mark(occurrences, occurrences.filter("lemma = 'that'").select(*CHAPTER, "lemma", "pos"))
+
+
+@_query(r"SELECT doc_id, len(regexp_extract_all(text, '[^.!?]*[.!?]')) AS sentences, len(regexp_extract_all(text, '\p{L}(?:\p{L}|[''-])*')) AS words FROM documents")
+def sentence_and_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"), T.word_count(F.col("text")).cast("long").alias("words"))
+
+
+_CONTENT = f"""WITH {S.TOKENS_SQL}, content AS (SELECT * FROM tokens WHERE is_alpha AND pos <> 'DET'),
+    ratios AS (SELECT book_title, book_author, lemma, avg(CASE WHEN pos = 'PROPN' THEN 1.0 ELSE 0.0 END) AS ratio FROM content GROUP BY ALL)"""
+
+
+@_query(f"{_CONTENT} SELECT * FROM ratios")
+def proper_noun_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.proper_noun_ratios(S.tokens(spark, sf_dir))
+
+
+@_query(
+    f"""{_CONTENT},
+    children AS (SELECT {_C}, head_id AS tok_id, count(*) AS n_children FROM tokens WHERE head_id <> tok_id GROUP BY ALL),
+    sat AS (SELECT t.*, dep = 'prt' AND n_children IS NULL AS satellite FROM tokens t LEFT JOIN children USING ({_C}, tok_id)),
+    near AS (SELECT *, lag(tok_id) OVER o AS lt, lag(pos) OVER o AS lp, lag(head_id) OVER o AS lh, lag(satellite) OVER o AS ls,
+                    lead(tok_id) OVER o AS rt, lead(pos) OVER o AS rp, lead(head_id) OVER o AS rh, lead(satellite) OVER o AS rs
+             FROM sat WINDOW o AS (PARTITION BY {_C} ORDER BY tok_id)),
+    flagged AS (SELECT *, coalesce(rh = tok_id AND pos = 'VERB' AND rs, false) OR coalesce(head_id = rt AND tok_id <> rt AND rp = 'VERB' AND satellite, false)
+                       OR coalesce(lh = tok_id AND pos = 'VERB' AND ls, false) OR coalesce(head_id = lt AND tok_id <> lt AND lp = 'VERB' AND satellite, false) AS in_expression FROM near),
+    own AS (SELECT * FROM flagged WHERE is_alpha AND pos <> 'DET'),
+    ofpos AS (SELECT {_C}, lemma, pos, count(*) AS n, min(tok_id) AS first, arg_min(text, (in_expression, tok_id)) AS word_form, arg_min(sent_id, (in_expression, tok_id)) AS sent_id FROM own GROUP BY ALL),
+    oflemma AS (SELECT {_C}, lemma, sum(n)::bigint AS total, coalesce(sum(n) FILTER (WHERE pos = 'PROPN'), 0)::bigint AS proper_noun_frequency, min(first) AS first_tok,
+                       arg_min(struct_pack(p := pos, w := word_form, s := sent_id), (-n, first)) FILTER (WHERE pos <> 'PROPN') AS chosen FROM ofpos GROUP BY ALL),
+    kept AS (SELECT o.* FROM oflemma o JOIN ratios r USING (book_title, book_author, lemma)
+             WHERE proper_noun_frequency < total AND (proper_noun_frequency = 0 OR ratio < 0.9)),
+    sentences AS (SELECT {_C}, sent_id, string_agg(text, ' ' ORDER BY tok_id) AS example_sentence FROM tokens GROUP BY ALL)
+    SELECT k.book_title, k.book_author, k.chapter, lemma, chosen.p AS pos, chosen.w AS word_form, example_sentence, total - proper_noun_frequency AS frequency, proper_noun_frequency, first_tok
+    FROM kept k JOIN sentences s ON k.book_title = s.book_title AND k.book_author = s.book_author AND k.chapter = s.chapter AND k.chosen.s = s.sent_id"""
+)
+def chapter_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = S.tokens(spark, sf_dir)
+    return vocabulary.vocabulary(tokens, vocabulary.proper_noun_ratios(tokens))
+
+
+_PARTICLES = f"""WITH {S.TOKENS_SQL},
+    pairs AS (SELECT p.book_title, p.book_author, p.chapter, concat(v.lemma, ' ', p.lemma) AS lemma, p.tok_id, p.sent_id, least(p.tok_id, v.tok_id) AS low, greatest(p.tok_id, v.tok_id) AS high
+              FROM tokens p JOIN tokens v ON p.book_title = v.book_title AND p.book_author = v.book_author AND p.chapter = v.chapter AND p.head_id = v.tok_id WHERE p.dep = 'prt' AND v.pos = 'VERB'),
+    verbs AS (SELECT {_C}, lemma, 'VERB' AS pos, count(*) AS frequency, min(tok_id) AS first_tok, arg_min(low, tok_id) AS low, arg_min(high, tok_id) AS high FROM pairs GROUP BY ALL)"""
+
+
+@_query(
+    f"""{_PARTICLES} SELECT v.book_title, v.book_author, v.chapter, v.lemma, v.pos, frequency, first_tok, string_agg(t.text, ' ' ORDER BY t.tok_id) AS word_form FROM verbs v
+    JOIN tokens t ON v.book_title = t.book_title AND v.book_author = t.book_author AND v.chapter = t.chapter AND t.tok_id BETWEEN low AND high GROUP BY ALL"""
+)
+def particle_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.particle_verbs(S.tokens(spark, sf_dir)).select(*CHAPTER, "lemma", "pos", "frequency", "first_tok", "word_form")
+
+
+_GRAMS = f"""WITH {S.TOKENS_SQL}, {S.DICTIONARY_SQL},
+    led AS (SELECT *, lead(CASE WHEN is_alpha THEN lemma END) OVER o AS l2, lead(CASE WHEN is_alpha THEN lemma END, 2) OVER o AS l3 FROM tokens WINDOW o AS (PARTITION BY {_C}, sent_id ORDER BY tok_id)),
+    grams AS (SELECT {_C}, concat(lemma, ' ', l2) AS lemma, tok_id FROM led WHERE is_alpha AND l2 IS NOT NULL
+              UNION ALL SELECT {_C}, concat(lemma, ' ', l2, ' ', l3), tok_id FROM led WHERE is_alpha AND l2 IS NOT NULL AND l3 IS NOT NULL)"""
+
+
+@_query(f"{_GRAMS} SELECT {_C}, lemma, count(*) AS frequency, min(tok_id) AS first_tok FROM grams WHERE lemma IN (SELECT written_rep FROM dictionary) GROUP BY ALL")
+def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = S.dictionary(spark, sf_dir).select(F.col("written_rep").alias("lemma"))
+    return vocabulary.contiguous_expressions(S.tokens(spark, sf_dir), heads, 3).select(*CHAPTER, "lemma", "frequency", "first_tok")
+
+
+@_query(
+    f"""{_GRAMS}, counted AS (SELECT {_C}, lemma, count(*) AS frequency FROM grams GROUP BY ALL)
+    SELECT * FROM counted a WHERE NOT EXISTS (SELECT 1 FROM counted b WHERE a.book_title = b.book_title AND a.chapter = b.chapter AND a.frequency = b.frequency
+        AND len(string_split(b.lemma, ' ')) = 3 AND a.lemma = array_to_string(string_split(b.lemma, ' ')[1:2], ' '))"""
+)
+def expression_prefix_domination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = vocabulary.ngrams(S.tokens(spark, sf_dir), 3).groupBy(*CHAPTER, "lemma").agg(F.count("*").alias("frequency"))
+    return lookup.without_dominated(counted, list(CHAPTER))
+
+
+_POS_MAP = "CASE pos WHEN 'NOUN' THEN 'Noun' WHEN 'VERB' THEN 'Verb' WHEN 'ADJ' THEN 'Adjective' WHEN 'ADV' THEN 'Adverb' WHEN 'INTJ' THEN 'Interjection' END"
+_CANDIDATES = f"""WITH {S.LEMMAS_SQL}, {S.DICTIONARY_SQL},
+    cand AS (SELECT lemma, pos, lexentry, sense, trans_list, score, src_row FROM lemmas LEFT JOIN entries ON lemma = written_rep AND lexentry IS NOT NULL AND entry_pos = {_POS_MAP})"""
+
+
+@_query(
+    f"""{_CANDIDATES} SELECT lemma, pos, lexentry, sense, trans_list, score, src_row IS NULL AS uncertain,
+    CASE WHEN src_row IS NULL THEN 'kein Wörterbucheintrag — unsicher' ELSE coalesce(sense, 'Hauptbedeutung, ohne nähere Angabe') END AS label FROM cand"""
+)
+def dictionary_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lookup.candidates(S.lemmas(spark, sf_dir), S.dictionary(spark, sf_dir))
+    return found.withColumn("label", lookup.label()).select("lemma", "pos", "lexentry", "sense", "trans_list", "score", "uncertain", "label")
+
+
+@_query(f"{_CANDIDATES} SELECT lemma, pos, count(src_row) AS n, arg_min(lexentry, (-score, src_row)) AS best FROM cand GROUP BY ALL")
+def candidate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lookup.candidate_lists(S.lemmas(spark, sf_dir), S.dictionary(spark, sf_dir))
+    return found.select("lemma", "pos", F.size("candidates").cast("long").alias("n"), F.get("candidates", F.lit(0))["lexentry"].alias("best"))
+
+
+@_query(
+    f"""WITH {S.LEMMAS_SQL}, {S.DICTIONARY_SQL} SELECT lemma, CASE entry_pos WHEN 'Noun' THEN 'NOUN' WHEN 'Verb' THEN 'VERB' WHEN 'Adjective' THEN 'ADJ' WHEN 'Adverb' THEN 'ADV' ELSE 'INTJ' END AS pos,
+    lexentry, sense, trans_list, score FROM lemmas JOIN entries ON lemma = written_rep WHERE entry_pos <> 'Proper_noun'"""
+)
+def pos_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.pos_variants(S.lemmas(spark, sf_dir), S.dictionary(spark, sf_dir)).select("lemma", "pos", "lexentry", "sense", "trans_list", "score")
+
+
+_SURE = "score >= 50 AND entry_pos IS DISTINCT FROM 'Proper_noun'"
+
+
+@_query(f"{_GRAMS}, found AS (SELECT DISTINCT lemma FROM grams) SELECT lemma, lexentry, sense, score FROM found JOIN entries ON lemma = lower(written_rep) WHERE {_SURE}")
+def expression_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vocabulary.ngrams(S.tokens(spark, sf_dir), 3).select("lemma").distinct().withColumn("lemma", F.translate("lemma", "aeiou", "AEIOU"))
+    return lookup.contiguous_candidates(found, S.dictionary(spark, sf_dir)).select(T.ascii_fold(F.col("lemma")).alias("lemma"), "lexentry", "sense", "score")
+
+
+@_query(
+    f"""{_PARTICLES}, {S.DICTIONARY_SQL}, found AS (SELECT DISTINCT lemma FROM verbs), sure AS (SELECT * FROM entries WHERE {_SURE})
+    SELECT lemma, lexentry, score, src_row IS NULL AS uncertain FROM found LEFT JOIN sure ON lemma = written_rep"""
+)
+def particle_verb_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vocabulary.particle_verbs(S.tokens(spark, sf_dir)).select("lemma").distinct()
+    return lookup.particle_verb_candidates(found, S.dictionary(spark, sf_dir)).select("lemma", "lexentry", "score", "uncertain")
+
+
+@_query(
+    f"""WITH {S.DICTIONARY_SQL}, several AS (SELECT * FROM entries WHERE contains(written_rep, ' '))
+    SELECT written_rep AS key, arg_max(coalesce(entry_pos, '?'), (score, -src_row)) AS entry_pos, arg_max(trans_list, (score, -src_row)) AS trans_list, max(score) AS score FROM several GROUP BY ALL"""
+)
+def best_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.best_expressions(S.dictionary(spark, sf_dir)).select("key", "entry_pos", "trans_list", "score")
+
+
+@_query(f"WITH {S.DICTIONARY_SQL} SELECT written_rep, max(importance)::double AS importance FROM dictionary GROUP BY ALL")
+def importance_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.importance_ranking(S.dictionary(spark, sf_dir)).withColumn("importance", F.col("importance").cast("double"))
+
+
+@_query(f"WITH {S.EVENTS_SQL} SELECT user_id, lexentry, arg_max(state, (ts, event_id)) AS state FROM log GROUP BY ALL")
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.latest_states(S.events(spark, sf_dir), ["user_id", "lexentry"])
+
+
+@_query(
+    f"""WITH {S.EVENTS_SQL}, states AS (SELECT lemma, pos, lexentry, arg_max(state, (ts, event_id)) AS state FROM log WHERE user_id % 2 = 0 GROUP BY ALL),
+    senses AS (SELECT DISTINCT lemma, pos, lexentry FROM log), known AS (SELECT DISTINCT lemma, pos FROM states WHERE state = 'known')
+    SELECT s.lemma, s.lexentry, CASE WHEN state = 'known' THEN 'known' WHEN k.lemma IS NOT NULL THEN 'new_meaning_of_known_word' ELSE 'unknown' END AS status
+    FROM senses s LEFT JOIN states USING (lemma, pos, lexentry) LEFT JOIN known k ON s.lemma = k.lemma AND s.pos = k.pos"""
+)
+def chapter_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = S.events(spark, sf_dir)
+    senses = events.select("lemma", "pos", "lexentry", F.lit(None).cast("string").alias("trans_list"), F.when(F.col("sense").isNull(), F.lit("")).alias("sense")).distinct()
+    return profile.compare(senses, events.filter("user_id % 2 = 0")).select("lemma", "lexentry", "status")
+
+
+def _triage_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = S.number(F.concat("lemma", F.col("chapter").cast("string")))
+    status = F.element_at(F.array(F.lit("known"), F.lit("unknown"), F.lit("new_meaning_of_known_word"), F.lit(None)), (F.pmod(h, F.lit(4)) + 1).cast("int"))
+    return _occurrences(spark, sf_dir).withColumns({"none_known": F.pmod(F.expr("length(lemma)"), F.lit(3)) > 0, "chosen_status": status}).withColumn("all_known", F.pmod(F.length("lemma"), F.lit(5)) == 0)
+
+
+@_query(
+    f"""{_OCCURRENCES}, e AS (SELECT {_C}, lemma, pos, frequency, length(lemma) % 5 = 0 AS all_known, length(lemma) % 3 > 0 AS none_known,
+        ['known', 'unknown', 'new_meaning_of_known_word', NULL][{S.number_sql("concat(lemma, chapter)")} % 4 + 1] AS chosen_status FROM occ),
+    r AS (SELECT *, coalesce(sum(CASE WHEN chosen_status IS NOT NULL AND chosen_status <> 'known' THEN 1 ELSE 0 END) OVER
+        (PARTITION BY {_C}, all_known ORDER BY CASE WHEN none_known THEN 0 ELSE 1 END, frequency DESC, lemma, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+    SELECT {_C}, lemma, CASE WHEN all_known THEN 'known' WHEN before >= 25 THEN 'remaining' WHEN chosen_status IS NULL THEN 'skipped' WHEN chosen_status = 'known' THEN 'resolved_known' ELSE 'kept' END AS disposition FROM r"""
+)
+def triage_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.dispositions(_triage_entries(spark, sf_dir), 25).select(*CHAPTER, "lemma", "disposition")
+
+
+def _word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus-derived stand-in: words and pairs of words of the dictionary, ranked by a hash."""
+    return S.dictionary(spark, sf_dir).select(F.col("written_rep").alias("lemma")).distinct().withColumn("rank", F.pmod(S.number(F.concat(F.lit("r"), F.col("lemma"))), F.lit(4000)))
+
+
+@_query(
+    f"""WITH {S.DICTIONARY_SQL}, list AS (SELECT written_rep AS lemma FROM heads WHERE {S.number_sql("concat('r', written_rep)")} % 4000 <= 2000),
+    senses AS (
+        SELECT lemma, CASE entry_pos WHEN 'Noun' THEN 'NOUN' WHEN 'Verb' THEN 'VERB' WHEN 'Adjective' THEN 'ADJ' WHEN 'Adverb' THEN 'ADV' ELSE 'INTJ' END AS pos, lexentry, sense, trans_list
+        FROM list JOIN entries ON lemma = written_rep WHERE NOT contains(lemma, ' ') AND entry_pos <> 'Proper_noun'
+        UNION ALL SELECT lemma, '' AS pos, lexentry, sense, trans_list FROM list JOIN entries ON lemma = written_rep WHERE contains(lemma, ' ') AND {_SURE})
+    SELECT count(DISTINCT (lemma, pos)) AS lemma_pos_pairs, count(DISTINCT (lemma, pos, coalesce(lexentry, ''), coalesce(sense, ''), coalesce(trans_list, ''))) AS senses,
+           count(DISTINCT lemma) AS covered_lemmas, (SELECT count(*) FROM list) AS total_lemmas FROM senses"""
+)
+def preset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _word_list(spark, sf_dir)
+    return preset.preset_counts(words, preset.preset_senses(words, S.dictionary(spark, sf_dir), "b1"), "b1")
+
+
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card for each document and its first word, with its first sentence."""
+    rows = S.chapters(spark, sf_dir).select(*CHAPTER, F.get(T.words(F.col("text")), F.lit(0)).alias("word_form"), T.collapse(F.coalesce(F.get(T.sentences(F.col("text")), F.lit(0)), F.lit(""))).alias("example_sentence"))
+    return rows.filter("word_form is not null").select(
+        *CHAPTER, F.lower("word_form").alias("lemma"), F.lit("NOUN").alias("pos"), "word_form", "example_sentence", F.lit(None).cast("string").alias("lexentry"), F.lit(None).cast("string").alias("sense"),
+        F.concat(F.lit("<"), F.lower("word_form"), F.lit(">")).alias("translation"), F.lit(True).alias("uncertain"), F.lit("en_de").alias("card_direction"),
+    )
+
+
+_FIRST = f"""WITH {S.CHAPTERS_SQL}, first AS (SELECT {_C}, regexp_extract(text, {S.WORD_SQL}) AS word_form, trim(regexp_replace(regexp_extract(text, '[^.!?]*[.!?]'), '\\s+', ' ', 'g')) AS example_sentence
+    FROM chapters WHERE regexp_matches(text, {S.WORD_SQL}))"""
+
+
+@_query(
+    f"""{_FIRST}, p AS (SELECT *, [book_title, book_author, chapter::varchar, lower(word_form), 'NOUN', '', '', 'en_de'] AS k FROM first)
+    SELECT sha256(array_to_string(list_transform(k, lambda x: concat(length(x), ':', x)), '')) AS guid, 'en_de' AS card_direction,
+           concat_ws('|', word_form, concat('&lt;', lower(word_form), '&gt;'), lower(word_form), 'NOUN', replace(replace(replace(example_sentence, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), book_title, chapter) AS fields,
+           concat_ws('|', concat('buch::', book_title), 'autor::unbekannt', concat('kapitel::', chapter), 'unsicher') AS tags FROM p"""
+)
+def card_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cards.notes(_cards(spark, sf_dir)).select("guid", "card_direction", F.array_join("fields", "|").alias("fields"), F.array_join("tags", "|").alias("tags"))
+
+
+@_query("SELECT DISTINCT source, (('0x' || substr(sha256(source), 1, 16))::ubigint & 9223372036854775807::ubigint)::bigint AS deck_id FROM documents")
+def deck_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "documents").select("source", cards.deck_id(F.col("source")).alias("deck_id")).distinct()
+
+
+@_query()
+def card_obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cards(spark, sf_dir).withColumn("card_direction", F.lit("cloze")).select(*CHAPTER, "word_form", cards.word_place(F.col("example_sentence"), F.col("word_form")).alias("place"), cards.obstacle().alias("obstacle"))
+
+
+@_query(
+    f"""{_OCCURRENCES}, s AS (SELECT {_C}, lemma, row_number() OVER (PARTITION BY {_C} ORDER BY lemma, pos) - 1 AS i, count(*) OVER (PARTITION BY {_C}) AS n FROM occ)
+    SELECT {_C}, lemma, (i // 33 + 1)::int AS sheet, (i % 33 + 1)::int AS place, ceil(n / 33.0)::int AS sheet_count FROM s"""
+)
+def sheets_of_33(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sheets.sheets(_occurrences(spark, sf_dir).withColumn("word_form", F.col("lemma")))
+    return rows.select(*CHAPTER, "lemma", "sheet", F.col("place").cast("int").alias("place"), "sheet_count")
+
+
+@_query()
+def printed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sheets.pages(_cards(spark, sf_dir))
+
+
+_SUFFIX = """list_filter([word, CASE WHEN word LIKE '%ies' THEN concat(word[:-4], 'y') END, CASE WHEN word LIKE '%es' THEN word[:-3] END, CASE WHEN word LIKE '%s' AND word NOT LIKE '%ss' THEN word[:-2] END,
+    CASE WHEN word LIKE '%ed' THEN word[:-3] END, CASE WHEN word LIKE '%ed' THEN word[:-2] END, CASE WHEN word LIKE '%ed' AND length(word) > 4 AND word[-3] = word[-4] THEN word[:-4] END,
+    CASE WHEN word LIKE '%ing' THEN word[:-4] END, CASE WHEN word LIKE '%ing' THEN concat(word[:-4], 'e') END, CASE WHEN word LIKE '%ing' AND length(word) > 5 AND word[-4] = word[-5] THEN word[:-5] END,
+    CASE WHEN word LIKE '%ly' THEN word[:-3] END, CASE WHEN word LIKE '%er' THEN word[:-3] END, CASE WHEN word LIKE '%est' THEN word[:-4] END, CASE WHEN contains(word, '-') THEN replace(word, '-', '') END],
+    lambda x: x IS NOT NULL AND x <> '')"""
+_COVERAGE = f"""{_FREQUENCIES}, {S.DICTIONARY_SQL}, vocab AS (SELECT DISTINCT word FROM freq), cands AS (SELECT word, unnest({_SUFFIX}) AS c FROM vocab),
+    hits AS (SELECT DISTINCT word FROM cands WHERE c IN (SELECT written_rep FROM heads)),
+    causes AS (SELECT f.*, CASE WHEN h.word IS NOT NULL THEN 'hit' WHEN f.word IN ({", ".join(f"'{w}'" for w in measures.CONTRACTIONS)}) THEN 'contraction'
+        WHEN f.word IN ({", ".join(f"'{w}'" for w in measures.IRREGULAR_FORMS)}) OR replace(replace(f.word, '-', ''), '''', '') IN ({", ".join(f"'{w}'" for w in measures.IRREGULAR_FORMS)}) THEN 'irregular'
+        WHEN capitalized / frequency > 0.85 THEN 'proper' ELSE 'gap' END AS cause FROM freq f LEFT JOIN hits h USING (word))"""
+
+
+def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.coverage(word_frequency(spark, sf_dir), lookup.headwords(S.dictionary(spark, sf_dir)), list(CHAPTER))
+
+
+@_query(f"{_COVERAGE} SELECT {_C}, word, frequency, capitalized, cause FROM causes")
+def coverage_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _covered(spark, sf_dir).select(*CHAPTER, "word", "frequency", "capitalized", "cause")
+
+
+@_query(
+    f"""{_COVERAGE} SELECT book_title, count(*) AS types, sum(frequency)::bigint AS tokens, avg(CASE WHEN cause = 'hit' THEN 1 ELSE 0 END) AS type_rate,
+    sum(CASE WHEN cause = 'hit' THEN frequency ELSE 0 END) / sum(frequency) AS token_rate, sum(CASE WHEN cause = 'gap' THEN frequency ELSE 0 END) / sum(frequency) AS gap_rate FROM causes GROUP BY ALL"""
+)
+def coverage_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.coverage_rates(_covered(spark, sf_dir), ["book_title"])
+
+
+def _sense_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.candidates(S.lemmas(spark, sf_dir), S.dictionary(spark, sf_dir)).groupBy("lemma", "pos").agg(F.count("src_row").alias("n"))
+
+
+_COUNTS = f"{_CANDIDATES}, counts AS (SELECT lemma, pos, count(src_row) AS n FROM cand GROUP BY ALL)"
+
+
+@_query(f"{_COUNTS} SELECT CASE WHEN n <= 2 THEN n::varchar WHEN n <= 5 THEN '3-5' WHEN n <= 10 THEN '6-10' ELSE '>10' END AS bucket, count(*) AS lemmas FROM counts GROUP BY ALL")
+def ambiguity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.ambiguity_histogram(_sense_counts(spark, sf_dir))
+
+
+@_query(
+    f"""{_COUNTS} SELECT count(*) AS lemmas, count(*) FILTER (WHERE n > 0) AS with_entry, count(*) FILTER (WHERE n > 1) AS ambiguous, median(n) FILTER (WHERE n > 0) AS median_senses,
+    median(n) FILTER (WHERE n > 1) AS median_ambiguous, sum(n)::bigint AS senses FROM counts"""
+)
+def ambiguity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.ambiguity_summary(_sense_counts(spark, sf_dir))
+
+
+@_query(f"{_COUNTS} SELECT lemma, pos, n FROM counts ORDER BY n DESC, lemma, pos LIMIT 20")
+def longest_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.longest_lists(_sense_counts(spark, sf_dir), 20)
+
+
+@_query(
+    f"""WITH {S.CHAPTERS_SQL}, {S.DICTIONARY_SQL}, verbs AS (SELECT DISTINCT string_split(key, ' ')[1] AS verb, string_split(key, ' ')[2] AS particle FROM (
+        SELECT written_rep AS key, arg_max(coalesce(entry_pos, '?'), (score, -src_row)) AS p FROM entries WHERE contains(written_rep, ' ') GROUP BY ALL)
+        WHERE p = 'Verb' AND string_split(key, ' ')[2] IN ({", ".join(f"'{w}'" for w in measures.PARTICLES)})),
+    w AS (SELECT {_C}, regexp_extract_all(lower(text), {S.WORD_SQL}) AS w FROM chapters), t AS (SELECT {_C}, w, unnest(range(len(w))) AS i FROM w),
+    j AS (SELECT {_C}, i, verb, particle, list_position(w[i + 3 : i + 6], particle) AS d FROM t JOIN verbs ON verb = w[i + 1] WHERE list_contains(w[i + 3 : i + 6], particle))
+    SELECT {_C}, i AS "at", verb, arg_min(particle, d) AS particle FROM j GROUP BY ALL"""
+)
+def separated_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.separated_verbs(S.chapters(spark, sf_dir), lookup.best_expressions(S.dictionary(spark, sf_dir)), list(CHAPTER))
+
+
+@_query()
+def greedy_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.greedy_matches(S.chapters(spark, sf_dir), lookup.best_expressions(S.dictionary(spark, sf_dir)), list(CHAPTER))
+
+
+@_query(f"WITH {S.DICTIONARY_SQL} SELECT trans_list FROM (SELECT DISTINCT trans_list FROM dictionary) ORDER BY abs(length(trans_list) - 7), trans_list LIMIT 33")
+def nearest_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.nearest_length(S.dictionary(spark, sf_dir), "trans_list", 7, 33)
+
+
+@_query(f"{_OCCURRENCES} SELECT lemma, pos, sum(frequency)::bigint AS frequency FROM occ GROUP BY ALL")
+def merged_over_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _occurrences(spark, sf_dir).withColumns({"word_form": F.col("lemma"), "example_sentence": F.lit(""), "first_tok": F.lit(0)})
+    return vocabulary.merged_over_chapters(rows).select("lemma", "pos", "frequency")
+
+
+_BLOCK = "|".join(sorted(T.BLOCK_TAGS))
+
+
+@_query(
+    rf"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g') AS t FROM pages),
+    b AS (SELECT page_id, regexp_replace(t, '(?is)<head\b.*?</head\s*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>', '', 'g') AS t FROM a),
+    c AS (SELECT page_id, regexp_replace(t, '(?i)</?(?:{_BLOCK})(?:\s[^>]*)?/?>', chr(10), 'g') AS t FROM b),
+    d AS (SELECT page_id, regexp_replace(t, '<[^>]*>', '', 'g') AS t FROM c),
+    e AS (SELECT page_id, replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS t FROM d)
+    SELECT page_id, regexp_replace(regexp_replace(t, '\n{{2,}}', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM e"""
+)
+def flowing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_texts(S.table(spark, sf_dir, "pages")).select("page_id", "text")
+
+
+@_query()
+def sense_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = lookup.candidate_lists(S.lemmas(spark, sf_dir), S.dictionary(spark, sf_dir)).filter("size(candidates) > 0")
+    lists = lists.withColumn("candidates", F.transform("candidates", lambda x: F.struct(x["lexentry"].alias("lexentry"), x["sense"].alias("sense"), x["trans_list"].alias("trans_list"), F.lit(False).alias("uncertain"))))
+    rows = lists.withColumn("prompt", choice.prompt(F.col("lemma"), F.col("lemma"), F.col("candidates")))
+    return rows.select("lemma", "pos", "prompt", choice.estimated_tokens(F.col("prompt")).alias("tokens"))
+
+
+@_query()
+def chapter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain by the rule-based analyzer, up to dispositions."""
+    events = S.events(spark, sf_dir)
+    found = chain.run_chapters(S.chapters(spark, sf_dir), S.dictionary(spark, sf_dir), events)
+    return chain.triaged(found, choice.first_sense, 25).select(*chain.KEY, "word_form", "frequency", "disposition")
