@@ -98,32 +98,36 @@ class Identifier:
         return self.languages[best], float(1 / (1 + np.exp(-0.5 * np.minimum(saved, 80)).sum())), float(saved.min() / max(1, sizes[best]))
 
 
-def identify(spark: SparkSession, docs: DataFrame, labelled: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """lang_pred, score and margin for each row of docs(text), with its columns in keep; learns from labelled(text, lang)."""
+def learn(labelled: DataFrame) -> dict[str, bytes]:
+    """Dictionaries from labelled(text, lang)."""
+    return dictionaries(sample(labelled.select("text", F.col("lang").cast("string").alias("lang")).filter("lang is not null")))
+
+
+def language_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, margin; rows whose crc32 modulo 4 is 2 teach nothing."""
     small_batches(spark)
-    found = dictionaries(sample(labelled.select("text", F.col("lang").cast("string").alias("lang")).filter("lang is not null")))
-    keep = keep or ["doc_id"]
-    fields = ["lang_pred string", "score double", "margin double"]
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
+    found = learn(source.filter("not held_out"))
 
     def run(batches: Batches) -> Batches:
         own = Identifier(found)
         for batch in batches:
-            out = [own.predict(x) for x in texts_of(batch.column("_text"))]
+            out = [own.predict(x) for x in texts_of(batch.column("text"))]
             columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + columns, [*keep, *(x.split()[0] for x in fields)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], ["doc_id", "held_out", "lang_pred", "score", "margin"])
 
-    chosen = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name in keep), *fields])
-    return chosen.mapInArrow(run, schema)
+    return source.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, margin double")
 
 
-def language_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, margin; rows whose crc32 modulo 4 is 2 teach nothing."""
-    source = docs.withColumn("held_out", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)))
-    return identify(spark, source, source.filter("not held_out"), ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "margin")
+def drop_rejected(spark: SparkSession, docs: DataFrame, narrow: float = NARROW) -> DataFrame:
+    """The rows of docs whose language is clear, with all their columns; learns as language_of does."""
+    small_batches(spark)
+    found = learn(docs.filter(F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(True))))
 
+    def run(batches: Batches) -> Batches:
+        own = Identifier(found)
+        for batch in batches:
+            out = [own.predict(x) for x in texts_of(batch.column("text"))]
+            yield batch.filter(pa.array([x[0] != "und" and x[1] >= narrow for x in out], pa.bool_()))
 
-def drop_rejected(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language is clear; their columns stay as they are."""
-    out = identify(spark, docs, docs.filter(F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(True))), docs.columns)
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= NARROW)).select(docs.columns)
+    return docs.mapInArrow(run, docs.schema)
