@@ -207,13 +207,13 @@ def _texts(rows: DataFrame, chapters: DataFrame) -> DataFrame:
     agg = joined.groupBy("path", "chapter").agg(listed.alias("d"))
     bad = F.get(F.filter("d", lambda x: x["status"] != "ok"), F.lit(0))
     text = without_boilerplate(F.array_join(F.transform("d", lambda x: x["content"]), "\n"))
-    return chapters.join(agg.select("path", "chapter", F.when(bad.isNull(), text).alias("text"), bad.alias("bad")), ["path", "chapter"])
+    return chapters.join(agg.select("path", "chapter", F.when(bad.isNull(), text).alias("text"), bad.alias("bad")), ["path", "chapter"], "left")
 
 
 def chapter_texts(rows: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
     """Chapters with their text; one that can't be read, or has no word, ends the job."""
     own = _texts(rows, chapters if chapters is not None else structure(rows))
-    unreadable = F.raise_error(F.concat(F.col("path"), F.lit(": "), F.col("bad")["document"], F.lit(" is "), F.col("bad")["status"]))
+    unreadable = F.raise_error(F.concat(F.col("path"), F.lit(": "), F.coalesce(F.concat(F.col("bad")["document"], F.lit(" is "), F.col("bad")["status"]), F.lit("no text"))))
     empty = F.raise_error(F.concat(F.col("path"), F.lit(": no text in chapter "), F.col("chapter").cast("string")))
     text = F.when(F.col("text").isNull(), unreadable).when(word_count(F.col("text")) == 0, empty).otherwise(F.col("text"))
     return own.withColumn("text", text).select(*CHAPTERS.fieldNames())
