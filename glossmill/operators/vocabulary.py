@@ -6,7 +6,7 @@ plan. "First" always means the smallest tok_id, which counts through a chapter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions.text import collapse, strip
@@ -20,10 +20,6 @@ LONGEST_EXPRESSION = 6
 EXPRESSION_PARTICLES = ("up", "down", "in", "out", "on", "off", "away", "back", "through", "over", "along", "round", "forward", "across", "by", "apart", "aside", "ahead", "behind")
 
 
-def by_chapter() -> Window:
-    return Window.partitionBy(*CHAPTER).orderBy("tok_id")
-
-
 def content_tokens(tokens: DataFrame) -> DataFrame:
     """Alphabetic tokens of content words and names, by lower-case lemma."""
     return tokens.filter(F.col("is_alpha") & F.col("pos").isin(*CONTENT_POS, PROPER_NOUN)).withColumn("lemma", F.lower("lemma"))
@@ -39,30 +35,33 @@ def sentence_texts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy(*CHAPTER, "sent_id").agg(strip(F.array_join(F.transform(parts, lambda x: x["t"]), "")).alias("example_sentence"))
 
 
-def with_expression_flag(tokens: DataFrame) -> DataFrame:
-    """Adds in_expression: a direct neighbour forms a set phrase with the token, as its verb or its satellite."""
-    children = tokens.filter("head_id <> tok_id").groupBy(*CHAPTER, F.col("head_id").alias("tok_id")).agg(F.count("*").alias("n_children"), F.max(F.struct("tok_id", "dep", "pos")).alias("child"))
-    counts = children.select(*CHAPTER, F.col("tok_id").alias("child_id"), F.lit(True).alias("child_has_children"))
-    own = tokens.join(children, [*CHAPTER, "tok_id"], "left").withColumn("child_id", F.col("child.tok_id")).join(counts, [*CHAPTER, "child_id"], "left")
-    bare = F.coalesce("n_children", F.lit(0)) == 0
-    pronoun_alone = (F.col("n_children") == 1) & (F.col("child.dep") == "pobj") & (F.col("child.pos") == "PRON") & F.col("child_has_children").isNull()
-    satellite = (
+def expression_members(tokens: DataFrame) -> DataFrame:
+    """Places of verbs and satellites that stand side by side and form a set phrase.
+
+    Neighbours are one apart in tok_id, so that no window over all tokens is needed: satellites are a small part of
+    them, and only these meet their children and their verbs.
+    """
+    satellites = tokens.filter(F.col("dep").isin("prt", "advmod", "dobj", "prep") & (F.abs(F.col("head_id") - F.col("tok_id")) == 1)).select(*CHAPTER, "tok_id", "head_id", "dep", "pos", F.lower("lemma").alias("lemma"))
+    has_children = tokens.filter("head_id <> tok_id").groupBy(*CHAPTER, F.col("head_id").alias("tok_id")).agg(F.count("*").alias("n"), F.max(F.struct("tok_id", "dep", "pos")).alias("child"))
+    grand = has_children.select(*CHAPTER, F.col("tok_id").alias("child_id"), F.lit(True).alias("grand"))
+    own = satellites.join(has_children, [*CHAPTER, "tok_id"], "left").withColumn("child_id", F.col("child.tok_id")).join(grand, [*CHAPTER, "child_id"], "left")
+    bare = F.col("n").isNull()
+    pronoun_alone = (F.col("n") == 1) & (F.col("child.dep") == "pobj") & (F.col("child.pos") == "PRON") & F.col("grand").isNull()
+    forms = (
         F.when(F.col("dep") == "prt", bare)
-        .when(F.col("dep") == "advmod", bare & F.lower("lemma").isin(*EXPRESSION_PARTICLES))
+        .when(F.col("dep") == "advmod", bare & F.col("lemma").isin(*EXPRESSION_PARTICLES))
         .when(F.col("dep") == "dobj", bare & (F.col("pos") == "NOUN"))
-        .when(F.col("dep") == "prep", bare | F.coalesce(pronoun_alone, F.lit(False)))
-        .otherwise(F.lit(False))
+        .otherwise(bare | F.coalesce(pronoun_alone, F.lit(False)))
     )
-    own = own.withColumn("satellite", satellite)
-    info = F.struct("tok_id", "pos", "head_id", "satellite")
+    verbs = tokens.filter("pos = 'VERB'").select(*CHAPTER, F.col("tok_id").alias("head_id"))
+    found = own.filter(forms).join(verbs, [*CHAPTER, "head_id"], "left_semi")
+    return found.select(*CHAPTER, F.explode(F.array("tok_id", "head_id")).alias("tok_id")).distinct()
 
-    def phrase(verb: Column, other: Column) -> Column:
-        return F.coalesce((other["head_id"] == verb["tok_id"]) & (other["tok_id"] != verb["tok_id"]) & (verb["pos"] == "VERB") & other["satellite"], F.lit(False))
 
-    near = own.withColumn("_me", info).withColumns({"_left": F.lag("_me").over(by_chapter()), "_right": F.lead("_me").over(by_chapter())})
-    me, left, right = F.col("_me"), F.col("_left"), F.col("_right")
-    flag = phrase(me, right) | phrase(right, me) | phrase(me, left) | phrase(left, me)
-    return near.withColumn("in_expression", flag).select(*tokens.columns, "in_expression")
+def with_expression_flag(tokens: DataFrame) -> DataFrame:
+    """Adds in_expression: a direct neighbour forms a set phrase with the token, as its verb or its satellite."""
+    members = expression_members(tokens).withColumn("in_expression", F.lit(True))
+    return tokens.join(members, [*CHAPTER, "tok_id"], "left").select(*tokens.columns, F.coalesce("in_expression", F.lit(False)).alias("in_expression"))
 
 
 def vocabulary(tokens: DataFrame, ratios: DataFrame | None = None) -> DataFrame:
