@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-RECORD = np.dtype([("c", "<i4"), ("p", "<i8"), ("l", "u1")])
+RECORD = np.dtype([("p", "<i8"), ("c", "<i4"), ("l", "u1")], align=True)
 #: Tuples that one pass of numpy takes.
 PART = 1 << 18
 
@@ -335,16 +335,22 @@ class Sorter:
 
 
 def doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of a short string in order, by prefix doubling; two symbols of text at least stand behind a name."""
-    n = len(names)
-    rank, reach = names.astype(np.int64), 1
+    """Suffixes of a short string in order, by prefix doubling of what isn't told apart yet; two symbols of text at least stand behind a name."""
+    n, reach = len(names), 1
+    order = np.argsort(names, kind="stable")
+    first = np.append(True, names[order[1:]] != names[order[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     while True:
-        key = rank * (n + 1)
-        key[: n - reach if reach < n else 0] += rank[reach:] + 1
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(sorted_[1:] != sorted_[:-1])))
-        rank, reach = new, reach * 2
-        if rank[order[-1]] == n - 1 or reach >= n or depth and reach > depth:
+        slots = np.flatnonzero(~(first & np.append(first[1:], True)))
+        if not len(slots) or reach >= n or depth and reach > depth:
             return order
+        places = order[slots]
+        after = places + reach
+        key = rank[places] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        turn = np.argsort(key)
+        places, key = places[turn], key[turn]
+        order[slots] = places
+        first[slots] = np.append(True, key[1:] != key[:-1])
+        rank[places] = np.maximum.accumulate(np.where(first[slots], slots, 0))
+        reach *= 2

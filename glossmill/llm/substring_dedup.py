@@ -87,7 +87,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
 
 
 def _pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _unpack(data: bytes) -> bytes:
@@ -198,7 +198,8 @@ def repeated_windows(runs: list[bytes], length: int, folder: str, limit: int = L
         found[places[full]] = True
         found[np.append(last, places[:-1])[full]] = True
         last = places[-1:]
-    return found[np.arange(total) + np.repeat(np.arange(len(runs)), sizes)]
+    left = np.repeat(starts[1:], sizes) - np.arange(total)  # matches that go on into the next run are of no window
+    return found[np.arange(total) + np.repeat(np.arange(len(runs)), sizes)] & (left >= length)
 
 
 def _sorted(length: int, limit: int):
