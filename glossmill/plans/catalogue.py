@@ -284,7 +284,7 @@ def card_obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""{_OCCURRENCES}, s AS (SELECT {_C}, lemma, row_number() OVER (PARTITION BY {_C} ORDER BY lemma, pos) - 1 AS i, count(*) OVER (PARTITION BY {_C}) AS n FROM occ)
+    f"""{_OCCURRENCES}, s AS (SELECT {_C}, lemma, row_number() OVER (PARTITION BY {_C} ORDER BY replace(lower(lemma), 'ß', 'ss'), lemma, pos) - 1 AS i, count(*) OVER (PARTITION BY {_C}) AS n FROM occ)
     SELECT {_C}, lemma, (i // 33 + 1)::int AS sheet, (i % 33 + 1)::int AS place, ceil(n / 33.0)::int AS sheet_count FROM s"""
 )
 def sheets_of_33(spark: SparkSession, sf_dir: str) -> DataFrame:
