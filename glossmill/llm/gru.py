@@ -7,6 +7,8 @@ by counts. Training is truncated backpropagation over windows, with the state ca
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from glossmill.llm.words import mix
@@ -28,7 +30,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+    x -= np.log(np.exp(x).sum(-1, keepdims=True))
+    return x
 
 
 class Vocabulary:
@@ -109,14 +112,15 @@ class LanguageModel:
             if not len(rows):
                 continue
             place = ids[rows] - self.v.first[k]
-            log_o = log_softmax(states[rows] @ self.p["o"][k] + self.p["o_b"][k])
+            own, size = states[rows], self.v.sizes[k]
+            log_o = log_softmax(own @ self.p["o"][k, :, :size] + self.p["o_b"][k, :size])
             out[rows] += log_o[np.arange(len(rows)), place]
             if grads is not None:
                 d = np.exp(log_o)
                 d[np.arange(len(rows)), place] -= 1
                 d /= len(ids)
-                grads["o"][k], grads["o_b"][k] = states[rows].T @ d, d.sum(0)
-                d_states[rows] += d @ self.p["o"][k].T
+                grads["o"][k, :, :size], grads["o_b"][k, :size] = own.T @ d, d.sum(0)
+                d_states[rows] += d @ self.p["o"][k, :, :size].T
         return out, d_states
 
     def train(self, texts: list[np.ndarray], rate: float = RATE, passes: int = 1, seed: int = 3) -> int:
@@ -140,14 +144,23 @@ class LanguageModel:
             for low in range(0, length, WINDOW):
                 grads, h = self._window(inputs[:, low : low + WINDOW], ids[:, low : low + WINDOW], h)
                 steps += 1
-                norm = np.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in grads.values()))
+                norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
                 scale = min(1.0, 1.0 / max(norm, 1e-9))
-                now = rate * (1 - 0.9 * steps / total) * np.sqrt(1 - 0.99**steps) / (1 - 0.9**steps)
+                now = rate * (1 - 0.9 * steps / total) * math.sqrt(1 - 0.99**steps) / (1 - 0.9**steps)
                 for k, g in grads.items():
                     g *= scale
-                    m[k] += 0.1 * (g - m[k])
-                    s[k] += 0.01 * (g * g - s[k])
-                    self.p[k] -= (now * m[k] / (np.sqrt(s[k]) + 1e-8)).astype(np.float32)
+                    d = np.subtract(g, m[k])
+                    d *= 0.1
+                    m[k] += d
+                    np.multiply(g, g, out=d)
+                    d -= s[k]
+                    d *= 0.01
+                    s[k] += d
+                    np.sqrt(s[k], out=d)
+                    d += 1e-8
+                    np.divide(m[k], d, out=d)
+                    d *= now
+                    self.p[k] -= d
             learned += streams * length
         return learned
 
@@ -180,7 +193,10 @@ class LanguageModel:
             d_h = (g * z + d_hu @ p["u"].T) * (inputs[:, t] != END)[:, None]
         flat = d_gates.reshape(-1, 3 * STATE)
         grads |= {"u": d_u, "b": flat.sum(0), "w": x.reshape(-1, EMBEDDING).T @ flat, "embed": np.zeros_like(p["embed"])}
-        np.add.at(grads["embed"], inputs.ravel(), flat @ p["w"].T)
+        order = np.argsort(inputs, axis=None, kind="stable")
+        own = inputs.ravel()[order]
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        grads["embed"][own[starts]] = np.add.reduceat((flat @ p["w"].T)[order], starts, axis=0)
         return grads, h
 
     def score(self, hashes: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

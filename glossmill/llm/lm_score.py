@@ -3,8 +3,8 @@
 Counts cover all training documents: each block of documents sends its distinct words once, by ranges of
 their hash; counts come back to the block and meet its documents there. The recurrent model is learned in
 two steps: on a bounded sample (SAMPLE rows of at most CHARS characters, which also gives its vocabulary),
-then on a fixed share of all training documents (one in SHARE), partition by partition, whose weights
-are averaged by the words that they have seen. Words outside the vocabulary are of one class, in which
+then on all training documents, partition by partition, whose weights are averaged by the words that they
+have seen. Words outside the vocabulary are of one class, in which
 counts over all training documents tell a word's probability.
 
 Words are told apart by 64-bit hashes.
@@ -28,8 +28,8 @@ from glossmill.llm.words import WordHasher
 
 #: The bound of the first sample.
 SAMPLE, CHARS, PASSES = 800, 20_000, 2
-#: One training document in SHARE takes part in the second step, at this rate.
-SHARE, RATE = 8, 0.003
+#: The rate of the second step.
+RATE = 0.003
 #: Bytes of text in a block of documents, and of words' rows in a range of hashes.
 BLOCK_BYTES, RANGE_BYTES = 12 << 20, 12 << 20
 
@@ -91,9 +91,9 @@ def learn(spark: SparkSession, docs: DataFrame) -> LanguageModel:
         return pa.table({"at": [group["at"][0].as_py()], "total": [total], "weighted": pa.array([weighted.tobytes()], pa.binary())})
 
     schema = "at long, total long, weighted binary"
-    drawn = docs.filter("not held_out").filter(F.pmod(F.crc32(F.sha1(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), F.lit(SHARE)) == 0)
-    sums = drawn.select("text").mapInArrow(tune, schema)
-    partitions = drawn.rdd.getNumPartitions()
+    taught = docs.filter("not held_out").select("text")
+    sums = taught.mapInArrow(tune, schema)
+    partitions = taught.rdd.getNumPartitions()
     while partitions > 16:  # sums of sums, so that no task holds the weights of many partitions
         partitions = -(-partitions // 16)
         sums = sums.withColumn("at", F.pmod("at", F.lit(partitions))).groupBy("at").applyInArrow(add, schema)

@@ -250,3 +250,14 @@ def test_scores_against_brute_force(spark, documents, monkeypatch):
     tokens = sum(x["n_tokens"] for x in got if x["held_out"])
     assert sum(x["score"] for x in got if x["held_out"]) / tokens > sum(x["base_score"] for x in got if x["held_out"]) / tokens - 0.2
     assert lm_score.lm_scores(spark, documents([])).isEmpty()
+
+
+def test_every_training_document_reaches_the_weights(spark, documents, monkeypatch):
+    monkeypatch.setattr(lm_score, "SAMPLE", 0)  # what is learned is learned by the second step
+    seen = []
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2 and zlib.crc32(hashlib.sha1(str(i).encode()).hexdigest().encode()) % 8]
+    docs = documents([(i, "aa bb cc " * 20) for i in ids]).select("doc_id", "text").selectExpr("doc_id", "false AS held_out", "text")
+    load = gru.LanguageModel.load
+    monkeypatch.setattr(gru.LanguageModel, "load", lambda self, flat: seen.append(flat) or load(self, flat))
+    lm_score.learn(spark, docs)
+    assert seen  # the averaged weights of the second step
