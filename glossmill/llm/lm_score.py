@@ -1,9 +1,9 @@
 """Language-model scores of whole documents, and an add-one unigram base.
 
 Counts cover all training documents: each block of documents sends its distinct words once, by ranges of
-their hash; counts come back to the block and meet its documents there. The recurrent model is learned in
-two steps: on a bounded sample (SAMPLE rows of at most CHARS characters, which also gives its vocabulary),
-then on all training documents, partition by partition, whose weights are averaged by the words that they
+their hash; counts come back to the block and meet its documents there. The vocabulary of the recurrent
+model and its classes follow the counts of all whole training texts. The model is learned in
+two steps: on a bounded sample (up to SAMPLE whole texts, together SAMPLE * CHARS characters at most), then on all training documents, partition by partition, whose weights are averaged by the words that they
 have seen. Words outside the vocabulary are of one class, in which
 counts over all training documents tell a word's probability.
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm.common import Batches, crc_mod, materialize, plan_bytes, small_batches, utf8_buffers
-from glossmill.llm.gru import LanguageModel, Vocabulary
+from glossmill.llm.gru import END_HASH, VOCABULARY, LanguageModel, Vocabulary
 from glossmill.llm.words import WordHasher
 
 #: The bound of the first sample.
@@ -47,9 +47,17 @@ def _sample(docs: DataFrame) -> list[str]:
     n = docs.filter("not held_out").count()
     if not n:
         return []
-    share = F.crc32(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) / float(1 << 32)
-    drawn = docs.filter("not held_out").filter(share < min(1.0, (1.2 * SAMPLE + 50) / n)).select(share.alias("at"), F.substring("text", 1, CHARS).alias("text"))
-    return [r["text"] or "" for r in drawn.orderBy("at", "text").limit(SAMPLE).collect()]
+    at = F.crc32(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    drawn = docs.filter("not held_out").filter(at / float(1 << 32) < min(1.0, (1.2 * SAMPLE + 50) / n)).select(at.alias("at"), F.length("text").alias("n"), "text")
+    chosen, left = [], SAMPLE * CHARS
+    for r in drawn.select("at", "n").orderBy("at", "n").limit(SAMPLE).collect():
+        if r["n"] <= left:  # a text is taken whole or left to the second step
+            chosen.append((r["at"], r["n"]))
+            left -= r["n"]
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame(chosen, "at long, n int").distinct()
+    return [r["text"] for r in drawn.join(F.broadcast(wanted), ["at", "n"]).select("at", "text").limit(len(chosen)).orderBy("at", "text").collect()]
 
 
 def _hashed(texts: list[str]) -> list[np.ndarray]:
@@ -57,10 +65,58 @@ def _hashed(texts: list[str]) -> list[np.ndarray]:
     return [hashes[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
 
 
-def learn(spark: SparkSession, docs: DataFrame) -> LanguageModel:
+def _tallies(parts: int):
+    """Distinct words of some texts and their counts, a row for each range of hashes."""
+
+    def rows(held: list[np.ndarray]) -> Batches:
+        words, often = np.unique(np.concatenate(held), return_counts=True)
+        part = _part_of(words, parts)
+        cuts = np.searchsorted(part, np.arange(parts + 1))
+        full = np.flatnonzero(np.diff(cuts))
+        columns = [[x[cuts[k] : cuts[k + 1]].tobytes() for k in full] for x in (words, often.astype("<i8"))]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], ["at", "words", "often"])
+
+    def run(batches: Batches) -> Batches:
+        hasher, held, size = WordHasher(), [], 0
+        for batch in batches:
+            hashes, _ = hasher.of(*utf8_buffers(batch.column("text")), fold=True)
+            held.append(hashes)
+            size += batch.nbytes
+            if size >= BLOCK_BYTES:
+                yield from rows(held)
+                held, size = [], 0
+        if held:
+            yield from rows(held)
+
+    return run
+
+
+def _most_frequent(group: pa.Table) -> pa.Table:
+    """The most frequent words of a group of rows, ties by the smaller hash."""
+    words, inverse = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group["words"]]), return_inverse=True)
+    often = np.bincount(inverse, np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in group["often"]]), minlength=len(words)).astype("<i8")
+    order = np.lexsort((words, -often))
+    order = np.sort(order[words[order] != END_HASH][: VOCABULARY - 1])
+    return pa.table({"at": [group["at"][0].as_py()], "words": pa.array([words[order].tobytes()], pa.binary()), "often": pa.array([often[order].tobytes()], pa.binary())})
+
+
+def vocabulary(docs: DataFrame, parts: int) -> Vocabulary:
+    """The most frequent words of all training texts: each range of hashes has its own ones, and ranges are merged by 16."""
+    schema = "at long, words binary, often binary"
+    best = docs.filter("not held_out").select("text").mapInArrow(_tallies(parts), schema).groupBy("at").applyInArrow(_most_frequent, schema)
+    while parts > 16:
+        parts = -(-parts // 16)
+        best = best.withColumn("at", F.pmod("at", F.lit(parts))).groupBy("at").applyInArrow(_most_frequent, schema)
+    last = best.withColumn("at", F.lit(0).cast("long")).groupBy("at").applyInArrow(_most_frequent, schema).collect()
+    if not last:
+        return Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return Vocabulary(np.frombuffer(last[0]["words"], np.uint64), np.frombuffer(last[0]["often"], "<i8"))
+
+
+def learn(spark: SparkSession, docs: DataFrame, parts: int = 8) -> LanguageModel:
     """The model of docs(doc_id, held_out, text)."""
+    model = LanguageModel(vocabulary(docs, parts))
     texts = _hashed(_sample(docs)) or [np.zeros(0, np.uint64)]
-    model = LanguageModel(Vocabulary(*np.unique(np.concatenate(texts), return_counts=True)))
     model.train(texts, passes=PASSES)
     shared = spark.sparkContext.broadcast(model)
 
@@ -206,11 +262,11 @@ def lm_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; rows whose crc32 modulo 7 is 2 teach nothing."""
     small_batches(spark, 500)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    model = learn(spark, source)
     size = plan_bytes(docs.select("doc_id", "text"))
     if size > 1 << 50:  # the plan doesn't tell
         size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, min(4096, -(-size // RANGE_BYTES)))
+    model = learn(spark, source, parts)
     shared = spark.sparkContext.broadcast(model)
     blocks = materialize(spark, source.mapInArrow(_blocks(shared, parts), BLOCKS), "lm-blocks")
     vocabulary = model.v.hashes

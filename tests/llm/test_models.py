@@ -261,3 +261,21 @@ def test_every_training_document_reaches_the_weights(spark, documents, monkeypat
     monkeypatch.setattr(gru.LanguageModel, "load", lambda self, flat: seen.append(flat) or load(self, flat))
     lm_score.learn(spark, docs)
     assert seen  # the averaged weights of the second step
+
+
+def test_vocabulary_follows_all_whole_training_texts(spark, documents, monkeypatch):
+    monkeypatch.setattr(lm_score, "SAMPLE", 3)
+    monkeypatch.setattr(lm_score, "CHARS", 20)
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr("glossmill.llm.gru.VOCABULARY", 30)
+    monkeypatch.setattr(lm_score, "VOCABULARY", 30, raising=False)
+    r = random.Random(4)
+    rows = [(i, f"start{i} " * 3 + " ".join(f"w{int(r.paretovariate(0.4)) % 300}" for _ in range(80))) for i in range(120)]
+    docs = documents(rows).selectExpr("doc_id", "doc_id % 5 = 0 AS held_out", "text")
+    counts = Counter(w for i, t in rows if i % 5 for w in t.split())
+    hashed = dict(zip(counts, lm_score._hashed([" ".join(counts)])[0].tolist(), strict=True))
+    want = sorted(counts, key=lambda w: (-counts[w], hashed[w]))[:29]
+    monkeypatch.setattr(gru.LanguageModel, "train", lambda self, texts, **kw: sum(map(len, texts)))
+    for parts in (1, 8, 40):
+        own = lm_score.learn(spark, docs, parts).v
+        assert own.hashes.tolist() == [0, *(hashed[w] for w in want)]
