@@ -3,9 +3,8 @@
 A text is the set of its shingles of five words. Sets are embedded into sketches of COORDINATES tokens
 (8-bit minima of hash functions), of which two sets share a part equal to their similarity. In each run
 sets go down a tree: at each node two sampled coordinates are chosen, and sets that share the token there
-go on together. What has the same path at the leaf is a bucket. Buckets above SPLIT sets are split
-further on sampled tokens, and those above SIDE are compared block against block. In a bucket pairs are
-first estimated by sketches, then verified on the whole sets, and a link counts only in the first bucket
+go on together. What has the same path at the leaf is a bucket. Buckets above SIDE sets, however large,
+are compared block against block, so that no pair of a bucket parts. In a bucket pairs are first estimated by sketches, then verified on the whole sets, and a link counts only in the first bucket
 that its two sets share, so that no table of pairs is needed. Runs repeat until a pair at the threshold
 is found with probability RECALL.
 
@@ -32,8 +31,8 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99998
 COORDINATES, DEPTH = 128, 3
 #: Sets above which a bucket is compared in blocks of so many, block against block.
 SIDE = 2048
-#: Sets above which a bucket is split on further tokens before, FURTHER in each of up to ROUNDS rounds; pairs near the threshold may part there.
-SPLIT, FURTHER, ROUNDS = 65536, 3, 2
+#: Without effect since buckets are no longer split; the name stays for callers that set it.
+SPLIT = 65536
 #: Standard deviations of a sketch's estimate that a pair at the threshold may lie under it.
 SLACK = 4.0
 #: Up to so many sets of a bucket have their pairs listed; more are compared as matrices.
@@ -130,25 +129,6 @@ def _leaves(runs: int):
     return run
 
 
-def further(key: np.ndarray, sketch: np.ndarray, steps: int) -> np.ndarray:
-    """Keys after a split of their buckets on tokens that the keys choose."""
-    for _ in range(steps):
-        chosen = mix(key + np.uint64(7))
-        token = np.take_along_axis(sketch, (chosen % np.uint64(COORDINATES)).astype(np.int64)[:, None], 1)[:, 0]
-        key = mix(chosen ^ (token.astype(np.uint64) + np.uint64(1)) * np.uint64(0x8EBC6AF09C88C6E3))
-    return key
-
-
-def _deeper(steps: int):
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            if batch.num_rows:
-                key = further(batch.column("key").to_numpy().view(np.uint64), _binary_rows(batch.column("sketch"), COORDINATES), steps)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("slot"), batch.column("rid")], ["key", "slot", "rid"])
-
-    return run
-
-
 def _groups(batches: Batches) -> Iterator[pa.Table]:
     """Whole buckets, some thousand rows together; rows come sorted by bucket."""
     held: list[pa.RecordBatch] = []
@@ -182,7 +162,7 @@ def _runs_of(values: np.ndarray) -> np.ndarray:
 class Bucket:
     """Rows of buckets, and the pairs in them that may be links and meet here first."""
 
-    def __init__(self, table: pa.Table, runs: int, cutoff: int, steps: int):
+    def __init__(self, table: pa.Table, runs: int, cutoff: int):
         table = table.combine_chunks()
         self.bucket = table["bucket"].to_numpy()
         self.rid = table["rid"].to_numpy()
@@ -191,12 +171,6 @@ class Bucket:
         self.crossed = table["crossed"].to_numpy(zero_copy_only=False)
         self.sketch = _binary_rows(table["sketch"].combine_chunks(), COORDINATES)
         self.keys = path_keys(self.sketch, runs)
-        for split in ("split_0", "split_1"):  # bits of slots whose bucket was split: there sets are together only if they are after it
-            bits = table[split].to_numpy()
-            for slot in range(self.keys.shape[1]):
-                own = np.flatnonzero(bits >> slot & 1)
-                if len(own):
-                    self.keys[own, slot] = further(self.keys[own, slot], self.sketch[own], steps)
         self.cutoff = cutoff
         self.borders = _runs_of(self.bucket)
 
@@ -256,12 +230,12 @@ class Bucket:
             yield rows, columns, (agree >= self.cutoff) & ~met
 
 
-def _active(runs: int, cutoff: int, steps: int):
+def _active(runs: int, cutoff: int):
     """Rows that have a partner to verify in their bucket."""
 
     def run(batches: Batches) -> Batches:
         for table in _groups(batches):
-            own = Bucket(table, runs, cutoff, steps)
+            own = Bucket(table, runs, cutoff)
             keep = np.zeros(len(own.rid), bool)
             i, j = own.small_pairs()
             keep[i] = keep[j] = True
@@ -291,7 +265,7 @@ def _spanning(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> dict[int, int]
     return {x: top(x) for x in parent}
 
 
-def _verify(runs: int, cutoff: int, steps: int, similarity: float):
+def _verify(runs: int, cutoff: int, similarity: float):
     """Verified links of each bucket as counts and as a star for each connected part: rows (kind, a, b)."""
 
     def linked(na: np.ndarray, nb: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -299,7 +273,7 @@ def _verify(runs: int, cutoff: int, steps: int, similarity: float):
 
     def run(batches: Batches) -> Batches:
         for table in _groups(batches):
-            own = Bucket(table, runs, cutoff, steps)
+            own = Bucket(table, runs, cutoff)
             sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
             n = np.array([len(x) for x in sets])
             counts = np.zeros(len(sets), np.int64)
@@ -423,21 +397,10 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, similarity: float = SI
     rows = materialize(spark, full.mapInArrow(_leaves(runs), "key long, slot int, rid long"), "jaccard-leaves")
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     kept = materialize(spark, rows.join(sizes, "key"), "jaccard-buckets")
-    steps = FURTHER
-    for r in range(2):
-        large = kept.filter(F.col("size") > SPLIT).select("key", "slot", "rid")
-        if r >= ROUNDS or large.isEmpty():
-            full = full.withColumn(f"split_{r}", F.lit(0).cast("long"))
-            continue
-        bits = large.groupBy("rid").agg(F.bit_or(F.expr("shiftleft(1L, slot)")).alias(f"split_{r}"))
-        full = full.join(bits, "rid", "left").withColumn(f"split_{r}", F.coalesce(f"split_{r}", F.lit(0).cast("long")))
-        split = materialize(spark, large.join(full, "rid").select("key", "slot", "rid", "sketch").mapInArrow(_deeper(steps), "key long, slot int, rid long"), "jaccard-leaves")
-        again = split.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-        kept = materialize(spark, kept.filter(F.col("size") <= SPLIT).unionByName(split.join(again, "key").select(*kept.columns)), "jaccard-buckets")
     sizes = kept.select("key", "size").distinct()
-    dealt = _in_blocks(kept.drop("size"), sizes).join(full, "rid").select("bucket", "slot", "rid", "side", "crossed", "sketch", "split_0", "split_1")
-    schema = "bucket long, slot int, rid long, side int, crossed boolean, sketch binary, split_0 long, split_1 long"
-    active = materialize(spark, _by_bucket(dealt).mapInArrow(_active(runs, cutoff, steps), schema), "jaccard-active")
+    dealt = _in_blocks(kept.drop("size"), sizes).join(full, "rid").select("bucket", "slot", "rid", "side", "crossed", "sketch")
+    schema = "bucket long, slot int, rid long, side int, crossed boolean, sketch binary"
+    active = materialize(spark, _by_bucket(dealt).mapInArrow(_active(runs, cutoff), schema), "jaccard-active")
     # Whole sets are made again for the texts that have a partner, and for these alone.
     wanted = active.select("rid").distinct().join(sets.select("rid", "sig", F.col("first.doc_id").alias("doc_id")), "rid")
     spread = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
@@ -450,7 +413,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, similarity: float = SI
             yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.binary())], ["sig", "shingles"])
 
     of_rid = texts.mapInArrow(whole, "sig binary, shingles binary").join(wanted.select("rid", "sig"), "sig").select("rid", "shingles").dropDuplicates(["rid"])
-    found = _by_bucket(active.join(of_rid, "rid")).mapInArrow(_verify(runs, cutoff, steps, similarity), "kind int, a long, b long")
+    found = _by_bucket(active.join(of_rid, "rid")).mapInArrow(_verify(runs, cutoff, similarity), "kind int, a long, b long")
     found = materialize(spark, found, "jaccard-links")
     links = found.filter("kind = 0").groupBy(F.col("a").alias("rid")).agg(F.sum("b").alias("n_links"))
     parts = components(spark, found.filter("kind = 1").select("a", "b")).select(F.col("node").alias("rid"), "label")

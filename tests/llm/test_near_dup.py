@@ -109,3 +109,13 @@ def test_one_of_each_group_stays(spark, documents, prose):
 
 def test_empty(spark, documents):
     assert N.jaccard_join(spark, documents([])).isEmpty() and N.drop_near_copies(spark, documents([])).isEmpty()
+
+
+def test_no_pair_of_a_very_large_bucket_parts(spark, documents, prose, monkeypatch):
+    for name, value in (("LISTED", 4), ("SPLIT", 12), ("SIDE", 8)):
+        monkeypatch.setattr(N, name, value)
+    r = random.Random(11)
+    base = prose(77, 150)
+    rows = list(enumerate(edited(base, r, r.randint(2, 3)) for _ in range(90)))
+    got = sorted(tuple(x) for x in N.jaccard_join(spark, documents(rows)).select("doc_id", "class_id", "rep_id", "n_links").collect())
+    assert got == brute(rows)
