@@ -251,14 +251,31 @@ def preset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A card for each document and its first word, with its first sentence."""
+    """A card for each document and its first word, with its first sentence, as the SQL of card_notes has it."""
     rows = S.chapters(spark, sf_dir).select(*CHAPTER, F.get(T.words(F.col("text")), F.lit(0)).alias("word_form"), T.collapse(F.coalesce(F.get(T.sentences(F.col("text")), F.lit(0)), F.lit(""))).alias("example_sentence"))
-    return rows.filter("word_form is not null").select(
+    return _as_cards(rows.filter("word_form is not null"))
+
+
+def _as_cards(rows: DataFrame) -> DataFrame:
+    return rows.select(
         *CHAPTER, F.lower("word_form").alias("lemma"), F.lit("NOUN").alias("pos"), "word_form", "example_sentence", F.lit(None).cast("string").alias("lexentry"), F.lit(None).cast("string").alias("sense"),
         F.concat(F.lit("<"), F.lower("word_form"), F.lit(">")).alias("translation"), F.lit(True).alias("uncertain"), F.lit("en_de").alias("card_direction"),
     )
 
 
+def _word_cards(spark: SparkSession, sf_dir: str, examples: bool) -> DataFrame:
+    """A card for each word of each chapter, in the form that it has first; if examples, with the sentence of that place."""
+    texts = S.chapters(spark, sf_dir).withColumn("_text", F.xxhash64(*CHAPTER, "text"))
+    pieces = texts.select(*CHAPTER, "_text", F.posexplode(F.split("text", T.SENTENCE_END)).alias("_at", "_piece"))
+    forms = pieces.select(*CHAPTER, "_text", "_at", F.posexplode(F.array_distinct(T.words(F.col("_piece")))).alias("_i", "word_form"))
+    first = forms.groupBy(*CHAPTER, F.lower("word_form").alias("_lemma")).agg(F.min(F.struct("_at", "_i", "word_form", "_text")).alias("_first"))
+    rows = first.select(*CHAPTER, "_first.*")
+    if not examples:
+        return _as_cards(rows.withColumn("example_sentence", F.lit("")))
+    sentences = pieces.groupBy("_text", "_at").agg(T.collapse(F.first("_piece")).alias("example_sentence"))
+    return _as_cards(rows.join(sentences, ["_text", "_at"]))
+
+
 _FIRST = f"""WITH {S.CHAPTERS_SQL}, first AS (SELECT {_C}, regexp_extract(text, {S.WORD_SQL}) AS word_form, trim(regexp_replace(regexp_extract(text, '[^.!?]*[.!?]'), '\\s+', ' ', 'g')) AS example_sentence
     FROM chapters WHERE regexp_matches(text, {S.WORD_SQL}))"""
 
@@ -280,7 +297,7 @@ def deck_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def card_obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cards(spark, sf_dir).withColumn("card_direction", F.lit("cloze")).select(*CHAPTER, "word_form", cards.word_place(F.col("example_sentence"), F.col("word_form")).alias("place"), cards.obstacle().alias("obstacle"))
+    return _word_cards(spark, sf_dir, examples=True).withColumn("card_direction", F.lit("cloze")).select(*CHAPTER, "word_form", cards.word_place(F.col("example_sentence"), F.col("word_form")).alias("place"), cards.obstacle().alias("obstacle"))
 
 
 @_query(
@@ -294,7 +311,7 @@ def sheets_of_33(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def printed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sheets.pages(_cards(spark, sf_dir))
+    return sheets.pages(_word_cards(spark, sf_dir, examples=False))
 
 
 _SUFFIX = """list_filter([word, CASE WHEN word LIKE '%ies' THEN concat(word[:-4], 'y') END, CASE WHEN word LIKE '%es' THEN word[:-3] END, CASE WHEN word LIKE '%s' AND word NOT LIKE '%ss' THEN word[:-2] END,

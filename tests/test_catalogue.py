@@ -43,3 +43,17 @@ def test_contract_without_the_training_data_operators():
         "import __spark_entry__ as e, sys; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') or n == 'pipeline' for n in q); assert not any('llm' in m for m in sys.modules)"
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__spark_entry__.__file__.rsplit("/", 1)[0])
+
+
+def test_pages_and_obstacles_have_every_word_of_each_chapter(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    sql = con.execute(catalogue.ORACLE_SQL["sheets_of_33"]).df()
+    want = {k: (len(x), x["sheet_count"].iloc[0]) for k, x in sql.groupby(["book_title", "chapter"])}
+    pages = catalogue.QUERIES["printed_pages"](spark, DATA).collect()
+    assert {(r["book_title"], r["chapter"]): (r["html"].count("<li>"), r["html"].count('<div class="blatt">')) for r in pages} == want
+    assert max(n for _, n in want.values()) > 1
+    cards = catalogue.QUERIES["card_obstacles"](spark, DATA).collect()
+    assert sorted((r["book_title"], r["chapter"], r["word_form"].lower()) for r in cards) == sorted(sql[["book_title", "chapter", "lemma"]].itertuples(index=False, name=None))
+    assert all((r["place"] > 0) == (r["obstacle"] is None) for r in cards)
+    assert sum(r["place"] > 0 for r in cards) > 0.9 * len(cards)
