@@ -34,7 +34,7 @@ SIDE = 2048
 #: Without effect since buckets are no longer split; the name stays for callers that set it.
 SPLIT = 65536
 #: Standard deviations of a sketch's estimate that a pair at the threshold may lie under it.
-SLACK = 4.0
+SLACK = 5.0
 #: Up to so many sets of a bucket have their pairs listed; more are compared as matrices.
 LISTED = 48
 
@@ -47,8 +47,23 @@ def found_at(similarity: float, depth: int = DEPTH) -> float:
     return p
 
 
+def cutoff_for(similarity: float) -> int:
+    """Equal tokens of two sketches under which a pair is not verified."""
+    return max(1, math.floor(COORDINATES * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / COORDINATES))))
+
+
+def recall_of(similarity: float, runs: int, cutoff: int) -> float:
+    """The probability that a pair shares a leaf of any run and passes the cut-off; all choices are among the same coordinates."""
+    shares = ((k, math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k)) for k in range(cutoff, COORDINATES + 1))
+    return sum(p * (1 - (1 - found_at(k / COORDINATES)) ** runs) for k, p in shares)
+
+
 def runs_for(similarity: float, recall: float) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found_at(similarity))))
+    cutoff = cutoff_for(similarity)
+    for runs in range(1, (62 >> DEPTH) + 1):
+        if recall_of(similarity, runs, cutoff) >= recall:
+            return runs
+    raise ValueError(f"a recall of {recall} at a similarity of {similarity} takes more than {62 >> DEPTH} runs")
 
 
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -386,9 +401,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, similarity: float = SI
     """
     small_batches(spark)
     runs = runs_for(similarity, recall)
-    if runs << DEPTH > 62:
-        raise ValueError(f"a recall of {recall} at a similarity of {similarity} takes more than {62 >> DEPTH} runs")
-    cutoff = max(1, math.floor(COORDINATES * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / COORDINATES))))
+    cutoff = cutoff_for(similarity)
     signed = materialize(spark, docs.select("row_uid", "doc_id", "text").mapInArrow(_sign, "row_uid long, doc_id long, sig binary, n long, sketch binary"), "jaccard-sketches")
     order = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_uid")).alias("first")
     sets = signed.groupBy("sig").agg(order, F.first("sketch").alias("sketch"), F.first("n").alias("n"))

@@ -119,3 +119,11 @@ def test_no_pair_of_a_very_large_bucket_parts(spark, documents, prose, monkeypat
     rows = list(enumerate(edited(base, r, r.randint(2, 3)) for _ in range(90)))
     got = sorted(tuple(x) for x in N.jaccard_join(spark, documents(rows)).select("doc_id", "class_id", "rep_id", "n_links").collect())
     assert got == brute(rows)
+
+
+def test_recall_counts_the_cutoff_and_shared_coordinates():
+    runs = N.runs_for(N.SIMILARITY, N.RECALL)
+    cutoff = int(N.COORDINATES * (N.SIMILARITY - N.SLACK * (N.SIMILARITY * (1 - N.SIMILARITY) / N.COORDINATES) ** 0.5))
+    agree = np.random.default_rng(3).binomial(N.COORDINATES, N.SIMILARITY, 4_000_000)  # equal tokens of pairs at the threshold
+    lost = np.where(agree < cutoff, 1.0, (1 - np.array([N.found_at(k / N.COORDINATES) for k in range(N.COORDINATES + 1)])[agree]) ** runs)
+    assert 1 - lost.mean() >= N.RECALL
