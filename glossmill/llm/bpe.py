@@ -19,7 +19,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmill.llm.common import Batches, small_batches, texts_of
+from glossmill.llm.common import Batches, bounded_batches, texts_of
 
 RANKS = "byte_bpe_50k.tiktoken"
 PIECE = 1 << 16
@@ -72,7 +72,7 @@ def codec(path: str) -> Codec:
 def encode(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and the ids of its whole text."""
     path = path or public_tokenizers.path(RANKS)
-    small_batches(spark)
+    bounded_batches(spark)
 
     def run(batches: Batches) -> Batches:
         own = codec(path)
@@ -86,7 +86,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None) -> Dat
 def decode(spark: SparkSession, encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and the bytes that its ids stand for."""
     path = path or public_tokenizers.path(RANKS)
-    small_batches(spark)
+    bounded_batches(spark)
 
     def run(batches: Batches) -> Batches:
         own = codec(path)
@@ -100,7 +100,7 @@ def decode(spark: SparkSession, encoded: DataFrame, path: str | None = None) ->
 def round_trip(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row of docs(doc_id, text)."""
     path = path or public_tokenizers.path(RANKS)
-    small_batches(spark)
+    bounded_batches(spark)
 
     def run(batches: Batches) -> Batches:
         own = codec(path)

@@ -13,21 +13,27 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles at a time.
 BLOCK = 1 << 22
+#: Bytes of an Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+#: A key with more than one in so many rows is hot; there are fewer hot keys than that.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps Arrow batches small: texts are long, and a Python worker shares an executor's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, the same for every operator: texts are long, and a Python worker shares an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset and all run on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = getattr(spark.sparkContext, "_own_shared_dir", None) or "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext._own_shared_dir = found
     return found.rstrip("/")
@@ -105,4 +111,28 @@ def row_ids(df: DataFrame, name: str = "row_uid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_sized(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows with their group's columns, how being inner or left; groups has a row a key, with the number of its rows.
+
+    Keys of more than a thousandth of all rows are fewer than HOT, so that their groups are broadcast and their rows stay where
+    they are; no key of the others is frequent in the shuffle.
+    """
+    is_hot = F.col(size) * HOT > total
+    hot, others = groups.filter(is_hot), groups.filter(~is_hot).hint("merge")  # one way of joining at every size
+    near = rows.join(F.broadcast(hot), key)
+    return near.unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(others, key, how))
+
+
 Batches = Iterator[pa.RecordBatch]

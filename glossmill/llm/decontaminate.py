@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import Batches, small_batches, texts_of
+from glossmill.llm.common import Batches, bounded_batches, texts_of
 
 RATE = 0.1
 BLOCK_CHARS = 2_000_000
@@ -157,7 +157,7 @@ def item_blocks(items: DataFrame, chars: int = BLOCK_CHARS):
 
 def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, distance and match_end (in the plain text) for each document and each item that it contains."""
-    small_batches(spark)
+    bounded_batches(spark)
     schema = "doc_id long, item_id long, distance int, match_end long"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
@@ -178,7 +178,7 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, rate:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of docs that contain no item, with their columns; blocks of items follow one another without a shuffle."""
-    small_batches(spark)
+    bounded_batches(spark)
     for block in item_blocks(items):
         shared = spark.sparkContext.broadcast(block)
 

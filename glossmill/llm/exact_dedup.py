@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import Batches, collapse_spaces, materialize, row_ids, small_batches, utf8_buffers
+from glossmill.llm.common import Batches, bounded_batches, collapse_spaces, fresh_names, join_sized, materialize, row_ids, utf8_buffers
 
 #: Primes below 2**31 and the points at which texts are evaluated.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -138,34 +138,39 @@ def _chunks(primes: tuple[int, ...]):
 
 def exact_groups(spark: SparkSession, docs: DataFrame, primes: tuple[int, ...] = PRIMES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs(doc_id, text)."""
-    small_batches(spark)
+    bounded_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(spark, row_ids(source).mapInArrow(_signatures(primes), "row_uid long, doc_id long, fingerprint string, text_sha256 string"), "exact-signatures")
-    shared = signed.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
-    # Only texts of shared fingerprints are compared; they are found by doc_id, of which no value is frequent but null.
-    wanted = signed.join(shared, "fingerprint", "left_semi").select(_spread("doc_id").alias("spread")).distinct()
-    candidates = source.withColumn("spread", _spread("doc_id")).join(wanted, "spread", "left_semi").select("text")
+    total = signed.count()
+    shared = materialize(spark, signed.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1"), "exact-shared")
+    # Only texts of shared fingerprints are compared; they are found by doc_id. Rows without one are all compared, which changes nothing.
+    wanted = join_sized(signed, shared, ["fingerprint"], "n", total).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    numbered = source.filter("doc_id is not null")
+    candidates = join_sized(numbered, wanted, ["doc_id"], "rows", total).select("text").unionByName(source.filter("doc_id is null").select("text"))
     parts = candidates.mapInArrow(_chunks(primes), "fingerprint string, number long, part binary")
     ambiguous = parts.groupBy("fingerprint", "number").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("fingerprint").distinct().withColumn("ambiguous", F.lit(True))
-    keyed = signed.join(ambiguous, "fingerprint", "left").withColumn("group_key", F.when(F.col("ambiguous"), F.concat_ws("-", "fingerprint", "text_sha256")).otherwise(F.col("fingerprint"))).drop("ambiguous", "fingerprint")
-    keyed = materialize(spark, keyed, "exact-keys")
+    told = materialize(spark, shared.hint("merge").join(ambiguous, "fingerprint", "left"), "exact-compared")
+    # A text of a fingerprint of its own is its own group already.
+    keyed = join_sized(signed, told, ["fingerprint"], "n", total)
+    keyed = keyed.withColumn("group_key", F.when(F.col("ambiguous"), F.concat_ws("-", "fingerprint", "text_sha256")).otherwise(F.col("fingerprint"))).select("row_uid", "doc_id", "group_key", "text_sha256")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_uid")
-    groups = keyed.groupBy("group_key").agg(F.count("*").alias("group_size"), F.min(order).alias("first"))
-    return keyed.join(groups, "group_key").select(
+    groups = materialize(spark, keyed.groupBy("group_key").agg(F.count("*").alias("group_size"), F.min(order).alias("first")), "exact-groups")
+    several = join_sized(keyed, groups, ["group_key"], "group_size", total).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row_uid") == F.col("first.row_uid")).alias("kept"), "text_sha256"
     )
-
-
-def _spread(column: str):
-    """doc_id as a join key; null is one more value."""
-    return F.coalesce(F.col(column).cast("string"), F.lit("null"))
+    alone = signed.join(shared.hint("merge"), "fingerprint", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    return several.unionByName(alone)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    groups = exact_groups(spark, docs).withColumn("_spread", _spread("doc_id"))
-    stay = groups.groupBy("_spread", F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_same")).filter("_kept").drop("_kept")
+    """The rows of docs that stay, with all their columns, whatever these are called."""
+    spread, sha, same = fresh_names(docs, "spread", "sha", "same")
+    known = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit("null"))
+    groups = exact_groups(spark, docs)
+    stay = groups.groupBy(known("doc_id").alias(spread), F.col("text_sha256").alias(sha)).agg(F.max("kept").alias("kept"), F.count("*").alias(same)).filter("kept").drop("kept")
+    stay = materialize(spark, stay, "exact-kept")
+    total = stay.agg(F.sum(same)).first()[0] or 0
     normal = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    found = docs.withColumns({"_spread": _spread("doc_id"), "_sha": F.sha2(normal, 256)}).join(stay, ["_spread", "_sha"])
-    once = found.filter("_same = 1")
-    return once.unionByName(found.filter("_same > 1").dropDuplicates(["_spread", "_sha"])).select(docs.columns)
+    found = join_sized(docs.withColumns({spread: known("doc_id"), sha: F.sha2(normal, 256)}), stay, [spread, sha], same, total)
+    once = found.filter(F.col(same) == 1)
+    return once.unionByName(found.filter(F.col(same) > 1).dropDuplicates([spread, sha])).select(docs.columns)

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import Batches, crc_mod, small_batches, texts_of
+from glossmill.llm.common import Batches, bounded_batches, crc_mod, texts_of
 
 #: The bound of the training sample: rows a language, and characters of each.
 ROWS, CHARS = 150, 2000
@@ -105,7 +105,7 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
 
 def language_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin; rows whose crc32 modulo 4 is 2 teach nothing."""
-    small_batches(spark)
+    bounded_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
     found = learn(source.filter("not held_out"))
 
@@ -121,7 +121,7 @@ def language_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def drop_rejected(spark: SparkSession, docs: DataFrame, narrow: float = NARROW) -> DataFrame:
     """The rows of docs whose language is clear, with all their columns; learns as language_of does."""
-    small_batches(spark)
+    bounded_batches(spark)
     found = learn(docs.filter(F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(True))))
 
     def run(batches: Batches) -> Batches:

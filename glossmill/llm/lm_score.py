@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import Batches, crc_mod, materialize, plan_bytes, small_batches, utf8_buffers
+from glossmill.llm.common import Batches, bounded_batches, crc_mod, materialize, plan_bytes, utf8_buffers
 from glossmill.llm.gru import END_HASH, VOCABULARY, LanguageModel, Vocabulary
 from glossmill.llm.words import WordHasher
 
@@ -260,7 +260,7 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 
 def lm_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; rows whose crc32 modulo 7 is 2 teach nothing."""
-    small_batches(spark, 500)
+    bounded_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     size = plan_bytes(docs.select("doc_id", "text"))
     if size > 1 << 50:  # the plan doesn't tell

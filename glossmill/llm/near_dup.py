@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import Batches, materialize, row_ids, small_batches, utf8_buffers
+from glossmill.llm.common import Batches, bounded_batches, materialize, row_ids, utf8_buffers
 from glossmill.llm.words import WordHasher, mix, shingles
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99998
@@ -399,7 +399,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, similarity: float = SI
 
     class_id: smallest doc_id of the connected part of links; rep_id: smallest doc_id with the same set; n_links: other sets that the row's set is similar to.
     """
-    small_batches(spark)
+    bounded_batches(spark)
     runs = runs_for(similarity, recall)
     cutoff = cutoff_for(similarity)
     signed = materialize(spark, docs.select("row_uid", "doc_id", "text").mapInArrow(_sign, "row_uid long, doc_id long, sig binary, n long, sketch binary"), "jaccard-sketches")

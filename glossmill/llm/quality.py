@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import Batches, crc_mod, small_batches, utf8_buffers
+from glossmill.llm.common import Batches, bounded_batches, crc_mod, utf8_buffers
 
 #: The bound of the training sample.
 SAMPLE, PIECES = 4000, 6
@@ -164,7 +164,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Network | No
 
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; labels of rows whose crc32 modulo 5 is 0 teach nothing."""
-    small_batches(spark, 500)
+    bounded_batches(spark)
     learned = fit(spark, docs, labels.filter(crc_mod("doc_id", 5) != 0))
 
     def run(batches: Batches) -> Batches:

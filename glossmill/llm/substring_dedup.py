@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import Batches, materialize, plan_bytes, small_batches, utf8_buffers
+from glossmill.llm.common import Batches, bounded_batches, materialize, plan_bytes, utf8_buffers
 from glossmill.llm.induced import Sorter
 from glossmill.llm.words import _BASE, _INVERSE, _OF_BYTE, _powers, mix
 
@@ -274,12 +274,11 @@ def covered_ranges(spark: SparkSession, docs: DataFrame, length: int = LENGTH, l
     """Blocks of documents, and (block, ranges): pairs of start and end in a block's bytes that repeated windows cover."""
     if not GRAM < length < 255:
         raise ValueError(f"windows have {GRAM + 1} to 254 bytes")
-    small_batches(spark, 500)
+    bounded_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = materialize(spark, source.mapInArrow(_blocks, BLOCKS), "substring-blocks")
     size = plan_bytes(blocks)
     parts = max(8, min(4096, -(-size // (2 * RANGE_BYTES))))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row is a block
     seen = blocks.mapInArrow(_seen(parts, length), "block long, part int, hashes binary, often binary")
     flags = materialize(spark, seen.groupBy("part").applyInArrow(_again, "block long, part int, flags binary, n long"), "substring-anchors")
     shards = max(8, min(65536, -(-(flags.agg(F.sum("n")).first()[0] or 0) * (length + 80) // SHARD_BYTES)))

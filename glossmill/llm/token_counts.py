@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm.bpe import RANKS, codec
-from glossmill.llm.common import Batches, fresh_path, materialize, small_batches, texts_of
+from glossmill.llm.common import Batches, bounded_batches, fresh_path, materialize, texts_of
 from glossmill.llm.files import RangeFile, byte_blocks, task_file
 
 SEPARATOR = 50256
@@ -30,7 +30,7 @@ BLOCK = 4 << 20
 def write_token_files(spark: SparkSession, docs: DataFrame, folder: str, path: str | None = None, separator: int = SEPARATOR) -> DataFrame:
     """Writes docs(doc_id, text) and returns (path, size, doc_ids): the ids of documents in a file, as they follow one another."""
     path = path or public_tokenizers.path(RANKS)
-    small_batches(spark)
+    bounded_batches(spark)
 
     def run(batches: Batches) -> Batches:
         own = codec(path)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import Batches, fresh_path, materialize, row_ids, small_batches
+from glossmill.llm.common import Batches, bounded_batches, fresh_path, materialize, row_ids
 from glossmill.llm.files import RangeFile, byte_blocks, task_file
 
 BLOCK = 4 << 20
@@ -230,7 +230,7 @@ def read_archives(spark: SparkSession, files: DataFrame, block: int = BLOCK) ->
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, zipped: bool = True, least: int = LEAST) -> DataFrame:
     """Writes an archive a task of pages(page_id, url, html); (path, size) of each, when the result is materialized."""
-    small_batches(spark, 500)
+    bounded_batches(spark)
 
     def prepare(batches: Batches) -> Batches:
         for batch in batches:

@@ -67,3 +67,17 @@ def test_null_and_repeated_ids_keep_exactly_one_row(spark, documents):
 
 def test_empty(spark, documents):
     assert X.exact_groups(spark, documents([])).isEmpty() and X.drop_copies(spark, documents([])).isEmpty()
+
+
+def test_columns_called_like_helpers_keep_their_values(spark):
+    rows = [(1, "a b", "S", 77, "x", "k"), (2, "a  b", "T", 78, "y", "l"), (3, None, "U", 79, "z", "m"), (3, None, "U", 79, "z", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _sha string, _spread long, sha string, SAME string")
+    assert sorted(map(tuple, X.drop_copies(spark, docs).collect())) == [rows[0], rows[2]]
+
+
+def test_hot_groups_are_joined_without_a_shuffle_of_their_rows(spark, documents):
+    rows = [(i if i % 5 else None, "copy" if i % 3 else f"own {i}") for i in range(4000)]
+    got = X.exact_groups(spark, documents(rows)).select("doc_id", "keep_id", "group_size", "kept").collect()
+    copies = [r for r in got if r["group_size"] > 1]
+    assert len(got) == len(rows) and len(copies) == sum(t == "copy" for _, t in rows)
+    assert {(r["keep_id"], r["group_size"]) for r in copies} == {(1, len(copies))} and sum(r["kept"] for r in got) == 1 + len(rows) - len(copies)
