@@ -9,14 +9,15 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from glossmill.operators.lookup import NO_SENSE_LABEL, UNCERTAIN_LABEL, entry_pos
 
 # What a model reads.
 CHARS_PER_TOKEN, MOST_TOKENS = 4, 3000
+TOO_LONG = "question too long"
 QUESTION = (
     "You are helping a German learner of English.\n"
     'In the sentence below, which listed meaning does the word "%s" have?\n\nSentence: %s\n\nMeanings:\n%s\n\n'
@@ -48,9 +49,9 @@ def estimated_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / CHARS_PER_TOKEN)
 
 
-def fitting(text: Column) -> Column:
-    """The prompt, or an error if a server might cut it without a word."""
-    return F.when(estimated_tokens(text) > MOST_TOKENS, F.raise_error(F.lit("the question is too long for a model"))).otherwise(text)
+def too_long(text: Column, most_tokens: int) -> Column:
+    """Whether a server might cut the prompt without a word."""
+    return estimated_tokens(text) > most_tokens
 
 
 def request_body(model: str, question: str, options: int) -> dict:
@@ -106,8 +107,18 @@ def first_model(url: str, timeout: float = 10) -> str:
 Chooser = Callable[[str, int], int]
 
 
+class HttpChooser:
+    """Asks a model server, which takes questions of up to most_tokens."""
+
+    def __init__(self, url: str, model: str, timeout: float = 120, most_tokens: int = MOST_TOKENS):
+        self.ask, self.most_tokens = partial(ask, url, model, timeout=timeout), most_tokens
+
+    def __call__(self, question: str, options: int) -> int:
+        return self.ask(question, options)
+
+
 def http_chooser(url: str, model: str, timeout: float = 120) -> Chooser:
-    return partial(ask, url, model, timeout=timeout)
+    return HttpChooser(url, model, timeout)
 
 
 def first_sense(question: str, options: int) -> int:
@@ -115,16 +126,22 @@ def first_sense(question: str, options: int) -> int:
     return 1
 
 
-def choose(entries: DataFrame, chooser: Chooser) -> DataFrame:
-    """Adds choice (1 to N, N + 1: none fits; null: nothing was asked) to entries(word_form, example_sentence, candidates).
+def choose(entries: DataFrame, chooser: Chooser, overlong: str = "refuse") -> DataFrame:
+    """Adds choice (1 to N, N + 1: none fits; null: nothing was asked) and choice_obstacle to entries(word_form, example_sentence, candidates).
 
     An empty list and a single uncertain placeholder need no question, and are sorted out before any worker is
-    asked. A wrong answer ends the job.
+    asked. A question over the chooser's most_tokens (MOST_TOKENS if it states none) is never shortened: refuse ends the
+    job, and with mark the row isn't asked and its obstacle is "question too long". A wrong answer ends the job.
     """
+    if overlong not in ("refuse", "mark"):
+        raise ValueError(f"overlong {overlong!r} is neither refuse nor mark")
     asked = (F.size("candidates") > 0) & ~((F.size("candidates") == 1) & F.coalesce(F.get("candidates", F.lit(0))["uncertain"], F.lit(False)))
-    rows = entries.withColumn("_question", F.when(asked, fitting(prompt(F.col("word_form"), F.col("example_sentence"), F.col("candidates")))))
-    rows = rows.withColumn("_options", F.size("candidates") + 1)
-    schema = StructType([*entries.schema.fields, StructField("choice", IntegerType(), True)])
+    rows = entries.withColumn("_question", F.when(asked, prompt(F.col("word_form"), F.col("example_sentence"), F.col("candidates"))))
+    long = F.coalesce(too_long(F.col("_question"), getattr(chooser, "most_tokens", MOST_TOKENS)), F.lit(False))
+    state = F.raise_error(F.lit("the question is too long for a model")) if overlong == "refuse" else F.lit(TOO_LONG)
+    rows = rows.withColumn("choice_obstacle", F.when(long, state).cast("string"))
+    rows = rows.withColumns({"_question": F.when(~long, F.col("_question")), "_options": F.size("candidates") + 1})
+    schema = StructType([*entries.schema.fields, StructField("choice_obstacle", StringType(), True), StructField("choice", IntegerType(), True)])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -135,13 +152,41 @@ def choose(entries: DataFrame, chooser: Chooser) -> DataFrame:
 
 
 def resolved(chosen: DataFrame) -> DataFrame:
-    """Adds sense_chosen: the candidate of the choice with its translation; the lone placeholder itself; null where none fits."""
+    """Adds sense_chosen: the candidate of the choice with its translation; the lone placeholder itself; null where none fits or nothing could be asked."""
     n = F.size("candidates")
-    lone = F.col("choice").isNull() & (n == 1)
+    lone = F.col("choice").isNull() & (n == 1) & F.col("choice_obstacle").isNull()
     picked = F.when(lone, F.get("candidates", F.lit(0))).when(F.col("choice") <= n, F.get("candidates", F.col("choice") - 1))
     return chosen.withColumn("sense_chosen", picked)
 
 
+def bundles(entries: DataFrame, size: int, key: list[str]) -> DataFrame:
+    """Entries with a question, size of them to one request: bundle, place in it, and the question without its heading.
+
+    Within a chapter entries follow one another by lemma and part of speech, so that a request is about one text.
+    """
+    asked = (F.size("candidates") > 0) & ~((F.size("candidates") == 1) & F.coalesce(F.get("candidates", F.lit(0))["uncertain"], F.lit(False)))
+    order = Window.partitionBy(*key).orderBy("lemma", "pos", "word_form")
+    rows = entries.filter(asked).withColumn("_at", F.row_number().over(order) - 1)
+    place = (F.col("_at") % size + 1).cast("int")
+    return rows.withColumns({"bundle": F.floor(F.col("_at") / size).cast("int"), "place": place, "options": F.size("candidates") + 1}).drop("_at")
+
+
+def checked_bundle(answers: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
+    """Each asked place(key, bundle, place, lemma, options) with its answer(key, bundle, place, echo, choice), and what is wrong with it.
+
+    missing: no answer has the place; duplicate: several have; echo: the answer repeats another word than the one asked
+    for; range: the choice is none of the options; null where the answer holds. Answers to places never asked are unknown.
+    """
+    whole = [*key, "bundle", "place"]
+    own = answers.groupBy(*whole).agg(F.count("*").alias("_n"), F.min("echo").alias("_echo"), F.min("choice").alias("choice"))
+    both = asked.select(*whole, "lemma", "options").join(own, whole, "full")
+    fault = (
+        F.when(F.col("lemma").isNull(), "unknown").when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "duplicate").when(~F.col("_echo").eqNullSafe(F.col("lemma")), "echo")
+        .when(~F.coalesce(F.col("choice").between(1, F.col("options")), F.lit(False)), "range")
+    )
+    return both.select(*whole, "lemma", F.when(fault.isNull(), F.col("choice")).alias("choice"), fault.alias("fault"))
+
+
 def agreement(one: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
     """How often two tables of choices agree, and what each lacks."""
     both = one.select(*key, F.col("choice").alias("a")).join(other.select(*key, F.col("choice").alias("b")), key, "full")

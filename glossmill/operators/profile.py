@@ -40,6 +40,21 @@ def compare(senses: DataFrame, events: DataFrame) -> DataFrame:
     return senses.join(own, match, "left").join(lemmas, some, "left").withColumn("status", status).select(*senses.columns, "status")
 
 
+def compare_each(senses: DataFrame, events: DataFrame, key: list[str]) -> DataFrame:
+    """compare() for each learner(key) by their own events: the senses of every lemma that the learner has an event of.
+
+    Of all other lemmas a learner knows nothing, so that those pairs are unknown without a row.
+    """
+    keyed = events.withColumns(dict(zip(SENSE, sense_key(), strict=True)))
+    states = latest_states(keyed, [*key, *SENSE])
+    known = states.filter("state = 'known'").select(*key, *(F.col(c).alias(f"_{c}") for c in SENSE), F.lit(True).alias("_own"))
+    met = states.groupBy(*key, *(F.col(c).alias(f"_{c}") for c in LEMMA)).agg(F.bool_or(F.col("state") == "known").alias("_any"))
+    asked = senses.withColumns({f"_{c}": k for c, k in zip(SENSE, sense_key(), strict=True)})
+    rows = asked.join(met, [f"_{c}" for c in LEMMA]).join(known, [*key, *(f"_{c}" for c in SENSE)], "left")
+    status = F.when(F.col("_own"), "known").when(F.col("_any"), "new_meaning_of_known_word").otherwise("unknown")
+    return rows.withColumn("status", status).select(*key, *senses.columns, "status")
+
+
 def checked_events(events: DataFrame) -> DataFrame:
     """The events, or an error at the first that breaks the contract: closed values, a time, and book and chapter both or neither."""
     both = F.col("book_title").isNull() == F.col("chapter").isNull()

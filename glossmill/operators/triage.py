@@ -28,9 +28,10 @@ def beyond_word_limit(occurrences: DataFrame, limit: int) -> DataFrame:
 
 def bulk_mark(occurrences: DataFrame, selected: DataFrame) -> DataFrame:
     """All rows of a chapter up to the selected one, itself included; selected(chapter key, lemma, pos) has one row a chapter."""
-    rows = ranked(occurrences)
-    mark = rows.join(selected, [*CHAPTER, "lemma", "pos"], "left_semi").select(*CHAPTER, F.col("rank").alias("upto"))
-    return rows.join(mark, list(CHAPTER)).filter("rank <= upto").drop("rank", "upto")
+    named = selected.select(*CHAPTER, F.struct("lemma", "pos").alias("_selected")).distinct()
+    rows = ranked(occurrences).join(named, list(CHAPTER))
+    upto = F.max(F.when(F.struct("lemma", "pos") == F.col("_selected"), F.col("rank"))).over(Window.partitionBy(*CHAPTER))
+    return rows.withColumn("_upto", upto).filter(F.col("rank") <= F.col("_upto")).drop("rank", "_selected", "_upto")
 
 
 def ensure_members(occurrences: DataFrame, selected: DataFrame) -> None:

@@ -93,7 +93,10 @@ def vocabulary(tokens: DataFrame, ratios: DataFrame | None = None) -> DataFrame:
 
 
 def _with_sentence(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    return rows.join(sentence_texts(tokens), [*CHAPTER, "sent_id"], "left").select(*CHAPTER, "lemma", "pos", "word_form", "example_sentence", "frequency", "proper_noun_frequency", "first_tok")
+    """Only sentences that a row shows are put together."""
+    wanted = rows.select(*CHAPTER, "sent_id").distinct()
+    texts = sentence_texts(tokens.select(*CHAPTER, "sent_id", "tok_id", "text", "ws").join(wanted, [*CHAPTER, "sent_id"], "left_semi"))
+    return rows.join(texts, [*CHAPTER, "sent_id"], "left").select(*CHAPTER, "lemma", "pos", "word_form", "example_sentence", "frequency", "proper_noun_frequency", "first_tok")
 
 
 def particle_verbs(tokens: DataFrame) -> DataFrame:
@@ -132,12 +135,17 @@ def ngrams(tokens: DataFrame, longest: int = LONGEST_EXPRESSION) -> DataFrame:
     return rows.select(*CHAPTER, lemma.alias("lemma"), "words", "low", F.element_at("run", F.col("words"))["at"].alias("high"), "sent_id")
 
 
-def contiguous_expressions(tokens: DataFrame, headwords: DataFrame | None = None, longest: int = LONGEST_EXPRESSION) -> DataFrame:
-    """n-grams as occurrences; with headwords(lemma) only those found there, before anything is aggregated."""
+def counted_expressions(tokens: DataFrame, headwords: DataFrame | None = None, longest: int = LONGEST_EXPRESSION) -> DataFrame:
+    """n-grams of a chapter with their frequency and the place of the first one; with headwords(lemma) only those found there, before anything is aggregated."""
     found = ngrams(tokens, longest)
     if headwords is not None:
         found = found.join(headwords.select("lemma").distinct(), "lemma", "left_semi")
-    merged = found.groupBy(*CHAPTER, "lemma").agg(F.count("*").alias("frequency"), F.min(F.struct("low", "high", "sent_id")).alias("shown"))
+    return found.groupBy(*CHAPTER, "lemma").agg(F.count("*").alias("frequency"), F.min(F.struct("low", "high", "sent_id")).alias("shown"))
+
+
+def contiguous_expressions(tokens: DataFrame, headwords: DataFrame | None = None, longest: int = LONGEST_EXPRESSION) -> DataFrame:
+    """n-grams as occurrences, with the text and sentence of the first one."""
+    merged = counted_expressions(tokens, headwords, longest)
     rows = merged.select(*CHAPTER, "lemma", F.lit("").alias("pos"), "frequency", F.lit(0).cast("long").alias("proper_noun_frequency"), F.col("shown.low").alias("first_tok"), "shown.low", "shown.high", "shown.sent_id")
     return _with_sentence(_with_span(rows, tokens), tokens)
 

@@ -58,7 +58,7 @@ def beyond_word_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.beyond_word_limit(_occurrences(spark, sf_dir), 25)
 
 
-@_query(f"{_OCCURRENCES}, mark AS (SELECT {_C}, rank AS upto FROM ranks WHERE lemma = 'that') SELECT {_C}, lemma, pos, frequency FROM ranks JOIN mark USING ({_C}) WHERE rank <= upto")
+@_query(f"{_OCCURRENCES}, upto AS (SELECT *, max(rank) FILTER (WHERE lemma = 'that') OVER (PARTITION BY {_C}) AS upto FROM ranks) SELECT {_C}, lemma, pos, frequency FROM upto WHERE rank <= upto")
 def bulk_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     occurrences = _occurrences(spark, sf_dir)
     return triage.bulk_mark(occurrences, occurrences.filter("lemma = 'that'").select(*CHAPTER, "lemma", "pos"))
@@ -69,7 +69,8 @@ def sentence_and_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"), T.word_count(F.col("text")).cast("long").alias("words"))
 
 
-_CONTENT = f"""WITH {S.TOKENS_SQL}, content AS (SELECT * FROM tokens WHERE is_alpha AND pos <> 'DET'),
+_EXPRESSION_PARTICLES = ", ".join(f"'{w}'" for w in vocabulary.EXPRESSION_PARTICLES)
+_CONTENT = f"""WITH {S.TOKENS_SQL}, content AS (SELECT * FROM tokens WHERE is_alpha AND pos NOT IN ('DET', 'PRON')),
     ratios AS (SELECT book_title, book_author, lemma, avg(CASE WHEN pos = 'PROPN' THEN 1.0 ELSE 0.0 END) AS ratio FROM content GROUP BY ALL)"""
 
 
@@ -80,14 +81,19 @@ def proper_noun_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"""{_CONTENT},
-    children AS (SELECT {_C}, head_id AS tok_id, count(*) AS n_children FROM tokens WHERE head_id <> tok_id GROUP BY ALL),
-    sat AS (SELECT t.*, dep = 'prt' AND n_children IS NULL AS satellite FROM tokens t LEFT JOIN children USING ({_C}, tok_id)),
+    children AS (SELECT {_C}, head_id AS tok_id, count(*) AS n, max(tok_id) AS child FROM tokens WHERE head_id <> tok_id GROUP BY ALL),
+    grown AS (SELECT c.book_title, c.book_author, c.chapter, c.tok_id, c.n, k.dep AS child_dep, k.pos AS child_pos, g.n AS grand FROM children c
+              JOIN tokens k ON k.book_title = c.book_title AND k.book_author = c.book_author AND k.chapter = c.chapter AND k.tok_id = c.child
+              LEFT JOIN children g ON g.book_title = c.book_title AND g.book_author = c.book_author AND g.chapter = c.chapter AND g.tok_id = c.child),
+    sat AS (SELECT t.*, CASE dep WHEN 'prt' THEN n IS NULL WHEN 'advmod' THEN n IS NULL AND lemma IN ({_EXPRESSION_PARTICLES}) WHEN 'dobj' THEN n IS NULL AND pos = 'NOUN'
+                                 WHEN 'prep' THEN n IS NULL OR n = 1 AND child_dep = 'pobj' AND child_pos = 'PRON' AND grand IS NULL ELSE false END AS satellite
+            FROM tokens t LEFT JOIN grown USING ({_C}, tok_id)),
     near AS (SELECT *, lag(tok_id) OVER o AS lt, lag(pos) OVER o AS lp, lag(head_id) OVER o AS lh, lag(satellite) OVER o AS ls,
                     lead(tok_id) OVER o AS rt, lead(pos) OVER o AS rp, lead(head_id) OVER o AS rh, lead(satellite) OVER o AS rs
              FROM sat WINDOW o AS (PARTITION BY {_C} ORDER BY tok_id)),
     flagged AS (SELECT *, coalesce(rh = tok_id AND pos = 'VERB' AND rs, false) OR coalesce(head_id = rt AND tok_id <> rt AND rp = 'VERB' AND satellite, false)
                        OR coalesce(lh = tok_id AND pos = 'VERB' AND ls, false) OR coalesce(head_id = lt AND tok_id <> lt AND lp = 'VERB' AND satellite, false) AS in_expression FROM near),
-    own AS (SELECT * FROM flagged WHERE is_alpha AND pos <> 'DET'),
+    own AS (SELECT * FROM flagged WHERE is_alpha AND pos NOT IN ('DET', 'PRON')),
     ofpos AS (SELECT {_C}, lemma, pos, count(*) AS n, min(tok_id) AS first, arg_min(text, (in_expression, tok_id)) AS word_form, arg_min(sent_id, (in_expression, tok_id)) AS sent_id FROM own GROUP BY ALL),
     oflemma AS (SELECT {_C}, lemma, sum(n)::bigint AS total, coalesce(sum(n) FILTER (WHERE pos = 'PROPN'), 0)::bigint AS proper_noun_frequency, min(first) AS first_tok,
                        arg_min(struct_pack(p := pos, w := word_form, s := sent_id), (-n, first)) FILTER (WHERE pos <> 'PROPN') AS chosen FROM ofpos GROUP BY ALL),
@@ -98,7 +104,7 @@ def proper_noun_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM kept k JOIN sentences s ON k.book_title = s.book_title AND k.book_author = s.book_author AND k.chapter = s.chapter AND k.chosen.s = s.sent_id"""
 )
 def chapter_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = S.tokens(spark, sf_dir)
+    tokens = S.token_table(spark, sf_dir)
     return vocabulary.vocabulary(tokens, vocabulary.proper_noun_ratios(tokens))
 
 
@@ -113,29 +119,32 @@ _PARTICLES = f"""WITH {S.TOKENS_SQL},
     JOIN tokens t ON v.book_title = t.book_title AND v.book_author = t.book_author AND v.chapter = t.chapter AND t.tok_id BETWEEN low AND high GROUP BY ALL"""
 )
 def particle_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.particle_verbs(S.tokens(spark, sf_dir)).select(*CHAPTER, "lemma", "pos", "frequency", "first_tok", "word_form")
+    return vocabulary.particle_verbs(S.token_table(spark, sf_dir)).select(*CHAPTER, "lemma", "pos", "frequency", "first_tok", "word_form")
 
 
 _GRAMS = f"""WITH {S.TOKENS_SQL}, {S.DICTIONARY_SQL},
-    led AS (SELECT *, lead(CASE WHEN is_alpha THEN lemma END) OVER o AS l2, lead(CASE WHEN is_alpha THEN lemma END, 2) OVER o AS l3 FROM tokens WINDOW o AS (PARTITION BY {_C}, sent_id ORDER BY tok_id)),
-    grams AS (SELECT {_C}, concat(lemma, ' ', l2) AS lemma, tok_id FROM led WHERE is_alpha AND l2 IS NOT NULL
-              UNION ALL SELECT {_C}, concat(lemma, ' ', l2, ' ', l3), tok_id FROM led WHERE is_alpha AND l2 IS NOT NULL AND l3 IS NOT NULL)"""
+    led AS (SELECT *, CASE WHEN is_alpha THEN lemma END AS l1, {", ".join(f"lead(CASE WHEN is_alpha THEN lemma END, {k}) OVER o AS l{k + 1}" for k in range(1, 6))} FROM tokens WINDOW o AS (PARTITION BY {_C}, sent_id ORDER BY tok_id)),
+    grams AS ({" UNION ALL ".join(f"SELECT {_C}, concat_ws(' ', {', '.join(f'l{k}' for k in range(1, n + 1))}) AS lemma, tok_id FROM led WHERE {' AND '.join(f'l{k} IS NOT NULL' for k in range(1, n + 1))}" for n in range(2, 7))})"""
+_HITS = f"{_GRAMS}, hits AS (SELECT {_C}, lemma, count(*) AS frequency, min(tok_id) AS first_tok FROM grams WHERE lemma IN (SELECT written_rep FROM dictionary) GROUP BY ALL)"
 
 
-@_query(f"{_GRAMS} SELECT {_C}, lemma, count(*) AS frequency, min(tok_id) AS first_tok FROM grams WHERE lemma IN (SELECT written_rep FROM dictionary) GROUP BY ALL")
-def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = S.dictionary(spark, sf_dir).select(F.col("written_rep").alias("lemma"))
-    return vocabulary.contiguous_expressions(S.tokens(spark, sf_dir), heads, 3).select(*CHAPTER, "lemma", "frequency", "first_tok")
+    return vocabulary.counted_expressions(S.tokens(spark, sf_dir), heads)
+
+
+@_query(f"{_HITS} SELECT * FROM hits")
+def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir).select(*CHAPTER, "lemma", "frequency", F.col("shown.low").alias("first_tok"))
 
 
 @_query(
-    f"""{_GRAMS}, counted AS (SELECT {_C}, lemma, count(*) AS frequency FROM grams GROUP BY ALL)
-    SELECT * FROM counted a WHERE NOT EXISTS (SELECT 1 FROM counted b WHERE a.book_title = b.book_title AND a.chapter = b.chapter AND a.frequency = b.frequency
-        AND len(string_split(b.lemma, ' ')) = 3 AND a.lemma = array_to_string(string_split(b.lemma, ' ')[1:2], ' '))"""
+    f"""{_HITS}, parts AS (SELECT {_C}, frequency, string_split(lemma, ' ') AS w FROM hits),
+    cut AS (SELECT {_C}, frequency, w, unnest(range(1, len(w))) AS n FROM parts), beginnings AS (SELECT DISTINCT {_C}, frequency, array_to_string(w[1:n], ' ') AS lemma FROM cut)
+    SELECT {_C}, lemma, frequency FROM hits ANTI JOIN beginnings USING ({_C}, lemma, frequency)"""
 )
 def expression_prefix_domination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = vocabulary.ngrams(S.tokens(spark, sf_dir), 3).groupBy(*CHAPTER, "lemma").agg(F.count("*").alias("frequency"))
-    return lookup.without_dominated(counted, list(CHAPTER))
+    return lookup.without_dominated(_hits(spark, sf_dir).select(*CHAPTER, "lemma", "frequency"), list(CHAPTER))
 
 
 _POS_MAP = "CASE pos WHEN 'NOUN' THEN 'Noun' WHEN 'VERB' THEN 'Verb' WHEN 'ADJ' THEN 'Adjective' WHEN 'ADV' THEN 'Adverb' WHEN 'INTJ' THEN 'Interjection' END"
@@ -171,7 +180,7 @@ _SURE = "score >= 50 AND entry_pos IS DISTINCT FROM 'Proper_noun'"
 
 @_query(f"{_GRAMS}, found AS (SELECT DISTINCT lemma FROM grams) SELECT lemma, lexentry, sense, score FROM found JOIN entries ON lemma = lower(written_rep) WHERE {_SURE}")
 def expression_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vocabulary.ngrams(S.tokens(spark, sf_dir), 3).select("lemma").distinct().withColumn("lemma", F.translate("lemma", "aeiou", "AEIOU"))
+    found = vocabulary.ngrams(S.tokens(spark, sf_dir)).select("lemma").distinct().withColumn("lemma", F.translate("lemma", "aeiou", "AEIOU"))
     return lookup.contiguous_candidates(found, S.dictionary(spark, sf_dir)).select(T.ascii_fold(F.col("lemma")).alias("lemma"), "lexentry", "sense", "score")
 
 
@@ -180,7 +189,7 @@ def expression_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT lemma, lexentry, score, src_row IS NULL AS uncertain FROM found LEFT JOIN sure ON lemma = written_rep"""
 )
 def particle_verb_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vocabulary.particle_verbs(S.tokens(spark, sf_dir)).select("lemma").distinct()
+    found = vocabulary.particle_verbs(S.token_table(spark, sf_dir)).select("lemma").distinct()
     return lookup.particle_verb_candidates(found, S.dictionary(spark, sf_dir)).select("lemma", "lexentry", "score", "uncertain")
 
 
@@ -203,15 +212,16 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {S.EVENTS_SQL}, states AS (SELECT lemma, pos, lexentry, arg_max(state, (ts, event_id)) AS state FROM log WHERE user_id % 2 = 0 GROUP BY ALL),
-    senses AS (SELECT DISTINCT lemma, pos, lexentry FROM log), known AS (SELECT DISTINCT lemma, pos FROM states WHERE state = 'known')
-    SELECT s.lemma, s.lexentry, CASE WHEN state = 'known' THEN 'known' WHEN k.lemma IS NOT NULL THEN 'new_meaning_of_known_word' ELSE 'unknown' END AS status
-    FROM senses s LEFT JOIN states USING (lemma, pos, lexentry) LEFT JOIN known k ON s.lemma = k.lemma AND s.pos = k.pos"""
+    f"""WITH {S.EVENTS_SQL}, states AS (SELECT user_id, lemma, pos, lexentry, arg_max(state, (ts, event_id)) AS state FROM log GROUP BY ALL),
+    senses AS (SELECT DISTINCT lemma, pos, lexentry FROM log), met AS (SELECT user_id, lemma, pos, bool_or(state = 'known') AS any_known FROM states GROUP BY ALL)
+    SELECT m.user_id, s.lemma, s.lexentry, CASE WHEN state = 'known' THEN 'known' WHEN any_known THEN 'new_meaning_of_known_word' ELSE 'unknown' END AS status
+    FROM senses s JOIN met m USING (lemma, pos) LEFT JOIN states t ON m.user_id = t.user_id AND s.lemma = t.lemma AND s.pos = t.pos AND s.lexentry = t.lexentry"""
 )
 def chapter_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The senses that occur, held against the knowledge of every learner."""
     events = S.events(spark, sf_dir)
     senses = events.select("lemma", "pos", "lexentry", F.lit(None).cast("string").alias("trans_list"), F.when(F.col("sense").isNull(), F.lit("")).alias("sense")).distinct()
-    return profile.compare(senses, events.filter("user_id % 2 = 0")).select("lemma", "lexentry", "status")
+    return profile.compare_each(senses, events, ["user_id"]).select("user_id", "lemma", "lexentry", "status")
 
 
 def _triage_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,7 +381,7 @@ def longest_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     f"""WITH {S.CHAPTERS_SQL}, {S.DICTIONARY_SQL}, verbs AS (SELECT DISTINCT string_split(key, ' ')[1] AS verb, string_split(key, ' ')[2] AS particle FROM (
         SELECT written_rep AS key, arg_max(coalesce(entry_pos, '?'), (score, -src_row)) AS p FROM entries WHERE contains(written_rep, ' ') GROUP BY ALL)
-        WHERE p = 'Verb' AND string_split(key, ' ')[2] IN ({", ".join(f"'{w}'" for w in measures.PARTICLES)})),
+        WHERE p = 'Verb' AND len(string_split(key, ' ')) = 2 AND string_split(key, ' ')[2] IN ({", ".join(f"'{w}'" for w in measures.PARTICLES)})),
     w AS (SELECT {_C}, regexp_extract_all(lower(text), {S.WORD_SQL}) AS w FROM chapters), t AS (SELECT {_C}, w, unnest(range(len(w))) AS i FROM w),
     j AS (SELECT {_C}, i, verb, particle, list_position(w[i + 3 : i + 6], particle) AS d FROM t JOIN verbs ON verb = w[i + 1] WHERE list_contains(w[i + 3 : i + 6], particle))
     SELECT {_C}, i AS "at", verb, arg_min(particle, d) AS particle FROM j GROUP BY ALL"""

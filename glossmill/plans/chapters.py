@@ -9,6 +9,7 @@ from glossmill.operators import lookup, profile, triage, vocabulary
 from glossmill.operators.analyzer import Factory, RuleAnalyzer, analyzed
 from glossmill.operators.choice import Chooser, choose, resolved
 from glossmill.schema import CHAPTER
+from glossmill.sources.staging import staged
 
 KEY = [*CHAPTER, "kind", "lemma", "pos"]
 
@@ -46,16 +47,18 @@ def entries(candidates: DataFrame) -> DataFrame:
 def triaged(candidates: DataFrame, chooser: Chooser, limit: int, order: str = "new_words_first") -> DataFrame:
     """Entries with the chosen sense and their disposition, words and expressions by themselves.
 
+    A question too long for the chooser is marked by choice_obstacle, and its row is skipped as one without a fitting sense.
+
     For a chooser that costs nothing, every row that isn't fully known is asked and the early stop is a window;
     see triage.blocks for a dear one.
     """
     rows = entries(candidates)
-    asked = resolved(choose(rows.filter("not all_known"), chooser))
+    asked = resolved(choose(rows.filter("not all_known"), chooser, "mark"))
     chosen = asked.withColumn("chosen_status", F.col("sense_chosen.status"))
-    fully = rows.filter("all_known").withColumns({"choice": F.lit(None).cast("int"), "sense_chosen": F.lit(None).cast(chosen.schema["sense_chosen"].dataType), "chosen_status": F.lit(None).cast("string")})
+    fully = rows.filter("all_known").withColumns({"choice_obstacle": F.lit(None).cast("string"), "choice": F.lit(None).cast("int"), "sense_chosen": F.lit(None).cast(chosen.schema["sense_chosen"].dataType), "chosen_status": F.lit(None).cast("string")})
     return triage.dispositions(chosen.unionByName(fully), limit, order, (*CHAPTER, "kind"))
 
 
-def run_chapters(chapters: DataFrame, dictionary: DataFrame, events: DataFrame, factory: Factory = RuleAnalyzer, persist=lambda df: df.persist()) -> DataFrame:
-    """The vocabulary of chapters(book_title, book_author, chapter, text); persist materializes the tokens once."""
-    return chapter_vocabulary(persist(analyzed(chapters, factory)), dictionary, events)
+def run_chapters(chapters: DataFrame, dictionary: DataFrame, events: DataFrame, factory: Factory = RuleAnalyzer, stage=staged) -> DataFrame:
+    """The vocabulary of chapters(book_title, book_author, chapter, text); stage makes the tokens a table, once for all operators."""
+    return chapter_vocabulary(stage(analyzed(chapters, factory)), dictionary, events)

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.functions.text import words
+from glossmill.operators.vocabulary import EXPRESSION_PARTICLES
 from glossmill.schema import CHAPTER
+from glossmill.sources.staging import staged
 
 WORD_SQL = r"'\p{L}(?:\p{L}|[''-])*'"
 
@@ -28,47 +30,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents; a source is a book, a document its chapter."""
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("source").alias("book_title"), F.lit("unbekannt").alias("book_author"), F.col("doc_id").cast("int").alias("chapter"), "text")
+    """All documents; a source is a book, a document its chapter."""
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("book_title"), F.lit("unbekannt").alias("book_author"), F.col("doc_id").cast("int").alias("chapter"), "text")
 
 
-CHAPTERS_SQL = "chapters AS (SELECT source AS book_title, 'unbekannt' AS book_author, doc_id::int AS chapter, text FROM documents WHERE lang = 'en')"
+CHAPTERS_SQL = "chapters AS (SELECT source AS book_title, 'unbekannt' AS book_author, doc_id::int AS chapter, text FROM documents)"
 
 TAGS = ("NOUN", "VERB", "ADJ", "ADV", "INTJ", "DET")
+SATELLITES = ("prt", "advmod", "dobj", "prep")
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words with the part of speech that a hash of word and place gives, capitals being names; every 13th word or so is a particle of one of the two before it."""
-    rows = chapters(spark, sf_dir).select(*CHAPTER, F.posexplode(words(F.col("text"))).alias("tok_id", "text"))
-    rows = rows.withColumn("lemma", F.lower("text"))
-    tag = F.element_at(F.array(*map(F.lit, TAGS)), (F.pmod(number(F.concat("lemma", F.pmod("tok_id", F.lit(3)).cast("string"))), F.lit(6)) + 1).cast("int"))
-    particle = (F.pmod(number(F.concat(F.lit("p"), F.col("lemma"))), F.lit(13)) == 0) & (F.pmod("tok_id", F.lit(12)) > 1)
+    """Words with the part of speech that a hash of word and place gives, capitals being names.
+
+    Every 13th word or so is a satellite of one of the two before it, of any of four kinds; adverbs among them have
+    the lemma of a particle, and what follows a preposition belongs to it, half of the time as a pronoun.
+    """
+    w = words(F.col("text"))
+    rows = chapters(spark, sf_dir).select(*CHAPTER, F.posexplode(F.arrays_zip(w.alias("own"), F.concat(F.array(F.lit("")), w).alias("before"))).alias("tok_id", "w")).filter("w.own is not null")
+    rows = rows.select(*CHAPTER, "tok_id", F.col("w.own").alias("text"), number(F.concat(F.lit("p"), F.lower("w.own"))).alias("g"), number(F.concat(F.lit("p"), F.lower("w.before"))).alias("b"), F.lower("w.own").alias("word"))
+    h = number(F.concat("word", F.pmod("tok_id", F.lit(3)).cast("string")))
+    tag = F.element_at(F.array(*map(F.lit, TAGS)), (F.pmod(h, F.lit(6)) + 1).cast("int"))
+
+    def kind(hashed: str, place: Column) -> Column:
+        own = (F.pmod(hashed, F.lit(13)) == 0) & (F.pmod(place, F.lit(12)) > 1)
+        return F.when(own, F.element_at(F.array(*map(F.lit, SATELLITES)), (F.pmod(F.expr(f"{hashed} div 13"), F.lit(4)) + 1).cast("int")))
+
+    rows = rows.withColumns({"kind": kind("g", F.col("tok_id")), "inner": (kind("b", F.col("tok_id") - 1) == "prep") & (F.pmod("tok_id", F.lit(12)) > 0)})
+    rows = rows.withColumn("inner", F.coalesce("inner", F.lit(False)) & F.col("kind").isNull())
+    particle = F.element_at(F.array(*map(F.lit, EXPRESSION_PARTICLES)), (F.pmod("g", F.lit(len(EXPRESSION_PARTICLES))) + 1).cast("int"))
+    pronoun = F.col("inner") & (F.pmod("g", F.lit(2)) == 0)
     return rows.select(
-        *CHAPTER, F.expr("cast(tok_id div 12 as int)").alias("sent_id"), "tok_id", "text", "lemma", F.lit(" ").alias("ws"),
-        F.when(F.col("text").rlike("^[A-Z]"), F.lit("PROPN")).otherwise(tag).alias("pos"), F.when(particle, F.lit("prt")).otherwise(F.lit("dep")).alias("dep"),
-        F.when(particle, F.col("tok_id") - 1 - F.pmod("tok_id", F.lit(2))).otherwise(F.col("tok_id")).cast("int").alias("head_id"), F.col("text").rlike(r"^\p{L}+$").alias("is_alpha"),
+        *CHAPTER, F.expr("cast(tok_id div 12 as int)").alias("sent_id"), "tok_id", "text", F.when(F.col("kind") == "advmod", particle).otherwise(F.col("word")).alias("lemma"), F.lit(" ").alias("ws"),
+        F.when(pronoun, F.lit("PRON")).when(F.col("text").rlike("^[A-Z]"), F.lit("PROPN")).otherwise(tag).alias("pos"), F.when(F.col("inner"), F.lit("pobj")).otherwise(F.coalesce("kind", F.lit("dep"))).alias("dep"),
+        F.when(F.col("inner"), F.col("tok_id") - 1).when(F.col("kind").isNotNull(), F.col("tok_id") - 1 - F.pmod("tok_id", F.lit(2))).otherwise(F.col("tok_id")).cast("int").alias("head_id"),
+        F.col("text").rlike(r"^\p{L}+$").alias("is_alpha"),
     )
 
 
+def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens as a table, for what reads them several times."""
+    return staged(tokens(spark, sf_dir), "tokens")
+
+
+def _listed(names: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in names) + "]"
+
+
 TOKENS_SQL = f"""{CHAPTERS_SQL},
     listed AS (SELECT book_title, book_author, chapter, regexp_extract_all(text, {WORD_SQL}) AS w FROM chapters),
-    placed AS (SELECT book_title, book_author, chapter, unnest(range(len(w))) AS i, w FROM listed),
-    named AS (SELECT book_title, book_author, chapter, i::int AS tok_id, w[i + 1] AS text, lower(w[i + 1]) AS lemma FROM placed),
-    marked AS (SELECT *, {number_sql("concat('p', lemma)")} % 13 = 0 AND tok_id % 12 > 1 AS particle,
-                      {number_sql("concat(lemma, tok_id % 3)")} % 6 AS h FROM named),
-    tokens AS (SELECT book_title, book_author, chapter, (tok_id // 12)::int AS sent_id, tok_id, text, lemma,
-                      CASE WHEN regexp_matches(text, '^[A-Z]') THEN 'PROPN' ELSE ['NOUN', 'VERB', 'ADJ', 'ADV', 'INTJ', 'DET'][h + 1] END AS pos,
-                      CASE WHEN particle THEN 'prt' ELSE 'dep' END AS dep,
-                      (CASE WHEN particle THEN tok_id - 1 - tok_id % 2 ELSE tok_id END)::int AS head_id, regexp_matches(text, '^\\p{{L}}+$') AS is_alpha FROM marked)"""
+    placed AS (SELECT book_title, book_author, chapter, unnest(range(len(w))) AS i, unnest(w) AS word, unnest(list_prepend('', w[1 : len(w) - 1])) AS before FROM listed WHERE len(w) > 0),
+    named AS (SELECT book_title, book_author, chapter, i::int AS tok_id, word AS text, lower(word) AS word, {number_sql("concat('p', lower(word))")} AS g, {number_sql("concat('p', lower(before))")} AS b FROM placed),
+    marked AS (SELECT *, CASE WHEN g % 13 = 0 AND tok_id % 12 > 1 THEN {_listed(SATELLITES)}[g // 13 % 4 + 1] END AS kind,
+                      b % 13 = 0 AND tok_id > 0 AND (tok_id - 1) % 12 > 1 AND b // 13 % 4 = 3 AND tok_id % 12 > 0 AS after_prep, {number_sql("concat(word, tok_id % 3)")} % 6 AS h FROM named),
+    tokens AS (SELECT book_title, book_author, chapter, (tok_id // 12)::int AS sent_id, tok_id, text,
+                      CASE WHEN kind = 'advmod' THEN {_listed(EXPRESSION_PARTICLES)}[g % {len(EXPRESSION_PARTICLES)} + 1] ELSE word END AS lemma,
+                      CASE WHEN kind IS NULL AND after_prep AND g % 2 = 0 THEN 'PRON' WHEN regexp_matches(text, '^[A-Z]') THEN 'PROPN' ELSE {_listed(TAGS)}[h + 1] END AS pos,
+                      CASE WHEN kind IS NULL AND after_prep THEN 'pobj' ELSE coalesce(kind, 'dep') END AS dep,
+                      (CASE WHEN kind IS NULL AND after_prep THEN tok_id - 1 WHEN kind IS NOT NULL THEN tok_id - 1 - tok_id % 2 ELSE tok_id END)::int AS head_id, regexp_matches(text, '^\\p{{L}}+$') AS is_alpha FROM marked)"""
 
 ENTRY_POS = ("Noun", "Verb", "Adjective", "Adverb", "Interjection", "Proper_noun")
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One to four senses for each word and each pair of neighbouring words of the benchmark; scores have ties."""
+    """One to four senses for each run of one to six neighbouring words of the benchmark; scores have ties."""
     rows = table(spark, sf_dir, "benchmark").select(words(F.lower("text")).alias("w"))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(2)), " "))
-    heads = rows.select(F.explode(F.concat("w", pairs)).alias("written_rep")).distinct().withColumn("h", number(F.col("written_rep")))
+    runs = rows.select("w", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("n")).filter("size(w) >= n")
+    heads = runs.select(F.explode(F.expr("transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' '))")).alias("written_rep")).distinct().withColumn("h", number(F.col("written_rep")))
     senses = heads.select("written_rep", "h", F.explode(F.sequence(F.lit(1), (F.pmod("h", F.lit(4)) + 1).cast("int"))).alias("k"))
     pos = F.element_at(F.array(*map(F.lit, ENTRY_POS)), (F.pmod(F.expr("h div 7") + F.col("k"), F.lit(6)) + 1).cast("int"))
     entry = F.concat(F.lit("eng/"), F.replace("written_rep", F.lit(" "), F.lit("_")), F.lit("__"), pos, F.lit("__"), F.col("k").cast("string"))
@@ -80,9 +108,8 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DICTIONARY_SQL = f"""bwords AS (SELECT regexp_extract_all(lower(text), {WORD_SQL}) AS w FROM benchmark),
-    heads AS (SELECT DISTINCT written_rep FROM (
-        SELECT unnest(w) AS written_rep FROM bwords UNION ALL
-        SELECT unnest(list_transform(range(1, greatest(1, len(w) - 1) + 1), lambda i: array_to_string(w[i : i + 1], ' '))) FROM bwords)),
+    bruns AS (SELECT w, unnest(range(1, 7)) AS n FROM bwords),
+    heads AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS written_rep FROM bruns WHERE len(w) >= n),
     hashed AS (SELECT written_rep, {number_sql("written_rep")} AS h FROM heads),
     sensed AS (SELECT written_rep, h, unnest(range(1, h % 4 + 2)) AS k FROM hashed),
     dictionary AS (SELECT
@@ -93,7 +120,7 @@ DICTIONARY_SQL = f"""bwords AS (SELECT regexp_extract_all(lower(text), {WORD_SQL
 
 
 def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct lower-case word of the English documents, with one part of speech."""
+    """Each distinct lower-case word of the documents, with one part of speech."""
     rows = chapters(spark, sf_dir).select(F.explode(words(F.lower("text"))).alias("lemma")).distinct()
     return rows.withColumn("pos", F.element_at(F.array(*map(F.lit, TAGS[:5])), (F.pmod(number(F.col("lemma")), F.lit(5)) + 1).cast("int")))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import subprocess
 import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -25,10 +28,10 @@ def rows_of(frame):
     return columns, sorted(repr([plain(v) for v in r]) for r in frame[columns].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["word_frequency", "chapter_lemmas", "ngram_candidates", "expression_prefix_domination", "dictionary_candidates", "chapter_comparison", "triage_dispositions", "card_notes", "coverage_causes", "flowing_text"])
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "events"):
+    for t in ("documents", "pages", "benchmark", "events", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     assert rows_of(catalogue.QUERIES[name](spark, DATA).toPandas()) == rows_of(con.execute(catalogue.ORACLE_SQL[name]).df())
 
@@ -37,12 +40,18 @@ def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_contract_without_the_training_data_operators():
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_contract_on_a_copy_without_the_training_data_folders(tmp_path, pipeline):
+    root = Path(__spark_entry__.__file__).parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", *([] if pipeline else ["corpus_pipeline.py"])))
+    assert not (copy / "glossmill" / "llm").exists() and (copy / "corpus_pipeline.py").exists() == (pipeline and (root / "corpus_pipeline.py").exists())
     code = (
-        "import importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if n in ('glossmill.llm', 'corpus_pipeline') else f(n, *a);"
-        "import __spark_entry__ as e, sys; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') or n == 'pipeline' for n in q); assert not any('llm' in m for m in sys.modules)"
+        "import __spark_entry__ as e, sys; q = e.queries(); assert q and e.oracle_sql() and set(e.oracle_sql()) <= set(q);"
+        "assert not any(n.startswith('op') or n == 'pipeline' for n in q) and not any('llm' in m for m in sys.modules)"
     )
-    subprocess.run([sys.executable, "-c", code], check=True, cwd=__spark_entry__.__file__.rsplit("/", 1)[0])
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=copy, env=environment)
 
 
 def test_pages_and_obstacles_have_every_word_of_each_chapter(spark):
