@@ -31,11 +31,14 @@ from glossmill.llm.files import RangeFile, byte_blocks, task_file
 BLOCK = 4 << 20
 #: Payloads of fewer bytes are never stored as revisits.
 LEAST = 0
-#: Bytes within which a record's header ends.
-HEADER = 1 << 16
+#: Bytes that the search for a header's end reads at a time.
+STEP = 1 << 16
+END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
+LENGTH = re.compile(rb"(?i)\r\n[ \t]*content-length[ \t]*:([^\r\n]*)")
 PLAIN = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = re.compile(rb"\x1f\x8b\x08")
+ROW = ("page_id", "record_type", "payload_bytes", "payload_digest", "refers_to")
 SCHEMA = "path string, block long, offset long, successor long, exit long, page_id string, record_type string, payload_bytes long, payload_digest string, refers_to string"
 
 
@@ -114,26 +117,49 @@ class Content:
         return _page(self.own.get("warc-record-id")), kind, self.size, base64.b32encode(self.sha1.digest()).decode(), None
 
 
-def _plain_record(file: RangeFile, at: int) -> tuple[int, tuple] | None:
-    start = file.read(at, HEADER)
-    end = start.find(b"\r\n\r\n")
-    if end < 0:
-        return None
-    try:
-        content = Content(fields(start[:end]))
-    except ValueError:
-        return None
-    low, length = at + end + 4, content.left
-    if low + length + 4 > file.size or file.read(low + length, 4) != b"\r\n\r\n":
-        return None
+def _header(file: RangeFile, at: int) -> bytes | None:
+    """A record's lines from at on, without the empty line after them, however long they are; None if they don't end."""
+    held = bytearray()
+    while data := file.read(at + len(held), STEP):
+        seen = max(0, len(held) - len(END) + 1)
+        held += data
+        end = held.find(END, seen)
+        if end >= 0:
+            return bytes(held[:end])
+    return None
+
+
+class Headers:
+    """Where plain records would end. Candidates in one header share its end and its length, so that magic without end is read once."""
+
+    def __init__(self, file: RangeFile):
+        self.file, self.start, self.end, self.place, self.length = file, 0, 0, -1, -1
+
+    def successor(self, at: int) -> int | None:
+        if not self.start <= at < self.end:
+            header = _header(self.file, at)
+            self.start, self.end, self.place = at, self.file.size if header is None else at + len(header), -1
+            for m in LENGTH.finditer(header or b""):  # the last one counts, as in fields()
+                self.place, self.length = at + m.start(), int(m[1]) if m[1].strip().isdigit() else -1
+        if self.place < at or self.length < 0:
+            return None
+        after = self.end + len(END) + self.length
+        return after + len(END) if after + len(END) <= self.file.size and self.file.read(after, len(END)) == END else None
+
+
+def _plain_record(file: RangeFile, at: int) -> tuple:
+    """A record that the chain reaches, read as a whole."""
+    header = _header(file, at)
+    content = Content(fields(header))
+    low, length = at + len(header) + len(END), content.left
     for part in range(low, low + length, 1 << 20):
         content.feed(file.read(part, min(1 << 20, low + length - part)))
-    return low + length + 4, content.row()
+    return content.row()
 
 
 def _member_record(file: RangeFile, at: int) -> tuple[int, tuple] | None:
     """A damaged or chance member ends in an error of the decoder, most often in its first bytes."""
-    own, place, start, content = zlib.decompressobj(31), at, b"", None
+    own, place, start, content = zlib.decompressobj(31), at, bytearray(), None
     try:
         while not own.eof:
             data = file.read(place, 1 << 15)
@@ -142,13 +168,14 @@ def _member_record(file: RangeFile, at: int) -> tuple[int, tuple] | None:
             place += len(data)
             out = own.decompress(data)
             if content is None:
+                seen = max(0, len(start) - len(END) + 1)
                 start += out
-                end = start.find(b"\r\n\r\n")
-                if not start.startswith(b"WARC/1."[: len(start)]) or end < 0 and len(start) > HEADER:
+                if not start.startswith(b"WARC/1."[: len(start)]):
                     return None
+                end = start.find(END, seen)
                 if end < 0:
                     continue
-                content, out = Content(fields(start[:end])), start[end + 4 :]
+                content, out = Content(fields(bytes(start[:end]))), bytes(start[end + len(END) :])
             content.feed(out)
     except (zlib.error, ValueError):
         return None
@@ -158,16 +185,23 @@ def _member_record(file: RangeFile, at: int) -> tuple[int, tuple] | None:
 
 
 def scan_block(file: RangeFile, start: int, stop: int, zipped: bool) -> list[tuple]:
-    """(offset, successor, exit, row) of each candidate that starts in the block; exit: where the chain from it leaves the block."""
-    pattern, parse = (MEMBER, _member_record) if zipped else (PLAIN, _plain_record)
+    """(offset, successor, exit, row) of each candidate that starts in the block; exit: where the chain from it leaves the block.
+
+    A member has to be unpacked to find its end, so that its row is known at once; a plain record is read when it is reached.
+    """
     data = file.read(start, stop - start + 16)
-    found = []
-    for m in pattern.finditer(data):
-        if start + m.start() >= stop:
+    headers, found = Headers(file), []
+    for m in (MEMBER if zipped else PLAIN).finditer(data):
+        at = start + m.start()
+        if at >= stop:
             break
-        parsed = parse(file, start + m.start())
+        if zipped:
+            parsed = _member_record(file, at)
+        else:
+            successor = headers.successor(at)
+            parsed = None if successor is None else (successor, (None,) * 5)
         if parsed:
-            found.append((start + m.start(), *parsed))
+            found.append((at, *parsed))
     exits: dict[int, int] = {}
     for offset, successor, _ in reversed(found):
         exits[offset] = exits.get(successor, successor)
@@ -204,7 +238,16 @@ def _on_chain(group: pa.Table) -> pa.Table:
         if (more == reached).all():
             break
         reached, jump = more, jump[jump]
-    return group.filter(pa.array(reached[:-1])).drop_columns(["entry"])
+    group = group.filter(pa.array(reached[:-1])).drop_columns(["entry"])
+    if not group.num_rows or group["path"][0].as_py().endswith(".gz"):
+        return group
+    file = RangeFile(group["path"][0].as_py())
+    rows = [_plain_record(file, at) for at in group["offset"].to_pylist()]
+    file.close()
+    for i, name in enumerate(ROW):
+        at = group.schema.get_field_index(name)
+        group = group.set_column(at, name, pa.array([r[i] for r in rows], group.schema.field(at).type))
+    return group
 
 
 def read_archives(spark: SparkSession, files: DataFrame, block: int = BLOCK) -> DataFrame:

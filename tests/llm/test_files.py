@@ -52,6 +52,17 @@ def test_round_trip_rejects_what_is_inside_payloads(spark, zipped, block):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("zipped", [False, True])
+def test_headers_and_payloads_of_any_length_lose_no_record(spark, zipped):
+    r = random.Random(5)
+    noise = "".join(chr(r.randrange(33, 126)) for _ in range(1_000_000))
+    rows = [(1, "http://h/1", "first"), (2, "http://h/" + noise, "second"), (3, "http://h/3", "WARC/1.1\r\n" * 300_000), (4, "http://h/4", "WARC/1.1\r\nContent-Length: 4\r\n" * 50_000 + "\r\nabcd\r\n\r\n"), (5, "u", "x" * 5_000_000), (6, "u", "last")]
+    files = materialize(spark, warc.write_archives(spark, pages_of(spark, rows).repartition(1), fresh_path(spark, "t"), zipped), "t")
+    got = warc.read_archives(spark, files, 1 << 20).filter("record_type <> 'warcinfo'")
+    got = got.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
 def test_query_form_ties_and_nulls(spark):
     rows = [(None, None, "a"), (3, "u", "a"), (3, "u", "a"), (None, None, "b"), (None, None, "b"), (4, "u", "c")]
     got = [tuple(r[c] for c in COLUMNS) for r in warc.archive_round_trip(spark, pages_of(spark, rows)).collect()]
