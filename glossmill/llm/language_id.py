@@ -1,33 +1,34 @@
 """Language identification by compression.
 
 For each language a raw-content zstandard dictionary is made from a bounded sample of labelled rows
-(ROWS rows of at most CHARS characters each). A text is cut into chunks that cover all of it; each
+(ROWS rows, each with pieces from all over its text). A text is cut into chunks that cover all of it; each
 chunk is compressed with each dictionary, and the language with the smallest sum of sizes wins. A text
 whose runner-up is too near is rejected.
 
 Defined results: null text and text without a letter give `und` with score 0; without any labelled row
-every text is `und`; ties go to the first language by name; every row gives one row; an empty table
+every text is `und`; more than LANGUAGES labels are an error; ties go to the first language by name; every row gives one row; an empty table
 gives an empty result; columns other than doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import Batches, bounded_batches, crc_mod, texts_of
+from glossmill.llm.common import Batches, bounded_batches, crc_mod, join_sized, materialize, texts_of
 
-#: The bound of the training sample: rows a language, and characters of each.
-ROWS, CHARS = 150, 2000
-#: Dictionary bytes a language, and bytes of text that one compression takes.
-DICTIONARY, CHUNK = 100_000, 4096
-PARAMETERS = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log": 3, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2}
+#: The bound of the training sample: rows a language, and languages.
+ROWS, LANGUAGES = 150, 1000
+#: What a row gives to a dictionary: so many pieces of so many characters, spread over its whole text. A dictionary of all rows fits the window.
+PIECES, PIECE = 4, 170
+#: Bytes of text that one compression takes.
+CHUNK = 4096
+PARAMETERS = {"window_log": 19, "chain_log": 16, "hash_log": 16, "search_log": 3, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2}
 #: A text is rejected under this score.
 NARROW = 0.55
 LETTER = re.compile(r"[^\W\d_]")
@@ -43,27 +44,33 @@ def letters(text: str) -> bytes:
 
 
 def sample(labelled: DataFrame) -> list[tuple[str, str]]:
-    """Up to ROWS rows of each language, chosen by a hash of their text; (lang, text) pairs."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    """Up to ROWS rows of each language, chosen by a hash of their text, as (lang, PIECES pieces spread over the whole text)."""
+    counts = materialize(labelled.sparkSession, labelled.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    total, languages = counts.agg(F.sum("n"), F.count("*")).first()
+    if not languages:
         return []
+    if languages > LANGUAGES:
+        raise ValueError(f"{languages} languages are labelled, and {LANGUAGES} is the most that a worker holds dictionaries of")
     share = F.conv(F.substring(F.md5("text"), 1, 7), 16, 10).cast("double") / float(16**7)
-    wanted = reduce(lambda a, b: a | b, [(F.col("lang") == k) & (share < min(1.0, (2.0 * ROWS + 50) / n)) for k, n in sorted(counts.items())])
-    rows = labelled.filter(F.col("text") != "").filter(wanted).groupBy("lang", F.substring("text", 1, CHARS).alias("piece")).agg(F.min(share).alias("at")).collect()
-    out = []
-    for lang in sorted(counts):
-        own = sorted((r["at"], r["piece"]) for r in rows if r["lang"] == lang)
-        out += [(lang, piece) for _, piece in own[:ROWS]]
-    return out
+    drawn = join_sized(labelled.filter("text <> ''"), counts, ["lang"], "n", total).withColumn("at", share).filter(F.col("at") < (2.0 * ROWS + 50) / F.col("n"))
+    length = F.length("text")
+    step = (length - PIECE) / float(PIECES - 1)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring("text", (1 + F.floor(i * step)).cast("int"), F.lit(PIECE)))
+    pieces = F.when(length > PIECE * PIECES, spread).otherwise(F.array("text"))
+    # Equal texts have one hash, so that copies are all drawn or none, and one of them is enough.
+    texts = drawn.groupBy("lang", "at", pieces.alias("pieces")).agg(F.lit(1).alias("one"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("at", "pieces"))
+    rows = texts.withColumn("turn", first).filter(F.col("turn") <= ROWS).select("lang", "turn", "pieces").collect()
+    return [(r["lang"], " ".join(r["pieces"])) for r in sorted(rows, key=lambda r: (r["lang"], r["turn"]))]
 
 
 def dictionaries(pairs: list[tuple[str, str]]) -> dict[str, bytes]:
-    """Text of each language, most telling last: zstandard reaches the end of a dictionary most cheaply."""
+    """The letters of each language's rows one after another, all of them."""
     found: dict[str, bytes] = {}
     for lang in sorted({k for k, _ in pairs}):
         joined = b" ".join(letters(x) for k, x in pairs if k == lang)
         if joined.strip():
-            found[lang] = joined[-DICTIONARY:]
+            found[lang] = joined
     return found
 
 

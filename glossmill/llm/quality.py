@@ -2,7 +2,8 @@
 
 Bytes are embedded, learned filters slide over overlapping chunks that cover the whole document, each
 filter keeps its maximum in a chunk, and the mean and maximum over chunks go through one hidden layer to
-one probability. It is trained by Adam on a bounded sample: SAMPLE labelled rows, PIECES chunks of each.
+one probability. It is trained by Adam on a bounded sample of whole labelled rows: up to SAMPLE, of up to CHARS
+characters together.
 
 Defined results: null text counts as empty; an empty text is one chunk of zeros and gets a score as any
 other; without labels every score is 0.5; rows of labels with a null are not learned from; every row of
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from glossmill.llm.common import Batches, bounded_batches, crc_mod, utf8_buffers
 
-#: The bound of the training sample.
-SAMPLE, PIECES = 4000, 6
+#: The bound of the training sample: labelled rows, and characters of all of them.
+SAMPLE, CHARS = 4000, 12_000_000
 CHUNK, OVERLAP = 512, 64
 EMBEDDING, WIDTH, STEP, FILTERS, HIDDEN = 8, 8, 2, 32, 16
 EPOCHS, BATCH, RATE = 6, 32, 0.004
@@ -83,12 +84,16 @@ class Network:
         return self.head(self.features(rows), firsts)[2]
 
     def gradients(self, rows: np.ndarray, firsts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """rows: chunks of some texts; AT_ONCE of them are unfolded at a time, however long a text is."""
         p = self.p
-        seen = self.windows(rows)
-        n, positions, k = seen.shape
-        values = (seen.reshape(-1, k) @ p["conv"]).reshape(n, positions, FILTERS)
-        at = values.argmax(1)
-        top = np.take_along_axis(values, at[:, None], 1)[:, 0] + p["conv_b"]
+        at = np.empty((len(rows), FILTERS), np.int64)
+        top = np.empty((len(rows), FILTERS), p["conv"].dtype)
+        for low in range(0, len(rows), AT_ONCE):
+            seen = self.windows(rows[low : low + AT_ONCE])
+            n, positions, k = seen.shape
+            values = (seen.reshape(-1, k) @ p["conv"]).reshape(n, positions, FILTERS)
+            at[low : low + n] = values.argmax(1)
+            top[low : low + n] = np.take_along_axis(values, at[low : low + n, None], 1)[:, 0] + p["conv_b"]
         pooled = np.maximum(top, 0)
         both, hidden, prob = self.head(pooled, firsts)
         d_logit = ((prob - y) / len(y)).astype(np.float32)
@@ -102,30 +107,32 @@ class Network:
         is_top = pooled == both[of, FILTERS:]
         ties = np.add.reduceat(is_top.astype(np.float32), firsts[:-1])
         d_pool = (d_pool + d_both[of, FILTERS:] * is_top / np.maximum(ties, 1)[of]) * (top > 0)
-        g["conv_b"] = d_pool.sum(0)
-        chosen = seen[np.arange(n)[:, None], at]  # chunk, filter, window
-        g["conv"] = np.einsum("nfk,nf->kf", chosen, d_pool)
-        d_seen = d_pool[:, :, None] * p["conv"].T[None]
-        where = at[:, :, None] * STEP + np.arange(WIDTH)
-        which = rows[np.arange(n)[:, None, None], where]
-        g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], which.ravel(), d_seen.reshape(-1, EMBEDDING))
+        g |= {"conv_b": d_pool.sum(0), "conv": np.zeros_like(p["conv"]), "embed": np.zeros_like(p["embed"])}
+        for low in range(0, len(rows), AT_ONCE):
+            part, own = rows[low : low + AT_ONCE], d_pool[low : low + AT_ONCE]
+            where = at[low : low + len(part), :, None] * STEP + np.arange(WIDTH)
+            which = part[np.arange(len(part))[:, None, None], where]  # chunk, filter, byte under it
+            chosen = p["embed"][which].reshape(len(part), FILTERS, -1)
+            g["conv"] += np.einsum("nfk,nf->kf", chosen, own)
+            d_seen = (own[:, :, None] * p["conv"].T[None]).reshape(-1, EMBEDDING)
+            flat = which.ravel()
+            for e in range(EMBEDDING):
+                g["embed"][:, e] += np.bincount(flat, d_seen[:, e], minlength=256)
         g["embed"][0] = 0
         return g
 
-    def train(self, pieces: list[list[bytes]], y: np.ndarray, seed: int = 11) -> None:
+    def train(self, texts: list[bytes], y: np.ndarray, seed: int = 11) -> None:
+        """Whole texts; a step takes BATCH of them."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        steps, total = 0, EPOCHS * -(-len(pieces) // BATCH)
+        steps, total = 0, EPOCHS * -(-len(texts) // BATCH)
         for _ in range(EPOCHS):
-            order = r.permutation(len(pieces))
+            order = r.permutation(len(texts))
             for low in range(0, len(order), BATCH):
                 own = order[low : low + BATCH]
-                firsts = np.concatenate(([0], np.cumsum([len(pieces[i]) for i in own])))
-                rows = np.zeros((firsts[-1], CHUNK), np.uint8)
-                for j, x in enumerate(x for i in own for x in pieces[i]):
-                    rows[j, : len(x)] = np.frombuffer(x, np.uint8)
+                offsets = np.concatenate(([0], np.cumsum([len(texts[i]) for i in own])))
+                rows, firsts = chunked(np.frombuffer(b"".join(texts[i] for i in own), np.uint8), offsets)
                 steps += 1
                 rate = RATE * (1 - 0.9 * steps / total)
                 for k, g in self.gradients(rows, firsts, y[own]).items():
@@ -134,31 +141,36 @@ class Network:
                     self.p[k] -= (rate * (m[k] / (1 - 0.9**steps)) / (np.sqrt(v[k] / (1 - 0.99**steps)) + 1e-7)).astype(np.float32)
 
 
-def training_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[list[list[bytes]], np.ndarray]:
-    """Up to SAMPLE labelled rows, and of each up to PIECES chunks spread over its whole text."""
-    known = labels.filter("quality is not null and doc_id is not null").select("doc_id", "quality")
+def training_sample(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """Up to SAMPLE labelled rows, together of up to CHARS characters; a text is in the sample as a whole or not at all."""
+    known = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     n = known.count()
     if not n:
         return [], np.zeros(0)
     share = F.crc32(F.md5(F.col("doc_id").cast("string"))) / float(1 << 32)
     drawn = known.filter(share < min(1.0, 1.2 * SAMPLE / n + 100 / n)).withColumn("at", share).orderBy("at", "doc_id").limit(SAMPLE)
-    step = CHUNK - OVERLAP
-    length = F.length(F.coalesce("text", F.lit("")))
-    count = F.least(F.lit(PIECES), F.greatest(F.lit(1), F.ceil(length / step))).cast("int")
-    places = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.coalesce("text", F.lit("")), (1 + i * F.greatest(F.lit(0), length - CHUNK) / F.greatest(F.lit(1), count - 1)).cast("int"), F.lit(CHUNK)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id").select("at", "doc_id", "quality", places.alias("pieces")).collect()
-    rows.sort(key=lambda r: (r["at"], r["doc_id"], r["pieces"]))
-    return [[x.encode()[:CHUNK] for x in r["pieces"]] for r in rows], np.array([float(r["quality"]) for r in rows])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    listed = texts.join(F.broadcast(drawn), "doc_id").select("at", "doc_id", "h", "quality", F.length("text").alias("n")).distinct().orderBy("at", "doc_id", "h", "quality").limit(SAMPLE).collect()
+    chosen, left = [], CHARS
+    for r in listed:
+        if r["n"] <= left:
+            chosen.append((r["doc_id"], r["h"], float(r["quality"])))
+            left -= r["n"]
+    if not chosen:
+        return [], np.zeros(0)
+    wanted = spark.createDataFrame([x[:2] for x in chosen], "doc_id long, h long").distinct()
+    found = {(r["doc_id"], r["h"]): r["text"].encode() for r in texts.join(F.broadcast(wanted), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).collect()}
+    return [found[x[:2]] for x in chosen], np.array([x[2] for x in chosen])
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Network | None:
-    pieces, y = training_sample(spark, docs, labels)
+    texts, y = training_sample(spark, docs, labels)
     if not len(y):
         return None
     own = Network()
     share = min(max(y.mean(), 0.01), 0.99)
     own.p["out_b"][:] = np.log(share / (1 - share))
-    own.train(pieces, y)
+    own.train(texts, y)
     return own
 
 

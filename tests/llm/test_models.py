@@ -279,3 +279,49 @@ def test_vocabulary_follows_all_whole_training_texts(spark, documents, monkeypat
     for parts in (1, 8, 40):
         own = lm_score.learn(spark, docs, parts).v
         assert own.hashes.tolist() == [0, *(hashed[w] for w in want)]
+
+
+def test_language_equals_a_brute_force_of_one_compression_after_another(spark):
+    import zstandard
+
+    r = random.Random(4)
+    rows = [(i, t, k, "x", 1) for i, t, k in multilingual(60, 3)] + [(100, "der und " * 3000, None, "x", 1), (101, "zz", None, "x", 1), (102, "".join(chr(r.randrange(97, 123)) for _ in range(9000)), None, "x", 1)]
+    docs = spark.createDataFrame(rows, LANGUAGE_SCHEMA)
+    found = language_id.learn(docs)
+    assert set(found) == set(WORDS) and len(found["aa"]) > 100
+
+    def size(data, dictionary):
+        own = zstandard.ZstdCompressionParameters(write_checksum=False, write_content_size=False, write_dict_id=False, **language_id.PARAMETERS)
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=own).compress(data))
+
+    own = language_id.Identifier(found)
+    for _, text, *_ in rows:
+        words = language_id.letters(text)
+        parts = [words[a : a + language_id.CHUNK] for a in range(0, len(words), language_id.CHUNK)]
+        parts = [x + language_id.BALLAST if len(x) < len(language_id.BALLAST) else x for x in parts]
+        sizes = [sum(size(x, found[k]) for x in parts) for k in sorted(found)]
+        assert own.predict(text)[0] == sorted(found)[sizes.index(min(sizes))] and list(own.sizes(words)) == sizes
+
+
+def test_language_ties_repeated_rows_and_pieces_of_long_texts(spark):
+    long = "alpha " * 5000 + "omega " * 5000
+    rows = [(1, "same words here", "bb", "x", 1), (2, "same words here", "aa", "x", 1), (2, "same words here", "aa", "x", 1), (3, long, "cc", "x", 1)]
+    docs = spark.createDataFrame(rows, LANGUAGE_SCHEMA)
+    pairs = language_id.sample(docs.select("text", "lang"))
+    assert [k for k, _ in pairs] == ["aa", "bb", "cc"] and "alpha" in pairs[2][1] and "omega" in pairs[2][1]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.language_of(spark, docs).collect()}
+    assert got[1] == got[2] == "aa"
+
+
+def test_quality_learns_whole_texts_and_ranks_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts, y = quality.training_sample(spark, docs, labels)
+    whole = {(r["text"] or "").encode() for r in docs.select("text").collect()}
+    assert len(texts) == len(y) == labels.filter("quality is not null").count() and all(x in whole for x in texts)
+    got = quality.quality_scores(spark, docs, labels).join(labels, "doc_id").filter("held_out and quality is not null").select("score", "quality").collect()
+    good, bad = ([r["score"] for r in got if r["quality"] == q] for q in (1, 0))
+    assert sum(a > b for a in good for b in bad) > 0.85 * len(good) * len(bad)
+
+
+def test_encoding_an_empty_table_gives_no_row(spark, documents):
+    assert bpe.round_trip(spark, documents([])).isEmpty() and bpe.encode(spark, documents([])).isEmpty()
