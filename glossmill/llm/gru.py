@@ -19,19 +19,30 @@ VOCABULARY, CLASSES = 4096, 64
 #: Input embeddings that words of the rest share by hash.
 REST_INPUTS = 64
 EMBEDDING, STATE = 32, 32
-STREAMS, WINDOW, RATE = 64, 16, 0.006
+#: Texts side by side in a window: fewer for a small corpus, so that it still gives STEPS windows.
+LEAST_STREAMS, STREAMS, WINDOW, STEPS, RATE = 64, 512, 16, 200, 0.006
 #: Rows of states that the output layer takes at a time.
-OUTPUT_ROWS = 1 << 15
+OUTPUT_ROWS = 1 << 14
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):  # infinity gives 0, as it should
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    x -= np.log(np.exp(x).sum(-1, keepdims=True))
-    return x
+def log_at(x: np.ndarray, at: np.ndarray, shares: bool) -> np.ndarray:
+    """The logarithm of the softmax at one place of each row; x is overwritten, by the shares if they are wanted."""
+    x -= x.max(-1, keepdims=True)
+    chosen = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    total = x.sum(-1)
+    if shares:
+        x /= total[:, None]
+    return chosen - np.log(total)
 
 
 class Vocabulary:
@@ -89,38 +100,51 @@ class LanguageModel:
         """x: the input's part of the gates."""
         hu = h @ self.p["u"]
         zr = sigmoid(x[:, : 2 * STATE] + hu[:, : 2 * STATE])
-        z, r = zr[:, :STATE], zr[:, STATE:]
-        n = np.tanh(x[:, 2 * STATE :] + r * hu[:, 2 * STATE :])
-        return n + z * (h - n), z, r, n, hu[:, 2 * STATE :]
+        z, r, hu = zr[:, :STATE], zr[:, STATE:], hu[:, 2 * STATE :]
+        n = r * hu
+        n += x[:, 2 * STATE :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, hu
 
     def _output(self, states: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each word (of the class alone for the rest), and the gradient of its negative mean by the states."""
         classes = self.v.class_of[ids]
-        log_c = log_softmax(states @ self.p["c"] + self.p["c_b"])
-        out = log_c[np.arange(len(ids)), classes].astype(np.float64)
+        order = np.argsort(classes, kind="stable")
+        borders = np.searchsorted(classes[order], np.arange(self.v.classes + 1))
+        states, ids, classes = states[order], ids[order], classes[order]
+        d = states @ self.p["c"]
+        d += self.p["c_b"]
+        own = log_at(d, classes, grads is not None).astype(np.float64)
         d_states = None
         if grads is not None:
-            d = np.exp(log_c)
             d[np.arange(len(ids)), classes] -= 1
             d /= len(ids)
             grads["c"], grads["c_b"], d_states = states.T @ d, d.sum(0), d @ self.p["c"].T
             grads["o"], grads["o_b"] = np.zeros_like(self.p["o"]), np.zeros_like(self.p["o_b"])
-        order = np.argsort(classes, kind="stable")
-        borders = np.searchsorted(classes[order], np.arange(self.v.classes + 1))
+        place = ids - np.append(self.v.first[:-1], 0)[classes]
         for k in range(self.v.classes):
-            rows = order[borders[k] : borders[k + 1]]
-            if not len(rows):
+            a, b = borders[k], borders[k + 1]
+            if a == b:
                 continue
-            place = ids[rows] - self.v.first[k]
-            own, size = states[rows], self.v.sizes[k]
-            log_o = log_softmax(own @ self.p["o"][k, :, :size] + self.p["o_b"][k, :size])
-            out[rows] += log_o[np.arange(len(rows)), place]
+            size = self.v.sizes[k]
+            weights = self.p["o"][k, :, :size]
+            d = states[a:b] @ weights
+            d += self.p["o_b"][k, :size]
+            own[a:b] += log_at(d, place[a:b], grads is not None)
             if grads is not None:
-                d = np.exp(log_o)
-                d[np.arange(len(rows)), place] -= 1
+                d[np.arange(b - a), place[a:b]] -= 1
                 d /= len(ids)
-                grads["o"][k, :, :size], grads["o_b"][k, :size] = own.T @ d, d.sum(0)
-                d_states[rows] += d @ self.p["o"][k, :, :size].T
+                grads["o"][k, :, :size], grads["o_b"][k, :size] = states[a:b].T @ d, d.sum(0)
+                d_states[a:b] += d @ weights.T
+        out = np.empty(len(ids))
+        out[order] = own
+        if d_states is not None:
+            back = np.empty_like(d_states)
+            back[order] = d_states
+            d_states = back
         return out, d_states
 
     def train(self, texts: list[np.ndarray], rate: float = RATE, passes: int = 1, seed: int = 3) -> int:
@@ -135,7 +159,7 @@ class LanguageModel:
         for _ in range(passes):
             order = r.permutation(len(texts))
             joined = np.concatenate([y for i in order for y in (texts[i], np.zeros(1, np.uint64))])
-            streams = max(1, min(STREAMS, len(joined) // WINDOW))
+            streams = max(1, min(max(LEAST_STREAMS, min(STREAMS, len(joined) // (WINDOW * STEPS))), len(joined) // WINDOW))
             length = len(joined) // streams
             hashes = joined[: streams * length].reshape(streams, length)
             ids = self.v.ids(hashes)
@@ -165,33 +189,44 @@ class LanguageModel:
         return learned
 
     def _window(self, inputs: np.ndarray, ids: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        p, kept, states = self.p, [], []
+        """inputs and ids: a row a stream, a column a step."""
+        p, kept = self.p, []
+        inputs, ids = np.ascontiguousarray(inputs.T), np.ascontiguousarray(ids.T)
+        steps, streams = inputs.shape
         x = p["embed"][inputs]
-        gates = x @ p["w"] + p["b"]
-        for t in range(inputs.shape[1]):
-            h = h * (inputs[:, t] != END)[:, None]  # a text starts from nothing
-            new, z, r, n, hu = self.step(gates[:, t], h)
-            kept.append((h, z, r, n, hu))
-            states.append(new)
-            h = new
-        stacked = np.stack(states, 1)
+        gates = x @ p["w"]
+        gates += p["b"]
+        states, before = np.empty((steps, streams, STATE), gates.dtype), np.empty((steps, streams, STATE), gates.dtype)
+        going = (inputs != END)[:, :, None].astype(gates.dtype)
+        for t in range(steps):
+            np.multiply(h, going[t], out=before[t])  # a text starts from nothing
+            h, z, r, n, hu = self.step(gates[t], before[t])
+            kept.append((z, r, n, hu))
+            states[t] = h
         grads: dict[str, np.ndarray] = {}
-        _, d = self._output(stacked.reshape(-1, STATE), ids.ravel(), grads)
-        d = d.reshape(stacked.shape)
-        d_gates = np.empty_like(gates)
-        d_u = np.zeros_like(p["u"])
+        _, d = self._output(states.reshape(-1, STATE), ids.ravel(), grads)
+        d = d.reshape(states.shape)
+        d_gates, d_hu = np.empty_like(gates), np.empty_like(states)
         d_h = np.zeros_like(h)
-        for t in range(inputs.shape[1] - 1, -1, -1):
-            before, z, r, n, hu = kept[t]
-            g = d[:, t] + d_h
-            d_n = g * (1 - z) * (1 - n * n)
-            d_r = d_n * hu * r * (1 - r)
-            d_z = g * (before - n) * z * (1 - z)
-            d_gates[:, t] = np.concatenate([d_z, d_r, d_n], 1)
-            d_hu = np.concatenate([d_z, d_r, d_n * r], 1)
-            d_u += before.T @ d_hu
-            d_h = (g * z + d_hu @ p["u"].T) * (inputs[:, t] != END)[:, None]
-        flat = d_gates.reshape(-1, 3 * STATE)
+        to_zr, to_n = p["u"][:, : 2 * STATE].T.copy(), p["u"][:, 2 * STATE :].T.copy()
+        for t in range(steps - 1, -1, -1):
+            z, r, n, hu = kept[t]
+            g = d[t] + d_h
+            left = 1 - z
+            d_n = g * left
+            d_n *= 1 - n * n
+            np.multiply(d_n, r, out=d_hu[t])
+            own = d_gates[t]
+            own[:, 2 * STATE :] = d_n
+            own[:, STATE : 2 * STATE] = d_hu[t] * hu * (1 - r)
+            g *= z
+            own[:, :STATE] = g * (before[t] - n) * left
+            g += own[:, : 2 * STATE] @ to_zr
+            g += d_hu[t] @ to_n
+            g *= going[t]
+            d_h = g
+        flat, past = d_gates.reshape(-1, 3 * STATE), before.reshape(-1, STATE)
+        d_u = np.concatenate([past.T @ flat[:, : 2 * STATE], past.T @ d_hu.reshape(-1, STATE)], 1)
         grads |= {"u": d_u, "b": flat.sum(0), "w": x.reshape(-1, EMBEDDING).T @ flat, "embed": np.zeros_like(p["embed"])}
         order = np.argsort(inputs, axis=None, kind="stable")
         own = inputs.ravel()[order]

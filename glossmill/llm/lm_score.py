@@ -30,6 +30,8 @@ from glossmill.llm.words import WordHasher
 SAMPLE, CHARS, PASSES = 800, 20_000, 2
 #: The rate of the second step.
 RATE = 0.003
+#: Words that a partition trains on before it reads on.
+AT_ONCE = 1_000_000
 #: Bytes of text in a block of documents, and of words' rows in a range of hashes.
 BLOCK_BYTES, RANGE_BYTES = 12 << 20, 12 << 20
 
@@ -133,7 +135,7 @@ def learn(spark: SparkSession, docs: DataFrame, parts: int = 8) -> LanguageModel
         for batch in batches:
             hashes, borders = hasher.of(*utf8_buffers(batch.column("text")), fold=True)
             texts += [hashes[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
-            if sum(map(len, texts)) > 2_000_000:
+            if sum(map(len, texts)) > AT_ONCE:
                 go_on()
         if texts:
             go_on()
@@ -265,7 +267,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     size = plan_bytes(docs.select("doc_id", "text"))
     if size > 1 << 50:  # the plan doesn't tell
         size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, min(4096, -(-size // RANGE_BYTES)))
+    parts = max(8, -(-size // RANGE_BYTES))  # a block sends a row a range that it has words of, so never more rows than words
     model = learn(spark, source, parts)
     shared = spark.sparkContext.broadcast(model)
     blocks = materialize(spark, source.mapInArrow(_blocks(shared, parts), BLOCKS), "lm-blocks")
