@@ -15,12 +15,12 @@ from glossmill.llm.words import mix
 
 #: Reserved hash of the end of a text, and its place in the vocabulary.
 END_HASH, END = np.uint64(0), 0
-VOCABULARY, CLASSES = 4096, 64
+VOCABULARY, CLASSES = 4096, 64  # both with REST_INPUTS fit 16 bits, by which batches are sorted
 #: Input embeddings that words of the rest share by hash.
 REST_INPUTS = 64
 EMBEDDING, STATE = 32, 32
 #: Texts side by side in a window: fewer for a small corpus, so that it still gives STEPS windows.
-LEAST_STREAMS, STREAMS, WINDOW, STEPS, RATE = 64, 512, 16, 200, 0.006
+LEAST_STREAMS, STREAMS, WINDOW, STEPS, RATE = 64, 1024, 16, 100, 0.006
 #: Rows of states that the output layer takes at a time.
 OUTPUT_ROWS = 1 << 14
 
@@ -112,7 +112,7 @@ class LanguageModel:
     def _output(self, states: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each word (of the class alone for the rest), and the gradient of its negative mean by the states."""
         classes = self.v.class_of[ids]
-        order = np.argsort(classes, kind="stable")
+        order = np.argsort(classes.astype(np.int16), kind="stable")
         borders = np.searchsorted(classes[order], np.arange(self.v.classes + 1))
         states, ids, classes = states[order], ids[order], classes[order]
         d = states @ self.p["c"]
@@ -228,7 +228,7 @@ class LanguageModel:
         flat, past = d_gates.reshape(-1, 3 * STATE), before.reshape(-1, STATE)
         d_u = np.concatenate([past.T @ flat[:, : 2 * STATE], past.T @ d_hu.reshape(-1, STATE)], 1)
         grads |= {"u": d_u, "b": flat.sum(0), "w": x.reshape(-1, EMBEDDING).T @ flat, "embed": np.zeros_like(p["embed"])}
-        order = np.argsort(inputs, axis=None, kind="stable")
+        order = np.argsort(inputs.astype(np.int16), axis=None, kind="stable")
         own = inputs.ravel()[order]
         starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         grads["embed"][own[starts]] = np.add.reduceat((flat @ p["w"].T)[order], starts, axis=0)

@@ -31,7 +31,7 @@ SAMPLE, CHARS, PASSES = 800, 20_000, 2
 #: The rate of the second step.
 RATE = 0.003
 #: Words that a partition trains on before it reads on.
-AT_ONCE = 1_000_000
+AT_ONCE = 2_000_000
 #: Bytes of text in a block of documents, and of words' rows in a range of hashes.
 BLOCK_BYTES, RANGE_BYTES = 12 << 20, 12 << 20
 
