@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,24 +9,14 @@ from glossmill.functions import text as T
 from glossmill.operators import cards, choice, lookup, measures, preset, profile, sheets, triage, vocabulary
 from glossmill.plans import chapters as chain
 from glossmill.plans import standins as S
+from glossmill.plans.registry import ORACLE_SQL, QUERIES, query
 from glossmill.schema import CHAPTER
 from glossmill.sources.tables import html_texts
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-_C = "book_title, book_author, chapter"
-
-
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
+_query = query
+_C = "book_title, book_author, chapter"
 
 _FREQUENCIES = f"""WITH {S.CHAPTERS_SQL},
     forms AS (SELECT {_C}, unnest(regexp_extract_all(text, {S.WORD_SQL})) AS form FROM chapters),
@@ -247,17 +235,23 @@ def _word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {S.DICTIONARY_SQL}, list AS (SELECT written_rep AS lemma FROM heads WHERE {S.number_sql("concat('r', written_rep)")} % 4000 <= 2000),
+    f"""WITH {S.DICTIONARY_SQL}, levels AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {n})" for k, n in preset.LEVEL_SIZES.items())}) v(level, size)),
+    list AS (SELECT level, written_rep AS lemma FROM heads JOIN levels ON {S.number_sql("concat('r', written_rep)")} % 4000 <= size),
     senses AS (
-        SELECT lemma, CASE entry_pos WHEN 'Noun' THEN 'NOUN' WHEN 'Verb' THEN 'VERB' WHEN 'Adjective' THEN 'ADJ' WHEN 'Adverb' THEN 'ADV' ELSE 'INTJ' END AS pos, lexentry, sense, trans_list
+        SELECT level, lemma, CASE entry_pos WHEN 'Noun' THEN 'NOUN' WHEN 'Verb' THEN 'VERB' WHEN 'Adjective' THEN 'ADJ' WHEN 'Adverb' THEN 'ADV' ELSE 'INTJ' END AS pos, lexentry, sense, trans_list
         FROM list JOIN entries ON lemma = written_rep WHERE NOT contains(lemma, ' ') AND entry_pos <> 'Proper_noun'
-        UNION ALL SELECT lemma, '' AS pos, lexentry, sense, trans_list FROM list JOIN entries ON lemma = written_rep WHERE contains(lemma, ' ') AND {_SURE})
-    SELECT count(DISTINCT (lemma, pos)) AS lemma_pos_pairs, count(DISTINCT (lemma, pos, coalesce(lexentry, ''), coalesce(sense, ''), coalesce(trans_list, ''))) AS senses,
-           count(DISTINCT lemma) AS covered_lemmas, (SELECT count(*) FROM list) AS total_lemmas FROM senses"""
+        UNION ALL SELECT level, lemma, '' AS pos, lexentry, sense, trans_list FROM list JOIN entries ON lemma = written_rep WHERE contains(lemma, ' ') AND {_SURE})
+    SELECT l.level, count(DISTINCT (s.lemma, pos)) FILTER (WHERE s.lemma IS NOT NULL) AS lemma_pos_pairs,
+           count(DISTINCT (s.lemma, pos, coalesce(lexentry, ''), coalesce(sense, ''), coalesce(trans_list, ''))) FILTER (WHERE s.lemma IS NOT NULL) AS senses,
+           count(DISTINCT s.lemma) AS covered_lemmas, count(DISTINCT l.lemma) AS total_lemmas FROM list l LEFT JOIN senses s ON l.level = s.level AND l.lemma = s.lemma GROUP BY l.level"""
 )
 def preset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _word_list(spark, sf_dir)
-    return preset.preset_counts(words, preset.preset_senses(words, S.dictionary(spark, sf_dir), "b1"), "b1")
+    """The counts of every level."""
+    words, dictionary, out = _word_list(spark, sf_dir), S.dictionary(spark, sf_dir), None
+    for level in preset.LEVEL_SIZES:
+        counts = preset.preset_counts(words, preset.preset_senses(words, dictionary, level), level).withColumn("level", F.lit(level))
+        out = counts if out is None else out.unionByName(counts)
+    return out
 
 
 def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,14 +403,15 @@ def merged_over_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BLOCK = "|".join(sorted(T.BLOCK_TAGS))
 
 
-@_query(
-    rf"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g') AS t FROM pages),
+FLOW_SQL = rf"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g') AS t FROM pages),
     b AS (SELECT page_id, regexp_replace(t, '(?is)<head\b.*?</head\s*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>', '', 'g') AS t FROM a),
     c AS (SELECT page_id, regexp_replace(t, '(?i)</?(?:{_BLOCK})(?:\s[^>]*)?/?>', chr(10), 'g') AS t FROM b),
     d AS (SELECT page_id, regexp_replace(t, '<[^>]*>', '', 'g') AS t FROM c),
-    e AS (SELECT page_id, replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS t FROM d)
-    SELECT page_id, regexp_replace(regexp_replace(t, '\n{{2,}}', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM e"""
-)
+    e AS (SELECT page_id, replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS t FROM d),
+    flowing AS (SELECT page_id, regexp_replace(regexp_replace(t, '\n{{2,}}', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM e)"""
+
+
+@_query(f"{FLOW_SQL} SELECT * FROM flowing")
 def flowing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_texts(S.table(spark, sf_dir, "pages")).select("page_id", "text")
 
