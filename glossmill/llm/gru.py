@@ -15,12 +15,12 @@ from glossmill.llm.words import mix
 
 #: Reserved hash of the end of a text, and its place in the vocabulary.
 END_HASH, END = np.uint64(0), 0
-VOCABULARY, CLASSES = 4096, 64  # both with REST_INPUTS fit 16 bits, by which batches are sorted
+VOCABULARY, CLASSES = 2048, 32  # both with REST_INPUTS fit 16 bits, by which batches are sorted
 #: Input embeddings that words of the rest share by hash.
 REST_INPUTS = 64
 EMBEDDING, STATE = 32, 32
 #: Texts side by side in a window: fewer for a small corpus, so that it still gives STEPS windows.
-LEAST_STREAMS, STREAMS, WINDOW, STEPS, RATE = 64, 1024, 16, 100, 0.006
+LEAST_STREAMS, STREAMS, WINDOW, STEPS, RATE = 64, 1024, 16, 200, 0.006
 #: Rows of states that the output layer takes at a time.
 OUTPUT_ROWS = 1 << 14
 
@@ -147,8 +147,8 @@ class LanguageModel:
             d_states = back
         return out, d_states
 
-    def train(self, texts: list[np.ndarray], rate: float = RATE, passes: int = 1, seed: int = 3) -> int:
-        """texts: hashes of words, without their end; returns the number of words learned from."""
+    def train(self, texts: list[np.ndarray], rate: float = RATE, passes: int = 1, seed: int = 3, least: int = STEPS) -> int:
+        """texts: hashes of words, without their end; least: windows that a pass has at least, if it can; returns the number of words learned from."""
         texts = [x for x in texts if len(x)]
         if not texts:
             return 0
@@ -159,11 +159,12 @@ class LanguageModel:
         for _ in range(passes):
             order = r.permutation(len(texts))
             joined = np.concatenate([y for i in order for y in (texts[i], np.zeros(1, np.uint64))])
-            streams = max(1, min(max(LEAST_STREAMS, min(STREAMS, len(joined) // (WINDOW * STEPS))), len(joined) // WINDOW))
+            streams = max(1, min(max(LEAST_STREAMS, min(STREAMS, len(joined) // (WINDOW * least))), len(joined) // WINDOW))
             length = len(joined) // streams
             hashes = joined[: streams * length].reshape(streams, length)
-            ids = self.v.ids(hashes)
-            inputs = np.concatenate([np.zeros((streams, 1), np.int64), self.v.inputs(ids, hashes)[:, :-1]], 1)
+            ids = self.v.ids(hashes).astype(np.int32)
+            inputs = np.zeros_like(ids)
+            inputs[:, 1:] = self.v.inputs(ids, hashes)[:, :-1]
             h, total = np.zeros((streams, STATE), np.float32), passes * -(-length // WINDOW)
             for low in range(0, length, WINDOW):
                 grads, h = self._window(inputs[:, low : low + WINDOW], ids[:, low : low + WINDOW], h)

@@ -30,8 +30,8 @@ from glossmill.llm.words import WordHasher
 SAMPLE, CHARS, PASSES = 800, 20_000, 2
 #: The rate of the second step.
 RATE = 0.003
-#: Words that a partition trains on before it reads on.
-AT_ONCE = 2_000_000
+#: Words that a partition trains on before it reads on, and the windows that they make at least.
+AT_ONCE, STEPS = 1_000_000, 50
 #: Bytes of text in a block of documents, and of words' rows in a range of hashes.
 BLOCK_BYTES, RANGE_BYTES = 12 << 20, 12 << 20
 
@@ -129,7 +129,7 @@ def learn(spark: SparkSession, docs: DataFrame, parts: int = 8) -> LanguageModel
             nonlocal own, total, texts
             if own is None:
                 own = LanguageModel(shared.value.v).load(shared.value.flat())
-            total += own.train(texts, rate=RATE, seed=total + 1)
+            total += own.train(texts, rate=RATE, seed=total + 1, least=STEPS)
             texts = []
 
         for batch in batches:
