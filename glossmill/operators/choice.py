@@ -197,5 +197,5 @@ def agreement(one: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
 
 def accuracy(choices: DataFrame) -> DataFrame:
     """Labelled sentences(offered: chosen translations separated by |, expected: array): how many overlap."""
-    offered = F.transform(F.split("offered", r"\|"), F.trim)
+    offered = F.transform(F.split("offered", r"\|"), lambda x: F.trim(x))
     return choices.agg(F.count("*").alias("n"), F.count_if(F.arrays_overlap(offered, F.col("expected"))).alias("right"))

@@ -98,7 +98,7 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = rows.select("w", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("n")).filter("size(w) >= n")
     heads = runs.select(F.explode(F.expr("transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' '))")).alias("written_rep")).distinct().withColumn("h", number(F.col("written_rep")))
     senses = heads.select("written_rep", "h", F.explode(F.sequence(F.lit(1), (F.pmod("h", F.lit(4)) + 1).cast("int"))).alias("k"))
-    pos = F.element_at(F.array(*map(F.lit, ENTRY_POS)), (F.pmod(F.expr("h div 7") + F.col("k"), F.lit(6)) + 1).cast("int"))
+    pos = F.element_at(F.array(*map(F.lit, ENTRY_POS)), (F.pmod(F.expr("h div 7 + k div 2"), F.lit(6)) + 1).cast("int"))
     entry = F.concat(F.lit("eng/"), F.replace("written_rep", F.lit(" "), F.lit("_")), F.lit("__"), pos, F.lit("__"), F.col("k").cast("string"))
     return senses.select(
         F.when(F.pmod(F.col("h") + F.col("k"), F.lit(11)) > 0, entry).alias("lexentry"), F.when(F.pmod("h", F.lit(3)) > 0, F.concat(F.lit("sense "), F.col("k").cast("string"))).alias("sense"), "written_rep",
@@ -113,7 +113,7 @@ DICTIONARY_SQL = f"""bwords AS (SELECT regexp_extract_all(lower(text), {WORD_SQL
     hashed AS (SELECT written_rep, {number_sql("written_rep")} AS h FROM heads),
     sensed AS (SELECT written_rep, h, unnest(range(1, h % 4 + 2)) AS k FROM hashed),
     dictionary AS (SELECT
-        CASE WHEN (h + k) % 11 > 0 THEN concat('eng/', replace(written_rep, ' ', '_'), '__', ['Noun', 'Verb', 'Adjective', 'Adverb', 'Interjection', 'Proper_noun'][(h // 7 + k) % 6 + 1], '__', k) END AS lexentry,
+        CASE WHEN (h + k) % 11 > 0 THEN concat('eng/', replace(written_rep, ' ', '_'), '__', ['Noun', 'Verb', 'Adjective', 'Adverb', 'Interjection', 'Proper_noun'][(h // 7 + k // 2) % 6 + 1], '__', k) END AS lexentry,
         CASE WHEN h % 3 > 0 THEN concat('sense ', k) END AS sense, written_rep, concat('t', h % 97, ' | u', k) AS trans_list,
         ((h // 3 + k // 2) % 250)::double AS score, k AS src_row, (h % 1000) / 10.0 AS importance FROM sensed),
     entries AS (SELECT *, CASE WHEN lexentry IS NOT NULL THEN string_split(lexentry, '__')[2] END AS entry_pos FROM dictionary)"""
