@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import Batches, bounded_batches, materialize, row_ids, utf8_buffers
+from glossmill.llm.common import Batches, bounded_batches, fresh_names, join_sized, materialize, row_ids, utf8_buffers
 from glossmill.llm.words import WordHasher, mix, shingles
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99998
@@ -359,6 +359,12 @@ def _smallest(rid: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
     return [(x, least[k]) for x, k in zip(rid.tolist(), label.tolist(), strict=True)]
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges with the least neighbour m of their node a; a hub's edges stay where they are (see join_sized)."""
+    total = least.agg(F.sum("degree")).first()[0] or 0
+    return join_sized(edges, least, ["a"], "degree", total).drop("degree")
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """node and label (the smallest node of its component) by alternating large and small stars (Kiveris et al., 2014)."""
     edges = materialize(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
@@ -366,11 +372,11 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     known = mark(edges)
     while known[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = materialize(spark, both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("degree")), "links-least")
+        large = _with_least(both, least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = materialize(spark, large, "links")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        low = materialize(spark, large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")), "links-least")
+        small = _with_least(large, low).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         edges = materialize(spark, small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
         now = mark(edges)
         if now == known:
@@ -416,8 +422,9 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, similarity: float = SI
     active = materialize(spark, _by_bucket(dealt).mapInArrow(_active(runs, cutoff), schema), "jaccard-active")
     # Whole sets are made again for the texts that have a partner, and for these alone.
     wanted = active.select("rid").distinct().join(sets.select("rid", "sig", F.col("first.doc_id").alias("doc_id")), "rid")
-    spread = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    texts = docs.withColumn("_spread", spread).join(wanted.select(spread.alias("_spread")).distinct(), "_spread", "left_semi").select("text")
+    # Rows without a doc_id can't be looked up and are all read again; a set that nobody wants finds no partner below.
+    ids = wanted.filter("doc_id is not null").select("doc_id").distinct().hint("merge")
+    texts = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").select("text").unionByName(docs.filter("doc_id is null").select("text"))
 
     def whole(batches: Batches) -> Batches:
         hasher = WordHasher()
@@ -444,8 +451,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, similarity: float = SIMIL
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row of each class, that with the smallest doc_id, with all its columns."""
-    numbered = materialize(spark, row_ids(docs, "_uid"), "jaccard-input")
-    classes = jaccard_classes(spark, numbered.select(F.col("_uid").alias("row_uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    stay = classes.filter(F.col("row_uid") == F.col("class_uid")).select(F.col("row_uid").alias("_uid"))
-    return numbered.join(stay, "_uid", "left_semi").select(docs.columns)
+    """One row of each class, that with the smallest doc_id, with all its columns, whatever these are called."""
+    (uid,) = fresh_names(docs, "row_uid")
+    numbered = materialize(spark, row_ids(docs, uid), "jaccard-input")
+    classes = jaccard_classes(spark, numbered.select(F.col(uid).alias("row_uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    stay = classes.filter(F.col("row_uid") == F.col("class_uid")).select(F.col("row_uid").alias(uid))
+    return numbered.join(stay, uid, "left_semi").select(docs.columns)

@@ -127,3 +127,37 @@ def test_recall_counts_the_cutoff_and_shared_coordinates():
     agree = np.random.default_rng(3).binomial(N.COORDINATES, N.SIMILARITY, 4_000_000)  # equal tokens of pairs at the threshold
     lost = np.where(agree < cutoff, 1.0, (1 - np.array([N.found_at(k / N.COORDINATES) for k in range(N.COORDINATES + 1)])[agree]) ** runs)
     assert 1 - lost.mean() >= N.RECALL
+
+
+def test_recall_of_a_thousand_links_near_the_threshold(spark, documents):
+    """Pairs with a similarity of 0.80 to 0.86, measured against brute force."""
+    r = random.Random(23)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(20_000)]
+    rows = []
+    for i in range(1000):
+        base = [r.choice(words) for _ in range(204)]
+        copy = list(base)
+        for place in range(20, 20 + 4 * 45, 45):  # four edits far apart leave 180 of 220 shingles in common
+            copy[place + r.randrange(20)] = f"new{r.randrange(10**9)}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    sets = sets_of(rows)
+    near = {i for i in range(1000) if len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1])}
+    assert len(near) >= 1000 and all(len(sets[2 * i] & sets[2 * i + 1]) < 0.86 * len(sets[2 * i] | sets[2 * i + 1]) for i in near)
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in N.jaccard_join(spark, documents(rows)).collect()}
+    assert all(n <= 1 and c in (i, i - 1) for i, (c, n) in got.items())
+    found = sum(got[2 * i] == (2 * i, 1) and got[2 * i + 1] == (2 * i, 1) for i in near)
+    assert found >= 0.99 * len(near)
+
+
+def test_columns_called_like_helpers_keep_their_values(spark, prose):
+    rows = [(1, prose(1, 60), 77, "x"), (2, prose(1, 60), 78, "y"), (3, None, 79, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_uid long, _uid string")
+    assert sorted(map(tuple, N.drop_near_copies(spark, docs).collect())) == [rows[0], rows[2]]
+
+
+def test_components_with_a_hub(spark):
+    hub = [(0, i) for i in range(1, 500)]
+    chain = [(1000 + i, 1001 + i) for i in range(40)]
+    edges = spark.createDataFrame(hub + chain + [(5, 5)], "a long, b long")
+    got = {x["node"]: x["label"] for x in N.components(spark, edges).collect()}
+    assert {got[i] for i in range(1, 500)} == {0} and {got[i] for i in range(1001, 1041)} == {1000}
