@@ -278,10 +278,10 @@ def covered_ranges(spark: SparkSession, docs: DataFrame, length: int = LENGTH, l
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = materialize(spark, source.mapInArrow(_blocks, BLOCKS), "substring-blocks")
     size = plan_bytes(blocks)
-    parts = max(8, min(4096, -(-size // (2 * RANGE_BYTES))))
+    parts = max(8, -(-size // (2 * RANGE_BYTES)))  # a block has a row a range that it has anchors of, so never more rows than anchors
     seen = blocks.mapInArrow(_seen(parts, length), "block long, part int, hashes binary, often binary")
     flags = materialize(spark, seen.groupBy("part").applyInArrow(_again, "block long, part int, flags binary, n long"), "substring-anchors")
-    shards = max(8, min(65536, -(-(flags.agg(F.sum("n")).first()[0] or 0) * (length + 80) // SHARD_BYTES)))
+    shards = max(8, -(-(flags.agg(F.sum("n")).first()[0] or 0) * (length + 80) // SHARD_BYTES))
     schema = "shard int, block long, lows binary, which binary, sizes binary, runs binary"
     runs = blocks.groupBy("block").cogroup(flags.select("block", "part", "flags").groupBy("block")).applyInArrow(_runs(shards, length), schema)
     ranges = runs.groupBy("shard").applyInArrow(_sorted(length, limit), "block long, ranges binary")
