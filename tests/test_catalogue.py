@@ -12,7 +12,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from glossmill.plans import catalogue
+from glossmill.plans import catalogue, registry
 
 DATA = "/root/testdata/sf0.001"
 
@@ -28,7 +28,7 @@ def rows_of(frame):
     return columns, sorted(repr([plain(v) for v in r]) for r in frame[columns].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark", "events", "conversations"):

@@ -14,57 +14,57 @@ def rows(df, *columns):
 
 
 def test_part_of_speech_filters_and_null_senses_stay(spark, dictionary):
-    got = lookup.candidate_lists(lemmas(spark, ("watch", "NOUN"), ("watch", "VERB"), ("Watch", "NOUN")), dictionary).collect()
+    got = lookup.candidate_lists(lemmas(spark, ("plum", "NOUN"), ("plum", "VERB"), ("Plum", "NOUN")), dictionary).collect()
     by = {(r["lemma"], r["pos"]): r["candidates"] for r in got}
-    assert [x["trans_list"] for x in by["watch", "NOUN"]] == ["Uhr | Armbanduhr", "Wache"] and by["watch", "NOUN"][0]["sense"] is None
-    assert len(by["watch", "VERB"]) == 1 and by["Watch", "NOUN"] == []
+    assert [x["trans_list"] for x in by["plum", "NOUN"]] == ["Zwetschge | Pflaumenbaum", "Pöstchen"] and by["plum", "NOUN"][0]["sense"] is None
+    assert len(by["plum", "VERB"]) == 1 and by["Plum", "NOUN"] == []
 
 
 def test_null_scores_come_last(spark, dictionary):
-    got = lookup.candidate_lists(lemmas(spark, ("all", "ADV")), dictionary).first()["candidates"]
-    assert [x["score"] for x in got] == [3.0, None]
+    got = lookup.candidate_lists(lemmas(spark, ("then", "ADV")), dictionary).first()["candidates"]
+    assert [x["score"] for x in got] == [1.5, None]
 
 
 def test_no_entry_leaves_a_placeholder(spark, dictionary):
-    got = lookup.candidates(lemmas(spark, ("xyzzy", "NOUN"), ("bank", "NOUN")), dictionary).withColumn("label", lookup.label())
-    assert rows(got, "lemma", "uncertain", "label") == [("bank", False, "institution"), ("xyzzy", True, lookup.UNCERTAIN_LABEL)]
+    got = lookup.candidates(lemmas(spark, ("xyzzy", "NOUN"), ("lamp", "NOUN")), dictionary).withColumn("label", lookup.label())
+    assert rows(got, "lemma", "uncertain", "label") == [("lamp", False, "thing that gives light"), ("xyzzy", True, lookup.UNCERTAIN_LABEL)]
 
 
 def test_unknown_part_of_speech_is_an_error(spark, dictionary):
     with pytest.raises(Exception, match="no dictionary name"):
-        lookup.candidates(lemmas(spark, ("bank", "PROPN")), dictionary).collect()
+        lookup.candidates(lemmas(spark, ("lamp", "PROPN")), dictionary).collect()
 
 
 def test_variants_have_no_placeholder(spark, dictionary):
-    got = lookup.pos_variants(lemmas(spark, ("saw", ""), ("xyzzy", ""), ("of the", "")), dictionary)
-    assert rows(got, "lemma", "pos", "score") == [("saw", "NOUN", 101.1), ("saw", "NOUN", 240.0), ("saw", "VERB", 172.5)]
+    got = lookup.pos_variants(lemmas(spark, ("row", ""), ("xyzzy", ""), ("by the", "")), dictionary)
+    assert rows(got, "lemma", "pos", "score") == [("row", "NOUN", 200.0), ("row", "NOUN", 60.75), ("row", "VERB", 150.5)]
 
 
 def test_expressions_need_a_sure_entry_that_is_no_name(spark, dictionary):
-    asked = lemmas(spark, ("GIVE up", ""), ("of the", ""), ("south america", ""), ("at all", ""))
-    assert rows(lookup.contiguous_candidates(asked, dictionary), "lemma", "sense") == [("GIVE up", "admit defeat"), ("GIVE up", "surrender"), ("at all", None)]
+    asked = lemmas(spark, ("PACK in", ""), ("by the", ""), ("blue harbour", ""), ("by heart", ""))
+    assert rows(lookup.contiguous_candidates(asked, dictionary), "lemma", "sense") == [("PACK in", "draw a crowd"), ("PACK in", "end a habit"), ("by heart", None)]
 
 
 def test_equal_scores_keep_the_order_of_rows(spark, dictionary):
-    got = lookup.contiguous_candidates(lemmas(spark, ("give up", "")), dictionary).groupBy("lemma").agg(lookup.best_first().alias("c")).first()["c"]
-    assert [x["sense"] for x in got] == ["admit defeat", "surrender"]
+    got = lookup.contiguous_candidates(lemmas(spark, ("pack in", "")), dictionary).groupBy("lemma").agg(lookup.best_first().alias("c")).first()["c"]
+    assert [x["sense"] for x in got] == ["end a habit", "draw a crowd"]
 
 
 def test_observed_particle_verb_stays_uncertain(spark, dictionary):
-    got = lookup.particle_verb_candidates(lemmas(spark, ("draw up", "VERB"), ("give up", "VERB")), dictionary)
-    assert rows(got, "lemma", "uncertain") == [("draw up", True), ("give up", False), ("give up", False)]
+    got = lookup.particle_verb_candidates(lemmas(spark, ("row up", "VERB"), ("pack in", "VERB")), dictionary)
+    assert rows(got, "lemma", "uncertain") == [("pack in", False), ("pack in", False), ("row up", True)]
 
 
 def test_unfiltered_counts_and_best_expressions(spark, dictionary):
-    assert rows(lookup.unfiltered_counts(lemmas(spark, ("saw", "NOUN"), ("of the", "")), dictionary), "lemma", "n") == [("of the", 0), ("saw", 3)]
+    assert rows(lookup.unfiltered_counts(lemmas(spark, ("row", "NOUN"), ("by the", "")), dictionary), "lemma", "n") == [("by the", 0), ("row", 3)]
     best = {r["key"]: r for r in lookup.best_expressions(dictionary).collect()}
-    assert best["give up"]["sense"] == "admit defeat" and best["of the"]["entry_pos"] == "?"
+    assert best["pack in"]["sense"] == "end a habit" and best["by the"]["entry_pos"] == "?"
 
 
 def test_preset_knows_every_sense(spark, dictionary):
-    words = spark.createDataFrame([("saw", 1), ("give up", 2), ("xyzzy", 3), ("bank", 501)], "lemma string, rank int")
+    words = spark.createDataFrame([("row", 1), ("pack in", 2), ("xyzzy", 3), ("lamp", 501)], "lemma string, rank int")
     senses = preset.preset_senses(words, dictionary, "a1")
-    assert rows(senses, "lemma", "pos") == [("give up", ""), ("give up", ""), ("saw", "NOUN"), ("saw", "NOUN"), ("saw", "VERB")]
+    assert rows(senses, "lemma", "pos") == [("pack in", ""), ("pack in", ""), ("row", "NOUN"), ("row", "NOUN"), ("row", "VERB")]
     assert preset.preset_counts(words, senses, "a1").first().asDict() == {"lemma_pos_pairs": 3, "senses": 5, "covered_lemmas": 2, "total_lemmas": 3}
     with pytest.raises(ValueError, match="c2"):
         preset.preset_senses(words, dictionary, "c2")

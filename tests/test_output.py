@@ -258,3 +258,10 @@ def test_cached_ratios_are_made_once(spark, tmp_path):
     for _ in range(2):
         assert tables.cached_ratios(spark, str(tmp_path), "k", make).first()["ratio"] == 0.5
     assert len(made) == 1
+
+
+def test_too_long_questions_are_marked_where_a_corpus_goes_on(spark):
+    rows = entries(spark, [("e", "s" * 12_000, "x", False), ("e", "b", "y", False)], [("e", "a", "x", False), ("e", "b", "y", False)], [("e", "s" * 12_000, "x", False)])
+    got = {r["word_form"]: r for r in choice.resolved(choice.choose(rows, choice.first_sense, "mark")).collect()}
+    assert [got[f"w{i}"]["choice_obstacle"] for i in range(3)] == [choice.TOO_LONG, None, choice.TOO_LONG]
+    assert got["w1"]["choice"] == 1 and got["w0"]["sense_chosen"] is None and got["w2"]["sense_chosen"] is None

@@ -61,7 +61,7 @@ def test_bad_events_are_refused(spark, bad):
 
 def test_profile_tables_are_idempotent_and_versioned(spark, tmp_path, dictionary):
     own = profile.Profile(spark, str(tmp_path / "p"))
-    words = spark.createDataFrame([("saw", 1), ("give up", 2)], "lemma string, rank int")
+    words = spark.createDataFrame([("row", 1), ("pack in", 2)], "lemma string, rank int")
     assert preset.write_preset(own, words, dictionary, None, T0) is None and own.read("event") is None
     counts = preset.write_preset(own, words, dictionary, "a1", T0).first()
     assert counts["senses"] == 5 == own.events().count() and own.cefr_level() == "a1"
