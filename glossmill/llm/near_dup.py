@@ -3,10 +3,12 @@
 A text is the set of its shingles of five words. Sets are embedded into sketches of COORDINATES tokens
 (8-bit minima of hash functions), of which two sets share a part equal to their similarity. In each run
 sets go down a tree: at each node two sampled coordinates are chosen, and sets that share the token there
-go on together. What has the same path at the leaf is a bucket. Buckets above SIDE sets, however large,
-are compared block against block, so that no pair of a bucket parts. In a bucket pairs are first estimated by sketches, then verified on the whole sets, and a link counts only in the first bucket
-that its two sets share, so that no table of pairs is needed. Runs repeat until a pair at the threshold
-is found with probability RECALL.
+go on together. A node of up to SPLIT sets is a leaf, and so is one that kept more than SHRINK of its parent's
+sets, which are alike, and one at DEPTH; all others are split further, so that the depth follows the data.
+The sets of a leaf are a bucket. Buckets above SIDE sets, however large, are compared block against block, so
+that no pair of a bucket parts. In a bucket pairs are first estimated by sketches, then verified on the whole
+sets, and a link counts only in the first bucket that its two sets share, so that no table of pairs is needed.
+Runs repeat until a pair at the threshold is found with probability RECALL at DEPTH; it is found likelier above.
 
 Defined results: null text counts as empty; texts without a word have one class and no link; a text of
 one to four words is one shingle; equal sets are one class member each with the links of their set;
@@ -28,11 +30,13 @@ from glossmill.llm.common import Batches, bounded_batches, fresh_names, join_siz
 from glossmill.llm.words import WordHasher, mix, shingles
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99998
-COORDINATES, DEPTH = 128, 3
+COORDINATES, DEPTH = 128, 4
 #: Sets above which a bucket is compared in blocks of so many, block against block.
 SIDE = 2048
-#: Without effect since buckets are no longer split; the name stays for callers that set it.
-SPLIT = 65536
+#: Nodes up to so many sets are leaves, and so are nodes with more than this share of their parent's sets.
+SPLIT, SHRINK = 4, 0.75
+#: Runs of which the inner nodes above DEPTH fit the bits of a long, level by level.
+MOST_RUNS = 62 >> (DEPTH - 1)
 #: Standard deviations of a sketch's estimate that a pair at the threshold may lie under it.
 SLACK = 5.0
 #: Up to so many sets of a bucket have their pairs listed; more are compared as matrices.
@@ -60,10 +64,10 @@ def recall_of(similarity: float, runs: int, cutoff: int) -> float:
 
 def runs_for(similarity: float, recall: float) -> int:
     cutoff = cutoff_for(similarity)
-    for runs in range(1, (62 >> DEPTH) + 1):
+    for runs in range(1, MOST_RUNS + 1):
         if recall_of(similarity, runs, cutoff) >= recall:
             return runs
-    raise ValueError(f"a recall of {recall} at a similarity of {similarity} takes more than {62 >> DEPTH} runs")
+    raise ValueError(f"a recall of {recall} at a similarity of {similarity} takes more than {MOST_RUNS} runs")
 
 
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -96,21 +100,35 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def path_keys(sketch: np.ndarray, runs: int) -> np.ndarray:
-    """The leaf of each set in each slot (a run and a branch of its tree)."""
+def path_levels(sketch: np.ndarray, runs: int, depth: int) -> list[np.ndarray]:
+    """The node of each set in each slot (a run and its branches so far), level by level; slot k has the children 2k and 2k + 1."""
+    level = [mix(np.full(len(sketch), run + 1, np.uint64) * np.uint64(0xA0761D6478BD642F)) for run in range(runs)]
     out = []
-    for run in range(runs):
-        level = [mix(np.full(len(sketch), run + 1, np.uint64) * np.uint64(0xA0761D6478BD642F))]
-        for _ in range(DEPTH):
-            following = []
-            for path in level:
-                for branch in range(2):
-                    chosen = mix(path + np.uint64(branch + 1))
-                    token = np.take_along_axis(sketch, (chosen % np.uint64(COORDINATES)).astype(np.int64)[:, None], 1)[:, 0]
-                    following.append(mix(chosen ^ (token.astype(np.uint64) + np.uint64(1)) * np.uint64(0x8EBC6AF09C88C6E3)))
-            level = following
-        out += level
-    return np.stack(out, 1) if out else np.zeros((len(sketch), 0), np.uint64)
+    for _ in range(depth):
+        following = []
+        for path in level:
+            for branch in range(2):
+                chosen = mix(path + np.uint64(branch + 1))
+                token = np.take_along_axis(sketch, (chosen % np.uint64(COORDINATES)).astype(np.int64)[:, None], 1)[:, 0]
+                following.append(mix(chosen ^ (token.astype(np.uint64) + np.uint64(1)) * np.uint64(0x8EBC6AF09C88C6E3)))
+        level = following
+        out.append(np.stack(level, 1))
+    return out
+
+
+def leaf_keys(sketch: np.ndarray, ends: np.ndarray, runs: int) -> np.ndarray:
+    """The leaf of each set in each slot of the lowest level; a leaf further up stands in all slots under it.
+
+    ends: for each level above the lowest, bits of the slots that are leaves there.
+    """
+    depth = ends.shape[1] + 1
+    levels = path_levels(sketch, runs, depth)
+    out = levels[-1]
+    for d in range(1, depth):
+        ended = (ends[:, d - 1, None] >> np.arange(levels[d - 1].shape[1]) & 1).astype(bool)
+        width = 1 << (depth - d)
+        out = np.where(np.repeat(ended, width, 1), np.repeat(levels[d - 1], width, 1), out)
+    return out
 
 
 def _binary_rows(array: pa.Array, width: int) -> np.ndarray:
@@ -131,15 +149,66 @@ def _sign(batches: Batches) -> Batches:
         )
 
 
-def _leaves(runs: int):
+NODES = "key long, slot int, rid long, level int, parent long"
+
+
+def _goes_on(size, parent):
+    """Whether a node that isn't at DEPTH is split; of arrays or of columns."""
+    return (size > SPLIT) & (size <= SHRINK * parent)
+
+
+def _nodes(keys: np.ndarray, slots: np.ndarray, rid: np.ndarray, level: int, parent: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys.view(np.int64)), pa.array(slots.astype(np.int32)), pa.array(rid), pa.array(np.full(len(keys), level, np.int32)), pa.array(parent.astype(np.int64))],
+        ["key", "slot", "rid", "level", "parent"],
+    )
+
+
+def _first_level(runs: int):
+    """Sets of each node of the first level: 256 nodes a slot, whatever the input."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            if batch.num_rows:
+                keys, often = np.unique(path_levels(_binary_rows(batch.column("sketch"), COORDINATES), runs, 1)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(often.astype(np.int64))], ["key", "size"])
+
+    return run
+
+
+def _second_level(runs: int, keys: np.ndarray, sizes: np.ndarray):
+    """Leaves of the first level, and the children of its other nodes; keys (rising) and sizes: all nodes of the first level."""
+    total = int(sizes.sum()) // (2 * runs)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first, second = path_levels(_binary_rows(batch.column("sketch"), COORDINATES), runs, 2)
+            rid = batch.column("rid").to_numpy()
+            size = sizes[np.searchsorted(keys, first)]
+            further = _goes_on(size, total)
+            row, slot = np.nonzero(~further & (size > 1))
+            yield _nodes(first[row, slot], slot, rid[row], 1, np.full(len(row), total))
+            row, slot = np.nonzero(np.repeat(further, 2, 1))
+            yield _nodes(second[row, slot], slot, rid[row], 2, size[row, slot // 2])
+
+    return run
+
+
+def _next_level(runs: int, level: int):
+    """Children of the nodes of a level that are split."""
+
     def run(batches: Batches) -> Batches:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = path_keys(_binary_rows(batch.column("sketch"), COORDINATES), runs).view(np.int64)
-            slots = keys.shape[1]
-            rid = np.repeat(batch.column("rid").to_numpy(), slots)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(slots, dtype=np.int32), len(keys))), pa.array(rid)], ["key", "slot", "rid"])
+            below = path_levels(_binary_rows(batch.column("sketch"), COORDINATES), runs, level + 1)[-1]
+            row = np.repeat(np.arange(batch.num_rows), batch.column("slots").value_lengths().to_numpy())
+            slot, size = (batch.column(k).flatten().to_numpy().astype(np.int64) for k in ("slots", "sizes"))
+            rid = batch.column("rid").to_numpy()[row]
+            for branch in range(2):
+                yield _nodes(below[row, 2 * slot + branch], 2 * slot + branch, rid, level + 1, size)
 
     return run
 
@@ -185,7 +254,7 @@ class Bucket:
         self.side = table["side"].to_numpy()
         self.crossed = table["crossed"].to_numpy(zero_copy_only=False)
         self.sketch = _binary_rows(table["sketch"].combine_chunks(), COORDINATES)
-        self.keys = path_keys(self.sketch, runs)
+        self.keys = leaf_keys(self.sketch, table["ends"].combine_chunks().flatten().to_numpy().reshape(len(self.rid), -1), runs)
         self.cutoff = cutoff
         self.borders = _runs_of(self.bucket)
 
@@ -385,17 +454,39 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
 
 
-def _in_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+def _in_blocks(rows: DataFrame) -> DataFrame:
     """Adds bucket, side and crossed; a bucket above SIDE is dealt into blocks of which each two make a bucket of their own."""
-    joined = rows.join(sizes, "key").filter("size > 1")
-    blocks = F.ceil(F.col("size") / SIDE).cast("int")
-    joined = joined.withColumn("blocks", blocks)
+    joined = rows.withColumn("blocks", F.ceil(F.col("size") / SIDE).cast("int"))
     joined = joined.withColumn("side", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     joined = joined.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("side", "other"), F.greatest("side", "other")
     return joined.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("bucket"), "slot", "rid", "side", (low != high).alias("crossed"))
 
 
+def _leaves(spark: SparkSession, full: DataFrame, runs: int) -> tuple[DataFrame, int]:
+    """key, slot, level, rid, size of the leaves of more than one set, and the lowest level."""
+    first = full.mapInArrow(_first_level(runs), "key long, size long").groupBy("key").agg(F.sum("size").alias("size")).collect()  # at most 512 a run
+    first.sort(key=lambda r: r["key"] % (1 << 64))
+    keys, sizes = np.array([r["key"] for r in first], np.int64).view(np.uint64), np.array([r["size"] for r in first], np.int64)
+    rows, leaves, level = full.mapInArrow(_second_level(runs, keys, sizes), NODES), [], 2
+    while True:
+        rows = materialize(spark, rows, "jaccard-nodes")
+        sized = materialize(spark, rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key"), "jaccard-leaves")
+        further = (F.col("level") == level) & F.lit(level < DEPTH) & _goes_on(F.col("size"), F.col("parent"))
+        leaves.append(sized.filter(~further).select("key", "slot", "level", "rid", "size"))
+        inner = sized.filter(further)
+        if inner.isEmpty():
+            break
+        # A set is in no more nodes of a level than there are slots.
+        inner = inner.groupBy("rid").agg(F.collect_list(F.struct("slot", "size")).alias("nodes")).join(full, "rid")
+        rows = inner.select("rid", "sketch", F.col("nodes.slot").alias("slots"), F.col("nodes.size").alias("sizes")).mapInArrow(_next_level(runs, level), NODES)
+        level += 1
+    out = leaves[0]
+    for x in leaves[1:]:
+        out = out.unionByName(x)
+    return out, level
+
+
 def _by_bucket(rows: DataFrame) -> DataFrame:
     return rows.repartition(F.col("bucket")).sortWithinPartitions("bucket", "rid")
 
@@ -413,12 +504,12 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, similarity: float = SI
     sets = signed.groupBy("sig").agg(order, F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     sets = materialize(spark, sets.withColumn("rid", F.monotonically_increasing_id()), "jaccard-sets")
     full = sets.filter("n > 0").select("rid", "sketch")
-    rows = materialize(spark, full.mapInArrow(_leaves(runs), "key long, slot int, rid long"), "jaccard-leaves")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    kept = materialize(spark, rows.join(sizes, "key"), "jaccard-buckets")
-    sizes = kept.select("key", "size").distinct()
-    dealt = _in_blocks(kept.drop("size"), sizes).join(full, "rid").select("bucket", "slot", "rid", "side", "crossed", "sketch")
-    schema = "bucket long, slot int, rid long, side int, crossed boolean, sketch binary"
+    leaves, lowest = _leaves(spark, full, runs)
+    ends = [F.coalesce(F.bit_or(F.when(F.col("level") == d, F.expr("shiftleft(1L, slot)"))), F.lit(0).cast("long")) for d in range(1, lowest)]
+    of_set = leaves.groupBy("rid").agg(F.array(*ends).alias("ends")).join(full, "rid")
+    leaves = leaves.withColumn("slot", F.col("slot") * F.expr(f"shiftleft(1, {lowest} - level)"))  # the first slot under the leaf
+    dealt = _in_blocks(leaves).join(of_set, "rid").select("bucket", "slot", "rid", "side", "crossed", "sketch", "ends")
+    schema = "bucket long, slot int, rid long, side int, crossed boolean, sketch binary, ends array<long>"
     active = materialize(spark, _by_bucket(dealt).mapInArrow(_active(runs, cutoff), schema), "jaccard-active")
     # Whole sets are made again for the texts that have a partner, and for these alone.
     wanted = active.select("rid").distinct().join(sets.select("rid", "sig", F.col("first.doc_id").alias("doc_id")), "rid")

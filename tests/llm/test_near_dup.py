@@ -161,3 +161,25 @@ def test_components_with_a_hub(spark):
     edges = spark.createDataFrame(hub + chain + [(5, 5)], "a long, b long")
     got = {x["node"]: x["label"] for x in N.components(spark, edges).collect()}
     assert {got[i] for i in range(1, 500)} == {0} and {got[i] for i in range(1001, 1041)} == {1000}
+
+
+@pytest.mark.parametrize("shrink", [0.75, 1.0])
+def test_depth_follows_the_size_of_nodes(spark, documents, prose, monkeypatch, shrink):
+    """At the registered SPLIT, and with alike sets split down to the lowest level."""
+    monkeypatch.setattr(N, "SHRINK", shrink)
+    rows = list(enumerate(corpus(prose)))
+    got = sorted(tuple(r) for r in N.jaccard_join(spark, documents(rows)).select("doc_id", "class_id", "rep_id", "n_links").collect())
+    want = brute(rows)
+    assert [x[0::2] for x in got] == [x[0::2] for x in want]
+    assert all(a[3] <= b[3] for a, b in zip(got, want, strict=True)) and sum(b[3] - a[3] for a, b in zip(got, want, strict=True)) <= 2
+
+
+def test_a_leaf_stands_in_all_slots_under_it():
+    sketch = np.random.default_rng(5).integers(0, 256, (3, N.COORDINATES)).astype(np.uint8)
+    levels = N.path_levels(sketch, 2, 3)
+    assert [x.shape[1] for x in levels] == [4, 8, 16]
+    ends = np.zeros((3, 2), np.int64)
+    ends[0] = 1 << 1, 1 << 0
+    keys = N.leaf_keys(sketch, ends, 2)
+    assert (keys[1:] == levels[2][1:]).all() and (keys[0, 4:8] == levels[0][0, 1]).all() and (keys[0, :2] == levels[1][0, 0]).all()
+    assert (keys[0, 2:4] == levels[2][0, 2:4]).all() and (keys[0, 8:] == levels[2][0, 8:]).all()
