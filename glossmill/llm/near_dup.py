@@ -3,8 +3,9 @@
 A text is the set of its shingles of five words. Sets are embedded into sketches of COORDINATES tokens
 (8-bit minima of hash functions), of which two sets share a part equal to their similarity. In each run
 sets go down a tree: at each node two sampled coordinates are chosen, and sets that share the token there
-go on together. A node of up to SPLIT sets is a leaf, and so is one that kept more than SHRINK of its parent's
-sets, which are alike, and one at DEPTH; all others are split further, so that the depth follows the data.
+go on together. A node of up to SPLIT sets is a leaf, and so is one that kept more than SHRINK of the sets of the
+node counted above it, which are alike, and one at DEPTH; all others are split further, so that the depth follows
+the data. Nodes are counted at the first level and from level COUNTED on: one level alone parts few sets.
 The sets of a leaf are a bucket. Buckets above SIDE sets, however large, are compared block against block, so
 that no pair of a bucket parts. In a bucket pairs are first estimated by sketches, then verified on the whole
 sets, and a link counts only in the first bucket that its two sets share, so that no table of pairs is needed.
@@ -33,8 +34,10 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99998
 COORDINATES, DEPTH = 128, 4
 #: Sets above which a bucket is compared in blocks of so many, block against block.
 SIDE = 2048
-#: Nodes up to so many sets are leaves, and so are nodes with more than this share of their parent's sets.
-SPLIT, SHRINK = 4, 0.75
+#: Nodes up to so many sets are leaves, and so are nodes with more than this share of the sets of the node counted above.
+SPLIT, SHRINK = 128, 0.75
+#: The level after the first at which nodes are counted next.
+COUNTED = 3
 #: Runs of which the inner nodes above DEPTH fit the bits of a long, level by level.
 MOST_RUNS = 62 >> (DEPTH - 1)
 #: Standard deviations of a sketch's estimate that a pair at the threshold may lie under it.
@@ -176,22 +179,23 @@ def _first_level(runs: int):
     return run
 
 
-def _second_level(runs: int, keys: np.ndarray, sizes: np.ndarray):
-    """Leaves of the first level, and the children of its other nodes; keys (rising) and sizes: all nodes of the first level."""
+def _counted_level(runs: int, keys: np.ndarray, sizes: np.ndarray):
+    """Leaves of the first level, and what is at level COUNTED under its other nodes; keys (rising) and sizes: all nodes of the first level."""
     total = int(sizes.sum()) // (2 * runs)
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            first, second = path_levels(_binary_rows(batch.column("sketch"), COORDINATES), runs, 2)
+            first, *_, below = path_levels(_binary_rows(batch.column("sketch"), COORDINATES), runs, COUNTED)
             rid = batch.column("rid").to_numpy()
             size = sizes[np.searchsorted(keys, first)]
             further = _goes_on(size, total)
             row, slot = np.nonzero(~further & (size > 1))
             yield _nodes(first[row, slot], slot, rid[row], 1, np.full(len(row), total))
-            row, slot = np.nonzero(np.repeat(further, 2, 1))
-            yield _nodes(second[row, slot], slot, rid[row], 2, size[row, slot // 2])
+            under = 1 << (COUNTED - 1)
+            row, slot = np.nonzero(np.repeat(further, under, 1))
+            yield _nodes(below[row, slot], slot, rid[row], COUNTED, size[row, slot // under])
 
     return run
 
@@ -468,7 +472,7 @@ def _leaves(spark: SparkSession, full: DataFrame, runs: int) -> tuple[DataFrame,
     first = full.mapInArrow(_first_level(runs), "key long, size long").groupBy("key").agg(F.sum("size").alias("size")).collect()  # at most 512 a run
     first.sort(key=lambda r: r["key"] % (1 << 64))
     keys, sizes = np.array([r["key"] for r in first], np.int64).view(np.uint64), np.array([r["size"] for r in first], np.int64)
-    rows, leaves, level = full.mapInArrow(_second_level(runs, keys, sizes), NODES), [], 2
+    rows, leaves, level = full.mapInArrow(_counted_level(runs, keys, sizes), NODES), [], COUNTED
     while True:
         rows = materialize(spark, rows, "jaccard-nodes")
         sized = materialize(spark, rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key"), "jaccard-leaves")
