@@ -1,6 +1,12 @@
 """A corpus pipeline: five stages, each a table that the next one reads.
 
 ORACLE_SQL is None: SQL can express neither compression sizes nor byte-pair merges.
+
+Defined results: null and empty texts have no letter, so that the language stage drops them; of equal texts and of
+near copies the smallest doc_id stays, a null one only where no other is there, and one row where ids are equal too;
+repeated rows count as copies; texts are taken whole, however long; a null or empty benchmark item is in no
+document; an empty table gives an empty result. Columns besides those of documents go through all stages but the
+last unchanged, whatever they are called.
 """
 
 from __future__ import annotations
