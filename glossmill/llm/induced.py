@@ -5,7 +5,8 @@ the prefix shared with the tuple before) wait in a priority queue by symbol and
 what comes out induces tuples that come out later. Queue and results are kept on disk beyond a bound, so that
 memory holds a range of symbols at a time; the text itself is a file that is mapped. The suffixes that start
 an induction (an S type after an L type) are sorted by inducing the substrings between them, naming these, and
-sorting the string of names, by recursion as long as it is larger than the bound.
+sorting the string of names, by recursion as long as it is longer than a few thousand. Names are many and
+seldom repeat, so that a range of symbols at a time is settled there.
 
 Common-prefix values are kept up to a depth, and suffixes that agree on so many symbols may stand in either
 order. After Bingmann, Fischer and Osipov (2013), and Nong, Zhang and Chan (2009).
@@ -19,9 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 
-RECORD = np.dtype([("p", "<i8"), ("c", "<i4"), ("l", "u1")], align=True)
+RECORD = np.dtype([("p", "<i8"), ("c", "<i4"), ("l", "u1")], align=True)  # 16 bytes
 #: Tuples that one pass of numpy takes.
 PART = 1 << 18
+#: Names that are sorted without a further recursion.
+SHORT = 1 << 12
+#: More symbols than MANY are taken in ranges, of about RANGE suffixes each.
+MANY, RANGE = 1 << 10, 1 << 15
+
+
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """Records one after another; numpy is slow at joining many arrays of fields."""
+    return parts[0] if len(parts) == 1 else np.concatenate([x.view("c16") for x in parts]).view(RECORD)
 
 
 class Tape:
@@ -52,27 +62,28 @@ class Tape:
             out.append(np.fromfile(self.file, RECORD, end - low))
         if high > self.spilled:
             if len(self.parts) > 1:
-                self.parts = [np.concatenate(self.parts)]
+                self.parts = [joined(self.parts)]
             out.append(self.parts[0][max(low, self.spilled) - self.spilled : high - self.spilled])
-        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, RECORD)
+        return joined(out) if out else np.zeros(0, RECORD)
 
 
 class SymbolQueue:
     """A priority queue by symbol, first in first out within a symbol; only the range of symbols in turn is in memory."""
 
-    def __init__(self, symbols: int, folder: str, limit: int):
-        self.width = -(-symbols // 256)
-        self.later = [Tape(folder, limit // 256) for _ in range(256)]
+    def __init__(self, symbols: int, folder: str, limit: int, turns: int = 256):
+        self.width = -(-symbols // turns)
+        self.later = [Tape(folder, limit // turns) for _ in range(turns)]
         self.turn, self.now = -1, {}
 
-    def open(self, turn: int) -> None:
+    def open(self, turn: int) -> np.ndarray:
+        """What has come for a range of symbols."""
+        tape, self.later[turn] = self.later[turn], None
         self.turn, self.now = turn, {}
-        tape = self.later[turn]
-        if tape.size:
-            self._deal(tape.read(0, tape.size))
-        self.later[turn] = None
+        return tape.read(0, tape.size)
 
-    def _deal(self, records: np.ndarray) -> None:
+    def deal(self, records: np.ndarray) -> None:
+        if not len(records):
+            return
         if self.width > 1:
             records = records[np.argsort(records["c"], kind="stable")]
         borders = np.concatenate(([0], np.flatnonzero(np.diff(records["c"])) + 1, [len(records)]))
@@ -88,13 +99,13 @@ class SymbolQueue:
         for a, b in zip(borders[:-1], borders[1:], strict=True):
             turn = int(turns[a])
             if turn == self.turn:
-                self._deal(records[a:b])
+                self.deal(records[a:b])
             else:
                 self.later[turn].add(records[a:b])
 
     def take(self, symbol: int) -> np.ndarray | None:
         found = self.now.pop(symbol, None)
-        return None if found is None else found[0] if len(found) == 1 else np.concatenate(found)
+        return None if found is None else joined(found)
 
 
 class Shared:
@@ -181,13 +192,16 @@ class Sorter:
 
     def induce(self, seeds: np.ndarray, values: np.ndarray | None) -> tuple[Tape, np.ndarray, Tape, np.ndarray]:
         """Suffixes of type L rising and of type S falling, each with the borders of its symbols; seeds: sorted starting suffixes."""
+        seed_at = np.searchsorted(self.text[seeds], np.arange(self.symbols + 1))
+        if values is None and self.symbols > MANY:
+            large, large_at = self._ranges(seeds, seed_at, False)
+            return large, large_at, *self._ranges(large, large_at, True)
         queue = SymbolQueue(self.symbols, self.folder, self.limit)
         shared = Shared(self.symbols, self.depth) if values is not None else None
         large, large_at = Tape(self.folder, self.limit), np.zeros(self.symbols + 1, np.int64)
-        seed_at = np.searchsorted(self.text[seeds], np.arange(self.symbols + 1))
         for symbol in range(self.symbols):
             if symbol // queue.width != queue.turn:
-                queue.open(symbol // queue.width)
+                queue.deal(queue.open(symbol // queue.width))
             last = None
             while (batch := queue.take(symbol)) is not None:
                 large.add(batch)
@@ -207,7 +221,7 @@ class Sorter:
         small, small_at = Tape(self.folder, self.limit), np.zeros(self.symbols + 1, np.int64)
         for symbol in range(self.symbols - 1, -1, -1):
             if symbol // queue.width != queue.turn:
-                queue.open(symbol // queue.width)
+                queue.deal(queue.open(symbol // queue.width))
             last = None
             while (batch := queue.take(symbol)) is not None:
                 small.add(batch)
@@ -226,6 +240,81 @@ class Sorter:
         small_at[self.symbols] = 0
         return large, large_at, small, small_at
 
+    def _settled(self, come: np.ndarray, rest: np.ndarray, turn: int, width: int, smaller: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted tuples of a range of symbols, and what they induce beyond it.
+
+        come: tuples in order of arrival; rest: sorted suffixes of the other type, which follow those of their symbol.
+        Tuples that are induced inside the range point to the one that induces them. Their order is that of the chains
+        of symbols up to a tuple that came or a suffix of rest, and is found by doubling the links that are compared.
+        """
+        parts, source, last, at = [come["p"], rest["p"]], [], np.concatenate([come["p"], rest["p"]]), 0
+        fixed, beyond = len(last), []
+        while len(last):
+            of = np.arange(at, at + len(last))
+            at += len(last)
+            last = last - 1
+            valid = last >= 0
+            valid[valid] = self.smaller[last[valid]] == smaller
+            last, of = last[valid], of[valid]
+            inside = self.text[last] // width == turn
+            beyond.append((of[~inside], last[~inside]))
+            last = last[inside]
+            parts.append(last)
+            source.append(of[inside])
+        places = np.concatenate(parts)
+        symbols = self.text[places].astype(np.int64)
+        if smaller:
+            symbols = self.symbols - symbols
+        n = len(places)
+        link = np.concatenate([np.arange(fixed), *source])
+        # Those that came are first in their symbol, those induced inside the range next, and rest last.
+        kind = np.full(n, 1)
+        kind[: len(come)], kind[len(come) : fixed] = 0, 2
+        key = symbols * 3 + kind
+        order = np.argsort(key, kind="stable")
+        new = np.append(True, key[order[1:]] != key[order[:-1]])[:n] | (kind[order] != 1)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        while len(slots := np.flatnonzero(~(new & np.append(new[1:], True)))):
+            own = order[slots]
+            key = rank[own] * n + rank[link[own]]
+            turned = np.argsort(key)
+            own, key = own[turned], key[turned]
+            order[slots] = own
+            new[slots] = np.append(True, key[1:] != key[:-1])
+            rank[own] = np.maximum.accumulate(np.where(new[slots], slots, 0))
+            link[own] = link[link[own]]
+        known = order[kind[order] != 2]
+        out = np.zeros(len(known), RECORD)
+        out["p"], out["c"] = places[known], self.text[places[known]]
+        of, induced = (np.concatenate(x) for x in zip(*beyond, strict=True)) if beyond else (np.zeros(0, np.int64),) * 2
+        induced = induced[np.argsort(rank[of])]
+        symbols = self.text[induced]
+        turned = np.argsort(-symbols.astype(np.int64) if smaller else symbols, kind="stable")
+        later = np.zeros(len(induced), RECORD)
+        later["p"], later["c"] = induced[turned], symbols[turned]
+        return out, later
+
+    def _ranges(self, first: Tape | np.ndarray, first_at: np.ndarray, smaller: bool) -> tuple[Tape, np.ndarray]:
+        """What sorted suffixes of one type induce of the other, a range of symbols at a time; first_at: borders of their symbols."""
+        queue = SymbolQueue(self.symbols, self.folder, self.limit, min(self.symbols, 1024, 1 + len(self.text) // RANGE))
+        out, at = Tape(self.folder, self.limit), np.zeros(self.symbols + 1, np.int64)
+        turns = range(-(-self.symbols // queue.width))
+        for turn in reversed(turns) if smaller else turns:
+            low, high = turn * queue.width, min((turn + 1) * queue.width, self.symbols)
+            come, (a, b) = queue.open(turn), first_at[[low, high]]
+            rest = np.zeros(b - a, RECORD)
+            rest["p"] = first.read(int(a), int(b))["p"][::-1] if smaller else first[a:b]
+            symbols = np.arange(low, high)[:: -1 if smaller else 1]
+            known, beyond = self._settled(come, rest, turn, queue.width, smaller)
+            queue.push(beyond)
+            counts = np.cumsum(np.bincount(known["c"] - low, minlength=high - low)[symbols - low])
+            at[symbols if smaller else symbols + 1] = out.size + counts
+            out.add(known)
+        if smaller:
+            at[self.symbols] = 0
+        return out, at
+
     def sorted_starts(self) -> np.ndarray:
         """Starting suffixes in order (up to the depth, if there is one)."""
         starts = self.starts
@@ -248,7 +337,7 @@ class Sorter:
         if top == len(starts):
             ranked = np.empty(len(starts), np.int64)
             ranked[reduced] = np.arange(len(starts))
-        elif len(reduced) <= self.limit:
+        elif len(reduced) <= min(self.limit, SHORT):
             ranked = doubled(reduced, self.depth)
         else:
             ranked = Sorter(reduced, top, self.folder, self.limit, self.depth).order()
@@ -283,10 +372,14 @@ class Sorter:
         large, large_at, small, small_at = self.induce(self.sorted_starts(), None)
         out, at = np.empty(len(self.text), np.int64), 1
         out[0] = len(self.text) - 1
-        for symbol in range(self.symbols):
-            for tape, a, b, turn in ((large, large_at[symbol], large_at[symbol + 1], 1), (small, small_at[symbol + 1], small_at[symbol], -1)):
-                out[at : at + b - a] = tape.read(int(a), int(b))["p"][::turn]
-                at += b - a
+        width = -(-self.symbols // 256)
+        for low in range(0, self.symbols, width):
+            high = min(low + width, self.symbols)
+            rising, falling = large.read(*large_at[[low, high]].tolist())["p"], small.read(*small_at[[high, low]].tolist())["p"][::-1]
+            both = np.concatenate([rising, falling])
+            both = both[np.argsort(self.text[both], kind="stable")]
+            out[at : at + len(both)] = both
+            at += len(both)
         return out
 
     def neighbours(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -53,6 +53,23 @@ def test_sorter_equals_sorted_suffixes_in_memory_and_on_disk(memory, monkeypatch
             assert (np.concatenate(places).tolist(), np.concatenate(shared).tolist()) == suffixes([*own, 0])
 
 
+@pytest.mark.parametrize("span", [1 << 15, 16])
+def test_recursion_over_ranges_of_names_equals_sorted_suffixes(span, monkeypatch):
+    for name, x in (("SHORT", 2), ("MANY", 2), ("RANGE", span)):
+        monkeypatch.setattr(I, name, x)
+    r = random.Random(7)
+    with tempfile.TemporaryDirectory() as folder:
+        for _ in range(150):
+            n, symbols = r.randint(1, 190), r.choice([2, 3, 5, 40, 300])
+            own = [r.randint(1, symbols) for _ in range(n)]
+            own = (own[: max(1, n // 9)] * 12)[:n] if r.random() < 0.5 else own
+            text = np.array([*own, 0], np.int64)
+            assert I.Sorter(text, symbols + 1, folder, 1 << 20).order().tolist() == suffixes([*own, 0])[0]
+            sorter = I.Sorter(text, symbols + 1, folder, 300, 200)
+            places, shared = zip(*sorter.neighbours(), strict=True)
+            assert (np.concatenate(places).tolist(), np.concatenate(shared).tolist()) == suffixes([*own, 0])
+
+
 @pytest.mark.parametrize("limit", [1 << 22, 64])
 def test_windows_of_a_shard_much_larger_than_memory(limit):
     r = random.Random(5)
