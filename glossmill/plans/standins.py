@@ -130,11 +130,24 @@ LEMMAS_SQL = f"""{CHAPTERS_SQL},
                FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {WORD_SQL})) AS lemma FROM chapters))"""
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(str(path))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of learners: the key of props is a sense, of which three make a lemma; the event's type is its state."""
+    return events_of(table(spark, sf_dir, "events"))
+
+
+def events_of(rows: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     states = F.element_at(F.array(*map(F.lit, ("known", "learning", "deferred", "forgotten"))), (F.pmod(number(F.col("event_type")), F.lit(4)) + 1).cast("int"))
-    return table(spark, sf_dir, "events").select(
+    return rows.select(
         "event_id", "user_id", F.concat(F.lit("lemma "), F.expr(f"cast(get_json_object(props, '$.k') as int) div 3").cast("string")).alias("lemma"), F.lit("NOUN").alias("pos"),
         F.concat(F.lit("entry "), k.cast("string")).alias("lexentry"), F.when(F.pmod(k, F.lit(2)) == 0, F.lit("")).alias("sense"), F.lit(None).cast("string").alias("trans_list"), states.alias("state"), F.col("ts").alias("timestamp"),
     )

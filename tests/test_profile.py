@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import itertools
 import random
 
 import pytest
@@ -86,19 +85,12 @@ def test_profile_tables_are_idempotent_and_versioned(spark, tmp_path, dictionary
 
 def test_stream_is_right_under_late_and_repeated_events(spark, tmp_path):
     first, late = [("a", "known", T0, 2), ("b", "learning", T0, 3)], [("a", "learning", T0 - dt.timedelta(hours=1), 1), ("b", "learning", T0, 3)]
-    schema, tables = "lemma string, state string, timestamp timestamp, event_id long", {}
-    counter = itertools.count()
-
-    def write(df):
-        path = str(tmp_path / f"t{next(counter)}")
-        df.write.parquet(path)
-        tables["now"] = path
-
-    run = states.merge_batches(lambda: spark.read.parquet(tables["now"]) if tables else None, write, ["lemma"])
+    schema, own, folder = "lemma string, state string, timestamp timestamp, event_id long", states.stream_session(spark), str(tmp_path / "out")
     for rows in (first, late):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
-        states.start(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), run, str(tmp_path / "c")).awaitTermination()
-    assert {r["lemma"]: r["state"] for r in spark.read.parquet(tables["now"]).collect()} == {"a": "known", "b": "learning"}
+        changes = states.stream_latest_states(own.readStream.schema(schema).parquet(str(tmp_path / "in")), ["lemma"])
+        states.start(changes, states.append_changes(folder), str(tmp_path / "c")).awaitTermination()
+    assert {r["lemma"]: r["state"] for r in states.current_states(spark, folder, ["lemma"]).collect()} == {"a": "known", "b": "learning"}
 
 
 ENTRIES = "book_title string, book_author string, chapter int, lemma string, pos string, frequency long, all_known boolean, none_known boolean, chosen_status string"
