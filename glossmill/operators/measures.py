@@ -17,8 +17,6 @@ PARTICLE_DEPS = ("prt", "compound:prt")
 MAX_GAP = 4
 BUCKETS = ((0, 0, "0"), (1, 1, "1"), (2, 2, "2"), (3, 5, "3-5"), (6, 10, "6-10"))
 BUCKET_TAIL = ">10"
-#: A short list; forms that no suffix leads back are a parameter of coverage().
-IRREGULAR_FORMS = tuple("am is are was were been had has did done went gone came took made said saw knew thought found told men women children feet teeth people".split())
 
 
 def word_frequencies(texts: DataFrame, key: list[str]) -> DataFrame:
@@ -28,19 +26,24 @@ def word_frequencies(texts: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key, F.lower("form").alias("word")).agg(F.count("*").alias("frequency"), F.count_if((first != F.lower(first)) & first.rlike(r"^\p{Lu}")).alias("capitalized"))
 
 
-def coverage(frequencies: DataFrame, headwords: DataFrame, key: list[str], irregular: tuple[str, ...] = IRREGULAR_FORMS) -> DataFrame:
-    """Adds cause to each word: hit, if any suffix candidate is a headword; else contraction, irregular, proper or gap, the first that holds."""
+def coverage(frequencies: DataFrame, headwords: DataFrame, irregular: DataFrame) -> DataFrame:
+    """Adds cause to each word: hit, if any suffix candidate is a headword; else contraction, irregular, proper or gap, the first that holds.
+
+    irregular(form): forms that no suffix leads back, with or without their hyphens and apostrophes.
+    """
     distinct = frequencies.select("word").distinct()
     hits = distinct.select("word", F.explode(suffix_candidates(F.col("word"))).alias("headword")).join(headwords, "headword", "left_semi").select("word").distinct()
-    plain = F.translate("word", "-'", "")
+    forms = irregular.select(F.col("form").alias("_form")).distinct()
+    odd = distinct.select("word", F.explode(F.array("word", F.translate("word", "-'", ""))).alias("_form")).join(forms, "_form", "left_semi").select("word").distinct()
     cause = (
         F.when(F.col("_hit"), "hit")
         .when(F.col("word").isin(*CONTRACTIONS), "contraction")
-        .when(F.col("word").isin(*irregular) | plain.isin(*irregular), "irregular")
+        .when(F.col("_odd"), "irregular")
         .when(F.col("capitalized") / F.col("frequency") > CAPITAL_RATIO, "proper")
         .otherwise("gap")
     )
-    return frequencies.join(hits.withColumn("_hit", F.lit(True)), "word", "left").withColumn("cause", cause).drop("_hit")
+    known = hits.withColumn("_hit", F.lit(True)).join(odd.withColumn("_odd", F.lit(True)), "word", "full")
+    return frequencies.join(known, "word", "left").withColumn("cause", cause).drop("_hit", "_odd")
 
 
 def coverage_rates(covered: DataFrame, key: list[str]) -> DataFrame:

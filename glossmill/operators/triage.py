@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.schema import CHAPTER, TRIAGE_ORDERS
+from glossmill.sources.staging import staged
 
 WORD_BLOCK, EXPRESSION_BLOCK = 25, 11
 
@@ -75,29 +79,39 @@ def dispositions(entries: DataFrame, limit: int, order: str = "new_words_first",
     return entries.withColumn("disposition", found)
 
 
-def blocks(entries: DataFrame, limit: int, choose, order: str = "new_words_first"):
+def blocks(entries: DataFrame, limit: int, choose, order: str = "new_words_first", key: tuple[str, ...] = CHAPTER):
     """Blocks of kept rows for a dear chooser, which sees no row in vain: slices of what is still missing.
 
-    choose: DataFrame of entries -> the same with chosen_status. Yields each block's rows with their disposition.
+    choose: DataFrame of entries -> the same with chosen_status. Each chapter has its own cursor and its own count in a
+    frontier table: its block ends when limit of its own rows are kept, or it has no more. Yields the chapters' first blocks,
+    then the second blocks of those that go on, and so on, with disposition and the number of the block.
     """
     if limit < 1:
         raise ValueError("a limit of at least 1 is needed")
     if order not in TRIAGE_ORDERS:
         raise ValueError(f"order {order!r} is none of {TRIAGE_ORDERS}")
     certain_first = [F.when(F.col("none_known"), 0).otherwise(1)] if order == "new_words_first" else []
-    waiting = entries.filter("not all_known").withColumn("turn", F.row_number().over(Window.partitionBy(*CHAPTER).orderBy(*certain_first, *by_frequency())))
-    waiting = waiting.persist()
-    at, total = 0, waiting.agg(F.max("turn")).first()[0] or 0
-    while at < total:
-        parts, kept = [], 0
-        while kept < limit and at < total:
-            need = limit - kept
-            part = choose(waiting.filter((F.col("turn") > at) & (F.col("turn") <= at + need)).drop("turn")).persist()
-            at += need
-            parts.append(dispositions(part, limit, order))
-            kept += part.filter("chosen_status is not null and chosen_status <> 'known'").count()
-        block = parts[0]
-        for part in parts[1:]:
-            block = block.unionByName(part)
-        yield block
-    waiting.unpersist()
+    names = [f"_k{i}" for i in range(len(key))]
+    own = Window.partitionBy(*key).orderBy(*certain_first, *by_frequency())
+    keys = [F.col(c).alias(k) for c, k in zip(key, names, strict=True)]
+    waiting = staged(entries.filter("not all_known").select(*keys, F.row_number().over(own).alias("_turn"), F.struct(*entries.columns).alias("_row")), "waiting")
+    meets = reduce(and_, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in names))
+
+    going, block = (F.col("_at") < F.col("_total")), 0
+    frontier = staged(waiting.groupBy(*names).agg(F.max("_turn").alias("_total")).withColumns({"_at": F.lit(0), "_kept": F.lit(0).cast("long")}), "frontier")
+    while not frontier.filter(going).isEmpty():
+        block += 1
+        frontier, parts = frontier.withColumn("_kept", F.lit(0).cast("long")), []
+        missing = going & (F.col("_kept") < limit)
+        while True:
+            upto = F.col("_at") + F.when(missing, limit - F.col("_kept")).otherwise(0)
+            asked = waiting.alias("l").join(frontier.filter(missing).alias("r"), meets).filter((F.col("_turn") > F.col("_at")) & (F.col("_turn") <= upto))
+            part = staged(choose(asked.select("_row.*")), "slice")
+            parts.append(part)
+            kept = part.groupBy(*keys).agg(F.count_if(F.col("chosen_status").isNotNull() & (F.col("chosen_status") != "known")).alias("_more"))
+            moved = frontier.withColumn("_at", F.least(upto, F.col("_total")).cast("int")).alias("l").join(kept.alias("r"), meets, "left")
+            frontier = staged(moved.select(*(F.col(f"l.{k}").alias(k) for k in names), "_total", "_at", (F.col("_kept") + F.coalesce("_more", F.lit(0))).alias("_kept")), "frontier")
+            if frontier.filter(missing).isEmpty():
+                break
+        found = F.when(F.col("chosen_status").isNull(), "skipped").when(F.col("chosen_status") == "known", "resolved_known").otherwise("kept")
+        yield reduce(DataFrame.unionByName, parts).withColumns({"disposition": found, "block": F.lit(block)})

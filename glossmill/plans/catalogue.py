@@ -218,9 +218,12 @@ def _triage_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _occurrences(spark, sf_dir).withColumns({"none_known": F.pmod(F.expr("length(lemma)"), F.lit(3)) > 0, "chosen_status": status}).withColumn("all_known", F.pmod(F.length("lemma"), F.lit(5)) == 0)
 
 
+_TRIAGE = f"""{_OCCURRENCES}, e AS (SELECT {_C}, lemma, pos, frequency, length(lemma) % 5 = 0 AS all_known, length(lemma) % 3 > 0 AS none_known,
+        ['known', 'unknown', 'new_meaning_of_known_word', NULL][{S.number_sql("concat(lemma, chapter)")} % 4 + 1] AS chosen_status FROM occ)"""
+
+
 @_query(
-    f"""{_OCCURRENCES}, e AS (SELECT {_C}, lemma, pos, frequency, length(lemma) % 5 = 0 AS all_known, length(lemma) % 3 > 0 AS none_known,
-        ['known', 'unknown', 'new_meaning_of_known_word', NULL][{S.number_sql("concat(lemma, chapter)")} % 4 + 1] AS chosen_status FROM occ),
+    f"""{_TRIAGE},
     r AS (SELECT *, coalesce(sum(CASE WHEN chosen_status IS NOT NULL AND chosen_status <> 'known' THEN 1 ELSE 0 END) OVER
         (PARTITION BY {_C}, all_known ORDER BY CASE WHEN none_known THEN 0 ELSE 1 END, frequency DESC, lemma, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
     SELECT {_C}, lemma, CASE WHEN all_known THEN 'known' WHEN before >= 25 THEN 'remaining' WHEN chosen_status IS NULL THEN 'skipped' WHEN chosen_status = 'known' THEN 'resolved_known' ELSE 'kept' END AS disposition FROM r"""
@@ -323,15 +326,18 @@ _SUFFIX = """list_filter([word, CASE WHEN word LIKE '%ies' THEN concat(word[:-4]
     CASE WHEN word LIKE '%ing' THEN word[:-4] END, CASE WHEN word LIKE '%ing' THEN concat(word[:-4], 'e') END, CASE WHEN word LIKE '%ing' AND length(word) > 5 AND word[-4] = word[-5] THEN word[:-5] END,
     CASE WHEN word LIKE '%ly' THEN word[:-3] END, CASE WHEN word LIKE '%er' THEN word[:-3] END, CASE WHEN word LIKE '%est' THEN word[:-4] END, CASE WHEN contains(word, '-') THEN replace(word, '-', '') END],
     lambda x: x IS NOT NULL AND x <> '')"""
-_COVERAGE = f"""{_FREQUENCIES}, {S.DICTIONARY_SQL}, vocab AS (SELECT DISTINCT word FROM freq), cands AS (SELECT word, unnest({_SUFFIX}) AS c FROM vocab),
+_COVERAGE = f"""{_FREQUENCIES}, {S.DICTIONARY_SQL}, vocab AS (SELECT DISTINCT word FROM freq), irregular AS (SELECT word AS form FROM vocab WHERE {S.number_sql("concat('i', word)")} % 23 = 0), cands AS (SELECT word, unnest({_SUFFIX}) AS c FROM vocab),
     hits AS (SELECT DISTINCT word FROM cands WHERE c IN (SELECT written_rep FROM heads)),
     causes AS (SELECT f.*, CASE WHEN h.word IS NOT NULL THEN 'hit' WHEN f.word IN ({", ".join(f"'{w}'" for w in measures.CONTRACTIONS)}) THEN 'contraction'
-        WHEN f.word IN ({", ".join(f"'{w}'" for w in measures.IRREGULAR_FORMS)}) OR replace(replace(f.word, '-', ''), '''', '') IN ({", ".join(f"'{w}'" for w in measures.IRREGULAR_FORMS)}) THEN 'irregular'
+        WHEN f.word IN (SELECT form FROM irregular) OR replace(replace(f.word, '-', ''), '''', '') IN (SELECT form FROM irregular) THEN 'irregular'
         WHEN capitalized / frequency > 0.85 THEN 'proper' ELSE 'gap' END AS cause FROM freq f LEFT JOIN hits h USING (word))"""
 
 
 def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures.coverage(word_frequency(spark, sf_dir), lookup.headwords(S.dictionary(spark, sf_dir)), list(CHAPTER))
+    """Each 23rd word or so stands for an irregular form."""
+    frequencies = word_frequency(spark, sf_dir)
+    irregular = frequencies.select(F.col("word").alias("form")).distinct().filter(F.pmod(S.number(F.concat(F.lit("i"), "form")), F.lit(23)) == 0)
+    return measures.coverage(frequencies, lookup.headwords(S.dictionary(spark, sf_dir)), irregular)
 
 
 @_query(f"{_COVERAGE} SELECT {_C}, word, frequency, capitalized, cause FROM causes")

@@ -155,3 +155,22 @@ def events_of(rows: DataFrame) -> DataFrame:
 
 EVENTS_SQL = f"""log AS (SELECT event_id, user_id, concat('lemma ', (props->>'$.k')::int // 3) AS lemma, 'NOUN' AS pos, concat('entry ', (props->>'$.k')::int) AS lexentry,
     ['known', 'learning', 'deferred', 'forgotten'][{number_sql("event_type")} % 4 + 1] AS state, ts FROM events)"""
+
+
+#: What a model server may answer, by kind: @ stands for a number of 0 to 6, and a kind beyond the list answers as the last one.
+_SAID = '{"choices": [{"message": {"role": "assistant", "content": #}, "finish_reason": "stop"}]}'
+BODIES = [
+    None, "<html>busy</html>", '{"error": "overloaded"}', '{"choices": []}', _SAID.replace("#", '""').replace("stop", "length"), _SAID.replace("#", "null"), _SAID.replace("#", '"I would say @"'),
+    _SAID.replace("#", r'"{\"answer\": @}"'), _SAID.replace("#", r'"{\"choice\": @.5}"'), _SAID.replace("#", r'"{\"choice\": true}"'), _SAID.replace("#", r'"{\"choice\": 1@9}"'), _SAID.replace("#", r'" {\"choice\": @} "'),
+]
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lemma, options and the body of a model server's answer: each distinct word has one, and more than half of them are at fault."""
+    h = number(F.concat(F.lit("a"), "lemma"))
+    body = F.element_at(F.array(*(F.lit(b) for b in BODIES)), F.expr(f"cast(least(h % 16, {len(BODIES) - 1}) + 1 as int)"))
+    return lemmas(spark, sf_dir).select("lemma", h.alias("h")).select("lemma", F.expr("cast(h div 16 % 5 + 1 as int)").alias("options"), F.replace(body, F.lit("@"), F.expr("cast(h div 80 % 7 as string)")).alias("body"))
+
+
+ANSWERS_SQL = f"""WITH {LEMMAS_SQL}, drawn AS (SELECT lemma, {number_sql("concat('a', lemma)")} AS h FROM lemmas),
+    answers AS (SELECT lemma, (h // 16 % 5 + 1)::int AS options, replace([{", ".join("NULL" if b is None else f"'{b}'" for b in BODIES)}][least(h % 16, {len(BODIES) - 1}) + 1], '@', (h // 80 % 7)::varchar) AS body FROM drawn)"""

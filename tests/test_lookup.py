@@ -79,7 +79,7 @@ def test_word_list_takes_the_rank_of_the_best_form(spark):
 def test_coverage_causes_in_their_order(spark):
     texts = spark.createDataFrame([(1, "Cities went Paris Paris zzz ll don't")], "id int, text string")
     heads = spark.createDataFrame([("city",)], "headword string")
-    got = measures.coverage(measures.word_frequencies(texts, ["id"]), heads, ["id"], irregular=("went",))
+    got = measures.coverage(measures.word_frequencies(texts, ["id"]), heads, spark.createDataFrame([("went",)], "form string"))
     assert dict(rows(got, "word", "cause")) == {"cities": "hit", "don't": "gap", "ll": "contraction", "paris": "proper", "went": "irregular", "zzz": "gap"}
 
 
