@@ -13,6 +13,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from glossmill.plans.catalogue import FLOW_SQL, _cards, _word_list
 from glossmill.plans.registry import ORACLE_SQL, query
 from glossmill.schema import CHAPTER, SENSE, sense_key
 from glossmill.sources import epub, tables
+from glossmill.sources.epub_source import read_epub
 from glossmill.sources.staging import shared_folder, staged
 
 _C = "book_title, book_author, chapter"
@@ -91,6 +93,32 @@ def epub_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "book_title", "book_author", "chapter", "title", F.array_join("documents", " | ").alias("documents"), "level", F.col("notice").isNotNull().alias("has_notice"))
 
 
+def archive_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The archives as files in the shared folder, each written by the task that has it; a file takes its name when it is whole."""
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
+        for part in parts:
+            for name, content in zip(part["path"], part["content"], strict=True):
+                hidden = f"{root}/.{name}-{uuid.uuid4().hex}"
+                with system.open_output_stream(hidden) as out:
+                    out.write(content)
+                system.move(hidden, f"{root}/{name}.epub")
+            yield pd.DataFrame({"n": [len(part)]})
+
+    archives(spark, sf_dir).mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+@query(ORACLE_SQL["epub_structure"])
+def epub_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structure of books that lie in files, by the data source, which unpacks no chapter for it."""
+    rows = epub.structure(read_epub(spark, archive_folder(spark, sf_dir), with_text=False))
+    return rows.select(F.regexp_extract("path", r"([^/]*)\.epub$", 1).alias("path"), "book_title", "book_author", "chapter", "title", F.array_join("documents", " | ").alias("documents"), "level", F.col("notice").isNotNull().alias("has_notice"))
+
+
 _EPUB_TEXTS = f"""{_PLACES}, texts AS (SELECT book, chapter, regexp_replace(string_agg(text, chr(10) ORDER BY place), '^\\s+|\\s+$', '', 'g') AS text FROM parts WHERE chapter > 0 GROUP BY book, chapter)"""
 
 

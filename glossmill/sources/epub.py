@@ -9,7 +9,8 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from typing import BinaryIO
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -135,22 +136,29 @@ class Package:
             return "not_utf8", None
 
 
-def entries_of(path: str, content: bytes, with_text: bool) -> Iterator[tuple]:
+KINDS = ("book", "document", "navigation", "error")
+
+
+def entries_of(path: str, archive: BinaryIO, with_text: bool, kinds: Collection[str] = KINDS) -> Iterator[tuple]:
+    """Rows of the given kinds; of the archive only what they need is read, and a document is unpacked for its text alone."""
     try:
-        package = Package(zipfile.ZipFile(io.BytesIO(content)))
+        package = Package(zipfile.ZipFile(archive))
         spine, title = package.spine(), package.first_text("title")
     except (zipfile.BadZipFile, ElementTree.ParseError, ValueError) as e:
-        yield path, "error", 0, None, None, None, f"no EPUB: {e}", None
-        return
-    if not spine or title is None:
-        yield path, "error", 0, None, None, None, "no spine" if not spine else "no title", None
+        problem = f"no EPUB: {e}"
+    else:
+        problem = "no spine" if not spine else "no title" if title is None else None
+    if problem:
+        if "error" in kinds:
+            yield path, "error", 0, None, None, None, problem, None
         return
-    yield path, "book", 0, None, title, None, "ok", package.first_text("creator") or UNKNOWN_AUTHOR
-    protected = package.encrypted() if with_text else set()
-    for place, name in enumerate(spine):
+    if "book" in kinds:
+        yield path, "book", 0, None, title, None, "ok", package.first_text("creator") or UNKNOWN_AUTHOR
+    protected = package.encrypted() if with_text and "document" in kinds else set()
+    for place, name in enumerate(spine if "document" in kinds else ()):
         status, text = package.document(name, protected) if with_text else ("ok" if name in package.names else "missing", None)
         yield path, "document", place, name, None, None, status, text
-    for place, (label, name, level) in enumerate(package.navigation()):
+    for place, (label, name, level) in enumerate(package.navigation() if "navigation" in kinds else ()):
         yield path, "navigation", place, name, label, level, "ok" if name in package.names else "missing", None
 
 
@@ -161,7 +169,7 @@ def entries(files: DataFrame, with_text: bool = True) -> DataFrame:
         names = [x.split()[0] for x in ENTRIES.split(", ")]
         for part in parts:
             for path, content in zip(part["path"], part["content"], strict=True):
-                yield pd.DataFrame(list(entries_of(path, content, with_text)), columns=names).astype({"place": "Int32", "level": "Int32"})
+                yield pd.DataFrame(list(entries_of(path, io.BytesIO(content), with_text)), columns=names).astype({"place": "Int32", "level": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, ENTRIES)
 
