@@ -30,11 +30,6 @@ def proper_noun_ratios(tokens: DataFrame) -> DataFrame:
     return content_tokens(tokens).groupBy(*BOOK, "lemma").agg(F.avg(F.when(F.col("pos") == PROPER_NOUN, 1.0).otherwise(0.0)).alias("ratio"))
 
 
-def sentence_texts(tokens: DataFrame) -> DataFrame:
-    parts = F.sort_array(F.collect_list(F.struct("tok_id", F.concat(F.col("text"), F.coalesce("ws", F.lit(""))).alias("t"))))
-    return tokens.groupBy(*CHAPTER, "sent_id").agg(strip(F.array_join(F.transform(parts, lambda x: x["t"]), "")).alias("example_sentence"))
-
-
 def expression_members(tokens: DataFrame) -> DataFrame:
     """Places of verbs and satellites that stand side by side and form a set phrase.
 
@@ -93,10 +88,19 @@ def vocabulary(tokens: DataFrame, ratios: DataFrame | None = None) -> DataFrame:
 
 
 def _with_sentence(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Only sentences that a row shows are put together."""
-    wanted = rows.select(*CHAPTER, "sent_id").distinct()
-    texts = sentence_texts(tokens.select(*CHAPTER, "sent_id", "tok_id", "text", "ws").join(wanted, [*CHAPTER, "sent_id"], "left_semi"))
-    return rows.join(texts, [*CHAPTER, "sent_id"], "left").select(*CHAPTER, "lemma", "pos", "word_form", "example_sentence", "frequency", "proper_noun_frequency", "first_tok")
+    """Adds the sentence of rows(chapter key, sent_id), and word_form where they have low and high: the text from one to the other.
+
+    A row a sentence has its tokens in order, so that rows meet their text once; a phrase stands within its sentence.
+    """
+    pieces = F.sort_array(F.collect_list(F.struct("tok_id", "text", F.coalesce("ws", F.lit("")).alias("ws"))))
+    sentences = tokens.groupBy(*CHAPTER, "sent_id").agg(pieces.alias("_s"))
+    rows = rows.join(sentences, [*CHAPTER, "sent_id"], "left")
+    said = lambda x: F.concat(x["text"], x["ws"])
+    shown = {"example_sentence": strip(F.array_join(F.transform("_s", said), ""))}
+    if "low" in rows.columns:
+        span = F.filter("_s", lambda x: (x["tok_id"] >= F.col("low")) & (x["tok_id"] <= F.col("high")))
+        shown["word_form"] = collapse(F.array_join(F.transform(span, lambda x: F.concat(x["text"], F.when(x["tok_id"] < F.col("high"), x["ws"]).otherwise(F.lit("")))), ""))
+    return rows.withColumns(shown).select(*CHAPTER, "lemma", "pos", "word_form", "example_sentence", "frequency", "proper_noun_frequency", "first_tok")
 
 
 def particle_verbs(tokens: DataFrame) -> DataFrame:
@@ -107,39 +111,35 @@ def particle_verbs(tokens: DataFrame) -> DataFrame:
     # Candidates stand in the order of their particles.
     merged = pairs.groupBy(*CHAPTER, "lemma").agg(F.count("*").alias("frequency"), F.min_by(F.struct("low", "high", "sent_id"), "tok_id").alias("shown"), F.min("tok_id").alias("first_tok"))
     rows = merged.select(*CHAPTER, "lemma", F.lit("VERB").alias("pos"), "frequency", F.lit(0).cast("long").alias("proper_noun_frequency"), "first_tok", "shown.low", "shown.high", "shown.sent_id")
-    return _with_sentence(_with_span(rows, tokens), tokens)
-
-
-def _with_span(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The text from low to high, inner white space included; only chosen rows meet the tokens again."""
-    wanted = rows.select(*CHAPTER, "lemma", F.explode(F.sequence("low", "high")).alias("tok_id"), "high")
-    parts = wanted.join(tokens.select(*CHAPTER, "tok_id", "text", "ws"), [*CHAPTER, "tok_id"])
-    shown = F.concat(F.col("text"), F.when(F.col("tok_id") < F.col("high"), F.coalesce("ws", F.lit(""))).otherwise(F.lit("")))
-    listed = F.sort_array(F.collect_list(F.struct("tok_id", shown.alias("t"))))
-    forms = parts.groupBy(*CHAPTER, "lemma").agg(collapse(F.array_join(F.transform(listed, lambda x: x["t"]), "")).alias("word_form"))
-    return rows.join(forms, [*CHAPTER, "lemma"]).drop("low", "high")
+    return _with_sentence(rows, tokens)
 
 
-def ngrams(tokens: DataFrame, longest: int = LONGEST_EXPRESSION) -> DataFrame:
+def ngrams(tokens: DataFrame, longest: int = LONGEST_EXPRESSION, beginnings: DataFrame | None = None) -> DataFrame:
     """Each run of two to longest alphabetic tokens of a sentence, by lemmas: low, high, sent_id of every occurrence.
 
-    Rows are narrow; words and sentences are looked up for what a dictionary keeps.
+    tok_id is a token's place in its chapter. With beginnings(pair), a run grows only where its first two lemmas are one of
+    them. Rows are narrow; words and sentences are looked up for what a dictionary keeps.
     """
     order = Window.partitionBy(*CHAPTER, "sent_id").orderBy("tok_id")
-    following = F.array(*(F.lead(F.struct(F.col("tok_id").alias("at"), F.when(F.col("is_alpha"), F.lower("lemma")).alias("l")), k).over(order) for k in range(longest)))
+    own = tokens.select(*CHAPTER, "sent_id", F.col("tok_id").alias("low"), "tok_id", F.when(F.col("is_alpha"), F.lower("lemma")).alias("_l1"))
+    names = [f"_l{k}" for k in range(1, longest + 1)]
+    starts = own.withColumns({n: F.lead("_l1", k).over(order) for k, n in enumerate(names) if k}).filter("_l1 is not null and _l2 is not null")
+    if beginnings is not None:
+        starts = starts.withColumn("pair", F.concat_ws(" ", "_l1", "_l2")).join(beginnings.select("pair").distinct(), "pair", "left_semi")
     # The run ends before the first place without a lemma: no alphabetic token, or the end of the sentence.
-    stop = F.array_position(F.transform("run", lambda x: F.coalesce(x["l"].isNull(), F.lit(True))), True)
-    starts = tokens.withColumn("run", following).filter("is_alpha").withColumn("n", F.when(stop == 0, F.lit(longest)).otherwise(stop - 1).cast("int")).filter("n > 1")
-    rows = starts.select(*CHAPTER, "sent_id", F.col("tok_id").alias("low"), "run", F.explode(F.sequence(F.lit(2), F.col("n"))).alias("words"))
-    lemma = F.array_join(F.transform(F.slice("run", F.lit(1), F.col("words")), lambda x: x["l"]), " ")
-    return rows.select(*CHAPTER, lemma.alias("lemma"), "words", "low", F.element_at("run", F.col("words"))["at"].alias("high"), "sent_id")
+    starts = starts.withColumn("_run", F.array(*names))
+    stop = F.array_position(F.transform("_run", lambda x: x.isNull()), True)
+    rows = starts.withColumn("words", F.explode(F.sequence(F.lit(2), F.when(stop == 0, F.lit(longest)).otherwise(stop - 1).cast("int"))))
+    lemma = F.array_join(F.slice("_run", F.lit(1), F.col("words")), " ")
+    return rows.select(*CHAPTER, lemma.alias("lemma"), "words", "low", (F.col("low") + F.col("words") - 1).alias("high"), "sent_id")
 
 
 def counted_expressions(tokens: DataFrame, headwords: DataFrame | None = None, longest: int = LONGEST_EXPRESSION) -> DataFrame:
     """n-grams of a chapter with their frequency and the place of the first one; with headwords(lemma) only those found there, before anything is aggregated."""
-    found = ngrams(tokens, longest)
-    if headwords is not None:
-        found = found.join(headwords.select("lemma").distinct(), "lemma", "left_semi")
+    known = headwords.select("lemma").distinct() if headwords is not None else None
+    found = ngrams(tokens, longest, known.select(F.substring_index("lemma", " ", 2).alias("pair")) if known is not None else None)
+    if known is not None:
+        found = found.join(known, "lemma", "left_semi")
     return found.groupBy(*CHAPTER, "lemma").agg(F.count("*").alias("frequency"), F.min(F.struct("low", "high", "sent_id")).alias("shown"))
 
 
@@ -147,7 +147,7 @@ def contiguous_expressions(tokens: DataFrame, headwords: DataFrame | None = None
     """n-grams as occurrences, with the text and sentence of the first one."""
     merged = counted_expressions(tokens, headwords, longest)
     rows = merged.select(*CHAPTER, "lemma", F.lit("").alias("pos"), "frequency", F.lit(0).cast("long").alias("proper_noun_frequency"), F.col("shown.low").alias("first_tok"), "shown.low", "shown.high", "shown.sent_id")
-    return _with_sentence(_with_span(rows, tokens), tokens)
+    return _with_sentence(rows, tokens)
 
 
 def merged_over_chapters(occurrences: DataFrame) -> DataFrame:

@@ -14,19 +14,21 @@ from glossmill.sources.staging import staged
 KEY = [*CHAPTER, "kind", "lemma", "pos"]
 
 
-def chapter_vocabulary(tokens: DataFrame, dictionary: DataFrame, events: DataFrame, ratios: DataFrame | None = None) -> DataFrame:
+def chapter_vocabulary(tokens: DataFrame, dictionary: DataFrame, events: DataFrame, ratios: DataFrame | None = None, stage=staged) -> DataFrame:
     """A row for each candidate sense of each word and expression of each chapter, with its status; words and expressions apart by kind.
 
     tokens should be materialized: several operators read them. ratios: shares of names in whole books; by default of these tokens.
+    stage makes tables of what is read several times here: the dictionary, and the expressions of both routes.
     """
+    dictionary = stage(dictionary)
     ratios = vocabulary.proper_noun_ratios(tokens) if ratios is None else ratios
     words = lookup.candidates(vocabulary.vocabulary(tokens, ratios), dictionary).withColumn("kind", F.lit("word"))
     heads = lookup.expression_entries(dictionary).filter(F.contains("written_key", F.lit(" "))).select(F.col("written_key").alias("lemma"))
-    particle = vocabulary.particle_verbs(tokens)
+    particle = stage(vocabulary.particle_verbs(tokens))
     # Only what the dictionary has is aggregated; keys of n-grams are lower case already, A-Z being all that the lookup folds.
     contiguous = vocabulary.contiguous_expressions(tokens, heads)
     own = particle.withColumn("route", F.lit("particle")).unionByName(contiguous.join(particle.select(*CHAPTER, "lemma"), [*CHAPTER, "lemma"], "left_anti").withColumn("route", F.lit("contiguous")))
-    own = lookup.without_dominated(own, list(CHAPTER))
+    own = stage(lookup.without_dominated(stage(own), list(CHAPTER)))
     verbs = lookup.particle_verb_candidates(own.filter("route = 'particle'"), dictionary)
     others = lookup.contiguous_candidates(own.filter("route = 'contiguous'"), dictionary)
     expressions = verbs.unionByName(others).drop("route").withColumn("kind", F.lit("expression"))
@@ -44,7 +46,7 @@ def entries(candidates: DataFrame) -> DataFrame:
     )
 
 
-def triaged(candidates: DataFrame, chooser: Chooser, limit: int, order: str = "new_words_first") -> DataFrame:
+def triaged(candidates: DataFrame, chooser: Chooser, limit: int, order: str = "new_words_first", stage=staged) -> DataFrame:
     """Entries with the chosen sense and their disposition, words and expressions by themselves.
 
     A question too long for the chooser is marked by choice_obstacle, and its row is skipped as one without a fitting sense.
@@ -52,7 +54,7 @@ def triaged(candidates: DataFrame, chooser: Chooser, limit: int, order: str = "n
     For a chooser that costs nothing, every row that isn't fully known is asked and the early stop is a window;
     see triage.blocks for a dear one.
     """
-    rows = entries(candidates)
+    rows = stage(entries(candidates))
     asked = resolved(choose(rows.filter("not all_known"), chooser, "mark"))
     chosen = asked.withColumn("chosen_status", F.col("sense_chosen.status"))
     fully = rows.filter("all_known").withColumns({"choice_obstacle": F.lit(None).cast("string"), "choice": F.lit(None).cast("int"), "sense_chosen": F.lit(None).cast(chosen.schema["sense_chosen"].dataType), "chosen_status": F.lit(None).cast("string")})
@@ -61,4 +63,4 @@ def triaged(candidates: DataFrame, chooser: Chooser, limit: int, order: str = "n
 
 def run_chapters(chapters: DataFrame, dictionary: DataFrame, events: DataFrame, factory: Factory = RuleAnalyzer, stage=staged) -> DataFrame:
     """The vocabulary of chapters(book_title, book_author, chapter, text); stage makes the tokens a table, once for all operators."""
-    return chapter_vocabulary(stage(analyzed(chapters, factory)), dictionary, events)
+    return chapter_vocabulary(stage(analyzed(chapters, factory)), dictionary, events, stage=stage)
