@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,25 @@ def compare_each(senses: DataFrame, events: DataFrame, key: list[str]) -> DataFr
     return rows.withColumn("status", status).select(*key, *senses.columns, "status")
 
 
+def event_faults(events: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """Adds fault to events: the first rule that one breaks, null if it breaks none.
+
+    state, origin: none of the closed values; time: there is none; place: a chapter without a book or the other way round;
+    chapter: it names one that chapters(book_title, book_author, chapter) doesn't have.
+    """
+    closed = lambda c, allowed: ~F.coalesce(F.col(c).isin(*allowed), F.lit(False))
+    fault = (
+        F.when(closed("state", KNOWLEDGE_STATES), "state").when(closed("origin", ORIGINS), "origin").when(F.col("timestamp").isNull(), "time")
+        .when(F.col("book_title").isNull() != F.col("chapter").isNull(), "place")
+    )
+    if chapters is None:
+        return events.withColumn("fault", fault)
+    known = chapters.select(*(F.col(c).alias(f"_{c}") for c in CHAPTER)).distinct().withColumn("_there", F.lit(True))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CHAPTER))
+    fault = F.when(fault.isNotNull(), fault).when(F.col("chapter").isNotNull() & F.col("_there").isNull(), "chapter")
+    return events.join(known, same, "left").select(*events.columns, fault.alias("fault"))
+
+
 def checked_events(events: DataFrame) -> DataFrame:
     """The events, or an error at the first that breaks the contract: closed values, a time, and book and chapter both or neither."""
     both = F.col("book_title").isNull() == F.col("chapter").isNull()

@@ -11,6 +11,7 @@ import sqlite3
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import closing
 
 import pandas as pd
 from pyarrow import fs
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from glossmill.functions import text as T
 from glossmill.operators import cards, preset, profile
 from glossmill.plans import standins as S
-from glossmill.plans.catalogue import FLOW_SQL, _cards, _word_list
+from glossmill.plans.catalogue import FLOW_SQL, _word_cards, _word_list
 from glossmill.plans.registry import ORACLE_SQL, query
 from glossmill.schema import CHAPTER, SENSE, sense_key
 from glossmill.sources import epub, tables
@@ -32,8 +33,11 @@ _C = "book_title, book_author, chapter"
 PAGES = 5
 
 
-def _archive(book: int, pages: list[str]) -> bytes:
-    """Books of three kinds by their number: EPUB 3 navigation with nested and repeated targets, NCX, or no navigation."""
+def _archive(book: int, pages: list[str], faults: bool = False) -> bytes:
+    """Books of three kinds by their number: EPUB 3 navigation with nested and repeated targets, NCX, or no navigation.
+
+    With faults, some pages by their number are locked, missing, in another encoding, or damaged.
+    """
     names = [f"text/page%20{i}.xhtml" for i in range(len(pages))]
     manifest = "".join(f'<item id="p{i}" href="{n}"/>' for i, n in enumerate(names))
     spine = "".join(f'<itemref idref="p{i}"/>' for i in range(len(names)))
@@ -59,20 +63,31 @@ def _archive(book: int, pages: list[str]) -> bytes:
             f'<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>Book {book}</dc:title>{creator}</metadata>'
             f"<manifest>{manifest}</manifest><spine{toc}>{spine}</spine></package>",
         )
+        state = lambda i: FAULTS[(3 * book + i) % len(FAULTS)] if faults else "ok"
+        locked = "".join(f'<enc:CipherReference URI="OPS/text/page%20{i}.xhtml"/>' for i in range(len(pages)) if state(i) == "encrypted")
+        if locked:
+            extra["META-INF/encryption.xml"] = f'<encryption xmlns:enc="http://www.w3.org/2001/04/xmlenc#">{locked}</encryption>'
         for i, page in enumerate(pages):
-            z.writestr(f"OPS/text/page {i}.xhtml", page)
+            if state(i) == "corrupt":
+                page = MARK
+            if state(i) != "missing":
+                z.writestr(f"OPS/text/page {i}.xhtml", (page + "é").encode("latin-1", "replace") if state(i) == "not_utf8" else page)
         for name, text in extra.items():
             z.writestr(name, text)
-    return out.getvalue()
+    return out.getvalue().replace(MARK.encode(), MARK.lower().encode())  # stored without compression: its check sum is wrong then
+
 
+#: What a page of an archive with faults is, by its number, and the text of a damaged one before it is damaged.
+FAULTS, MARK = ("ok", "ok", "encrypted", "missing", "not_utf8", "corrupt", "ok"), "A PAGE WHOSE BYTES CHANGE AFTER ITS SUM IS TAKEN"
 
-def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def archives(spark: SparkSession, sf_dir: str, faults: bool = False) -> DataFrame:
     """path and content of EPUB books, each of up to PAGES pages in the order of their ids."""
     rows = S.table(spark, sf_dir, "pages").select(F.expr(f"page_id div {PAGES}").alias("book"), "page_id", F.coalesce("html", F.lit("")).alias("html"))
 
     def pack(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         book = int(key[0])
-        return pd.DataFrame({"path": [f"book-{book:08d}"], "content": [_archive(book, own.sort_values("page_id")["html"].tolist())]})
+        return pd.DataFrame({"path": [f"book-{book:08d}"], "content": [_archive(book, own.sort_values("page_id")["html"].tolist(), faults)]})
 
     return rows.groupBy("book").applyInPandas(pack, "path string, content binary")
 
@@ -93,6 +108,23 @@ def epub_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "book_title", "book_author", "chapter", "title", F.array_join("documents", " | ").alias("documents"), "level", F.col("notice").isNotNull().alias("has_notice"))
 
 
+@query(
+    f"""{_PLACES} SELECT format('book-{{:08d}}', book) AS path, concat('OPS/text/page ', place, '.xhtml') AS document,
+    ['{"', '".join(FAULTS)}'][(3 * book + place) % {len(FAULTS)} + 1] AS status, CASE WHEN ['{"', '".join(FAULTS)}'][(3 * book + place) % {len(FAULTS)} + 1] = 'ok' THEN len(regexp_extract_all(text, {S.WORD_SQL}))::int END AS words FROM placed"""
+)
+def epub_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of archives of which some are locked, missing, damaged or in another encoding."""
+    rows = epub.entries(archives(spark, sf_dir, faults=True)).filter("kind = 'document'")
+    return rows.select("path", "document", "status", T.word_count(F.col("content")).alias("words"))
+
+
+@query("SELECT page_id::varchar AS path, concat(sha256(coalesce(html, '')), '-model-1') AS cache_key FROM pages")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of shares of names, if each page were a book's file."""
+    files = S.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+    return tables.ratio_key(files, "model", "1").select("path", "cache_key")
+
+
 def archive_folder(spark: SparkSession, sf_dir: str) -> str:
     """The archives as files in the shared folder, each written by the task that has it; a file takes its name when it is whole."""
     folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
@@ -156,33 +188,35 @@ def plain_book_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.split_chapters(_plain_books(spark, sf_dir), ["conv_id"]).select("conv_id", "chapter", "title", "text")
 
 
-def sqlite_file(spark: SparkSession, rows: DataFrame) -> str:
-    """The dictionary as one SQLite file in the shared folder, written by one task; it takes its name when it is whole."""
+def sqlite_folder(spark: SparkSession, rows: DataFrame) -> str:
+    """The dictionary as SQLite files in a folder of the shared one, each with a part of the headwords and written by one task; a file takes its name when it is whole."""
     folder = shared_folder(spark)
     if not folder.startswith(("file:", "/")):
-        raise ValueError("an SQLite file needs a shared folder that is mounted")
-    path = f"{folder.removeprefix('file://').removeprefix('file:')}/dictionary-{uuid.uuid4().hex}.sqlite3"
+        raise ValueError("SQLite files need a shared folder that is mounted")
+    path = f"{folder.removeprefix('file://').removeprefix('file:')}/dictionary-{uuid.uuid4().hex}"
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hidden, n = f"{path}.{uuid.uuid4().hex}", 0
-        con = sqlite3.connect(hidden)
-        con.execute("CREATE TABLE translation (lexentry, sense_num, sense, written_rep TEXT, trans_list, score, is_good, importance)")
-        for part in parts:
-            rows = part.astype(object).where(part.notna(), None).itertuples(index=False, name=None)
-            con.executemany("INSERT INTO translation VALUES (?, NULL, ?, ?, ?, ?, NULL, ?)", rows)
-            n += len(part)
-        con.commit()
-        con.close()
-        os.replace(hidden, path)
-        yield pd.DataFrame({"n": [n]})
-
-    rows.select("lexentry", "sense", "written_rep", "trans_list", "score", "importance").coalesce(1).mapInPandas(write, "n long").collect()
+        os.makedirs(path, exist_ok=True)
+        name, n = uuid.uuid4().hex, 0
+        with closing(sqlite3.connect(f"{path}/{name}.part")) as con:
+            con.execute("CREATE TABLE translation (lexentry, sense_num, sense, written_rep TEXT, trans_list, score, is_good, importance)")
+            for part in parts:
+                rows = part.astype(object).where(part.notna(), None).itertuples(index=False, name=None)
+                con.executemany("INSERT INTO translation VALUES (?, NULL, ?, ?, ?, ?, NULL, ?)", rows)
+                n += len(part)
+            con.commit()
+        yield pd.DataFrame({"file": [name], "n": [n]})
+
+    # A file counts only once its task has ended well, so that what a lost or repeated task leaves is not read.
+    done = rows.select("lexentry", "sense", "written_rep", "trans_list", "score", "importance").repartition("written_rep").mapInPandas(write, "file string, n long").collect()
+    for r in done:
+        os.replace(f"{path}/{r['file']}.part", f"{path}/{r['file']}.sqlite3")
     return path
 
 
 @query(f"WITH {S.DICTIONARY_SQL} SELECT lexentry, sense, written_rep, trans_list, score, importance::double AS importance FROM dictionary")
 def sqlite_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tables.checked_dictionary(tables.sqlite_dictionary(spark, sqlite_file(spark, S.dictionary(spark, sf_dir))), 1)
+    found = tables.checked_dictionary(tables.sqlite_dictionary(spark, sqlite_folder(spark, S.dictionary(spark, sf_dir))), 1)
     return found.select("lexentry", "sense", "written_rep", "trans_list", "score", "importance")
 
 
@@ -212,6 +246,22 @@ def ratio_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("book_title", "book_author", "lemma", "ratio")
 
 
+@query(
+    f"""WITH {S.EVENTS_SQL}, h AS (SELECT *, {S.number_sql("concat('f', event_id)")} % 12 AS h, user_id % 7 AS own FROM log)
+    SELECT event_id, CASE h WHEN 0 THEN 'state' WHEN 1 THEN 'origin' WHEN 2 THEN 'time' WHEN 3 THEN 'place' WHEN 4 THEN 'place' WHEN 5 THEN 'chapter' ELSE CASE WHEN own = 6 AND h > 6 THEN 'chapter' END END AS fault FROM h"""
+)
+def event_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which some break a rule, with the rule; the profile has chapters 0 to 5 of a book."""
+    h = F.pmod(S.number(F.concat(F.lit("f"), F.col("event_id").cast("string"))), F.lit(12))
+    own = F.pmod("user_id", F.lit(7)).cast("int")
+    rows = S.events(spark, sf_dir).withColumns({
+        "state": F.when(h == 0, "forgot").otherwise(F.col("state")), "origin": F.when(h == 1, F.lit(None)).otherwise(F.lit("triage")), "timestamp": F.when(h == 2, F.lit(None)).otherwise(F.col("timestamp")),
+        "book_title": F.when((h == 3) | (h == 6), F.lit(None)).otherwise(F.lit("Book")), "book_author": F.lit("Writer"), "chapter": F.when((h == 4) | (h == 6), F.lit(None)).when(h == 5, 9).otherwise(own),
+    })
+    chapters = spark.range(6).select(F.lit("Book").alias("book_title"), F.lit("Writer").alias("book_author"), F.col("id").cast("int").alias("chapter"))
+    return profile.event_faults(rows, chapters).select("event_id", "fault")
+
+
 def _profile(spark: SparkSession) -> profile.Profile:
     return profile.Profile(spark, f"{shared_folder(spark)}/profile-{uuid.uuid4().hex}")
 
@@ -232,11 +282,11 @@ _LOG = f"""WITH {S.EVENTS_SQL}, full_log AS (SELECT *, CASE WHEN (lexentry[7:]):
     f"""{_LOG} SELECT 'book' AS name, count(DISTINCT 'Book') AS n FROM full_log WHERE named UNION ALL SELECT 'chapter', count(DISTINCT chapter) FROM full_log WHERE named
     UNION ALL SELECT 'lemma', count(DISTINCT (lemma, pos)) FROM full_log UNION ALL SELECT 'sense', count(DISTINCT (lemma, pos, lexentry, coalesce(sense, ''))) FROM full_log
     UNION ALL SELECT 'occurrence', count(DISTINCT (chapter, lemma, pos)) FROM full_log WHERE named UNION ALL SELECT 'event', 2 * count(*) FROM full_log
-    UNION ALL SELECT 'card', count(*) FROM documents WHERE regexp_matches(text, {S.WORD_SQL}) UNION ALL SELECT 'learner', 1"""
+    UNION ALL SELECT 'card', count(*) FROM (SELECT DISTINCT source, doc_id, lower(unnest(regexp_extract_all(text, {S.WORD_SQL}))) FROM documents) UNION ALL SELECT 'learner', 1"""
 )
 def profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything is written twice: what has a natural key stays as it is, and events are appended."""
-    own, log, deck = _profile(spark), staged(_log(spark, sf_dir), "log"), _cards(spark, sf_dir)
+    own, log, deck = _profile(spark), staged(_log(spark, sf_dir), "log"), _word_cards(spark, sf_dir, examples=False)
     deck = deck.select(*CHAPTER, "lemma", "pos", "lexentry", "sense", "card_direction").withColumn("guid", cards.guid())
     named = log.filter("chapter is not null")
     for _ in range(2):

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import text as T
 from glossmill.operators import cards, choice, lookup, measures, preset, profile, sheets, triage, vocabulary
-from glossmill.plans import chapters as chain
 from glossmill.plans import standins as S
 from glossmill.plans.registry import ORACLE_SQL, QUERIES, query
-from glossmill.schema import CHAPTER
+from glossmill.schema import CARD_DIRECTIONS, CHAPTER
 from glossmill.sources.tables import html_texts
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -257,12 +256,6 @@ def preset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A card for each document and its first word, with its first sentence, as the SQL of card_notes has it."""
-    rows = S.chapters(spark, sf_dir).select(*CHAPTER, F.get(T.words(F.col("text")), F.lit(0)).alias("word_form"), T.collapse(F.coalesce(F.get(T.sentences(F.col("text")), F.lit(0)), F.lit(""))).alias("example_sentence"))
-    return _as_cards(rows.filter("word_form is not null"))
-
-
 def _as_cards(rows: DataFrame) -> DataFrame:
     return rows.select(
         *CHAPTER, F.lower("word_form").alias("lemma"), F.lit("NOUN").alias("pos"), "word_form", "example_sentence", F.lit(None).cast("string").alias("lexentry"), F.lit(None).cast("string").alias("sense"),
@@ -272,29 +265,21 @@ def _as_cards(rows: DataFrame) -> DataFrame:
 
 def _word_cards(spark: SparkSession, sf_dir: str, examples: bool) -> DataFrame:
     """A card for each word of each chapter, in the form that it has first; if examples, with the sentence of that place."""
-    texts = S.chapters(spark, sf_dir).withColumn("_text", F.xxhash64(*CHAPTER, "text"))
-    pieces = texts.select(*CHAPTER, "_text", F.posexplode(F.split("text", T.SENTENCE_END)).alias("_at", "_piece"))
-    forms = pieces.select(*CHAPTER, "_text", "_at", F.posexplode(F.array_distinct(T.words(F.col("_piece")))).alias("_i", "word_form"))
-    first = forms.groupBy(*CHAPTER, F.lower("word_form").alias("_lemma")).agg(F.min(F.struct("_at", "_i", "word_form", "_text")).alias("_first"))
+    pieces = S.chapters(spark, sf_dir).select(*CHAPTER, F.posexplode(F.split("text", T.SENTENCE_END)).alias("_at", "_piece"))
+    forms = pieces.select(*CHAPTER, "_at", F.posexplode(F.array_distinct(T.words(F.col("_piece")))).alias("_i", "word_form"))
+    first = forms.groupBy(*CHAPTER, F.lower("word_form").alias("_lemma")).agg(F.min(F.struct("_at", "_i", "word_form")).alias("_first"))
     rows = first.select(*CHAPTER, "_first.*")
     if not examples:
         return _as_cards(rows.withColumn("example_sentence", F.lit("")))
-    sentences = pieces.groupBy("_text", "_at").agg(T.collapse(F.first("_piece")).alias("example_sentence"))
-    return _as_cards(rows.join(sentences, ["_text", "_at"]))
-
+    sentences = pieces.select(*CHAPTER, "_at", T.collapse(F.col("_piece")).alias("example_sentence"))
+    return _as_cards(rows.join(sentences, [*CHAPTER, "_at"]))
 
-_FIRST = f"""WITH {S.CHAPTERS_SQL}, first AS (SELECT {_C}, regexp_extract(text, {S.WORD_SQL}) AS word_form, trim(regexp_replace(regexp_extract(text, '[^.!?]*[.!?]'), '\\s+', ' ', 'g')) AS example_sentence
-    FROM chapters WHERE regexp_matches(text, {S.WORD_SQL}))"""
 
-
-@_query(
-    f"""{_FIRST}, p AS (SELECT *, [book_title, book_author, chapter::varchar, lower(word_form), 'NOUN', '', '', 'en_de'] AS k FROM first)
-    SELECT sha256(array_to_string(list_transform(k, lambda x: concat(length(x), ':', x)), '')) AS guid, 'en_de' AS card_direction,
-           concat_ws('|', word_form, concat('&lt;', lower(word_form), '&gt;'), lower(word_form), 'NOUN', replace(replace(replace(example_sentence, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), book_title, chapter) AS fields,
-           concat_ws('|', concat('buch::', book_title), 'autor::unbekannt', concat('kapitel::', chapter), 'unsicher') AS tags FROM p"""
-)
+@_query()
 def card_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cards.notes(_cards(spark, sf_dir)).select("guid", "card_direction", F.array_join("fields", "|").alias("fields"), F.array_join("tags", "|").alias("tags"))
+    """A note for each word of each chapter in each direction that nothing stands in the way of."""
+    rows = _word_cards(spark, sf_dir, examples=True).withColumn("card_direction", F.explode(F.array(*map(F.lit, CARD_DIRECTIONS)))).filter(cards.obstacle().isNull())
+    return cards.notes(rows).select("guid", "card_direction", F.array_join("fields", "|").alias("fields"), F.array_join("tags", "|").alias("tags"))
 
 
 @_query("SELECT DISTINCT source, (('0x' || substr(sha256(source), 1, 16))::ubigint & 9223372036854775807::ubigint)::bigint AS deck_id FROM documents")
@@ -424,15 +409,10 @@ def flowing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def sense_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The question for each lemma with candidates, about its first sentence in the first chapter that has it."""
     lists = lookup.candidate_lists(S.lemmas(spark, sf_dir), S.dictionary(spark, sf_dir)).filter("size(candidates) > 0")
     lists = lists.withColumn("candidates", F.transform("candidates", lambda x: F.struct(x["lexentry"].alias("lexentry"), x["sense"].alias("sense"), x["trans_list"].alias("trans_list"), F.lit(False).alias("uncertain"))))
-    rows = lists.withColumn("prompt", choice.prompt(F.col("lemma"), F.col("lemma"), F.col("candidates")))
+    first = F.min_by(F.struct("word_form", "example_sentence"), F.struct(*CHAPTER)).alias("shown")
+    examples = _word_cards(spark, sf_dir, examples=True).groupBy("lemma").agg(first)
+    rows = lists.join(examples, "lemma").withColumn("prompt", choice.prompt(F.col("shown.word_form"), F.col("shown.example_sentence"), F.col("candidates")))
     return rows.select("lemma", "pos", "prompt", choice.estimated_tokens(F.col("prompt")).alias("tokens"))
-
-
-@_query()
-def chapter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain by the rule-based analyzer, up to dispositions."""
-    events = S.events(spark, sf_dir)
-    found = chain.run_chapters(S.chapters(spark, sf_dir), S.dictionary(spark, sf_dir), events)
-    return chain.triaged(found, choice.first_sense, 25).select(*chain.KEY, "word_form", "frequency", "disposition")

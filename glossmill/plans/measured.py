@@ -176,6 +176,14 @@ def cloze_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*CHAPTER, "word_form", cards.cloze(F.col("example_sentence"), F.col("word_form")).alias("cloze"))
 
 
+_GAP = f"""concat({_escaped("example_sentence[1 : place - 1]")}, '{{{{c1::', {_escaped("word_form")}, '}}}}', {_escaped("example_sentence[place + length(word_form) :]")})"""
+ORACLE_SQL["card_notes"] = f"""{_FIRST_FORMS}, directed AS (SELECT *, unnest(['en_de', 'de_en', 'cloze']) AS card_direction FROM found),
+    free AS (SELECT *, [book_title, book_author, chapter::varchar, lemma, 'NOUN', '', '', card_direction] AS k FROM directed WHERE card_direction <> 'cloze' OR place > 0)
+    SELECT sha256(array_to_string(list_transform(k, lambda x: concat(length(x), ':', x)), '')) AS guid, card_direction,
+           CASE WHEN card_direction = 'cloze' THEN concat_ws('|', {_GAP}, concat('&lt;', lemma, '&gt;'), {_escaped("lemma")}, 'NOUN', {_escaped("book_title")}, chapter)
+                ELSE concat_ws('|', {_escaped("word_form")}, concat('&lt;', lemma, '&gt;'), {_escaped("lemma")}, 'NOUN', {_escaped("example_sentence")}, {_escaped("book_title")}, chapter) END AS fields,
+           concat_ws('|', concat('buch::', book_title), 'autor::unbekannt', concat('kapitel::', chapter), 'unsicher') AS tags FROM free"""
+
 ORACLE_SQL["printed_pages"] = f"""{_FIRST_FORMS},
     entries AS (SELECT {_C}, row_number() OVER (PARTITION BY {_C} ORDER BY replace(lower(word_form), 'ß', 'ss'), lemma) - 1 AS i, (count(*) OVER (PARTITION BY {_C})) AS n,
         concat('<li><span class="wort">', {_escaped("word_form")}, '</span> <span class="wortart">(Subst.)</span> – <span class="uebersetzung">', {_escaped("concat('<', lemma, '>')")},
@@ -188,11 +196,13 @@ ORACLE_SQL["printed_pages"] = f"""{_FIRST_FORMS},
         '<style>{sheets.STYLE}</style>', chr(10), '</head>', chr(10), '<body>', chr(10), string_agg(html, chr(10) ORDER BY s), chr(10), '</body>', chr(10), '</html>', chr(10)) AS html FROM sheets GROUP BY {_C}"""
 
 _QUESTION = choice.QUESTION.replace("'", "''").split("%s")
-ORACLE_SQL["sense_prompts"] = f"""{C._CANDIDATES},
+ORACLE_SQL["sense_prompts"] = f"""{_FIRST_FORMS}, lemmas AS{S.LEMMAS_SQL.split("lemmas AS", 1)[1]}, {S.DICTIONARY_SQL},
+    examples AS (SELECT lemma, arg_min(word_form, ({_C})) AS word_form, arg_min(example_sentence, ({_C})) AS example_sentence FROM placed GROUP BY lemma),
+    cand AS (SELECT lemma, pos, lexentry, sense, trans_list, score, src_row FROM lemmas LEFT JOIN entries ON lemma = written_rep AND lexentry IS NOT NULL AND entry_pos = {C._POS_MAP}),
     numbered AS (SELECT lemma, pos, row_number() OVER (PARTITION BY lemma, pos ORDER BY -score, src_row, lexentry, sense NULLS FIRST, trans_list) AS i, lexentry, sense, trans_list FROM cand WHERE src_row IS NOT NULL),
     lines AS (SELECT lemma, pos, count(*) + 1 AS last, string_agg(concat(i, '. (', coalesce(replace(string_split(lexentry, '__')[2], '_', ' '), '?'), ') ',
         coalesce(nullif(sense, ''), '{lookup.NO_SENSE_LABEL}'), ' → ', coalesce(nullif(trans_list, ''), '?')), chr(10) ORDER BY i) AS lines FROM numbered GROUP BY ALL),
-    prompts AS (SELECT lemma, pos, concat('{_QUESTION[0]}', lemma, '{_QUESTION[1]}', lemma, '{_QUESTION[2]}', lines, chr(10), last, '. none of the listed meanings fits', '{_QUESTION[3]}', last, '{_QUESTION[4]}') AS prompt FROM lines)
+    prompts AS (SELECT lemma, pos, concat('{_QUESTION[0]}', word_form, '{_QUESTION[1]}', example_sentence, '{_QUESTION[2]}', lines, chr(10), last, '. none of the listed meanings fits', '{_QUESTION[3]}', last, '{_QUESTION[4]}') AS prompt FROM lines JOIN examples USING (lemma))
     SELECT lemma, pos, prompt, ceil(length(prompt) / 4)::bigint AS tokens FROM prompts"""
 
 _LONGEST = f"""expressions AS (SELECT DISTINCT lower(written_rep) AS key, len(string_split(written_rep, ' ')) AS words FROM dictionary WHERE contains(written_rep, ' ')),
@@ -249,3 +259,10 @@ def token_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain from tokens on: vocabulary and expressions, candidates, comparison, sense choice, dispositions."""
     found = chain.chapter_vocabulary(S.token_table(spark, sf_dir), S.dictionary(spark, sf_dir), _sense_events(spark, sf_dir))
     return chain.triaged(found, choice.first_sense, 25).select(*chain.KEY, "word_form", "frequency", "disposition")
+
+
+@query(ORACLE_SQL["token_chain"])
+def chapter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain from texts on, by an analyzer in Python that says of a text what the stand-in's token table says."""
+    found = chain.run_chapters(S.chapters(spark, sf_dir), S.dictionary(spark, sf_dir), _sense_events(spark, sf_dir), S.StandInAnalyzer)
+    return chain.triaged(found, choice.first_sense, 25).select(*chain.KEY, "word_form", "frequency", "disposition")

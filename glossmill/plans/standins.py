@@ -6,10 +6,14 @@ matters is that Spark and SQL see the same rows. Each stand-in has its SQL besid
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.functions.text import words
+from glossmill.operators.analyzer import Token
 from glossmill.operators.vocabulary import EXPRESSION_PARTICLES
 from glossmill.schema import CHAPTER
 from glossmill.sources.staging import staged
@@ -68,6 +72,37 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+class StandInAnalyzer:
+    """The tokens of a text as tokens() has them, for what takes an analyzer."""
+
+    def __init__(self) -> None:
+        import regex
+
+        self.word = regex.compile(r"\p{L}(?:\p{L}|['-])*")
+
+    @staticmethod
+    def _number(text: str) -> int:
+        return int(hashlib.md5(text.encode()).hexdigest()[:7], 16)
+
+    def sentences(self, text: str) -> Iterator[list[Token]]:
+        found = self.word.findall(text)
+        kinds, out = [None], []
+        for i, own in enumerate(found):
+            word = own.lower()
+            g, h = self._number("p" + word), self._number(f"{word}{i % 3}")
+            kind = SATELLITES[g // 13 % 4] if g % 13 == 0 and i % 12 > 1 else None
+            inner = kind is None and kinds[-1] == "prep" and i % 12 > 0
+            kinds.append(kind)
+            lemma = EXPRESSION_PARTICLES[g % len(EXPRESSION_PARTICLES)] if kind == "advmod" else word
+            pos = "PRON" if inner and g % 2 == 0 else "PROPN" if "A" <= own[0] <= "Z" else TAGS[h % 6]
+            out.append(Token(own, lemma, " ", pos, "pobj" if inner else kind or "dep", i - 1 if inner else i - 1 - i % 2 if kind else i))
+            if i % 12 == 11:
+                yield out
+                out = []
+        if out:
+            yield out
+
+
 def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens as a table, for what reads them several times."""
     return staged(tokens(spark, sf_dir), "tokens")

@@ -22,10 +22,7 @@ from glossmill.functions.text import flow, without_boilerplate, word_count
 from glossmill.schema import CHAPTERS
 
 # Fixed values.
-NAVIGATION_MISSING = (
-    "Diese Datei nennt keine Kapitelstruktur (weder nav.xhtml noch toc.ncx). Jedes Dokument der Lesereihenfolge gilt deshalb als eigenes Kapitel — "
-    "die Grenzen stammen nicht aus dem Buch."
-)
+NAVIGATION_MISSING = "Das Buch sagt nicht, wo seine Kapitel beginnen; jedes Dokument zählt hier als eines."
 UNKNOWN_AUTHOR = "unbekannt"
 FALLBACK_TITLE = "Kapitel "
 OPF, DC, XHTML, EPUB, NCX, CONTAINER, ENC = (

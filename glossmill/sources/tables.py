@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import sqlite3
 import urllib.request
+import uuid
 from collections.abc import Iterator
+from contextlib import closing
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,8 +46,8 @@ def split_chapters(books: DataFrame, key: list[str], heading: str = HEADING) ->
 
 
 class _Rows(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+    def __init__(self, path: str, place: int, low: int, high: int):
+        self.path, self.place, self.low, self.high = path, place, low, high
 
 
 class SqliteReader(DataSourceReader):
@@ -53,21 +55,30 @@ class SqliteReader(DataSourceReader):
         self.schema, self.path = schema, options["path"]
         self.table, self.parts = options.get("dbtable", "translation"), int(options.get("partitions", "8"))
 
-    def _connect(self) -> sqlite3.Connection:
+    def _connect(self, path: str) -> sqlite3.Connection:
+        return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+
+    def _files(self) -> list[str]:
+        if os.path.isdir(self.path):
+            return sorted(os.path.join(self.path, x) for x in os.listdir(self.path) if x.endswith(".sqlite3"))
         if not os.path.isfile(self.path):
             raise FileNotFoundError(self.path)
-        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+        return [self.path]
 
     def partitions(self) -> list[InputPartition]:
-        with self._connect() as con:
-            low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
-        if low is None:
-            return [_Rows(0, -1)]
-        step = -(-(high - low + 1) // self.parts)
-        return [_Rows(x, min(high, x + step - 1)) for x in range(low, high + 1, step)]
+        """Ranges of rows of the file, or of each file of the folder; src_row is a row's place in its file, behind that of the file."""
+        files = self._files()
+        parts, out = max(1, self.parts // max(1, len(files))), []
+        for place, path in enumerate(files):
+            with closing(self._connect(path)) as con:
+                low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+            if low is not None:
+                step = -(-(high - low + 1) // parts)
+                out += [_Rows(path, place, x, min(high, x + step - 1)) for x in range(low, high + 1, step)]
+        return out or [_Rows(files[0], 0, 0, -1)] if files else [_Rows("", 0, 0, -1)]
 
     def read(self, partition: _Rows) -> Iterator[tuple]:
-        columns = ", ".join("rowid" if f.name == "src_row" else f'"{f.name}"' for f in self.schema)
+        columns = ", ".join(f"{partition.place << 40} + rowid" if f.name == "src_row" else f'"{f.name}"' for f in self.schema)
         kinds = [f.dataType.typeName() for f in self.schema]
 
         def value(x, kind: str):
@@ -79,13 +90,15 @@ class SqliteReader(DataSourceReader):
             except (TypeError, ValueError):
                 return None
 
-        with self._connect() as con:
+        if not partition.path:
+            return
+        with closing(self._connect(partition.path)) as con:
             for row in con.execute(f'SELECT {columns} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?', (partition.low, partition.high)):
                 yield tuple(value(x, k) for x, k in zip(row, kinds, strict=True))
 
 
 class SqliteSource(DataSource):
-    """A table of an SQLite file by ranges of rows; every worker must reach the file."""
+    """A table of an SQLite file, or of all of a folder, by ranges of rows; every worker must reach them."""
 
     @classmethod
     def name(cls) -> str:
@@ -114,19 +127,39 @@ def checked_dictionary(dictionary: DataFrame, least: int = LEAST_ROWS) -> DataFr
     return dictionary
 
 
-def fetch_dictionary(url: str, target: str, timeout: float = 60) -> str:
-    """Downloads a dictionary once; it gets its name only when all of it has arrived."""
+def _validated(path: str, least: int) -> None:
+    """A dictionary file with its columns and enough rows, and with an index on headwords; else an error."""
+    try:
+        with closing(sqlite3.connect(path)) as con:
+            columns = {r[1] for r in con.execute("PRAGMA table_info(translation)")}
+            if missing := {"lexentry", "sense", "written_rep", "trans_list", "score"} - columns:
+                raise ValueError(f"no dictionary, it lacks {', '.join(sorted(missing))}")
+            (n,) = con.execute("SELECT count(*) FROM translation").fetchone()
+            if n < least:
+                raise ValueError(f"the dictionary has {n} rows, and {least} at least are expected")
+            con.execute("CREATE INDEX IF NOT EXISTS headword ON translation (written_rep)")
+            con.commit()
+    except sqlite3.DatabaseError as e:
+        raise ValueError(f"no dictionary: {e}") from e
+
+
+def fetch_dictionary(url: str, target: str, timeout: float = 60, least: int = LEAST_ROWS) -> str:
+    """Downloads a dictionary once; it gets its name only when all of it has arrived, and its columns, rows and index are there."""
     if os.path.exists(target):
         return target
-    part = target + ".part"
-    with urllib.request.urlopen(url, timeout=timeout) as response, open(part, "wb") as out:
-        stated, got = response.headers.get("Content-Length"), 0
-        while data := response.read(1 << 20):
-            got += out.write(data)
-    if stated is not None and got != int(stated):
-        os.remove(part)
-        raise ValueError(f"{got} of {stated} bytes arrived")
-    os.replace(part, target)
+    part = f"{target}.{uuid.uuid4().hex}.part"
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as response, open(part, "wb") as out:
+            stated, got = response.headers.get("Content-Length"), 0
+            while data := response.read(1 << 20):
+                got += out.write(data)
+        if stated is not None and got != int(stated):
+            raise ValueError(f"{got} of {stated} bytes arrived")
+        _validated(part, least)
+        os.replace(part, target)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
     return target
 
 

@@ -18,7 +18,7 @@ from glossmill.sources import epub, tables
 CARD = "book_title string, book_author string, chapter int, lemma string, pos string, word_form string, example_sentence string, lexentry string, sense string, translation string, uncertain boolean, card_direction string"
 
 
-def card(word="watch", sentence="The watchman watched his watch.", translation="Uhr", uncertain=False, direction="en_de", pos="NOUN", lemma=None, chapter=1):
+def card(word="plum", sentence="Two plums, one plumber: a plum!", translation="Pflaume", uncertain=False, direction="en_de", pos="NOUN", lemma=None, chapter=1):
     return ("B & C", "An Author", chapter, lemma or word, pos, word, sentence, "e", None, translation, uncertain, direction)
 
 
@@ -28,7 +28,7 @@ def of(spark, *rows):
 
 def test_cloze_needs_a_word_of_its_own(spark):
     got = cards.notes(of(spark, card(direction="cloze"))).first()
-    assert got["fields"][0] == "The watchman watched his {{c1::watch}}." and len(got["fields"]) == 6
+    assert got["fields"][0] == "Two plums, one plumber: a {{c1::plum}}!" and len(got["fields"]) == 6
     rows = of(spark, card("heart", "a heart-broken girl’s", direction="cloze"), card("x", "x", None, True, "de_en"), card("x", "x", "y"), card("a.b", "a.b axb", direction="cloze"))
     assert [r[0] is None for r in rows.select(cards.obstacle()).collect()] == [False, False, True, True]
     with pytest.raises(Exception, match="gap"):
@@ -45,7 +45,7 @@ def test_translation_cases_and_tags(spark):
 
 
 def test_guid_depends_on_identity_alone(spark):
-    base, other = of(spark, card()), of(spark, card(sentence="other watch", translation="x", uncertain=True))
+    base, other = of(spark, card()), of(spark, card(sentence="another plum", translation="x", uncertain=True))
     guid = lambda df: df.select(cards.guid()).first()[0]
     assert guid(base) == guid(other)
     changed = [guid(base.withColumn(k, F.lit(v))) for k, v in (("lemma", "x"), ("pos", "VERB"), ("sense", "s"), ("lexentry", "f"), ("card_direction", "cloze"), ("chapter", 2), ("book_title", "T"))]
@@ -165,7 +165,7 @@ def test_too_long_questions_are_refused(spark):
         choice.choose(entries(spark, [("e", "s" * 12_000, "x", False), ("e", "b", "y", False)]), choice.first_sense).collect()
 
 
-def book(nav=None, ncx=None, title="<dc:title> </dc:title><dc:title>Book</dc:title>", docs=None, extra=None, hrefs=("chapter1.xhtml", "chapter2.xhtml", "chapter3.xhtml")):
+def book(nav=None, ncx=None, title="<dc:title> </dc:title><dc:title>Book</dc:title>", docs=None, extra=None, hrefs=("leaf-a.xhtml", "leaf-b.xhtml", "leaf-c.xhtml")):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("mimetype", "application/epub+zip")
@@ -174,10 +174,10 @@ def book(nav=None, ncx=None, title="<dc:title> </dc:title><dc:title>Book</dc:tit
         items += '<item id="nav" href="nav.xhtml" properties="x nav"/>' * bool(nav) + '<item id="ncx" href="toc.ncx"/>' * bool(ncx)
         spine = "".join(f'<itemref idref="c{i}"/>' for i in range(len(hrefs)))
         z.writestr("OEBPS/content.opf", f'<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata>{title}</metadata><manifest>{items}</manifest><spine{" toc='ncx'" * bool(ncx)}>{spine}</spine></package>')
-        for name, text in (docs or {f"chapter{i}.xhtml": f"<html><head><title>t</title></head><body><p>Text {'abc'[i - 1]}.</p></body></html>" for i in (1, 2, 3)}).items():
+        for name, text in (docs or {f"leaf-{'abc'[i - 1]}.xhtml": f"<html><head><title>t</title></head><body><p>Text {'abc'[i - 1]}.</p></body></html>" for i in (1, 2, 3)}).items():
             z.writestr(f"OEBPS/{name}", text)
         if nav:
-            z.writestr("OEBPS/nav.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="landmarks"><ol><li><a href="chapter3.xhtml">no</a></li></ol></nav><nav epub:type="bodymatter toc">{nav}</nav></body></html>')
+            z.writestr("OEBPS/nav.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="landmarks"><ol><li><a href="leaf-c.xhtml">no</a></li></ol></nav><nav epub:type="bodymatter toc">{nav}</nav></body></html>')
         if ncx:
             z.writestr("OEBPS/toc.ncx", f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap>{ncx}</navMap></ncx>')
         for name, text in (extra or {}).items():
@@ -185,7 +185,7 @@ def book(nav=None, ncx=None, title="<dc:title> </dc:title><dc:title>Book</dc:tit
     return out.getvalue()
 
 
-NAV = '<ol><li><a href="chapter1.xhtml#a">One</a><div><ol><li><p><a href="chapter1.xhtml#m">inner</a></p></li></ol></div></li><li><a href="chapter2.xhtml#a">Two\n x</a></li></ol><ul><li><a href="chapter2.xhtml#e">end</a></li></ul>'
+NAV = '<ol><li><a href="leaf-a.xhtml#a">One</a><div><ol><li><p><a href="leaf-a.xhtml#m">inner</a></p></li></ol></div></li><li><a href="leaf-b.xhtml#a">Two\n x</a></li></ol><ul><li><a href="leaf-b.xhtml#e">end</a></li></ul>'
 POINT = '<navPoint><navLabel><text>{}</text></navLabel><content src="{}"/>{}</navPoint>'
 
 
@@ -194,34 +194,34 @@ def read(spark, *contents):
 
 
 def test_navigation_forms_and_fallback(spark):
-    deep = POINT.format("Sub", "chapter2.xhtml", "")
-    rows = read(spark, book(NAV), book(ncx=POINT.format("One", "chapter1.xhtml#x", deep)), book(), book(NAV.replace("chapter", "gone")))
+    deep = POINT.format("Sub", "leaf-b.xhtml", "")
+    rows = read(spark, book(NAV), book(ncx=POINT.format("One", "leaf-a.xhtml#x", deep)), book(), book(NAV.replace("leaf", "gone")))
     got = {}
     for r in epub.structure(rows).orderBy("path", "chapter").collect():
         got.setdefault(r["path"], []).append((r["title"], [d[6:] for d in r["documents"]], r["level"], r["notice"] is None))
-    assert got["b0"] == [("One", ["chapter1.xhtml"], 0, True), ("Two x", ["chapter2.xhtml", "chapter3.xhtml"], 0, True)]
-    assert got["b1"] == [("One", ["chapter1.xhtml"], 0, True), ("Sub", ["chapter2.xhtml", "chapter3.xhtml"], 1, True)]
-    assert got["b2"] == got["b3"] == [(f"Kapitel {i}", [f"chapter{i}.xhtml"], 0, False) for i in (1, 2, 3)]
+    assert got["b0"] == [("One", ["leaf-a.xhtml"], 0, True), ("Two x", ["leaf-b.xhtml", "leaf-c.xhtml"], 0, True)]
+    assert got["b1"] == [("One", ["leaf-a.xhtml"], 0, True), ("Sub", ["leaf-b.xhtml", "leaf-c.xhtml"], 1, True)]
+    assert got["b2"] == got["b3"] == [(f"Kapitel {i}", [f"leaf-{'abc'[i - 1]}.xhtml"], 0, False) for i in (1, 2, 3)]
 
 
 def test_front_matter_missing_targets_and_encoded_names(spark):
-    late = '<ol><li><a href="chapter2.xhtml">Two</a></li><li><a href="gone%201.xhtml">Gone</a></li></ol>'
-    rows = read(spark, book(late, hrefs=("chapter1.xhtml", "chapter2.xhtml", "gone%201.xhtml", "chapter3.xhtml")))
-    assert [(r["title"], r["documents"]) for r in epub.structure(rows).orderBy("chapter").collect()] == [("Two", ["OEBPS/chapter2.xhtml"]), ("Gone", ["OEBPS/gone 1.xhtml", "OEBPS/chapter3.xhtml"])]
+    late = '<ol><li><a href="leaf-b.xhtml">Two</a></li><li><a href="gone%201.xhtml">Gone</a></li></ol>'
+    rows = read(spark, book(late, hrefs=("leaf-a.xhtml", "leaf-b.xhtml", "gone%201.xhtml", "leaf-c.xhtml")))
+    assert [(r["title"], r["documents"]) for r in epub.structure(rows).orderBy("chapter").collect()] == [("Two", ["OEBPS/leaf-b.xhtml"]), ("Gone", ["OEBPS/gone 1.xhtml", "OEBPS/leaf-c.xhtml"])]
     assert {r["title"]: r["words"] for r in epub.chapter_word_counts(rows).collect()} == {"Two": 2, "Gone": None}
 
 
 def test_chapter_text_and_its_refusals(spark):
     assert [r["text"] for r in epub.chapter_texts(read(spark, book(NAV))).orderBy("chapter").collect()] == ["Text a.", "Text b.\nText c."]
-    lock = '<encryption xmlns:enc="http://www.w3.org/2001/04/xmlenc#"><enc:CipherReference URI="OEBPS/chapter1.xhtml"/></encryption>'
+    lock = '<encryption xmlns:enc="http://www.w3.org/2001/04/xmlenc#"><enc:CipherReference URI="OEBPS/leaf-a.xhtml"/></encryption>'
     for bad, message in (
         (book(NAV, extra={"META-INF/encryption.xml": lock}), "encrypted"), (book(NAV, extra={"META-INF/encryption.xml": "<x"}), "corrupt"),
-        (book(NAV, docs={"chapter1.xhtml": b"\xff\xfe", "chapter2.xhtml": "b", "chapter3.xhtml": "c"}), "not_utf8"), (book(NAV, docs={"chapter1.xhtml": "<p>1</p>", "chapter2.xhtml": "b", "chapter3.xhtml": "c"}), "no text"),
+        (book(NAV, docs={"leaf-a.xhtml": b"\xff\xfe", "leaf-b.xhtml": "b", "leaf-c.xhtml": "c"}), "not_utf8"), (book(NAV, docs={"leaf-a.xhtml": "<p>1</p>", "leaf-b.xhtml": "b", "leaf-c.xhtml": "c"}), "no text"),
         (b"no zip", "no EPUB"), (book(title=""), "no title"), (book(hrefs=()), "no spine"),
     ):
         with pytest.raises(Exception, match=message):
             epub.chapter_texts(read(spark, bad)).collect()
-    fonts = lock.replace("chapter1.xhtml", "font.ttf")
+    fonts = lock.replace("leaf-a.xhtml", "font.ttf")
     assert epub.chapter_texts(read(spark, book(NAV, extra={"META-INF/encryption.xml": fonts}))).count() == 2
     assert epub.health(read(spark, book(NAV))).first()["targets"] == 2
 
@@ -265,3 +265,40 @@ def test_too_long_questions_are_marked_where_a_corpus_goes_on(spark):
     got = {r["word_form"]: r for r in choice.resolved(choice.choose(rows, choice.first_sense, "mark")).collect()}
     assert [got[f"w{i}"]["choice_obstacle"] for i in range(3)] == [choice.TOO_LONG, None, choice.TOO_LONG]
     assert got["w1"]["choice"] == 1 and got["w0"]["sense_chosen"] is None and got["w2"]["sense_chosen"] is None
+
+
+def sqlite_rows(path, names, columns="lexentry, sense_num, sense, written_rep TEXT, trans_list, score, is_good, importance"):
+    import sqlite3
+
+    with sqlite3.connect(path) as con:
+        con.execute(f"CREATE TABLE translation ({columns})")
+        con.executemany(f"INSERT INTO translation (written_rep) VALUES (?)", [(n,) for n in names])
+    con.close()
+
+
+def test_a_folder_of_sqlite_files_is_one_dictionary(spark, tmp_path):
+    for name, words in (("b", ["x", "y"]), ("a", ["z"]), ("c", [])):
+        sqlite_rows(tmp_path / f"{name}.sqlite3", words)
+    (tmp_path / "d.part").write_text("left behind")
+    got = tables.sqlite_dictionary(spark, str(tmp_path))
+    assert {(r["written_rep"], r["src_row"]) for r in got.collect()} == {("z", 1), ("x", (1 << 40) + 1), ("y", (1 << 40) + 2)}
+    (tmp_path / "none").mkdir()
+    assert tables.sqlite_dictionary(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_fetched_dictionary_is_checked_before_it_has_its_name(tmp_path):
+    import sqlite3
+
+    sqlite_rows(tmp_path / "good", [f"w{i}" for i in range(30)])
+    sqlite_rows(tmp_path / "columns", ["w"], "written_rep TEXT, score")
+    (tmp_path / "page").write_text("<html>not found</html>" * 99)
+    target = str(tmp_path / "d.sqlite3")
+    for name, least, says in (("columns", 1, "lacks lexentry"), ("page", 1, "no dictionary"), ("good", 31, "30 rows")):
+        with pytest.raises(ValueError, match=says):
+            tables.fetch_dictionary((tmp_path / name).as_uri(), target, least=least)
+        assert sorted(x.name for x in tmp_path.iterdir()) == ["columns", "good", "page"]
+    assert tables.fetch_dictionary((tmp_path / "good").as_uri(), target, least=30) == target
+    con = sqlite3.connect(target)
+    assert "headword" in con.execute("EXPLAIN QUERY PLAN SELECT * FROM translation WHERE written_rep = 'w1'").fetchone()[3]
+    con.close()
+    assert tables.fetch_dictionary("file:///nowhere", target) == target

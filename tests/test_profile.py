@@ -145,3 +145,16 @@ def test_order_bulk_marks_and_limit(spark):
     assert triage.beyond_word_limit(own, 3).first()["lemma"] == "b" and triage.beyond_word_limit(own, 0).count() == 4
     with pytest.raises(ValueError, match="list"):
         triage.ensure_members(own, chosen.withColumn("lemma", F.lit("q")))
+
+
+def test_each_broken_rule_is_named(spark):
+    good = log(spark, event("a", "known", 1, book=("B", "A", 1)))
+    chapters = spark.createDataFrame([("B", "A", 1)], "book_title string, book_author string, chapter int")
+    cases = [({}, None), ({"state": "lost"}, "state"), ({"state": None}, "state"), ({"origin": "x"}, "origin"), ({"timestamp": None}, "time"), ({"chapter": None}, "place"), ({"book_title": None}, "place"), ({"chapter": 2}, "chapter"), ({"state": "x", "chapter": 2}, "state")]
+    for change, fault in cases:
+        rows = good
+        for k, v in change.items():
+            rows = rows.withColumn(k, F.lit(v).cast(rows.schema[k].dataType))
+        assert [r["fault"] for r in profile.event_faults(rows, chapters).collect()] == [fault]
+        assert fault == "chapter" or [r["fault"] for r in profile.event_faults(rows).collect()] == [fault]
+    assert profile.event_faults(good.limit(0), chapters).count() == 0
