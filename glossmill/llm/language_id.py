@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-For each language a raw-content zstandard dictionary is made from a bounded sample of labelled rows
-(ROWS rows, each with pieces from all over its text). A text is cut into chunks that cover all of it; each
+For each language a raw-content zstandard dictionary is made from a bounded sample of labelled rows: up to ROWS distinct
+texts, of up to BYTES together, each of them whole. A text is cut into chunks that cover all of it; each
 chunk is compressed with each dictionary, and the language with the smallest sum of sizes wins. A text
 whose runner-up is too near is rejected.
 
@@ -22,13 +22,12 @@ from pyspark.sql import functions as F
 
 from glossmill.llm.common import Batches, bounded_batches, crc_mod, join_sized, materialize, texts_of
 
-#: The bound of the training sample: rows a language, and languages.
-ROWS, LANGUAGES = 150, 1000
-#: What a row gives to a dictionary: so many pieces of so many characters, spread over its whole text. A dictionary of all rows fits the window.
-PIECES, PIECE = 4, 170
+#: The bound of the training sample: distinct texts a language, their bytes, the bytes of all languages, and languages. A
+#: dictionary of all its texts fits the window; a text that would pass the bound is left out as a whole.
+ROWS, BYTES, ALL_BYTES, LANGUAGES = 150, 480_000, 120_000_000, 1000
 #: Bytes of text that one compression takes.
 CHUNK = 4096
-PARAMETERS = {"window_log": 19, "chain_log": 16, "hash_log": 16, "search_log": 3, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2}
+PARAMETERS = {"window_log": 19, "chain_log": 19, "hash_log": 17, "search_log": 3, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2}
 #: A text is rejected under this score.
 NARROW = 0.55
 LETTER = re.compile(r"[^\W\d_]")
@@ -44,24 +43,31 @@ def letters(text: str) -> bytes:
 
 
 def sample(labelled: DataFrame) -> list[tuple[str, str]]:
-    """Up to ROWS rows of each language, chosen by a hash of their text, as (lang, PIECES pieces spread over the whole text)."""
-    counts = materialize(labelled.sparkSession, labelled.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    """Up to ROWS distinct texts of each language, chosen by a digest of theirs, as (lang, whole text)."""
+    spark = labelled.sparkSession
+    keyed = labelled.filter("text <> ''").withColumn("digest", F.md5("text"))
+    distinct = materialize(spark, keyed.groupBy("lang", "digest").agg(F.min(F.octet_length("text")).alias("size")), "language-texts")
+    counts = materialize(spark, distinct.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
     total, languages = counts.agg(F.sum("n"), F.count("*")).first()
     if not languages:
         return []
     if languages > LANGUAGES:
         raise ValueError(f"{languages} languages are labelled, and {LANGUAGES} is the most that a worker holds dictionaries of")
-    share = F.conv(F.substring(F.md5("text"), 1, 7), 16, 10).cast("double") / float(16**7)
-    drawn = join_sized(labelled.filter("text <> ''"), counts, ["lang"], "n", total).withColumn("at", share).filter(F.col("at") < (2.0 * ROWS + 50) / F.col("n"))
-    length = F.length("text")
-    step = (length - PIECE) / float(PIECES - 1)
-    spread = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring("text", (1 + F.floor(i * step)).cast("int"), F.lit(PIECE)))
-    pieces = F.when(length > PIECE * PIECES, spread).otherwise(F.array("text"))
-    # Equal texts have one hash, so that copies are all drawn or none, and one of them is enough.
-    texts = drawn.groupBy("lang", "at", pieces.alias("pieces")).agg(F.lit(1).alias("one"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("at", "pieces"))
-    rows = texts.withColumn("turn", first).filter(F.col("turn") <= ROWS).select("lang", "turn", "pieces").collect()
-    return [(r["lang"], " ".join(r["pieces"])) for r in sorted(rows, key=lambda r: (r["lang"], r["turn"]))]
+    # Enough of each language, by the digest, so that a language's texts are never all in one task; then the first by digest.
+    at = F.conv(F.substring("digest", 1, 7), 16, 10).cast("double") / float(16**7)
+    drawn = join_sized(distinct, counts, ["lang"], "n", total).filter(at < (2.0 * ROWS + 50) / F.col("n"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
+    rows = drawn.withColumn("turn", first).filter(F.col("turn") <= ROWS).select("lang", "digest", "size").collect()
+    most, left, chosen = min(BYTES, ALL_BYTES // languages), {}, []
+    for r in sorted(rows, key=lambda r: (r["lang"], r["digest"])):
+        if r["size"] <= left.setdefault(r["lang"], most):
+            left[r["lang"]] -= r["size"]
+            chosen.append((r["lang"], r["digest"]))
+    if not chosen:
+        return []
+    wanted = spark.createDataFrame(chosen, "lang string, digest string")  # ROWS a language at most
+    texts = keyed.join(F.broadcast(wanted), ["lang", "digest"]).groupBy("lang", "digest").agg(F.min("text").alias("text")).collect()
+    return [(r["lang"], r["text"]) for r in sorted(texts, key=lambda r: (r["lang"], r["digest"]))]
 
 
 def dictionaries(pairs: list[tuple[str, str]]) -> dict[str, bytes]:

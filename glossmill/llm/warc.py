@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import Batches, bounded_batches, fresh_path, materialize, row_ids
+from glossmill.llm.common import Batches, bounded_batches, fresh_path, join_sized, materialize, row_ids
 from glossmill.llm.files import RangeFile, byte_blocks, task_file
 
 BLOCK = 4 << 20
@@ -302,8 +302,10 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, zipped: b
     source = row_ids(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")).select("row_uid", "page_id", "url", "html")
     prepared = materialize(spark, source.mapInArrow(prepare, "row_uid long, page_id long, url string, digest string, n_bytes long, packed binary"), "warc-payloads")
     order = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", (-F.col("row_uid")).alias("turn"))
-    firsts = prepared.groupBy("digest", "n_bytes").agg(F.max(order).alias("first"))
-    chosen = prepared.join(firsts, ["digest", "n_bytes"]).select(
+    firsts = materialize(spark, prepared.groupBy("digest", "n_bytes").agg(F.max(order).alias("first"), F.count("*").alias("copies")), "warc-firsts")
+    pages_there = firsts.agg(F.sum("copies")).first()[0] or 0
+    # Pages of a payload that very many have, as empty and error pages, are not shuffled.
+    chosen = join_sized(prepared, firsts, ["digest", "n_bytes"], "copies", pages_there).select(
         "page_id", "url", "digest", "n_bytes", ((F.col("n_bytes") < least) | (F.col("row_uid") == -F.col("first.turn"))).alias("response"), F.col("first.page_id").alias("response_id"), "packed",
     )
     return chosen.mapInArrow(write, "path string, size long")

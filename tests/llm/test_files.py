@@ -115,3 +115,17 @@ def test_lengths_over_block_borders(spark, tmp_path, block):
 def test_shared_folder_is_that_of_the_session(spark):
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert shared_dir(spark) == (configured.rstrip("/") if configured else shared_dir(spark))
+
+
+def test_pages_of_a_hot_payload_are_not_shuffled(spark, monkeypatch):
+    rows = [(i, f"u{i}", "error page" if i % 3 else f"own {i}") for i in range(1500)] + [(5000, "u", None), (5001, "u", "")]
+    seen = []
+    joined = warc.join_sized
+    monkeypatch.setattr(warc, "join_sized", lambda *a, **k: seen.append(joined(*a, **k)) or seen[-1])
+    files = materialize(spark, warc.write_archives(spark, pages_of(spark, rows).repartition(3), fresh_path(spark, "t")), "t")
+    got = warc.read_archives(spark, files).filter("record_type <> 'warcinfo'")
+    got = got.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2  # hot digests come to their pages; only the others' pages are moved
+    assert files.count() > 1

@@ -325,3 +325,17 @@ def test_quality_learns_whole_texts_and_ranks_held_out_rows(spark):
 
 def test_encoding_an_empty_table_gives_no_row(spark, documents):
     assert bpe.round_trip(spark, documents([])).isEmpty() and bpe.encode(spark, documents([])).isEmpty()
+
+
+def test_languages_are_learned_from_distinct_whole_texts(spark, monkeypatch, prose):
+    monkeypatch.setattr(language_id, "ROWS", 20)
+    monkeypatch.setattr(language_id, "BYTES", 60_000)
+    own = {"aa": [prose(i, 300, "abcd") for i in range(50)], "bb": ["one text"] * 300 + [prose(i, 40, "wxyz") for i in range(5)] + ["é" * 40_000]}
+    rows = [(t, k) for k, texts in own.items() for t in texts] + [(None, "aa"), ("", "bb"), ("x", None)]
+    table = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    found = language_id.sample(table.filter("lang is not null"))
+    assert set(found) <= {(k, t) for t, k in rows} and len(found) == len(set(found))  # whole, and each once
+    sizes = {k: [len(t.encode()) for lang, t in found if lang == k] for k in own}
+    assert all(sum(v) <= 60_000 for v in sizes.values()) and 10 < len(sizes["aa"]) <= 20
+    assert {t for lang, t in found if lang == "bb"} == {t for t in own["bb"] if len(t.encode()) <= 60_000}  # copies crowd nothing out; what passes the bound is left out as a whole
+    assert found == language_id.sample(table.repartition(3).filter("lang is not null"))
