@@ -1,8 +1,10 @@
 """A gated recurrent language model over words, with a class-factored softmax, in numpy.
 
-Words of the vocabulary are dealt into classes of about equal frequency; P(word) = P(class | state) *
-P(word | class, state). Every other word is of one class more, the rest, whose members the caller prices
-by counts. Training is truncated backpropagation over windows, with the state carried from one to the next.
+P(word) = P(class | state) * P(word | class, state). The most frequent words, more of them the more words the corpus
+has, are dealt into classes of about equal frequency, in which the model tells them apart. All other words are of
+SHAPES further classes by their first two bytes, in which the caller tells them apart by counts; so the vocabulary is all
+the corpus, and what language or subject a rare word is of counts. Training is truncated backpropagation over windows,
+with the state carried from one to the next.
 """
 
 from __future__ import annotations
@@ -11,18 +13,27 @@ import math
 
 import numpy as np
 
-from glossmill.llm.words import mix
-
 #: Reserved hash of the end of a text, and its place in the vocabulary.
 END_HASH, END = np.uint64(0), 0
-VOCABULARY, CLASSES = 2048, 32  # both with REST_INPUTS fit 16 bits, by which batches are sorted
-#: Input embeddings that words of the rest share by hash.
-REST_INPUTS = 64
+#: Classes, and inputs, of rare words; the lowest bits of a word's hash tell which of them it is in.
+SHAPES = 128
 EMBEDDING, STATE = 32, 32
 #: Texts side by side in a window: fewer for a small corpus, so that it still gives STEPS windows.
 LEAST_STREAMS, STREAMS, WINDOW, STEPS, RATE = 64, 1024, 16, 200, 0.006
 #: Rows of states that the output layer takes at a time.
 OUTPUT_ROWS = 1 << 14
+#: Rows whose classes are priced at once, so that they stay in a core's cache.
+CACHED_ROWS = 1 << 11
+
+
+def head_size(distinct: int) -> int:
+    """How many of the distinct words of a corpus the model tells apart by their states, the end included: it grows with their root."""
+    return max(1024, 2 * math.isqrt(max(0, distinct)))
+
+
+def sort_key(x: np.ndarray, most: int) -> np.ndarray:
+    """Small numbers as 16 bits, which numpy sorts by radix."""
+    return x.astype(np.int16) if most < 1 << 15 else x
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -35,8 +46,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def log_at(x: np.ndarray, at: np.ndarray, shares: bool) -> np.ndarray:
-    """The logarithm of the softmax at one place of each row; x is overwritten, by the shares if they are wanted."""
-    x -= x.max(-1, keepdims=True)
+    """The logarithm of the softmax at one place of each row; x is overwritten, by the shares if they are wanted.
+
+    Values are held within what exponents of 32-bit floats take, which is cheaper than a maximum of each row.
+    """
+    np.clip(x, -80, 80, out=x)
     chosen = x[np.arange(len(x)), at]
     np.exp(x, out=x)
     total = x.sum(-1)
@@ -46,29 +60,37 @@ def log_at(x: np.ndarray, at: np.ndarray, shares: bool) -> np.ndarray:
 
 
 class Vocabulary:
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        """The most frequent words after the end; ties go to the smaller hash."""
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, size: int | None = None, ends: int = 1, shapes: np.ndarray | None = None):
+        """The most frequent words after the end, size with it; ties go to the smaller hash. ends: how often a text ends; shapes: tokens of each shape, frequent words included."""
+        size = size or head_size(len(hashes))
         order = np.lexsort((hashes, -counts))
-        order = order[hashes[order] != END_HASH][: VOCABULARY - 1]
+        order = order[hashes[order] != END_HASH][: size - 1]
         self.hashes = np.concatenate(([END_HASH], hashes[order]))
         weight = np.sqrt(np.concatenate(([1], counts[order])).astype(np.float64))
-        share = np.cumsum(weight) / weight.sum()
-        self.class_of = np.minimum((share * CLASSES).astype(np.int64), CLASSES - 1)
-        self.class_of = np.append(np.unique(self.class_of, return_inverse=True)[1], 0)
-        self.classes = int(self.class_of[:-1].max()) + 1
-        self.class_of[-1] = self.classes
-        first = np.searchsorted(self.class_of[:-1], np.arange(self.classes + 1))
-        self.first, self.sizes = first, np.diff(first)
+        share, classes = np.cumsum(weight) / weight.sum(), max(1, math.isqrt(size // 2))
+        own = np.unique(np.minimum((share * classes).astype(np.int64), classes - 1), return_inverse=True)[1]
+        self.classes = int(own.max()) + 1
+        self.class_of = np.concatenate([own, self.classes + np.arange(SHAPES)])
+        self.first = np.searchsorted(own, np.arange(self.classes + 1))
+        self.sizes = np.diff(self.first)
         self.sorted = np.argsort(self.hashes)
+        # What counts alone say of classes and of words in them, as the model's first biases.
+        often = np.concatenate(([max(1, ends)], counts[order])).astype(np.float64)
+        in_class = np.bincount(own, often)
+        self.word_logs = np.log(often / in_class[own])
+        rare = np.zeros(SHAPES) if shapes is None else shapes - np.bincount(shape_of(hashes[order]), counts[order], SHAPES)
+        of_class = np.concatenate([in_class, np.maximum(rare, 0) + 0.5])
+        self.class_logs = np.log(of_class / of_class.sum())
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Places in the vocabulary; its size for words of the rest."""
+        """Places in the vocabulary; behind its frequent words the classes of the others."""
         at = np.searchsorted(self.hashes, hashes, sorter=self.sorted)
         at = self.sorted[np.minimum(at, len(self.sorted) - 1)]
-        return np.where(self.hashes[at] == hashes, at, len(self.hashes))
+        return np.where(self.hashes[at] == hashes, at, len(self.hashes) + shape_of(hashes))
 
-    def inputs(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        return np.where(ids < len(self.hashes), ids, len(self.hashes) + (mix(hashes) % np.uint64(REST_INPUTS)).astype(np.int64))
+
+def shape_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SHAPES - 1)).astype(np.int64)
 
 
 class LanguageModel:
@@ -77,13 +99,16 @@ class LanguageModel:
         r = np.random.default_rng(seed)
         wide = int(vocabulary.sizes.max())
         shapes = {
-            "embed": (len(vocabulary.hashes) + REST_INPUTS, EMBEDDING), "w": (EMBEDDING, 3 * STATE), "u": (STATE, 3 * STATE), "b": (3 * STATE,),
-            "c": (STATE, vocabulary.classes + 1), "c_b": (vocabulary.classes + 1,), "o": (vocabulary.classes, STATE, wide), "o_b": (vocabulary.classes, wide),
+            "embed": (len(vocabulary.hashes) + SHAPES, EMBEDDING), "w": (EMBEDDING, 3 * STATE), "u": (STATE, 3 * STATE), "b": (3 * STATE,),
+            "c": (STATE, vocabulary.classes + SHAPES), "c_b": (vocabulary.classes + SHAPES,), "o": (vocabulary.classes, STATE, wide), "o_b": (vocabulary.classes, wide),
         }
         self.p = {k: (r.normal(0, 0.1 if k == "embed" else s[-2] ** -0.5, s) if len(s) > 1 and not k.endswith("_b") else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
+        self.p["c_b"][:] = vocabulary.class_logs
         for k in range(vocabulary.classes):  # places past a class's words never get a share
+            self.p["o_b"][k, : vocabulary.sizes[k]] = vocabulary.word_logs[vocabulary.first[k] : vocabulary.first[k + 1]]
             self.p["o_b"][k, vocabulary.sizes[k] :] = -1e4
         self.p["o"][:] *= 0.1
+        self.p["c"][:] *= 0.1
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
@@ -110,41 +135,41 @@ class LanguageModel:
         return new, z, r, n, hu
 
     def _output(self, states: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of each word (of the class alone for the rest), and the gradient of its negative mean by the states."""
-        classes = self.v.class_of[ids]
-        order = np.argsort(classes.astype(np.int16), kind="stable")
-        borders = np.searchsorted(classes[order], np.arange(self.v.classes + 1))
-        states, ids, classes = states[order], ids[order], classes[order]
-        d = states @ self.p["c"]
-        d += self.p["c_b"]
-        own = log_at(d, classes, grads is not None).astype(np.float64)
+        """Natural log probability of each word (of the class alone for rare ones), and the gradient of its negative mean by the states."""
+        v, p, n = self.v, self.p, len(ids)
+        classes, out = v.class_of[ids], np.empty(n)
         d_states = None
         if grads is not None:
-            d[np.arange(len(ids)), classes] -= 1
-            d /= len(ids)
-            grads["c"], grads["c_b"], d_states = states.T @ d, d.sum(0), d @ self.p["c"].T
-            grads["o"], grads["o_b"] = np.zeros_like(self.p["o"]), np.zeros_like(self.p["o_b"])
-        place = ids - np.append(self.v.first[:-1], 0)[classes]
-        for k in range(self.v.classes):
-            a, b = borders[k], borders[k + 1]
-            if a == b:
+            d_states = np.empty_like(states)
+            grads |= {k: np.zeros_like(p[k]) for k in ("c", "c_b", "o", "o_b")}
+        for low in range(0, n, CACHED_ROWS):
+            own, part = classes[low : low + CACHED_ROWS], states[low : low + CACHED_ROWS]
+            d = part @ p["c"]
+            d += p["c_b"]
+            out[low : low + len(own)] = log_at(d, own, grads is not None)
+            if grads is not None:
+                d[np.arange(len(own)), own] -= 1
+                d /= n
+                grads["c"] += part.T @ d
+                grads["c_b"] += d.sum(0)
+                np.matmul(d, p["c"].T, out=d_states[low : low + len(own)])
+        frequent = np.flatnonzero(classes < v.classes)
+        order = frequent[np.argsort(sort_key(classes[frequent], v.classes), kind="stable")]
+        borders = np.searchsorted(classes[order], np.arange(v.classes + 1))
+        for k in range(v.classes):
+            own = order[borders[k] : borders[k + 1]]
+            if not len(own):
                 continue
-            size = self.v.sizes[k]
-            weights = self.p["o"][k, :, :size]
-            d = states[a:b] @ weights
-            d += self.p["o_b"][k, :size]
-            own[a:b] += log_at(d, place[a:b], grads is not None)
+            size, part, place = v.sizes[k], states[own], ids[own] - v.first[k]
+            weights = p["o"][k, :, :size]
+            d = part @ weights
+            d += p["o_b"][k, :size]
+            out[own] += log_at(d, place, grads is not None)
             if grads is not None:
-                d[np.arange(b - a), place[a:b]] -= 1
-                d /= len(ids)
-                grads["o"][k, :, :size], grads["o_b"][k, :size] = states[a:b].T @ d, d.sum(0)
-                d_states[a:b] += d @ weights.T
-        out = np.empty(len(ids))
-        out[order] = own
-        if d_states is not None:
-            back = np.empty_like(d_states)
-            back[order] = d_states
-            d_states = back
+                d[np.arange(len(own)), place] -= 1
+                d /= n
+                grads["o"][k, :, :size], grads["o_b"][k, :size] = part.T @ d, d.sum(0)
+                d_states[own] += d @ weights.T
         return out, d_states
 
     def train(self, texts: list[np.ndarray], rate: float = RATE, passes: int = 1, seed: int = 3, least: int = STEPS) -> int:
@@ -164,7 +189,7 @@ class LanguageModel:
             hashes = joined[: streams * length].reshape(streams, length)
             ids = self.v.ids(hashes).astype(np.int32)
             inputs = np.zeros_like(ids)
-            inputs[:, 1:] = self.v.inputs(ids, hashes)[:, :-1]
+            inputs[:, 1:] = ids[:, :-1]
             h, total = np.zeros((streams, STATE), np.float32), passes * -(-length // WINDOW)
             for low in range(0, length, WINDOW):
                 grads, h = self._window(inputs[:, low : low + WINDOW], ids[:, low : low + WINDOW], h)
@@ -229,18 +254,17 @@ class LanguageModel:
         flat, past = d_gates.reshape(-1, 3 * STATE), before.reshape(-1, STATE)
         d_u = np.concatenate([past.T @ flat[:, : 2 * STATE], past.T @ d_hu.reshape(-1, STATE)], 1)
         grads |= {"u": d_u, "b": flat.sum(0), "w": x.reshape(-1, EMBEDDING).T @ flat, "embed": np.zeros_like(p["embed"])}
-        order = np.argsort(inputs.astype(np.int16), axis=None, kind="stable")
+        order = np.argsort(sort_key(inputs, len(p["embed"])), axis=None, kind="stable")
         own = inputs.ravel()[order]
         starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         grads["embed"][own[starts]] = np.add.reduceat((flat @ p["w"].T)[order], starts, axis=0)
         return grads, h
 
     def score(self, hashes: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For whole texts: log10 probability of words and end (of the class alone for the rest), words of the rest, and all ids."""
+        """For whole texts: log10 probability of words and end (of the class alone for rare words), rare words, and all ids."""
         lengths = np.diff(borders)
         ids = self.v.ids(hashes)
-        inputs = self.v.inputs(ids, hashes)
-        rest = np.bincount(np.repeat(np.arange(len(lengths)), lengths), ids == len(self.v.hashes), minlength=len(lengths)).astype(np.int64)
+        rest = np.bincount(np.repeat(np.arange(len(lengths)), lengths), ids >= len(self.v.hashes), minlength=len(lengths)).astype(np.int64)
         order = np.argsort(-lengths, kind="stable")
         start, length = borders[:-1][order], lengths[order]
         table = (self.p["embed"] @ self.p["w"] + self.p["b"]).astype(np.float32)
@@ -259,7 +283,7 @@ class LanguageModel:
         ended = np.searchsorted(-length, -np.arange(int(length[0]) + 2 if len(length) else 0), "right")  # texts of at least so many words
         for t in range(int(length[0]) + 1 if len(length) else 0):
             k = int(ended[t])
-            gates = table[inputs[start[:k] + t - 1]] if t else np.broadcast_to(table[END], (k, 3 * STATE))
+            gates = table[ids[start[:k] + t - 1]] if t else np.broadcast_to(table[END], (k, 3 * STATE))
             now = self.step(gates, h[:k])[0]
             h[:k] = now
             going = int(ended[t + 1])  # those with a word here; for the others this is the end

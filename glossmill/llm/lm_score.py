@@ -2,10 +2,11 @@
 
 Counts cover all training documents: each block of documents sends its distinct words once, by ranges of
 their hash; counts come back to the block and meet its documents there. The vocabulary of the recurrent
-model and its classes follow the counts of all whole training texts. The model is learned in
-two steps: on a bounded sample (up to SAMPLE whole texts, together SAMPLE * CHARS characters at most), then on all training documents, partition by partition, whose weights are averaged by the words that they
-have seen. Words outside the vocabulary are of one class, in which
-counts over all training documents tell a word's probability.
+model and its classes follow the counts of all whole training texts, and more words have an output of their own the more
+distinct ones there are. The model is learned in two steps: on a bounded sample (up to SAMPLE whole texts, together
+SAMPLE * CHARS characters at most), then on all training documents, partition by partition, whose weights are averaged by
+the words that they have seen. Rare words are of classes that the model prices, too; in a class, counts over all training
+documents tell a word's share.
 
 Words are told apart by 64-bit hashes.
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm.common import Batches, bounded_batches, crc_mod, materialize, plan_bytes, utf8_buffers
-from glossmill.llm.gru import END_HASH, VOCABULARY, LanguageModel, Vocabulary
+from glossmill.llm.gru import END_HASH, SHAPES, LanguageModel, Vocabulary, head_size, shape_of
 from glossmill.llm.words import WordHasher
 
 #: The bound of the first sample.
@@ -45,8 +46,8 @@ def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _sample(docs: DataFrame) -> list[str]:
-    n = docs.filter("not held_out").count()
+def _sample(docs: DataFrame, n: int) -> list[str]:
+    """Whole texts of the n training documents."""
     if not n:
         return []
     at = F.crc32(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -63,7 +64,7 @@ def _sample(docs: DataFrame) -> list[str]:
 
 
 def _hashed(texts: list[str]) -> list[np.ndarray]:
-    hashes, borders = WordHasher().of(*utf8_buffers(pa.array(texts, pa.string())), fold=True)
+    hashes, borders = WordHasher().of(*utf8_buffers(pa.array(texts, pa.string())), fold=True, shapes=SHAPES)
     return [hashes[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
 
 
@@ -81,7 +82,7 @@ def _tallies(parts: int):
     def run(batches: Batches) -> Batches:
         hasher, held, size = WordHasher(), [], 0
         for batch in batches:
-            hashes, _ = hasher.of(*utf8_buffers(batch.column("text")), fold=True)
+            hashes, _ = hasher.of(*utf8_buffers(batch.column("text")), fold=True, shapes=SHAPES)
             held.append(hashes)
             size += batch.nbytes
             if size >= BLOCK_BYTES:
@@ -93,32 +94,43 @@ def _tallies(parts: int):
     return run
 
 
-def _most_frequent(group: pa.Table) -> pa.Table:
-    """The most frequent words of a group of rows, ties by the smaller hash."""
-    words, inverse = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group["words"]]), return_inverse=True)
-    often = np.bincount(inverse, np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in group["often"]]), minlength=len(words)).astype("<i8")
-    order = np.lexsort((words, -often))
-    order = np.sort(order[words[order] != END_HASH][: VOCABULARY - 1])
-    return pa.table({"at": [group["at"][0].as_py()], "words": pa.array([words[order].tobytes()], pa.binary()), "often": pa.array([often[order].tobytes()], pa.binary())})
+def _most_frequent(most: int | None, parts: int = 1):
+    """The most frequent words of a group of rows, ties by the smaller hash, and how many distinct ones it has; most: None where they are not counted yet.
 
+    Words lie in their ranges by chance, so that twice a range's words by the number of ranges is more than all have.
+    """
 
-def vocabulary(docs: DataFrame, parts: int) -> Vocabulary:
-    """The most frequent words of all training texts: each range of hashes has its own ones, and ranges are merged by 16."""
-    schema = "at long, words binary, often binary"
-    best = docs.filter("not held_out").select("text").mapInArrow(_tallies(parts), schema).groupBy("at").applyInArrow(_most_frequent, schema)
+    def run(group: pa.Table) -> pa.Table:
+        words, inverse = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group["words"]]), return_inverse=True)
+        often = np.bincount(inverse, np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in group["often"]]), minlength=len(words)).astype("<i8")
+        order = np.lexsort((words, -often))
+        order = np.sort(order[words[order] != END_HASH][: (most or head_size(2 * parts * len(words))) - 1])
+        return pa.table({"at": [group["at"][0].as_py()], "words": pa.array([words[order].tobytes()], pa.binary()), "often": pa.array([often[order].tobytes()], pa.binary()), "distinct": pa.array([len(words)], pa.int64()), "shapes": pa.array([np.bincount(shape_of(words), often, SHAPES).astype(np.int64).tolist()], pa.list_(pa.int64()))})
+
+    return run
+
+
+def vocabulary(docs: DataFrame, parts: int, ends: int) -> Vocabulary:
+    """The most frequent words of all training texts, of which there are ends: each range of hashes has its own ones, and ranges are merged by 16."""
+    found, schema = "at long, words binary, often binary, distinct long, shapes array<long>", "at long, words binary, often binary"
+    tallied = docs.filter("not held_out").select("text").mapInArrow(_tallies(parts), schema)
+    best = materialize(docs.sparkSession, tallied.groupBy("at").applyInArrow(_most_frequent(None, parts), found), "lm-words")
+    most, shapes = head_size(best.agg(F.sum("distinct")).first()[0] or 0), np.zeros(SHAPES)
+    for r in best.select(F.posexplode("shapes").alias("shape", "n")).groupBy("shape").agg(F.sum("n").alias("n")).collect():  # a row a shape
+        shapes[r["shape"]] = r["n"]
     while parts > 16:
         parts = -(-parts // 16)
-        best = best.withColumn("at", F.pmod("at", F.lit(parts))).groupBy("at").applyInArrow(_most_frequent, schema)
-    last = best.withColumn("at", F.lit(0).cast("long")).groupBy("at").applyInArrow(_most_frequent, schema).collect()
-    if not last:
-        return Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return Vocabulary(np.frombuffer(last[0]["words"], np.uint64), np.frombuffer(last[0]["often"], "<i8"))
+        best = best.select(F.pmod("at", F.lit(parts)).alias("at"), "words", "often").groupBy("at").applyInArrow(_most_frequent(most), found)
+    last = best.select(F.lit(0).cast("long").alias("at"), "words", "often").groupBy("at").applyInArrow(_most_frequent(most), found).collect()
+    words, often = (np.frombuffer(last[0][k], t) if last else np.zeros(0, t) for k, t in (("words", np.uint64), ("often", "<i8")))
+    return Vocabulary(words, often, most, ends, shapes)
 
 
 def learn(spark: SparkSession, docs: DataFrame, parts: int = 8) -> LanguageModel:
     """The model of docs(doc_id, held_out, text)."""
-    model = LanguageModel(vocabulary(docs, parts))
-    texts = _hashed(_sample(docs)) or [np.zeros(0, np.uint64)]
+    ends = docs.filter("not held_out").count()
+    model = LanguageModel(vocabulary(docs, parts, ends))
+    texts = _hashed(_sample(docs, ends)) or [np.zeros(0, np.uint64)]
     model.train(texts, passes=PASSES)
     shared = spark.sparkContext.broadcast(model)
 
@@ -133,7 +145,7 @@ def learn(spark: SparkSession, docs: DataFrame, parts: int = 8) -> LanguageModel
             texts = []
 
         for batch in batches:
-            hashes, borders = hasher.of(*utf8_buffers(batch.column("text")), fold=True)
+            hashes, borders = hasher.of(*utf8_buffers(batch.column("text")), fold=True, shapes=SHAPES)
             texts += [hashes[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
             if sum(map(len, texts)) > AT_ONCE:
                 go_on()
@@ -168,7 +180,7 @@ def _blocks(shared, parts: int):
         model = shared.value
         held = np.array(docs["held_out"].to_pylist(), bool)
         data, offsets = utf8_buffers(docs["text"].combine_chunks())
-        hashes, borders = WordHasher().of(data, offsets, fold=True)
+        hashes, borders = WordHasher().of(data, offsets, fold=True, shapes=SHAPES)
         lengths = np.diff(borders)
         scores, _, _ = model.score(hashes, borders)
         words, inverse = np.unique(hashes, return_inverse=True)
@@ -210,20 +222,21 @@ def _count(vocabulary: np.ndarray):
         known, inverse = np.unique(np.concatenate(words), return_inverse=True)
         counts = np.bincount(inverse, train, minlength=len(known)).astype(np.int64)
         rest = ~np.isin(known, vocabulary)
-        totals = [int((counts > 0).sum()), int(counts.sum()), int((counts[rest] > 0).sum()), int(counts[rest].sum())]
+        shapes = shape_of(known[rest])
+        totals = [int((counts > 0).sum()), int(counts.sum()), np.bincount(shapes, counts[rest] > 0, SHAPES).astype(np.int64).tolist(), np.bincount(shapes, counts[rest], SHAPES).astype(np.int64).tolist()]
         cuts = np.cumsum([0, *map(len, words)])
         own = counts[inverse]
         n = len(words)
         columns = {"block": group["block"], "part": group["part"], "counts": pa.array([own[a:b].astype("<i8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())}
-        columns |= {k: pa.array([x] + [0] * (n - 1), pa.int64()) for k, x in zip(("v", "n", "rest_v", "rest_n"), totals, strict=True)}
+        columns |= {k: pa.array([x] + [None] * (n - 1), pa.list_(pa.int64()) if k[0] == "r" else pa.int64()) for k, x in zip(("v", "n", "rest_v", "rest_n"), totals, strict=True)}
         return pa.table(columns)
 
     return run
 
 
-def _price(vocabulary: np.ndarray, v: int, n: int, rest_v: int, rest_n: int, ends: int):
-    """Joins a block's documents with the counts of its words."""
-    v, n = v + (ends > 0), n + ends
+def _price(vocabulary: np.ndarray, v: int, n: int, rest: np.ndarray, ends: int):
+    """Joins a block's documents with the counts of its words; rest: distinct words and tokens of each class of rare words together."""
+    v, n, log_rest = v + (ends > 0), n + ends, np.log10(rest + 1.0)
 
     def run(docs: pa.Table, counted: pa.Table) -> pa.Table:
         out = []
@@ -233,7 +246,7 @@ def _price(vocabulary: np.ndarray, v: int, n: int, rest_v: int, rest_n: int, end
             words = np.frombuffer(r["words"], np.uint64)
             starts, which, often = (np.frombuffer(r[k], t).astype(np.int64) for k, t in (("starts", "<i8"), ("which", "<u4"), ("often", "<u4")))
             log_c = np.log10(counts + 1.0)
-            rest = ~np.isin(words, vocabulary)
+            rare = ~np.isin(words, vocabulary)
 
             def of_docs(x: np.ndarray, which=which, often=often, starts=starts) -> np.ndarray:
                 total = np.bincount(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), x[which] * often, minlength=len(starts) - 1)
@@ -241,7 +254,7 @@ def _price(vocabulary: np.ndarray, v: int, n: int, rest_v: int, rest_n: int, end
 
             tokens = np.array(r["n_tokens"])
             base = of_docs(log_c) + np.log10(ends + 1) - tokens * np.log10(n + v + 1)
-            score = np.array(r["model"]) + of_docs(rest * (log_c - np.log10(rest_n + rest_v + 1)))
+            score = np.array(r["model"]) + of_docs(rare * (log_c - log_rest[shape_of(words)]))
             known = of_docs((counts > 0).astype(np.float64)).astype(np.int64) + (ends > 0)
             m = len(tokens)
             out.append(
@@ -272,11 +285,15 @@ def lm_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
     blocks = materialize(spark, source.mapInArrow(_blocks(shared, parts), BLOCKS), "lm-blocks")
     vocabulary = model.v.hashes
-    counted = blocks.filter("kind = 0").select("block", "part", "words", "train").groupBy("part").applyInArrow(_count(vocabulary), "block long, part int, counts binary, v long, n long, rest_v long, rest_n long")
+    counted = blocks.filter("kind = 0").select("block", "part", "words", "train").groupBy("part").applyInArrow(_count(vocabulary), "block long, part int, counts binary, v long, n long, rest_v array<long>, rest_n array<long>")
     counted = materialize(spark, counted, "lm-counts")
-    totals = counted.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("v", "n", "rest_v", "rest_n"))).first()
+    totals = counted.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("v", "n"))).first()
+    of_shape = counted.select(F.posexplode(F.arrays_zip("rest_v", "rest_n")).alias("shape", "r")).groupBy("shape").agg(F.sum(F.col("r.rest_v") + F.col("r.rest_n")).alias("rest"))
+    rest = np.zeros(SHAPES)
+    for r in of_shape.collect():  # a row a class
+        rest[r["shape"]] = r["rest"]
     ends = source.filter("not held_out").count()
     of_docs = blocks.filter("kind = 1").drop("kind", "part", "train")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     priced = of_docs.groupBy("block").cogroup(counted.select("block", "part", "counts").groupBy("block"))
-    return priced.applyInArrow(_price(vocabulary, *totals, ends), schema)
+    return priced.applyInArrow(_price(vocabulary, *totals, rest, ends), schema)

@@ -36,8 +36,11 @@ class WordHasher:
     def __init__(self) -> None:
         self.up, self.down = _powers(_BASE, 1), _powers(_INVERSE, 1)
 
-    def of(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes, and the n + 1 borders between texts; fold: A-Z count as a-z."""
+    def of(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False, shapes: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes, and the n + 1 borders between texts; fold: A-Z count as a-z.
+
+        With shapes, a power of two, the lowest bits of a hash tell by the word's first two bytes which of so many groups it is in.
+        """
         hashes, places = [], []
         low = 0
         while low < len(data):
@@ -46,7 +49,7 @@ class WordHasher:
                 gap = np.flatnonzero(IS_SPACE[data[high : high + 4096]])
                 high = high + int(gap[0]) if len(gap) else min(len(data), high + 4096)
             inner = offsets[np.searchsorted(offsets, low, "right") : np.searchsorted(offsets, high, "left")] - low
-            h, at = self._block(data[low:high], inner, fold)
+            h, at = self._block(data[low:high], inner, fold, shapes)
             hashes.append(h)
             places.append(at + low)
             low = high
@@ -55,7 +58,7 @@ class WordHasher:
         starts = np.concatenate(places)
         return np.concatenate(hashes), np.searchsorted(starts, offsets, "left")
 
-    def _block(self, data: np.ndarray, borders: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _block(self, data: np.ndarray, borders: np.ndarray, fold: bool, shapes: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
         if len(self.up) <= n:
             self.up, self.down = _powers(_BASE, n + 1), _powers(_INVERSE, n + 1)
@@ -72,7 +75,12 @@ class WordHasher:
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum(_OF_BYTE[data] * self.up[:n], out=total[1:])
-        return mix((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64)), starts
+        out = mix((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        if shapes:
+            second = np.where(ends - starts > 1, data[np.minimum(starts + 1, n - 1)], np.uint8(0))
+            out &= ~np.uint64(shapes - 1)
+            out |= mix(data[starts].astype(np.uint64) << np.uint64(8) | second) & np.uint64(shapes - 1)
+        return out, starts
 
 
 def shingles(words: np.ndarray, borders: np.ndarray, size: int) -> list[np.ndarray]:

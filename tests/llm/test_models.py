@@ -17,6 +17,7 @@ import tiktoken
 
 from glossmill.llm import bpe, decontaminate, gru, language_id, lm_score, quality
 from glossmill.llm.common import utf8_buffers
+from glossmill.llm.words import WordHasher
 
 WORDS = {"aa": "the and of to is in that house river walking", "bb": "der und die ist nicht das haus fluss gehen strasse", "cc": "la que de los en casa rio caminar el una"}
 
@@ -190,7 +191,8 @@ def test_gradients_of_the_recurrent_model():
     own = gru.LanguageModel(vocabulary)
     own.p = {k: v.astype(np.float64) for k, v in own.p.items()}
     r = np.random.default_rng(0)
-    inputs, ids, h = r.integers(0, 40, (3, 5)), r.integers(0, 41, (3, 5)), r.normal(0, 0.5, (3, gru.STATE))
+    inputs, ids, h = r.integers(0, 40 + gru.SHAPES, (3, 5)), r.integers(0, 40, (3, 5)), r.normal(0, 0.5, (3, gru.STATE))
+    ids[0, :2] = 40, 39 + gru.SHAPES  # rare words
     grads, _ = own._window(inputs, ids, h)
 
     def loss():
@@ -217,19 +219,19 @@ def test_state_is_carried_through_whole_texts():
     got, rest, _ = own.score(np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
     for t, score, n in zip(texts, got, rest, strict=True):
         ids = vocabulary.ids(t)
-        inputs = np.concatenate(([0], vocabulary.inputs(ids, t)))
+        inputs = np.concatenate(([0], ids))
         h, total = np.zeros((1, gru.STATE), np.float32), 0.0
         for i, target in zip(inputs, np.append(ids, 0), strict=True):
             h = own.step((own.p["embed"][[i]] @ own.p["w"] + own.p["b"]), h)[0]
             total += own._output(h, np.array([target]))[0][0]
-        assert score == pytest.approx(total / math.log(10), rel=1e-4) and n == (ids == 40).sum()
+        assert score == pytest.approx(total / math.log(10), rel=1e-4) and n == (ids >= 40).sum()
 
 
 def test_probabilities_of_a_state_add_up_to_one():
     vocabulary = gru.Vocabulary(np.arange(1, 40, dtype=np.uint64), np.arange(40, 1, -1))
     own = gru.LanguageModel(vocabulary)
-    h = np.repeat(np.random.default_rng(2).normal(0, 1, (1, gru.STATE)).astype(np.float32), 41, 0)
-    assert np.exp(own._output(h, np.arange(41))[0]).sum() == pytest.approx(1, abs=1e-5)
+    h = np.repeat(np.random.default_rng(2).normal(0, 1, (1, gru.STATE)).astype(np.float32), 40 + gru.SHAPES, 0)
+    assert np.exp(own._output(h, np.arange(40 + gru.SHAPES))[0]).sum() == pytest.approx(1, abs=1e-5)
 
 
 def test_scores_against_brute_force(spark, documents, monkeypatch):
@@ -252,23 +254,61 @@ def test_scores_against_brute_force(spark, documents, monkeypatch):
     assert lm_score.lm_scores(spark, documents([])).isEmpty()
 
 
-def test_every_training_document_reaches_the_weights(spark, documents, monkeypatch):
+def test_every_training_document_changes_the_weights(spark, documents, monkeypatch):
     monkeypatch.setattr(lm_score, "SAMPLE", 0)  # what is learned is learned by the second step
-    seen = []
-    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2 and zlib.crc32(hashlib.sha1(str(i).encode()).hexdigest().encode()) % 8]
-    docs = documents([(i, "aa bb cc " * 20) for i in ids]).select("doc_id", "text").selectExpr("doc_id", "false AS held_out", "text")
-    load = gru.LanguageModel.load
-    monkeypatch.setattr(gru.LanguageModel, "load", lambda self, flat: seen.append(flat) or load(self, flat))
-    lm_score.learn(spark, docs)
-    assert seen  # the averaged weights of the second step
+    ids = [i for i in range(90) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, f"aa bb cc dd{i % 5} " * 20) for i in ids]
+    weights = lambda own: lm_score.learn(spark, documents(own).repartition(3, "doc_id").selectExpr("doc_id", "false AS held_out", "text")).flat()
+    monkeypatch.setattr(lm_score, "vocabulary", lambda *a, of=lm_score.vocabulary, kept=[]: kept[0] if kept else kept.append(of(*a)) or kept[0])
+    whole = weights(rows)
+    assert np.array_equal(whole, weights(rows))
+    for k in (0, len(rows) // 2, len(rows) - 1):
+        assert not np.array_equal(whole, weights(rows[:k] + rows[k + 1 :]))
+
+
+def test_words_with_outputs_of_their_own_grow_with_the_corpus():
+    assert [gru.head_size(n) for n in (0, 1000, 1_000_000, 10**10)] == [1024, 1024, 2000, 200_000]
+    small, large = (gru.Vocabulary(np.arange(1, n, dtype=np.uint64) << np.uint64(8), np.arange(n, 1, -1)) for n in (2000, 1_000_000))
+    assert (len(small.hashes), len(large.hashes)) == (1024, 1998) and large.classes > small.classes
+    hashes, _ = WordHasher().of(*utf8_buffers(pa.array(["The theory ThE them x xy ähre ähm"])), fold=True, shapes=gru.SHAPES)
+    shapes = gru.shape_of(hashes).tolist()
+    assert hashes[0] == hashes[2] and shapes[0] == shapes[1] == shapes[3] and shapes[6] == shapes[7] and len(set(hashes.tolist())) == 7
+
+
+def test_scores_are_those_of_a_plain_loop(spark, documents, monkeypatch):
+    """The model's class and word of frequent words, its class and the counted share of rare ones, token after token."""
+    monkeypatch.setattr(lm_score, "head_size", lambda n: 12)
+    kept = []
+    monkeypatch.setattr(lm_score, "learn", lambda *a, of=lm_score.learn: kept.append(of(*a)) or kept[-1])
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["to", "of", "an", "it"]) if r.random() < 0.5 else r.choice("abc") + r.choice("xyz") + str(r.randrange(30)) for _ in range(r.randrange(25)))) for i in range(60)] + [(99, None), (100, "unseen"), (101, "to of an it")]
+    got = {x["doc_id"]: x["score"] for x in lm_score.lm_scores(spark, documents(rows)).collect()}
+    (own,) = kept
+    hashes = lm_score._hashed([t or "" for _, t in rows])
+    counts = Counter(h for (i, _), x in zip(rows, hashes) if zlib.crc32(str(i).encode()) % 7 != 2 for h in x.tolist())
+    frequent, shape = set(own.v.hashes.tolist()), lambda h: h % gru.SHAPES
+    tokens, distinct = Counter(), Counter()
+    for h, n in counts.items():
+        if h not in frequent:
+            tokens[shape(h)] += n
+            distinct[shape(h)] += 1
+    assert len(frequent) == 12 and len(tokens) > 5
+    for (i, _), own_hashes in zip(rows, hashes):
+        h, total, before = np.zeros((1, gru.STATE), np.float32), 0.0, 0
+        for word in [*own_hashes.tolist(), 0]:
+            h = own.step(own.p["embed"][[before]] @ own.p["w"] + own.p["b"], h)[0]
+            before = int(own.v.ids(np.array([word], np.uint64))[0])
+            total += own._output(h, np.array([before]))[0][0] / math.log(10)
+            if word not in frequent:
+                total += math.log10((counts[word] + 1) / (tokens[shape(word)] + distinct[shape(word)] + 1))
+        assert got[i] == pytest.approx(total, rel=1e-4, abs=1e-4)
 
 
 def test_vocabulary_follows_all_whole_training_texts(spark, documents, monkeypatch):
     monkeypatch.setattr(lm_score, "SAMPLE", 3)
     monkeypatch.setattr(lm_score, "CHARS", 20)
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", 2000)
-    monkeypatch.setattr("glossmill.llm.gru.VOCABULARY", 30)
-    monkeypatch.setattr(lm_score, "VOCABULARY", 30, raising=False)
+    monkeypatch.setattr(lm_score, "head_size", lambda n: 30)
     r = random.Random(4)
     rows = [(i, f"start{i} " * 3 + " ".join(f"w{int(r.paretovariate(0.4)) % 300}" for _ in range(80))) for i in range(120)]
     docs = documents(rows).selectExpr("doc_id", "doc_id % 5 = 0 AS held_out", "text")
