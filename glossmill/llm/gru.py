@@ -16,19 +16,19 @@ import numpy as np
 #: Reserved hash of the end of a text, and its place in the vocabulary.
 END_HASH, END = np.uint64(0), 0
 #: Classes, and inputs, of rare words; the lowest bits of a word's hash tell which of them it is in.
-SHAPES = 128
-EMBEDDING, STATE = 32, 32
+SHAPES = 64
+EMBEDDING, STATE = 24, 24
 #: Texts side by side in a window: fewer for a small corpus, so that it still gives STEPS windows.
 LEAST_STREAMS, STREAMS, WINDOW, STEPS, RATE = 64, 1024, 16, 200, 0.006
 #: Rows of states that the output layer takes at a time.
 OUTPUT_ROWS = 1 << 14
-#: Rows whose classes are priced at once, so that they stay in a core's cache.
-CACHED_ROWS = 1 << 11
+#: Rows whose classes are priced at once, and streams of a window that go through the model at once, so that they stay in a core's cache.
+CACHED_ROWS, CACHED_STREAMS = 1 << 11, 512
 
 
 def head_size(distinct: int) -> int:
     """How many of the distinct words of a corpus the model tells apart by their states, the end included: it grows with their root."""
-    return max(1024, 2 * math.isqrt(max(0, distinct)))
+    return max(1024, math.isqrt(max(0, distinct)))
 
 
 def sort_key(x: np.ndarray, most: int) -> np.ndarray:
@@ -48,9 +48,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def log_at(x: np.ndarray, at: np.ndarray, shares: bool) -> np.ndarray:
     """The logarithm of the softmax at one place of each row; x is overwritten, by the shares if they are wanted.
 
-    Values are held within what exponents of 32-bit floats take, which is cheaper than a maximum of each row.
+    Values have to stay within what exponents of 32-bit floats take; see _bounded.
     """
-    np.clip(x, -80, 80, out=x)
     chosen = x[np.arange(len(x)), at]
     np.exp(x, out=x)
     total = x.sum(-1)
@@ -67,7 +66,7 @@ class Vocabulary:
         order = order[hashes[order] != END_HASH][: size - 1]
         self.hashes = np.concatenate(([END_HASH], hashes[order]))
         weight = np.sqrt(np.concatenate(([1], counts[order])).astype(np.float64))
-        share, classes = np.cumsum(weight) / weight.sum(), max(1, math.isqrt(size // 2))
+        share, classes = np.cumsum(weight) / weight.sum(), max(1, math.isqrt(size // 6))
         own = np.unique(np.minimum((share * classes).astype(np.int64), classes - 1), return_inverse=True)[1]
         self.classes = int(own.max()) + 1
         self.class_of = np.concatenate([own, self.classes + np.arange(SHAPES)])
@@ -134,8 +133,17 @@ class LanguageModel:
         new += n
         return new, z, r, n, hu
 
+    @staticmethod
+    def _logits(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """States are from -1 to 1, so that most weights can't lead beyond what exponents take; where they might, values are held."""
+        out = states @ weights
+        out += bias
+        if np.abs(weights).sum(0).max(initial=0) + np.abs(bias).max(initial=0) > 80:
+            np.clip(out, -80, 80, out=out)
+        return out
+
     def _output(self, states: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of each word (of the class alone for rare ones), and the gradient of its negative mean by the states."""
+        """Natural log probability of each word (of the class alone for rare ones), and the gradient of its negative sum by the states."""
         v, p, n = self.v, self.p, len(ids)
         classes, out = v.class_of[ids], np.empty(n)
         d_states = None
@@ -144,12 +152,10 @@ class LanguageModel:
             grads |= {k: np.zeros_like(p[k]) for k in ("c", "c_b", "o", "o_b")}
         for low in range(0, n, CACHED_ROWS):
             own, part = classes[low : low + CACHED_ROWS], states[low : low + CACHED_ROWS]
-            d = part @ p["c"]
-            d += p["c_b"]
+            d = self._logits(part, p["c"], p["c_b"])
             out[low : low + len(own)] = log_at(d, own, grads is not None)
             if grads is not None:
                 d[np.arange(len(own)), own] -= 1
-                d /= n
                 grads["c"] += part.T @ d
                 grads["c_b"] += d.sum(0)
                 np.matmul(d, p["c"].T, out=d_states[low : low + len(own)])
@@ -162,12 +168,10 @@ class LanguageModel:
                 continue
             size, part, place = v.sizes[k], states[own], ids[own] - v.first[k]
             weights = p["o"][k, :, :size]
-            d = part @ weights
-            d += p["o_b"][k, :size]
+            d = self._logits(part, weights, p["o_b"][k, :size])
             out[own] += log_at(d, place, grads is not None)
             if grads is not None:
                 d[np.arange(len(own)), place] -= 1
-                d /= n
                 grads["o"][k, :, :size], grads["o_b"][k, :size] = part.T @ d, d.sum(0)
                 d_states[own] += d @ weights.T
         return out, d_states
@@ -192,8 +196,10 @@ class LanguageModel:
             inputs[:, 1:] = ids[:, :-1]
             h, total = np.zeros((streams, STATE), np.float32), passes * -(-length // WINDOW)
             for low in range(0, length, WINDOW):
-                grads, h = self._window(inputs[:, low : low + WINDOW], ids[:, low : low + WINDOW], h)
+                grads, h = self.gradients(inputs[:, low : low + WINDOW], ids[:, low : low + WINDOW], h)
                 steps += 1
+                for g in grads.values():
+                    g /= streams * WINDOW
                 norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
                 scale = min(1.0, 1.0 / max(norm, 1e-9))
                 now = rate * (1 - 0.9 * steps / total) * math.sqrt(1 - 0.99**steps) / (1 - 0.9**steps)
@@ -214,14 +220,26 @@ class LanguageModel:
             learned += streams * length
         return learned
 
-    def _window(self, inputs: np.ndarray, ids: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """inputs and ids: a row a stream, a column a step."""
+    def gradients(self, inputs: np.ndarray, ids: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the negative sum of log probabilities, and the last states. inputs and ids: a row a stream, a column a step.
+
+        Inputs are words, of which there are few kinds, so that their part of the gates and its gradient are made a kind at a time.
+        """
+        p, grads, after = self.p, None, np.empty_like(h)
+        table = p["embed"] @ p["w"] + p["b"]
+        for low in range(0, len(h), CACHED_STREAMS):
+            own = slice(low, low + CACHED_STREAMS)
+            part, after[own] = self._window(inputs[own], ids[own], h[own], table)
+            grads = part if grads is None else {k: np.add(g, part[k], out=g) for k, g in grads.items()}
+        d = grads.pop("table")
+        return grads | {"embed": d @ p["w"].T, "w": p["embed"].T @ d, "b": d.sum(0)}, after
+
+    def _window(self, inputs: np.ndarray, ids: np.ndarray, h: np.ndarray, table: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """As gradients(), for streams that fit a cache, with the gradient of the table of gates by input."""
         p, kept = self.p, []
         inputs, ids = np.ascontiguousarray(inputs.T), np.ascontiguousarray(ids.T)
         steps, streams = inputs.shape
-        x = p["embed"][inputs]
-        gates = x @ p["w"]
-        gates += p["b"]
+        gates = table[inputs]
         states, before = np.empty((steps, streams, STATE), gates.dtype), np.empty((steps, streams, STATE), gates.dtype)
         going = (inputs != END)[:, :, None].astype(gates.dtype)
         for t in range(steps):
@@ -253,11 +271,11 @@ class LanguageModel:
             d_h = g
         flat, past = d_gates.reshape(-1, 3 * STATE), before.reshape(-1, STATE)
         d_u = np.concatenate([past.T @ flat[:, : 2 * STATE], past.T @ d_hu.reshape(-1, STATE)], 1)
-        grads |= {"u": d_u, "b": flat.sum(0), "w": x.reshape(-1, EMBEDDING).T @ flat, "embed": np.zeros_like(p["embed"])}
-        order = np.argsort(sort_key(inputs, len(p["embed"])), axis=None, kind="stable")
+        grads |= {"u": d_u, "table": np.zeros_like(table)}
+        order = np.argsort(sort_key(inputs, len(table)), axis=None, kind="stable")
         own = inputs.ravel()[order]
         starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        grads["embed"][own[starts]] = np.add.reduceat((flat @ p["w"].T)[order], starts, axis=0)
+        grads["table"][own[starts]] = np.add.reduceat(flat[order], starts, axis=0)
         return grads, h
 
     def score(self, hashes: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
