@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,16 @@ SLACK = 5.0
 LISTED = 48
 
 
+@dataclass(frozen=True)
+class Tuning:
+    """What decides how deep sets go and how buckets are compared, and nothing of what is found; it goes to the workers with the functions."""
+
+    listed: int = LISTED
+    split: int = SPLIT
+    shrink: float = SHRINK
+    side: int = SIDE
+
+
 def found_at(similarity: float, depth: int = DEPTH) -> float:
     """The probability that two sets share a leaf of one run."""
     p = 1.0
@@ -155,9 +166,9 @@ def _sign(batches: Batches) -> Batches:
 NODES = "key long, slot int, rid long, level int, parent long"
 
 
-def _goes_on(size, parent):
+def _goes_on(size, parent, tuning: Tuning):
     """Whether a node that isn't at DEPTH is split; of arrays or of columns."""
-    return (size > SPLIT) & (size <= SHRINK * parent)
+    return (size > tuning.split) & (size <= tuning.shrink * parent)
 
 
 def _nodes(keys: np.ndarray, slots: np.ndarray, rid: np.ndarray, level: int, parent: np.ndarray) -> pa.RecordBatch:
@@ -179,7 +190,7 @@ def _first_level(runs: int):
     return run
 
 
-def _counted_level(runs: int, keys: np.ndarray, sizes: np.ndarray):
+def _counted_level(runs: int, keys: np.ndarray, sizes: np.ndarray, tuning: Tuning):
     """Leaves of the first level, and what is at level COUNTED under its other nodes; keys (rising) and sizes: all nodes of the first level."""
     total = int(sizes.sum()) // (2 * runs)
 
@@ -190,7 +201,7 @@ def _counted_level(runs: int, keys: np.ndarray, sizes: np.ndarray):
             first, *_, below = path_levels(_binary_rows(batch.column("sketch"), COORDINATES), runs, COUNTED)
             rid = batch.column("rid").to_numpy()
             size = sizes[np.searchsorted(keys, first)]
-            further = _goes_on(size, total)
+            further = _goes_on(size, total, tuning)
             row, slot = np.nonzero(~further & (size > 1))
             yield _nodes(first[row, slot], slot, rid[row], 1, np.full(len(row), total))
             under = 1 << (COUNTED - 1)
@@ -250,7 +261,7 @@ def _runs_of(values: np.ndarray) -> np.ndarray:
 class Bucket:
     """Rows of buckets, and the pairs in them that may be links and meet here first."""
 
-    def __init__(self, table: pa.Table, runs: int, cutoff: int):
+    def __init__(self, table: pa.Table, runs: int, cutoff: int, tuning: Tuning):
         table = table.combine_chunks()
         self.bucket = table["bucket"].to_numpy()
         self.rid = table["rid"].to_numpy()
@@ -259,15 +270,15 @@ class Bucket:
         self.crossed = table["crossed"].to_numpy(zero_copy_only=False)
         self.sketch = _binary_rows(table["sketch"].combine_chunks(), COORDINATES)
         self.keys = leaf_keys(self.sketch, table["ends"].combine_chunks().flatten().to_numpy().reshape(len(self.rid), -1), runs)
-        self.cutoff = cutoff
+        self.cutoff, self.listed = cutoff, tuning.listed
         self.borders = _runs_of(self.bucket)
 
     def small_pairs(self) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.diff(self.borders)
         size = np.repeat(sizes, sizes)
         left, right = [], []
-        for d in range(1, int(sizes[sizes <= LISTED].max(initial=1))):
-            i = np.flatnonzero((self.bucket[:-d] == self.bucket[d:]) & (size[:-d] <= LISTED)) if d < len(self.bucket) else np.zeros(0, np.int64)
+        for d in range(1, int(sizes[sizes <= self.listed].max(initial=1))):
+            i = np.flatnonzero((self.bucket[:-d] == self.bucket[d:]) & (size[:-d] <= self.listed)) if d < len(self.bucket) else np.zeros(0, np.int64)
             if len(i):
                 i = i[self.allowed(i, i + d)]
                 left.append(i)
@@ -285,7 +296,7 @@ class Bucket:
         return out
 
     def large(self) -> list[tuple[int, int]]:
-        return [(int(a), int(b)) for a, b in zip(self.borders[:-1], self.borders[1:], strict=True) if b - a > LISTED]
+        return [(int(a), int(b)) for a, b in zip(self.borders[:-1], self.borders[1:], strict=True) if b - a > self.listed]
 
     def large_pairs(self, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, columns, mask) of parts of a large bucket: sets that met in slot 0 already aren't compared once more."""
@@ -318,12 +329,12 @@ class Bucket:
             yield rows, columns, (agree >= self.cutoff) & ~met
 
 
-def _active(runs: int, cutoff: int):
+def _active(runs: int, cutoff: int, tuning: Tuning):
     """Rows that have a partner to verify in their bucket."""
 
     def run(batches: Batches) -> Batches:
         for table in _groups(batches):
-            own = Bucket(table, runs, cutoff)
+            own = Bucket(table, runs, cutoff, tuning)
             keep = np.zeros(len(own.rid), bool)
             i, j = own.small_pairs()
             keep[i] = keep[j] = True
@@ -353,7 +364,7 @@ def _spanning(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> dict[int, int]
     return {x: top(x) for x in parent}
 
 
-def _verify(runs: int, cutoff: int, similarity: float):
+def _verify(runs: int, cutoff: int, similarity: float, tuning: Tuning):
     """Verified links of each bucket as counts and as a star for each connected part: rows (kind, a, b)."""
 
     def linked(na: np.ndarray, nb: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -361,7 +372,7 @@ def _verify(runs: int, cutoff: int, similarity: float):
 
     def run(batches: Batches) -> Batches:
         for table in _groups(batches):
-            own = Bucket(table, runs, cutoff)
+            own = Bucket(table, runs, cutoff, tuning)
             sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
             n = np.array([len(x) for x in sets])
             counts = np.zeros(len(sets), np.int64)
@@ -458,25 +469,26 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Adds bucket, side and crossed; a bucket above SIDE is dealt into blocks of which each two make a bucket of their own."""
-    joined = rows.withColumn("blocks", F.ceil(F.col("size") / SIDE).cast("int"))
+def _in_blocks(rows: DataFrame, side: int) -> DataFrame:
+    """Adds bucket, side and crossed; a bucket above side is dealt into blocks of which each two make a bucket of their own."""
+    joined = rows.withColumn("blocks", F.ceil(F.col("size") / side).cast("int"))
     joined = joined.withColumn("side", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     joined = joined.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("side", "other"), F.greatest("side", "other")
     return joined.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("bucket"), "slot", "rid", "side", (low != high).alias("crossed"))
 
 
-def _leaves(spark: SparkSession, full: DataFrame, runs: int) -> tuple[DataFrame, int]:
+def _leaves(spark: SparkSession, full: DataFrame, runs: int, tuning: Tuning) -> tuple[DataFrame, int]:
     """key, slot, level, rid, size of the leaves of more than one set, and the lowest level."""
     first = full.mapInArrow(_first_level(runs), "key long, size long").groupBy("key").agg(F.sum("size").alias("size")).collect()  # at most 512 a run
     first.sort(key=lambda r: r["key"] % (1 << 64))
     keys, sizes = np.array([r["key"] for r in first], np.int64).view(np.uint64), np.array([r["size"] for r in first], np.int64)
-    rows, leaves, level = full.mapInArrow(_counted_level(runs, keys, sizes), NODES), [], COUNTED
+    rows, leaves, level = full.mapInArrow(_counted_level(runs, keys, sizes, tuning), NODES), [], COUNTED
     while True:
         rows = materialize(spark, rows, "jaccard-nodes")
-        sized = materialize(spark, rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key"), "jaccard-leaves")
-        further = (F.col("level") == level) & F.lit(level < DEPTH) & _goes_on(F.col("size"), F.col("parent"))
+        of_key = materialize(spark, rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "jaccard-counts")
+        sized = materialize(spark, join_sized(rows, of_key, ["key"], "size", rows.count()), "jaccard-leaves")
+        further = (F.col("level") == level) & F.lit(level < DEPTH) & _goes_on(F.col("size"), F.col("parent"), tuning)
         leaves.append(sized.filter(~further).select("key", "slot", "level", "rid", "size"))
         inner = sized.filter(further)
         if inner.isEmpty():
@@ -495,7 +507,7 @@ def _by_bucket(rows: DataFrame) -> DataFrame:
     return rows.repartition(F.col("bucket")).sortWithinPartitions("bucket", "rid")
 
 
-def jaccard_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def jaccard_classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, tuning: Tuning = Tuning()) -> DataFrame:
     """row_uid, doc_id, class_uid, class_id, rep_id, n_links for each row of docs(row_uid, doc_id, text).
 
     class_id: smallest doc_id of the connected part of links; rep_id: smallest doc_id with the same set; n_links: other sets that the row's set is similar to.
@@ -505,16 +517,16 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, similarity: float = SI
     cutoff = cutoff_for(similarity)
     signed = materialize(spark, docs.select("row_uid", "doc_id", "text").mapInArrow(_sign, "row_uid long, doc_id long, sig binary, n long, sketch binary"), "jaccard-sketches")
     order = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_uid")).alias("first")
-    sets = signed.groupBy("sig").agg(order, F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    sets = signed.groupBy("sig").agg(order, F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.count("*").alias("copies"))
     sets = materialize(spark, sets.withColumn("rid", F.monotonically_increasing_id()), "jaccard-sets")
     full = sets.filter("n > 0").select("rid", "sketch")
-    leaves, lowest = _leaves(spark, full, runs)
+    leaves, lowest = _leaves(spark, full, runs, tuning)
     ends = [F.coalesce(F.bit_or(F.when(F.col("level") == d, F.expr("shiftleft(1L, slot)"))), F.lit(0).cast("long")) for d in range(1, lowest)]
     of_set = leaves.groupBy("rid").agg(F.array(*ends).alias("ends")).join(full, "rid")
     leaves = leaves.withColumn("slot", F.col("slot") * F.expr(f"shiftleft(1, {lowest} - level)"))  # the first slot under the leaf
-    dealt = _in_blocks(leaves).join(of_set, "rid").select("bucket", "slot", "rid", "side", "crossed", "sketch", "ends")
+    dealt = _in_blocks(leaves, tuning.side).join(of_set, "rid").select("bucket", "slot", "rid", "side", "crossed", "sketch", "ends")
     schema = "bucket long, slot int, rid long, side int, crossed boolean, sketch binary, ends array<long>"
-    active = materialize(spark, _by_bucket(dealt).mapInArrow(_active(runs, cutoff), schema), "jaccard-active")
+    active = materialize(spark, _by_bucket(dealt).mapInArrow(_active(runs, cutoff, tuning), schema), "jaccard-active")
     # Whole sets are made again for the texts that have a partner, and for these alone.
     wanted = active.select("rid").distinct().join(sets.select("rid", "sig", F.col("first.doc_id").alias("doc_id")), "rid")
     # Rows without a doc_id can't be looked up and are all read again; a set that nobody wants finds no partner below.
@@ -528,21 +540,24 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, similarity: float = SI
             yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.binary())], ["sig", "shingles"])
 
     of_rid = texts.mapInArrow(whole, "sig binary, shingles binary").join(wanted.select("rid", "sig"), "sig").select("rid", "shingles").dropDuplicates(["rid"])
-    found = _by_bucket(active.join(of_rid, "rid")).mapInArrow(_verify(runs, cutoff, similarity), "kind int, a long, b long")
+    found = _by_bucket(active.join(of_rid, "rid")).mapInArrow(_verify(runs, cutoff, similarity, tuning), "kind int, a long, b long")
     found = materialize(spark, found, "jaccard-links")
     links = found.filter("kind = 0").groupBy(F.col("a").alias("rid")).agg(F.sum("b").alias("n_links"))
     parts = components(spark, found.filter("kind = 1").select("a", "b")).select(F.col("node").alias("rid"), "label")
-    labelled = sets.select("rid", "sig", "first").join(parts, "rid", "left").withColumn("label", F.coalesce("label", "rid")).join(links, "rid", "left")
+    labelled = sets.select("rid", "sig", "first", "copies").join(parts, "rid", "left").withColumn("label", F.coalesce("label", "rid")).join(links, "rid", "left")
     labelled = materialize(spark, labelled, "jaccard-classes")
-    least = labelled.groupBy("label").agg(F.min("first").alias("head"))
-    of_sig = labelled.join(least, "label").select("sig", F.col("first.doc_id").alias("rep_id"), F.col("head.row_uid").alias("class_uid"), F.col("head.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("row_uid", "doc_id", "sig").join(of_sig, "sig").select("row_uid", "doc_id", "class_uid", "class_id", "rep_id", "n_links")
+    # One class may have a third of all sets, and one set a third of all rows: theirs stay where they are.
+    least = materialize(spark, labelled.groupBy("label").agg(F.min("first").alias("head"), F.count("*").alias("members")), "jaccard-heads")
+    of_sig = join_sized(labelled, least, ["label"], "members", labelled.count())
+    of_sig = of_sig.select("sig", "copies", F.col("first.doc_id").alias("rep_id"), F.col("head.row_uid").alias("class_uid"), F.col("head.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_sig = materialize(spark, of_sig, "jaccard-of-set")
+    return join_sized(signed.select("row_uid", "doc_id", "sig"), of_sig, ["sig"], "copies", signed.count()).select("row_uid", "doc_id", "class_uid", "class_id", "rep_id", "n_links")
 
 
-def jaccard_join(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def jaccard_join(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, tuning: Tuning = Tuning()) -> DataFrame:
     """doc_id, class_id, rep_id, n_links."""
     source = row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return jaccard_classes(spark, source, similarity, recall).select("doc_id", "class_id", "rep_id", "n_links")
+    return jaccard_classes(spark, source, similarity, recall, tuning).select("doc_id", "class_id", "rep_id", "n_links")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glossmill.llm import near_dup as N
 from glossmill.llm.common import utf8_buffers
@@ -62,17 +63,32 @@ def corpus(prose):
     return [*rows, rows[0], rows[0], "one two", "one two", "", None, " ", "a b c d e", "a b c d e f"]
 
 
-@pytest.mark.parametrize(("listed", "split", "side"), [(48, 16384, 2048), (4, 16384, 8), (4, 30, 8)])
-def test_links_and_classes_equal_brute_force(spark, documents, prose, monkeypatch, listed, split, side):
-    for name, value in (("LISTED", listed), ("SPLIT", split), ("SIDE", side)):
-        monkeypatch.setattr(N, name, value)
+def leaf_levels(spark, docs, tuning):
+    """How many leaves lie at each level."""
+    from glossmill.llm.common import row_ids
+
+    signed = row_ids(docs.select("doc_id", "text")).mapInArrow(N._sign, "row_uid long, doc_id long, sig binary, n long, sketch binary")
+    full = signed.filter("n > 0").dropDuplicates(["sig"]).select(F.monotonically_increasing_id().alias("rid"), "sketch")
+    full = N.materialize(spark, full, "t")
+    leaves, _ = N._leaves(spark, full, N.runs_for(N.SIMILARITY, N.RECALL), tuning)
+    return {r["level"]: r["n"] for r in leaves.groupBy("level").agg(F.count_distinct("key").alias("n")).collect()}
+
+
+TUNINGS = [N.Tuning(), N.Tuning(listed=4, side=8), N.Tuning(listed=4, split=30, side=8), N.Tuning(split=4, shrink=1.0), N.Tuning(listed=4, split=1, shrink=1.0, side=8)]
+
+
+@pytest.mark.parametrize("tuning", TUNINGS)
+def test_links_and_classes_equal_brute_force(spark, documents, prose, tuning):
     rows = list(enumerate(corpus(prose)))
-    got = sorted(tuple(r) for r in N.jaccard_join(spark, documents(rows)).select("doc_id", "class_id", "rep_id", "n_links").collect())
+    got = sorted(tuple(r) for r in N.jaccard_join(spark, documents(rows), tuning=tuning).select("doc_id", "class_id", "rep_id", "n_links").collect())
     want = brute(rows)
     assert [x[0::2] for x in got] == [x[0::2] for x in want]
     missed = sum(b[3] - a[3] for a, b in zip(got, want, strict=True))
-    assert all(a[3] <= b[3] for a, b in zip(got, want, strict=True)) and missed <= 0.03 * sum(x[3] for x in want)
-    assert split == 30 or not missed  # sets that a further split parts may be lost, as any pair may with the recall's complement
+    assert all(a[3] <= b[3] for a, b in zip(got, want, strict=True)) and missed <= 2
+    levels = leaf_levels(spark, documents(rows), tuning)
+    assert set(levels) == {1} if tuning.split > 100 else max(levels) >= 3  # the settings reach the workers, and leaves lie as deep as they say
+    if tuning.shrink == 1.0:
+        assert max(levels) == N.DEPTH and levels.get(1, 0) < sum(levels.values())
 
 
 def test_shingles_of_whole_texts():
@@ -111,16 +127,28 @@ def test_empty(spark, documents):
     assert N.jaccard_join(spark, documents([])).isEmpty() and N.drop_near_copies(spark, documents([])).isEmpty()
 
 
-def test_no_pair_of_a_very_large_bucket_parts(spark, documents, prose, monkeypatch):
-    for name, value in (("LISTED", 4), ("SPLIT", 12), ("SIDE", 8)):
-        monkeypatch.setattr(N, name, value)
+@pytest.mark.parametrize("tuning", [N.Tuning(listed=4, side=8), N.Tuning(listed=4, split=12, side=8)])
+def test_no_pair_of_a_very_large_bucket_parts(spark, documents, prose, tuning):
     r = random.Random(11)
     base = prose(77, 150)
     rows = list(enumerate(edited(base, r, r.randint(2, 3)) for _ in range(90)))
-    got = sorted(tuple(x) for x in N.jaccard_join(spark, documents(rows)).select("doc_id", "class_id", "rep_id", "n_links").collect())
+    got = sorted(tuple(x) for x in N.jaccard_join(spark, documents(rows), tuning=tuning).select("doc_id", "class_id", "rep_id", "n_links").collect())
     assert got == brute(rows)
 
 
+def test_hot_sets_and_classes_are_joined_without_a_shuffle_of_their_rows(spark, documents, prose, monkeypatch):
+    seen = []
+    joined = N.join_sized
+    monkeypatch.setattr(N, "join_sized", lambda rows, groups, key, *a, **k: seen.append((key, joined(rows, groups, key, *a, **k))) or seen[-1][1])
+    r = random.Random(3)
+    base = prose(9, 100)
+    rows = [(i, base if i % 3 else edited(base, r, 1) if i % 2 else prose(100 + i, 40)) for i in range(400)] + [(900 + i, "") for i in range(300)]
+    got = sorted(tuple(x) for x in N.jaccard_join(spark, documents(rows)).collect())
+    assert len(got) == len(rows) and sum(x[1] == 1 for x in got) > 300
+    plans = {key[0]: df._jdf.queryExecution().executedPlan().toString() for key, df in seen}
+    assert {"key", "label", "sig"} <= set(plans) and all(plans[k].count("BroadcastHashJoin") >= 2 for k in ("key", "label", "sig"))
+
+
 def test_recall_counts_the_cutoff_and_shared_coordinates():
     runs = N.runs_for(N.SIMILARITY, N.RECALL)
     cutoff = int(N.COORDINATES * (N.SIMILARITY - N.SLACK * (N.SIMILARITY * (1 - N.SIMILARITY) / N.COORDINATES) ** 0.5))
@@ -129,8 +157,9 @@ def test_recall_counts_the_cutoff_and_shared_coordinates():
     assert 1 - lost.mean() >= N.RECALL
 
 
-def test_recall_of_a_thousand_links_near_the_threshold(spark, documents):
-    """Pairs with a similarity of 0.80 to 0.86, measured against brute force."""
+@pytest.mark.parametrize("tuning", [N.Tuning(), N.Tuning(split=1, shrink=1.0)])
+def test_recall_of_a_thousand_links_near_the_threshold(spark, documents, tuning):
+    """Pairs with a similarity of 0.80 to 0.86, measured against brute force, at the registered settings and with each node split as far as it goes."""
     r = random.Random(23)
     words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(20_000)]
     rows = []
@@ -143,7 +172,8 @@ def test_recall_of_a_thousand_links_near_the_threshold(spark, documents):
     sets = sets_of(rows)
     near = {i for i in range(1000) if len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1])}
     assert len(near) >= 1000 and all(len(sets[2 * i] & sets[2 * i + 1]) < 0.86 * len(sets[2 * i] | sets[2 * i + 1]) for i in near)
-    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in N.jaccard_join(spark, documents(rows)).collect()}
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in N.jaccard_join(spark, documents(rows), tuning=tuning).collect()}
+    assert tuning.split > 1 or set(leaf_levels(spark, documents(rows), tuning)) == {N.DEPTH}
     assert all(n <= 1 and c in (i, i - 1) for i, (c, n) in got.items())
     found = sum(got[2 * i] == (2 * i, 1) and got[2 * i + 1] == (2 * i, 1) for i in near)
     assert found >= 0.99 * len(near)
@@ -163,17 +193,6 @@ def test_components_with_a_hub(spark):
     assert {got[i] for i in range(1, 500)} == {0} and {got[i] for i in range(1001, 1041)} == {1000}
 
 
-@pytest.mark.parametrize("shrink", [0.75, 1.0])
-def test_depth_follows_the_size_of_nodes(spark, documents, prose, monkeypatch, shrink):
-    """At the registered SPLIT, and with alike sets split down to the lowest level."""
-    monkeypatch.setattr(N, "SHRINK", shrink)
-    rows = list(enumerate(corpus(prose)))
-    got = sorted(tuple(r) for r in N.jaccard_join(spark, documents(rows)).select("doc_id", "class_id", "rep_id", "n_links").collect())
-    want = brute(rows)
-    assert [x[0::2] for x in got] == [x[0::2] for x in want]
-    assert all(a[3] <= b[3] for a, b in zip(got, want, strict=True)) and sum(b[3] - a[3] for a, b in zip(got, want, strict=True)) <= 2
-
-
 def test_a_leaf_stands_in_all_slots_under_it():
     sketch = np.random.default_rng(5).integers(0, 256, (3, N.COORDINATES)).astype(np.uint8)
     levels = N.path_levels(sketch, 2, 3)
