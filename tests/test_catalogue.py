@@ -9,6 +9,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -18,7 +19,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return None
     return round(float(value), 6) if isinstance(value, (int, float)) and not isinstance(value, bool) or hasattr(value, "dtype") and value.dtype.kind in "if" else str(value)
 
