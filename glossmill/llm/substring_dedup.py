@@ -98,7 +98,9 @@ def _text_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(_unpack(row["data"]), np.uint8), np.frombuffer(row["offsets"], "<i8")
 
 
-def _blocks(batches: Batches) -> Batches:
+def _blocks(block_bytes: int):
+    """Documents in blocks of so many bytes."""
+
     def row(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
         docs = pa.Table.from_batches(held)
         data, offsets = utf8_buffers(docs["text"].combine_chunks())
@@ -107,19 +109,22 @@ def _blocks(batches: Batches) -> Batches:
             ["block", "doc_ids", "offsets", "data"],
         )
 
-    number, held, size = TaskContext.get().partitionId() << 24, [], 0
-    for batch in batches:
-        at = 0
-        while at < batch.num_rows:
-            part = batch.slice(at, 100)
-            at += part.num_rows
-            held.append(part)
-            size += part.column("text").nbytes
-            if size >= BLOCK_BYTES:
-                yield row(held, number)
-                number, held, size = number + 1, [], 0
-    if held:
-        yield row(held, number)
+    def run(batches: Batches) -> Batches:
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, 10)
+                at += part.num_rows
+                held.append(part)
+                size += part.column("text").nbytes
+                if size >= block_bytes:
+                    yield row(held, number)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield row(held, number)
+
+    return run
 
 
 def _shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -133,8 +138,9 @@ def _seen(parts: int, length: int):
         for batch in batches:
             for r in batch.to_pylist():
                 known, often = np.unique(anchors(*_text_of(r), length)[2], return_counts=True)
-                cuts = np.searchsorted(_shard_of(known, parts), np.arange(parts + 1))
-                rows = [(r["block"], k, known[a:b].tobytes(), np.minimum(often[a:b], 2).astype(np.uint8).tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                part = _shard_of(known, parts)  # rising, as known is; only ranges that the block has are gone through
+                begin = np.flatnonzero(np.diff(part, prepend=-1))
+                rows = [(r["block"], int(part[a]), known[a:b].tobytes(), np.minimum(often[a:b], 2).astype(np.uint8).tobytes()) for a, b in zip(begin, np.append(begin, len(part))[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["block", "part", "hashes", "often"])
 
     return run
@@ -270,25 +276,27 @@ def _removed(blocks: pa.Table, covered: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(x, kind) for k, x, kind in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), out, kinds, strict=True)})
 
 
-def covered_ranges(spark: SparkSession, docs: DataFrame, length: int = LENGTH, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+def covered_ranges(
+    spark: SparkSession, docs: DataFrame, length: int = LENGTH, limit: int = LIMIT, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, shard_bytes: int = SHARD_BYTES
+) -> tuple[DataFrame, DataFrame]:
     """Blocks of documents, and (block, ranges): pairs of start and end in a block's bytes that repeated windows cover."""
     if not GRAM < length < 255:
         raise ValueError(f"windows have {GRAM + 1} to 254 bytes")
     bounded_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = materialize(spark, source.mapInArrow(_blocks, BLOCKS), "substring-blocks")
+    blocks = materialize(spark, source.mapInArrow(_blocks(block_bytes), BLOCKS), "substring-blocks")
     size = plan_bytes(blocks)
-    parts = max(8, -(-size // (2 * RANGE_BYTES)))  # a block has a row a range that it has anchors of, so never more rows than anchors
+    parts = max(8, -(-size // (2 * range_bytes)))  # a block has a row a range that it has anchors of, so never more rows than anchors
     seen = blocks.mapInArrow(_seen(parts, length), "block long, part int, hashes binary, often binary")
     flags = materialize(spark, seen.groupBy("part").applyInArrow(_again, "block long, part int, flags binary, n long"), "substring-anchors")
-    shards = max(8, -(-(flags.agg(F.sum("n")).first()[0] or 0) * (length + 80) // SHARD_BYTES))
+    shards = max(8, -(-(flags.agg(F.sum("n")).first()[0] or 0) * (length + 80) // shard_bytes))
     schema = "shard int, block long, lows binary, which binary, sizes binary, runs binary"
     runs = blocks.groupBy("block").cogroup(flags.select("block", "part", "flags").groupBy("block")).applyInArrow(_runs(shards, length), schema)
     ranges = runs.groupBy("shard").applyInArrow(_sorted(length, limit), "block long, ranges binary")
     return blocks, materialize(spark, ranges, "substring-ranges")
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text)."""
-    blocks, ranges = covered_ranges(spark, docs, length, limit)
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, limit: int = LIMIT, **sizes: int) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text); sizes: bytes of blocks, ranges and shards."""
+    blocks, ranges = covered_ranges(spark, docs, length, limit, **sizes)
     return blocks.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(_removed, RESULT)

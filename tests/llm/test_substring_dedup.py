@@ -71,7 +71,7 @@ def test_recursion_over_ranges_of_names_equals_sorted_suffixes(span, monkeypatch
 
 
 @pytest.mark.parametrize("limit", [1 << 22, 64])
-def test_windows_of_a_shard_much_larger_than_memory(limit):
+def test_windows_of_a_shard_with_few_tuples_in_memory(limit):
     r = random.Random(5)
     runs = ["".join(r.choice("ab") for _ in range(60)).encode() for _ in range(30)]
     runs += [runs[0][5:55] + b"zz", b"a" * 90, bytes(range(256))]
@@ -94,14 +94,17 @@ def test_anchors_share_windows_out_and_depend_on_content_alone():
     assert counts.sum() == sum(max(0, len(x) - 199) for x in texts)
 
 
-def test_equals_brute_force(spark, documents, prose, monkeypatch):
-    monkeypatch.setattr(D, "BLOCK_BYTES", 3_000)
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 3_000, "range_bytes": 400, "shard_bytes": 2_000}])
+def test_equals_brute_force(spark, documents, prose, sizes):
     passage, line = prose(99, 60), prose(98, 45)
     texts = [prose(i, 90) for i in range(12)] + [prose(3, 90)] * 5 + [None, "", "x" * 450, "Und " * 120, passage[:199], passage[:200]]
     texts += [f"{prose(50 + i, 20)} {passage} {prose(70 + i, 20)} {line}é{line}" for i in range(6)] + [passage + passage[:150], "ü" * 120, "ü" * 120]
     rows = list(enumerate(texts)) + [(None, passage)]
-    got = sorted((tuple(r) for r in D.remove_repeats(spark, documents(rows)).collect()), key=str)
+    table = documents(rows).coalesce(1)
+    got = sorted((tuple(r) for r in D.remove_repeats(spark, table, **sizes).collect()), key=str)
     assert got == brute(rows)
+    blocks, ranges = D.covered_ranges(spark, table, **sizes)
+    assert (blocks.count() > 2) == bool(sizes) and ranges.count() >= blocks.filter("block >= 0").count() // 2  # the sizes reach the workers
 
 
 def test_empty(spark, documents):
