@@ -100,6 +100,7 @@ def _text_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def _blocks(block_bytes: int):
     """Documents in blocks of so many bytes."""
+    rows = max(1, min(100, block_bytes // 20_000))  # at a time, so that counting bytes costs little
 
     def row(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
         docs = pa.Table.from_batches(held)
@@ -114,7 +115,7 @@ def _blocks(block_bytes: int):
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                part = batch.slice(at, 10)
+                part = batch.slice(at, rows)
                 at += part.num_rows
                 held.append(part)
                 size += part.column("text").nbytes
