@@ -9,7 +9,7 @@ from glossmill.operators import lookup, profile, triage, vocabulary
 from glossmill.operators.analyzer import Factory, RuleAnalyzer, analyzed
 from glossmill.operators.choice import Chooser, choose, resolved
 from glossmill.schema import CHAPTER
-from glossmill.sources.staging import staged
+from glossmill.sources.staging import dealt, staged, staged_chapters
 
 KEY = [*CHAPTER, "kind", "lemma", "pos"]
 
@@ -61,6 +61,6 @@ def triaged(candidates: DataFrame, chooser: Chooser, limit: int, order: str = "n
     return triage.dispositions(chosen.unionByName(fully), limit, order, (*CHAPTER, "kind"))
 
 
-def run_chapters(chapters: DataFrame, dictionary: DataFrame, events: DataFrame, factory: Factory = RuleAnalyzer, stage=staged) -> DataFrame:
-    """The vocabulary of chapters(book_title, book_author, chapter, text); stage makes the tokens a table, once for all operators."""
-    return chapter_vocabulary(stage(analyzed(chapters, factory)), dictionary, events, stage=stage)
+def run_chapters(chapters: DataFrame, dictionary: DataFrame, events: DataFrame, factory: Factory = RuleAnalyzer, stage=staged, stage_tokens=staged_chapters) -> DataFrame:
+    """The vocabulary of chapters(book_title, book_author, chapter, text); stage_tokens makes the tokens a table, once for all operators."""
+    return chapter_vocabulary(stage_tokens(analyzed(dealt(chapters), factory)), dictionary, events, stage=stage)

@@ -80,3 +80,18 @@ def test_chapters_without_text_and_no_chapters(spark, dictionary, found, notatio
     assert {r["chapter"] for r in found.select("chapter").distinct().collect()} == {1, 2}
     events = spark.createDataFrame([], EVENTS)
     assert chain.run_chapters(spark.createDataFrame([], CHAPTERS), dictionary, events, notation).count() == 0
+
+
+def test_tokens_are_dealt_by_chapter_once(spark):
+    """Flags, sentences and n-grams of a chapter move no token: only lemmas meet the shares of their books."""
+    from glossmill.operators import vocabulary
+    from glossmill.plans import standins as S
+
+    tokens = S.token_table(spark, "/root/testdata/sf0.001")
+
+    def moved(df):
+        return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+
+    assert moved(vocabulary.with_expression_flag(tokens)) == [] and moved(vocabulary.ngrams(tokens)) == []
+    assert moved(vocabulary.vocabulary(tokens)) == [] and moved(vocabulary.particle_verbs(tokens)) == []
+    assert tokens.groupBy("book_title", "chapter").count().count() == S.tokens(spark, "/root/testdata/sf0.001").groupBy("book_title", "chapter").count().count()
