@@ -95,3 +95,11 @@ def test_tokens_are_dealt_by_chapter_once(spark):
     assert moved(vocabulary.with_expression_flag(tokens)) == [] and moved(vocabulary.ngrams(tokens)) == []
     assert moved(vocabulary.vocabulary(tokens)) == [] and moved(vocabulary.particle_verbs(tokens)) == []
     assert tokens.groupBy("book_title", "chapter").count().count() == S.tokens(spark, "/root/testdata/sf0.001").groupBy("book_title", "chapter").count().count()
+
+
+def test_counts_and_ranks_of_a_chapter_move_no_word(spark):
+    from glossmill.plans import catalogue as C
+
+    for made in (C.word_frequency, C.top_k_by_frequency, C.triage_dispositions):
+        plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan  # the texts
