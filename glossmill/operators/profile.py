@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.schema import BOOK, CARDS, CEFR_LEVELS, CHAPTER, EVENTS, KNOWLEDGE_STATES, LEMMA, ORIGINS, SCHEMA_VERSION, SENSE, hash_key, member, sense_key
+from glossmill.sources.staging import staged
 
 TABLES = ("book", "chapter", "lemma", "sense", "occurrence", "event", "card", "learner")
+#: Codec of the cards: their guids are random digits, of which it keeps half the bytes and the usual one all.
+CARD_CODEC = "zstd"
 
 
 def latest_states(events: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -86,6 +89,16 @@ def checked_events(events: DataFrame) -> DataFrame:
     )
 
 
+def fresh_cards(cards: DataFrame, key: list[str]) -> DataFrame:
+    """A card a key; by chapter and guid, cards of dealt() chapters are not moved."""
+    return cards.dropDuplicates(key)
+
+
+def _digests(cards: DataFrame) -> DataFrame:
+    """How many cards a chapter has, and which, as two exclusive ors over different hashes of their guids: a row a chapter, before anything moves."""
+    return cards.groupBy(*CHAPTER).agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("guid")).alias("_a"), F.bit_xor(F.xxhash64(F.lit("card"), "guid")).alias("_b"))
+
+
 class Profile:
     """A learner's tables in one folder, with a schema version. Appends are idempotent by natural key."""
 
@@ -155,10 +168,26 @@ class Profile:
         return old if old is not None else self.spark.createDataFrame([], EVENTS).withColumn("event_id", F.lit(0).cast("long"))
 
     def record_cards(self, cards: DataFrame) -> None:
-        """A card's guid is its identity, so exporting it again changes nothing."""
+        """A card's guid is its identity, so exporting it again changes nothing.
+
+        A guid is made of its chapter, too, so that cards meet in their chapter, and those that are dealt by chapter are not moved. A
+        chapter whose cards are those that are stored, by their number and two digests of all guids, goes no further; of others alone the
+        guids meet. Null and empty text are one identity, so that cards of chapters without a name meet by guid alone.
+        """
+        cards = cards.select(*(f.name for f in CARDS))
+        named = reduce(and_, (F.coalesce(F.col(c).cast("string"), F.lit("")) != "" for c in CHAPTER))
         old = self.read("card")
-        cards = cards.select(*(f.name for f in CARDS)).dropDuplicates(["guid"])
-        (cards if old is None else cards.join(old.select("guid"), "guid", "left_anti")).write.mode("append").parquet(self._path("card"))
+        for rows, key, had in ((cards.filter(named), [*CHAPTER, "guid"], old and old.filter(named)), (cards.filter(~named), ["guid"], old and old.filter(~named))):
+            rows = fresh_cards(rows, key)
+            if had is not None:
+                if len(key) > 1:
+                    given = _digests(rows)
+                    changed = staged(given.join(_digests(had), given.columns, "left_anti").select(*CHAPTER), "changed")
+                    if changed.isEmpty():
+                        continue
+                    rows, had = rows.join(changed, list(CHAPTER), "left_semi"), had.join(changed, list(CHAPTER), "left_semi")
+                rows = rows.join(had.select(*key), key, "left_anti")
+            rows.write.mode("append").option("compression", CARD_CODEC).parquet(self._path("card"))
 
     def cefr_level(self) -> str | None:
         row = self.read("learner")

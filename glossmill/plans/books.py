@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from glossmill.functions import text as T
 from glossmill.operators import cards, preset, profile
 from glossmill.plans import standins as S
-from glossmill.plans.catalogue import FLOW_SQL, _word_cards, _word_list
+from glossmill.plans.catalogue import FLOW_SQL, _card_parts, _word_list
 from glossmill.plans.registry import ORACLE_SQL, query
 from glossmill.schema import CHAPTER, SENSE, sense_key
 from glossmill.sources import epub, tables
@@ -286,8 +286,9 @@ _LOG = f"""WITH {S.EVENTS_SQL}, full_log AS (SELECT *, CASE WHEN (lexentry[7:]):
 )
 def profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything is written twice: what has a natural key stays as it is, and events are appended."""
-    own, log, deck = _profile(spark), staged(_log(spark, sf_dir), "log"), _word_cards(spark, sf_dir, examples=False)
-    deck = deck.select(*CHAPTER, "lemma", "pos", "lexentry", "sense", "card_direction").withColumn("guid", cards.guid())
+    own, log = _profile(spark), staged(_log(spark, sf_dir), "log")
+    # Texts are dealt by chapter, so that no card moves; chapters of one row and of several are written one after the other, as each part is dealt so.
+    decks = [x.select(*CHAPTER, "lemma", "pos", "lexentry", "sense", "card_direction").withColumn("guid", cards.guid()) for x in _card_parts(spark, sf_dir, examples=False, dealt=True)]
     named = log.filter("chapter is not null")
     for _ in range(2):
         own.ensure_books(named)
@@ -296,7 +297,8 @@ def profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         own.ensure_senses(log)
         own.ensure_occurrences(named.select(*CHAPTER, "lemma", "pos").distinct())
         own.record_events(log)
-        own.record_cards(deck)
+        for deck in decks:
+            own.record_cards(deck)
         own.set_cefr_level("b1")
     if own.cefr_level() != "b1":
         raise ValueError("the level isn't what was stored")

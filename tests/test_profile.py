@@ -158,3 +158,23 @@ def test_each_broken_rule_is_named(spark):
         assert [r["fault"] for r in profile.event_faults(rows, chapters).collect()] == [fault]
         assert fault == "chapter" or [r["fault"] for r in profile.event_faults(rows).collect()] == [fault]
     assert profile.event_faults(good.limit(0), chapters).count() == 0
+
+
+def test_cards_of_dealt_chapters_stay_where_they_are_and_known_ones_are_not_written_again(spark, tmp_path):
+    from glossmill.operators import cards
+    from glossmill.sources.staging import dealt
+
+    columns = "book_title string, book_author string, chapter int, lemma string, pos string, lexentry string, sense string, card_direction string"
+    rows = [("B", "A", 1, w, "NOUN", "e", s, "en_de") for w in "abc" for s in (None, "", "x")] + [("B", "A", 2, "a", "NOUN", "e", None, "en_de"), (None, "A", 1, "a", "NOUN", "e", None, "en_de"), ("", "A", 1, "a", "NOUN", "e", None, "en_de")]
+    deck = spark.createDataFrame(rows, columns).withColumn("guid", cards.guid())
+    own = profile.Profile(spark, str(tmp_path / "p"))
+    own.record_cards(deck.limit(4))
+    own.record_cards(dealt(deck))
+    stored = [r["guid"] for r in own.read("card").collect()]
+    assert sorted(stored) == sorted({r["guid"] for r in deck.collect()}) and len(stored) == 8
+    files = {p.name for p in (tmp_path / "p/card").glob("part-*") if "zstd" in p.name}
+    own.record_cards(dealt(deck).filter("book_title = 'B'"))
+    assert own.read("card").count() == 8 and spark.read.parquet(*(str(p) for p in (tmp_path / "p/card").glob("part-*") if p.name in files)).count() == 8
+    # Nothing but texts, chapters' digests and guids of cards without a book is moved.
+    plan = profile.fresh_cards(dealt(deck), [*profile.CHAPTER, "guid"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
