@@ -94,24 +94,31 @@ def blocks(entries: DataFrame, limit: int, choose, order: str = "new_words_first
     names = [f"_k{i}" for i in range(len(key))]
     own = Window.partitionBy(*key).orderBy(*certain_first, *by_frequency())
     keys = [F.col(c).alias(k) for c, k in zip(key, names, strict=True)]
-    waiting = staged(entries.filter("not all_known").select(*keys, F.row_number().over(own).alias("_turn"), F.struct(*entries.columns).alias("_row")), "waiting")
+    waiting = entries.filter("not all_known").select(*keys, F.row_number().over(own).alias("_turn"), F.struct(*entries.columns).alias("_row"))
+    # In the order of turns, so that a slice is read from the few pages of a file that may have its turns.
+    waiting = staged(waiting.sortWithinPartitions("_turn"), "waiting")
     meets = reduce(and_, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in names))
 
-    going, block = (F.col("_at") < F.col("_total")), 0
+    # Where each chapter that has more rows stands, and how many rows of the block it has; one that is through is not in the table.
     frontier = staged(waiting.groupBy(*names).agg(F.max("_turn").alias("_total")).withColumns({"_at": F.lit(0), "_kept": F.lit(0).cast("long")}), "frontier")
-    while not frontier.filter(going).isEmpty():
+    going, block = not frontier.isEmpty(), 0
+    while going:
         block += 1
-        frontier, parts = frontier.withColumn("_kept", F.lit(0).cast("long")), []
-        missing = going & (F.col("_kept") < limit)
+        resting, parts = [], []
         while True:
-            upto = F.col("_at") + F.when(missing, limit - F.col("_kept")).otherwise(0)
-            asked = waiting.alias("l").join(frontier.filter(missing).alias("r"), meets).filter((F.col("_turn") > F.col("_at")) & (F.col("_turn") <= upto))
+            upto = (F.col("_at") + limit - F.col("_kept")).cast("int")
+            low, high = frontier.agg(F.min("_at"), F.max(upto)).first()
+            if low is None:
+                break
+            asked = waiting.filter((F.col("_turn") > low) & (F.col("_turn") <= high)).alias("l").join(frontier.alias("r"), meets).filter((F.col("_turn") > F.col("_at")) & (F.col("_turn") <= upto))
             part = staged(choose(asked.select("_row.*")), "slice")
             parts.append(part)
             kept = part.groupBy(*keys).agg(F.count_if(F.col("chosen_status").isNotNull() & (F.col("chosen_status") != "known")).alias("_more"))
-            moved = frontier.withColumn("_at", F.least(upto, F.col("_total")).cast("int")).alias("l").join(kept.alias("r"), meets, "left")
-            frontier = staged(moved.select(*(F.col(f"l.{k}").alias(k) for k in names), "_total", "_at", (F.col("_kept") + F.coalesce("_more", F.lit(0))).alias("_kept")), "frontier")
-            if frontier.filter(missing).isEmpty():
-                break
+            moved = frontier.filter(upto < F.col("_total")).withColumn("_at", upto).alias("l").join(kept.alias("r"), meets, "left")
+            moved = staged(moved.select(*(F.col(f"l.{k}").alias(k) for k in names), "_total", "_at", (F.col("_kept") + F.coalesce("_more", F.lit(0))).alias("_kept")), "frontier")
+            resting.append(moved.filter(F.col("_kept") >= limit))
+            frontier = moved.filter(F.col("_kept") < limit)
         found = F.when(F.col("chosen_status").isNull(), "skipped").when(F.col("chosen_status") == "known", "resolved_known").otherwise("kept")
         yield reduce(DataFrame.unionByName, parts).withColumns({"disposition": found, "block": F.lit(block)})
+        frontier = staged(reduce(DataFrame.unionByName, resting).withColumn("_kept", F.lit(0).cast("long")), "frontier")
+        going = not frontier.isEmpty()

@@ -178,3 +178,25 @@ def test_cards_of_dealt_chapters_stay_where_they_are_and_known_ones_are_not_writ
     # Nothing but texts, chapters' digests and guids of cards without a book is moved.
     plan = profile.fresh_cards(dealt(deck), [*profile.CHAPTER, "guid"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_blocks_read_slices_and_leave_chapters_that_are_through(spark, monkeypatch):
+    rows = [("B", "A", c, f"w{i:02}", "NOUN", 50 - i, False, True, None) for c in range(9) for i in range(20 if c == 8 else 1)]
+    sizes, plans = [], []
+
+    def staged(df, label):
+        out = kept(df, label)
+        sizes.append((label, out.count()))
+        return out
+
+    def choose(part):
+        plans.append(part._jdf.queryExecution().executedPlan().toString())
+        return part.withColumn("chosen_status", F.lit("unknown"))
+
+    kept = triage.staged
+    monkeypatch.setattr(triage, "staged", staged)
+    got = [b.count() for b in triage.blocks(spark.createDataFrame(rows, ENTRIES), 5, choose)]
+    assert got == [13, 5, 5, 5]
+    frontiers = [n for label, n in sizes if label == "frontier"]
+    assert frontiers[0] == 9 and max(frontiers[1:]) == 1 and len(plans) == 4
+    assert all("GreaterThan(_turn" in p and "LessThanOrEqual(_turn" in p for p in plans)
