@@ -29,13 +29,34 @@ def by_level(rows: DataFrame, *aggregates: Column) -> DataFrame:
     return out.select("level", *(c for c in out.columns if c != "level"))
 
 
+def distinct_by_level(rows: DataFrame, *sums: str, flag: str | None = None) -> DataFrame:
+    """level, the columns of CHAPTER, types (distinct words), flagged (those of them that have the flag somewhere) and the sums, for chapters, books and the corpus.
+
+    rows has one row a chapter and word. Words of a chapter are counted, those of a book are brought together once, and only a
+    book's go on to the corpus: each step adds up in its tasks before anything moves, and no row is multiplied by levels.
+    """
+    keys = [F.col(c) for c in CHAPTER]
+    own = rows.select(*keys, "word", *(F.col(c).alias(f"_s{i}") for i, c in enumerate(sums)), (F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(False)).cast("int").alias("_f"))
+    added = [F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(sums))]
+    met = F.col("word").isNotNull().cast("int")
+    first = own.groupingSets([keys, [*keys[:2], F.col("word")]], *keys, F.col("word")).agg(
+        F.grouping("chapter").alias("_of_book"), F.sum(met).alias("_n"), F.sum(F.col("_f") * met).alias("_flags"), F.max(F.col("_f") * met).alias("_f"), *added)
+    # A chapter's row is done; a word of a book counts as one for the book, and meets itself in other books.
+    row = lambda level, *names: F.struct(F.lit(level).alias("level"), *((F.col(c) if c in names else F.lit(None).cast(first.schema[c].dataType)).alias(c) for c in (*CHAPTER, "word")), *((F.col("_n"), F.col("_flags")) if level == "chapter" else (met.cast("long").alias("_n"), F.col("_f").cast("long").alias("_flags"))), "_f", *(f"_s{i}" for i in range(len(sums))))
+    turned = F.when(F.col("_of_book") == 0, F.array(row("chapter", *CHAPTER))).otherwise(F.array(row("book", *BOOK), row("corpus", "word")))
+    second = first.select(F.explode(turned).alias("r")).select("r.*")
+    second = second.groupBy("level", *CHAPTER, "word").agg(F.sum("_n").alias("_n"), F.sum("_flags").alias("_flags"), F.max("_f").alias("_f"), *added)
+    of_word = F.col("level") == "corpus"
+    third = second.withColumns({"_n": F.when(of_word, F.col("word").isNotNull().cast("long")).otherwise(F.col("_n")), "_flags": F.when(of_word, F.col("_f").cast("long")).otherwise(F.col("_flags"))})
+    return third.groupBy("level", *CHAPTER).agg(F.sum("_n").alias("types"), F.sum("_flags").alias("flagged"), *(F.sum(f"_s{i}").alias(c) for i, c in enumerate(sums)))
+
+
 def coverage_by_level(covered: DataFrame) -> DataFrame:
     """types (distinct words), tokens, and the tokens of each cause, for chapters, books and the corpus; covered is what measures.coverage gives."""
     n = F.col("frequency")
-    share = lambda cause: (F.sum(F.when(F.col("cause") == cause, n).otherwise(0)) / F.sum(n))
-    return by_level(
-        covered, F.count_distinct("word").alias("types"), F.sum(n).alias("tokens"), F.count_distinct(F.when(F.col("cause") == "hit", F.col("word"))).alias("hit_types"), share("hit").alias("token_rate"), share("gap").alias("gap_rate")
-    )
+    rows = covered.select(*CHAPTER, "word", n, (F.col("cause") == "hit").alias("_hit"), *(F.when(F.col("cause") == c, n).otherwise(0).alias(f"_{c}s") for c in ("hit", "gap")))
+    found = distinct_by_level(rows, "frequency", "_hits", "_gaps", flag="_hit")
+    return found.select("level", *CHAPTER, "types", n.alias("tokens"), F.col("flagged").alias("hit_types"), (F.col("_hits") / n).alias("token_rate"), (F.col("_gaps") / n).alias("gap_rate"))
 
 
 def chapter_sketches(texts: DataFrame) -> DataFrame:
