@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glossmill.functions.text import strip, suffix_candidates, word_count, words
 from glossmill.operators.vocabulary import CONTENT_POS, PROPER_NOUN
 from glossmill.schema import CHAPTER
+from glossmill.sources.staging import staged
 
 # Fixed values.
 CAPITAL_RATIO = 0.85
@@ -26,12 +27,13 @@ def word_frequencies(texts: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key, F.lower("form").alias("word")).agg(F.count("*").alias("frequency"), F.count_if((first != F.lower(first)) & first.rlike(r"^\p{Lu}")).alias("capitalized"))
 
 
-def coverage(frequencies: DataFrame, headwords: DataFrame, irregular: DataFrame) -> DataFrame:
+def coverage(frequencies: DataFrame, headwords: DataFrame, irregular: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """Adds cause to each word: hit, if any suffix candidate is a headword; else contraction, irregular, proper or gap, the first that holds.
 
-    irregular(form): forms that no suffix leads back, with or without their hyphens and apostrophes.
+    irregular(form): forms that no suffix leads back, with or without their hyphens and apostrophes. vocabulary(word), if the
+    caller has it as a table: the distinct words, which are judged once, so that frequencies are made for their own rows alone.
     """
-    distinct = frequencies.select("word").distinct()
+    distinct = staged(frequencies.select("word").distinct(), "vocabulary") if vocabulary is None else vocabulary
     hits = distinct.select("word", F.explode(suffix_candidates(F.col("word"))).alias("headword")).join(headwords, "headword", "left_semi").select("word").distinct()
     forms = irregular.select(F.col("form").alias("_form")).distinct()
     odd = distinct.select("word", F.explode(F.array("word", F.translate("word", "-'", ""))).alias("_form")).join(forms, "_form", "left_semi").select("word").distinct()

@@ -14,3 +14,8 @@ def plan_of(df) -> str:
 def test_levels_are_counted_without_distinct_counts(spark):
     plan = plan_of(registry.QUERIES["coverage_by_level"](spark, DATA))
     assert "distinct" not in plan.lower() and plan.count("Expand") == 1
+
+
+def test_causes_read_texts_once_beside_the_vocabulary(spark):
+    plan = plan_of(registry.QUERIES["coverage_causes"](spark, DATA))
+    assert plan.count("regexp_extract_all") == 1
