@@ -44,7 +44,8 @@ def coverage(frequencies: DataFrame, headwords: DataFrame, irregular: DataFrame,
         .when(F.col("capitalized") / F.col("frequency") > CAPITAL_RATIO, "proper")
         .otherwise("gap")
     )
-    known = hits.withColumn("_hit", F.lit(True)).join(odd.withColumn("_odd", F.lit(True)), "word", "full")
+    # As a table, its size is known to the plan of the join that all frequencies go through.
+    known = staged(hits.withColumn("_hit", F.lit(True)).join(odd.withColumn("_odd", F.lit(True)), "word", "full"), "judged")
     return frequencies.join(known, "word", "left").withColumn("cause", cause).drop("_hit", "_odd")
 
 
@@ -63,7 +64,7 @@ def greedy_matches(texts: DataFrame, expressions: DataFrame, key: list[str]) ->
     Which runs of words are expressions at all comes from a join; only the choice among overlapping ones, which
     depends on order, is a loop over a text's few hits. Texts without a hit never leave the JVM.
     """
-    known = expressions.select(F.col("key").alias("expression"), F.size(F.split("key", " ")).alias("words")).filter("words > 1").distinct()
+    known = staged(expressions.select(F.col("key").alias("expression"), F.size(F.split("key", " ")).alias("words")).filter("words > 1").distinct(), "expressions")
     lengths = [r[0] for r in known.select("words").distinct().collect()]
     if not lengths:
         return texts.select(*key, F.lit("").alias("expression"), F.lit(0).cast("long").alias("at")).limit(0)
@@ -108,16 +109,20 @@ def filter_effect(raw: DataFrame, kept: DataFrame) -> DataFrame:
 def lemma_gap(tokens: DataFrame, headwords: DataFrame) -> DataFrame:
     """Types and tokens that reach a headword by the form itself, by suffixes, and by the lemma; names left out."""
     rows = tokens.filter(F.col("is_alpha") & (F.col("pos") != PROPER_NOUN)).groupBy(F.lower("text").alias("word"), F.lower("lemma").alias("lemma")).agg(F.count("*").alias("n"))
-    heads = headwords.select("headword").distinct().withColumn("_h", F.lit(True))
-    by_form = heads.select(F.col("headword").alias("word"), F.col("_h").alias("_raw"))
+    # Words and lemmas are counted by grouping, each once: distinct counts side by side would take every row six times.
+    rows = staged(rows, "forms")
+    heads = staged(headwords.select("headword").distinct().withColumn("_h", F.lit(True)), "heads")
     by_lemma = heads.select(F.col("headword").alias("lemma"), F.col("_h").alias("_lemma"))
-    suffix = rows.select("word").distinct().select("word", F.explode(suffix_candidates(F.col("word"))).alias("headword")).join(headwords, "headword", "left_semi").select("word").distinct().withColumn("_suffix", F.lit(True))
-    joined = rows.join(by_form, "word", "left").join(by_lemma, "lemma", "left").join(suffix, "word", "left")
-    out = [F.sum("n").alias("tokens"), F.count_distinct("word").alias("types"), F.count_distinct("lemma").alias("lemmas")]
-    for name in ("raw", "suffix", "lemma"):
-        hit = F.col(f"_{name}")
-        out += [F.count_distinct(F.when(hit, F.col("word"))).alias(f"{name}_types"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias(f"{name}_tokens")]
-    return joined.agg(*out)
+    hit = F.coalesce(F.col("_lemma"), F.lit(False))
+    own = staged(rows.join(by_lemma, "lemma", "left").groupBy("word").agg(F.sum("n").alias("n"), F.max(hit).alias("_lemma"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("_n_lemma")), "words")
+    suffix = own.select("word", F.explode(suffix_candidates(F.col("word"))).alias("headword")).join(heads, "headword", "left_semi").select("word").distinct()
+    suffix = staged(suffix.withColumn("_suffix", F.lit(True)), "suffix")
+    joined = own.join(heads.select(F.col("headword").alias("word"), F.col("_h").alias("_raw")), "word", "left").join(suffix, "word", "left")
+    out = [F.sum("n").alias("tokens"), F.count("word").alias("types")]
+    for name, n in (("raw", "n"), ("suffix", "n"), ("lemma", "_n_lemma")):
+        out += [F.count_if(F.coalesce(F.col(f"_{name}"), F.lit(False))).alias(f"{name}_types"), F.sum(F.when(F.col(f"_{name}"), F.col(n)).otherwise(0)).alias(f"{name}_tokens")]
+    lemmas = rows.groupBy("lemma").agg(F.lit(1).alias("_one")).agg(F.count("lemma").alias("lemmas"))
+    return joined.agg(*out).join(F.broadcast(lemmas), F.lit(True)).select("tokens", "types", "lemmas", *(f"{x}_{k}" for x in ("raw", "suffix", "lemma") for k in ("types", "tokens")))
 
 
 def proper_noun_errors(tokens: DataFrame) -> DataFrame:

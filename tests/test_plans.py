@@ -19,3 +19,7 @@ def test_levels_are_counted_without_distinct_counts(spark):
 def test_causes_read_texts_once_beside_the_vocabulary(spark):
     plan = plan_of(registry.QUERIES["coverage_causes"](spark, DATA))
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_lemma_gap_takes_no_row_six_times(spark):
+    assert "Expand" not in plan_of(registry.QUERIES["lemma_gap"](spark, DATA))
