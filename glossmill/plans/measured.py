@@ -11,6 +11,7 @@ from glossmill.plans import chapters as chain
 from glossmill.plans import standins as S
 from glossmill.plans.registry import ORACLE_SQL, query
 from glossmill.schema import CHAPTER
+from glossmill.sources.staging import staged
 
 _C = "book_title, book_author, chapter"
 _SAME = "{0}.book_title = {1}.book_title AND {0}.book_author = {1}.book_author AND {0}.chapter = {1}.chapter"
@@ -23,10 +24,14 @@ _SURE_KEYS = f"keys AS (SELECT DISTINCT written_rep FROM entries WHERE {C._SURE}
     SELECT *, 1 - kept_occurrences / raw_occurrences AS removed_share FROM r, k"""
 )
 def filter_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = vocabulary.ngrams(S.tokens(spark, sf_dir)).select(F.col("lemma").alias("expression"))
     dictionary = S.dictionary(spark, sf_dir)
     every = dictionary.select(F.col("written_rep").alias("expression")).distinct()
     sure = lookup.expression_entries(dictionary).select(F.col("written_key").alias("expression")).distinct()
+    either = staged(every.unionByName(sure).distinct(), "expressions")
+    # Runs grow from pairs that begin an expression, and what is found is made once for both counts.
+    pairs = either.select(F.substring_index("expression", " ", 2).alias("pair"))
+    grams = vocabulary.ngrams(S.tokens(spark, sf_dir), beginnings=pairs).select(F.col("lemma").alias("expression"))
+    grams = staged(grams.join(either, "expression", "left_semi"), "grams")
     return measures.filter_effect(grams.join(every, "expression", "left_semi"), grams.join(sure, "expression", "left_semi"))
 
 

@@ -23,3 +23,7 @@ def test_causes_read_texts_once_beside_the_vocabulary(spark):
 
 def test_lemma_gap_takes_no_row_six_times(spark):
     assert "Expand" not in plan_of(registry.QUERIES["lemma_gap"](spark, DATA))
+
+
+def test_filter_effect_makes_n_grams_once(spark):
+    assert "Window" not in plan_of(registry.QUERIES["filter_effect"](spark, DATA))
