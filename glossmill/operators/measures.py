@@ -61,18 +61,21 @@ def coverage_rates(covered: DataFrame, key: list[str]) -> DataFrame:
 def greedy_matches(texts: DataFrame, expressions: DataFrame, key: list[str]) -> DataFrame:
     """Occurrences of expressions(key) in lower-case words: the longest match wins, and the search goes on behind it.
 
-    Which runs of words are expressions at all comes from a join; only the choice among overlapping ones, which
+    Which runs of words are expressions at all comes from joins, by their first two words before any length is tried; only the choice among overlapping ones, which
     depends on order, is a loop over a text's few hits. Texts without a hit never leave the JVM.
     """
     known = staged(expressions.select(F.col("key").alias("expression"), F.size(F.split("key", " ")).alias("words")).filter("words > 1").distinct(), "expressions")
     lengths = [r[0] for r in known.select("words").distinct().collect()]
     if not lengths:
         return texts.select(*key, F.lit("").alias("expression"), F.lit(0).cast("long").alias("at")).limit(0)
-    tokens = texts.select(*key, F.transform(words(F.col("text")), F.lower).alias("w"))
-    sizes = F.array(*(F.lit(n) for n in sorted(lengths)))
-    runs = tokens.select(*key, "w", F.explode(sizes).alias("words")).filter(F.size("w") >= F.col("words"))
-    runs = runs.select(*key, "words", F.posexplode(F.expr("transform(sequence(1, size(w) - words + 1), i -> array_join(slice(w, i, words), ' '))")).alias("at", "expression"))
-    hits = runs.join(known.select("expression"), "expression").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("words")).alias("turn"), "words", "expression"))).alias("hits"))
+    tokens = texts.select(*key, F.transform(words(F.col("text")), F.lower).alias("w")).filter("size(w) > 1")
+    # A run as long as the longest expression from each place; only those whose first two words begin an expression are cut to its lengths.
+    runs = tokens.select(*key, F.posexplode(F.expr(f"transform(sequence(1, size(w) - 1), i -> array_join(slice(w, i, {max(lengths)}), ' '))")).alias("at", "run"))
+    pairs = known.select(F.substring_index("expression", " ", 2).alias("pair")).distinct()
+    begun = runs.withColumn("pair", F.substring_index("run", " ", 2)).join(pairs, "pair", "left_semi")
+    cut = begun.select(*key, "at", "run", F.explode(F.array(*(F.lit(n) for n in sorted(lengths)))).alias("words")).filter(F.size(F.split("run", " ")) >= F.col("words"))
+    cut = cut.select(*key, "at", "words", F.expr("substring_index(run, ' ', words)").alias("expression"))
+    hits = cut.join(known.select("expression"), "expression").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("words")).alias("turn"), "words", "expression"))).alias("hits"))
     start = F.expr("named_struct('end', 0, 'kept', cast(array() as array<struct<at:int,expression:string>>))")
 
     def step(state, hit):

@@ -27,3 +27,8 @@ def test_lemma_gap_takes_no_row_six_times(spark):
 
 def test_filter_effect_makes_n_grams_once(spark):
     assert "Window" not in plan_of(registry.QUERIES["filter_effect"](spark, DATA))
+
+
+def test_greedy_expressions_cut_only_what_begins_one(spark):
+    plan = plan_of(registry.QUERIES["greedy_expressions"](spark, DATA))
+    assert "LeftSemi" in plan and plan.index("substring_index(run") < plan.index("LeftSemi")
