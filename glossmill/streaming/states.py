@@ -19,7 +19,7 @@ class LatestState(StatefulProcessor):
     An event that isn't newer than what is held changes nothing, so that late and repeated events are harmless.
     """
 
-    def __init__(self, key: Sequence[str], expiry_ms: int | None):
+    def __init__(self, key: Sequence[str], expiry_ms: int):
         self.key, self.expiry_ms = list(key), expiry_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -37,10 +37,9 @@ class LatestState(StatefulProcessor):
                 best = (r["state"], r["micros"], r["event_id"])
         if best is not None and best != old:
             self.held.update(best)
-            if self.expiry_ms is not None:
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
-                self.handle.registerTimer(best[1] // 1000 + self.expiry_ms)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(best[1] // 1000 + self.expiry_ms)
             yield self._row(key, best, CHANGED)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -66,11 +65,16 @@ def stream_latest_states(events: DataFrame, key: Sequence[str], expiry_ms: int |
     """key, state, timestamp, event_id, kind: a row whenever a key's latest state changes, or expires.
 
     With an expiry, events need a watermark: a key is given up once the watermark has passed its last event by so much, and rows
-    behind the watermark are dropped. Without one nothing is dropped, and state is a row a key.
+    behind the watermark are dropped. Without one nothing is dropped, and state is a row a key, which needs no timer, so that Spark's
+    own aggregate holds it and no row goes to Python; a key is said again, unchanged, where a batch has only late or repeated events of it.
     """
+    if expiry_ms is None:
+        rows = events.filter("timestamp is not null").select(*key, F.struct(F.unix_micros("timestamp").alias("micros"), F.coalesce(F.col("event_id"), F.lit(0)).cast("long").alias("event_id"), "state").alias("_held"))
+        held = rows.groupBy(*key).agg(F.max("_held").alias("_held"))
+        return held.select(*key, "_held.state", F.timestamp_micros("_held.micros").alias("timestamp"), "_held.event_id", F.lit(CHANGED).alias("kind"))
     schema = StructType([*(events.schema[c] for c in key), StructField("state", StringType()), StructField("micros", LongType()), StructField("event_id", LongType()), StructField("kind", StringType())])
     rows = events.filter("timestamp is not null").select(*key, "state", "timestamp", F.unix_micros("timestamp").alias("micros"), F.coalesce(F.col("event_id"), F.lit(0)).cast("long").alias("event_id"))
-    changes = rows.groupBy(*key).transformWithState(LatestState(key, expiry_ms), schema, "Update", "None" if expiry_ms is None else "EventTime")
+    changes = rows.groupBy(*key).transformWithState(LatestState(key, expiry_ms), schema, "Update", "EventTime")
     return changes.select(*key, "state", F.timestamp_micros("micros").alias("timestamp"), "event_id", "kind")
 
 

@@ -217,3 +217,11 @@ def test_silent_keys_expire_by_a_timer(spark, tmp_path):
     assert {r["who"] for r in rows.filter("kind = 'expired'").collect()} == {"a"}
     assert {r["who"]: r["state"] for r in states.current_states(spark, str(tmp_path / "out"), ["who"]).collect()} == {"b": "learning", "c": "known", "d": "known"}
     assert progress[-1][-1]["numRowsTotal"] <= 3 * 3  # a's state is gone; a key has its state and its timer
+
+
+def test_states_without_expiry_are_held_without_python(spark, tmp_path):
+    schema = "who string, state string, timestamp timestamp, event_id long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
+    events = states.stream_session(spark).readStream.schema(schema).parquet(str(tmp_path / "in"))
+    plan = lambda **k: states.stream_latest_states(events.withWatermark("timestamp", "1 hour"), ["who"], **k)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan() and "TransformWithState" in plan(expiry_ms=1000)
