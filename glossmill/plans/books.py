@@ -81,15 +81,17 @@ def _archive(book: int, pages: list[str], faults: bool = False) -> bytes:
 FAULTS, MARK = ("ok", "ok", "encrypted", "missing", "not_utf8", "corrupt", "ok"), "A PAGE WHOSE BYTES CHANGE AFTER ITS SUM IS TAKEN"
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "pages").select(F.expr(f"page_id div {PAGES}").alias("book"), "page_id", F.coalesce("html", F.lit("")).alias("html"))
+
+
 def archives(spark: SparkSession, sf_dir: str, faults: bool = False) -> DataFrame:
     """path and content of EPUB books, each of up to PAGES pages in the order of their ids."""
-    rows = S.table(spark, sf_dir, "pages").select(F.expr(f"page_id div {PAGES}").alias("book"), "page_id", F.coalesce("html", F.lit("")).alias("html"))
-
     def pack(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         book = int(key[0])
         return pd.DataFrame({"path": [f"book-{book:08d}"], "content": [_archive(book, own.sort_values("page_id")["html"].tolist(), faults)]})
 
-    return rows.groupBy("book").applyInPandas(pack, "path string, content binary")
+    return _pages(spark, sf_dir).groupBy("book").applyInPandas(pack, "path string, content binary")
 
 
 _PLACES = f"""{FLOW_SQL},
@@ -126,21 +128,21 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archive_folder(spark: SparkSession, sf_dir: str) -> str:
-    """The archives as files in the shared folder, each written by the task that has it; a file takes its name when it is whole."""
+    """The archives as files in the shared folder, each written where it is made, so that no archive goes on; a file takes its name when it is whole."""
     folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
 
-    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         system, root = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
         system.create_dir(root, recursive=True)
-        for part in parts:
-            for name, content in zip(part["path"], part["content"], strict=True):
-                hidden = f"{root}/.{name}-{uuid.uuid4().hex}"
-                with system.open_output_stream(hidden) as out:
-                    out.write(content)
-                system.move(hidden, f"{root}/{name}.epub")
-            yield pd.DataFrame({"n": [len(part)]})
-
-    archives(spark, sf_dir).mapInPandas(write, "n long").agg(F.sum("n")).collect()
+        book = int(key[0])
+        name = f"book-{book:08d}"
+        hidden = f"{root}/.{name}-{uuid.uuid4().hex}"
+        with system.open_output_stream(hidden) as out:
+            out.write(_archive(book, own.sort_values("page_id")["html"].tolist()))
+        system.move(hidden, f"{root}/{name}.epub")
+        return pd.DataFrame({"n": [1]})
+
+    _pages(spark, sf_dir).groupBy("book").applyInPandas(write, "n long").agg(F.sum("n")).collect()
     return folder
 
 

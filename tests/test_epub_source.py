@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import shutil
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql.datasource import EqualTo, In
@@ -95,3 +96,10 @@ def test_missing_paths_and_columns(spark, folder, tmp_path):
     assert read_epub(spark, str(tmp_path)).count() == 0
     shutil.copy(folder / "bad.epub", tmp_path / "x.EPUB")
     assert [r["kind"] for r in read_epub(spark, str(tmp_path)).collect()] == ["error"]
+
+
+def test_archive_files_are_written_where_they_are_made(spark, monkeypatch):
+    monkeypatch.setattr(books, "archives", None)  # no archive leaves the task that makes it
+    folder = books.archive_folder(spark, "/root/testdata/sf0.001").removeprefix("file://")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    assert len(list(Path(folder).glob("book-*.epub"))) == pages.selectExpr(f"page_id div {books.PAGES}").distinct().count()
