@@ -13,7 +13,7 @@ from glossmill.plans import catalogue as C
 from glossmill.plans import standins as S
 from glossmill.plans.registry import query
 from glossmill.schema import CHAPTER
-from glossmill.sources.staging import staged
+from glossmill.sources.staging import dealt, staged
 
 _C = "book_title, book_author, chapter"
 _SETS = f"GROUP BY GROUPING SETS (({_C}), (book_title, book_author), ())"
@@ -38,14 +38,16 @@ _WORDS = f"words AS (SELECT {_C}, unnest(regexp_extract_all(lower(text), {S.WORD
 )
 def sketched_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of chapters, merged upwards, against exact counts and exact ranks: whether they stay within their bounds."""
-    texts = S.chapters(spark, sf_dir)
+    texts = dealt(S.chapters(spark, sf_dir))
     found = summaries.estimates(summaries.sketches_by_level(staged(summaries.chapter_sketches(texts), "sketches")), [0.5])
-    words = texts.select(*CHAPTER, F.explode(F.array_distinct(T.words(F.lower("text")))).alias("word"))
-    exact = summaries.by_level(words, F.count_distinct("word").alias("exact"))
+    words = texts.select(*CHAPTER, F.explode(F.array_distinct(T.words(F.lower("text")))).alias("word")).distinct()
+    exact = summaries.distinct_by_level(words).withColumnRenamed("types", "exact")
     counted = texts.select(*CHAPTER, F.explode(T.sentences(F.col("text"))).alias("s")).groupBy(*CHAPTER, T.word_count(F.col("s")).cast("long").alias("length")).agg(F.count("*").alias("n"))
+    counted = staged(counted, "lengths")
     key = F.concat_ws("\x1f", "level", *(F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in CHAPTER)).alias("key")
     null = lambda c: F.lit(None).cast(dict(counted.dtypes)[c]).alias(c)
-    levels = [counted.select(F.lit(name).alias("level"), *(F.col(c) if i < n else null(c) for i, c in enumerate(CHAPTER)), "length", "n") for name, n in (("chapter", 3), ("book", 2), ("corpus", 0))]
+    # Books and the corpus have as many rows as they have lengths of sentences.
+    levels = [counted.groupBy(*CHAPTER[:n], "length").agg(F.sum("n").alias("n")).select(F.lit(name).alias("level"), *(F.col(c) if i < n else null(c) for i, c in enumerate(CHAPTER)), "length", "n") for name, n in (("chapter", 3), ("book", 2), ("corpus", 0))]
     lengths = reduce(DataFrame.unionByName, levels).select(key, "length", "n")
     found = found.select("*", key)
     medians = found.select("key", F.get("lengths", F.lit(0)).alias("median"))

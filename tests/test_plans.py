@@ -40,3 +40,7 @@ def test_hits_are_made_once_for_domination(spark):
 
 def test_particle_verbs_put_together_only_shown_sentences(spark):
     assert "LeftSemi" in plan_of(registry.QUERIES["particle_verbs"](spark, DATA))
+
+
+def test_sketched_levels_compare_without_distinct_counts(spark):
+    assert "count(distinct" not in plan_of(registry.QUERIES["sketched_levels"](spark, DATA))
