@@ -55,8 +55,9 @@ def tokens_of(chapters: DataFrame) -> DataFrame:
     Every 13th word or so is a satellite of one of the two before it, of any of four kinds; adverbs among them have
     the lemma of a particle, and what follows a preposition belongs to it, half of the time as a pronoun.
     """
-    w = words(F.col("text"))
-    rows = chapters.select(*CHAPTER, F.posexplode(F.arrays_zip(w.alias("own"), F.concat(F.array(F.lit("")), w).alias("before"))).alias("tok_id", "w")).filter("w.own is not null")
+    # Words are found before they are paired, as the generator would look for them twice.
+    rows = chapters.select(*CHAPTER, words(F.col("text")).alias("_w"))
+    rows = rows.select(*CHAPTER, F.posexplode(F.arrays_zip(F.col("_w").alias("own"), F.concat(F.array(F.lit("")), "_w").alias("before"))).alias("tok_id", "w")).filter("w.own is not null")
     rows = rows.select(*CHAPTER, "tok_id", F.col("w.own").alias("text"), number(F.concat(F.lit("p"), F.lower("w.own"))).alias("g"), number(F.concat(F.lit("p"), F.lower("w.before"))).alias("b"), F.lower("w.own").alias("word"))
     h = number(F.concat("word", F.pmod("tok_id", F.lit(3)).cast("string")))
     tag = F.element_at(F.array(*map(F.lit, TAGS)), (F.pmod(h, F.lit(6)) + 1).cast("int"))
@@ -71,9 +72,9 @@ def tokens_of(chapters: DataFrame) -> DataFrame:
     pronoun = F.col("inner") & (F.pmod("g", F.lit(2)) == 0)
     return rows.select(
         *CHAPTER, F.expr("cast(tok_id div 12 as int)").alias("sent_id"), "tok_id", "text", F.when(F.col("kind") == "advmod", particle).otherwise(F.col("word")).alias("lemma"), F.lit(" ").alias("ws"),
-        F.when(pronoun, F.lit("PRON")).when(F.col("text").rlike("^[A-Z]"), F.lit("PROPN")).otherwise(tag).alias("pos"), F.when(F.col("inner"), F.lit("pobj")).otherwise(F.coalesce("kind", F.lit("dep"))).alias("dep"),
+        F.when(pronoun, F.lit("PRON")).when(F.substring("text", 1, 1).between("A", "Z"), F.lit("PROPN")).otherwise(tag).alias("pos"), F.when(F.col("inner"), F.lit("pobj")).otherwise(F.coalesce("kind", F.lit("dep"))).alias("dep"),
         F.when(F.col("inner"), F.col("tok_id") - 1).when(F.col("kind").isNotNull(), F.col("tok_id") - 1 - F.pmod("tok_id", F.lit(2))).otherwise(F.col("tok_id")).cast("int").alias("head_id"),
-        F.col("text").rlike(r"^\p{L}+$").alias("is_alpha"),
+        (~F.contains("text", F.lit("'")) & ~F.contains("text", F.lit("-"))).alias("is_alpha"),  # a word has letters, apostrophes and hyphens
     )
 
 

@@ -44,3 +44,10 @@ def test_particle_verbs_put_together_only_shown_sentences(spark):
 
 def test_sketched_levels_compare_without_distinct_counts(spark):
     assert "count(distinct" not in plan_of(registry.QUERIES["sketched_levels"](spark, DATA))
+
+
+def test_tokens_look_for_words_once(spark):
+    from glossmill.plans import standins
+
+    plan = plan_of(standins.tokens(spark, DATA))
+    assert plan.count("regexp_extract_all") == 1 and "RLIKE" not in plan
