@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import __spark_entry__  # noqa: F401  registers all queries
 from glossmill.plans import registry
 
 DATA = "/root/testdata/sf0.001"
