@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType
 
 from glossmill.operators.lookup import NO_SENSE_LABEL, UNCERTAIN_LABEL, entry_pos
 
@@ -126,29 +126,28 @@ def first_sense(question: str, options: int) -> int:
     return 1
 
 
-def choose(entries: DataFrame, chooser: Chooser, overlong: str = "refuse") -> DataFrame:
+def choose(entries: DataFrame, chooser: Chooser, overlong: str = "refuse", where: Column | None = None) -> DataFrame:
     """Adds choice (1 to N, N + 1: none fits; null: nothing was asked) and choice_obstacle to entries(word_form, example_sentence, candidates).
 
-    An empty list and a single uncertain placeholder need no question, and are sorted out before any worker is
-    asked. A question over the chooser's most_tokens (MOST_TOKENS if it states none) is never shortened: refuse ends the
-    job, and with mark the row isn't asked and its obstacle is "question too long". A wrong answer ends the job.
+    An empty list and a single uncertain placeholder need no question, nor do rows that where leaves out; of the others, the question
+    and its number of options alone go to a worker. A question over the chooser's most_tokens (MOST_TOKENS if it states none) is
+    never shortened: refuse ends the job, and with mark the row isn't asked and its obstacle is "question too long". A wrong answer ends the job.
     """
     if overlong not in ("refuse", "mark"):
         raise ValueError(f"overlong {overlong!r} is neither refuse nor mark")
     asked = (F.size("candidates") > 0) & ~((F.size("candidates") == 1) & F.coalesce(F.get("candidates", F.lit(0))["uncertain"], F.lit(False)))
+    asked = asked if where is None else where & asked
     rows = entries.withColumn("_question", F.when(asked, prompt(F.col("word_form"), F.col("example_sentence"), F.col("candidates"))))
     long = F.coalesce(too_long(F.col("_question"), getattr(chooser, "most_tokens", MOST_TOKENS)), F.lit(False))
     state = F.raise_error(F.lit("the question is too long for a model")) if overlong == "refuse" else F.lit(TOO_LONG)
     rows = rows.withColumn("choice_obstacle", F.when(long, state).cast("string"))
-    rows = rows.withColumns({"_question": F.when(~long, F.col("_question")), "_options": F.size("candidates") + 1})
-    schema = StructType([*entries.schema.fields, StructField("choice_obstacle", StringType(), True), StructField("choice", IntegerType(), True)])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            answers = [chooser(q, int(n)) if isinstance(q, str) else None for q, n in zip(part["_question"], part["_options"], strict=True)]
-            yield part.drop(columns=["_question", "_options"]).assign(choice=pd.array(answers, "Int32"))
+    def run(questions: pd.Series, options: pd.Series) -> pd.Series:
+        return pd.Series([chooser(q, int(n)) if isinstance(q, str) else None for q, n in zip(questions, options, strict=True)], dtype="Int32")
 
-    return rows.mapInPandas(run, schema)
+    # A chooser may be dear, and no plan may ask it twice.
+    ask_each = F.pandas_udf(run, IntegerType()).asNondeterministic()
+    return rows.withColumn("choice", ask_each(F.when(F.col("choice_obstacle").isNull(), F.col("_question")), F.size("candidates") + 1)).drop("_question")
 
 
 def resolved(chosen: DataFrame) -> DataFrame:

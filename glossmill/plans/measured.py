@@ -261,12 +261,12 @@ _CHAIN = f"""{_LEMMAS_CTE[0].rstrip()}, {S.DICTIONARY_SQL},
 )
 def token_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain from tokens on: vocabulary and expressions, candidates, comparison, sense choice, dispositions."""
-    found = chain.chapter_vocabulary(S.token_table(spark, sf_dir), S.dictionary(spark, sf_dir), _sense_events(spark, sf_dir))
-    return chain.triaged(found, choice.first_sense, 25).select(*chain.KEY, "word_form", "frequency", "disposition")
+    found = chain.chapter_entries(S.token_table(spark, sf_dir), S.dictionary(spark, sf_dir), _sense_events(spark, sf_dir))
+    return chain.triaged_entries(found, choice.first_sense, 25).select(*chain.KEY, "word_form", "frequency", "disposition")
 
 
 @query(ORACLE_SQL["token_chain"])
 def chapter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain from texts on, by an analyzer in Python that says of a text what the stand-in's token table says."""
-    found = chain.run_chapters(S.chapters(spark, sf_dir), S.dictionary(spark, sf_dir), _sense_events(spark, sf_dir), S.StandInAnalyzer)
-    return chain.triaged(found, choice.first_sense, 25).select(*chain.KEY, "word_form", "frequency", "disposition")
+    found = chain.run_entries(S.chapters(spark, sf_dir), S.dictionary(spark, sf_dir), _sense_events(spark, sf_dir), S.StandInAnalyzer)
+    return chain.triaged_entries(found, choice.first_sense, 25).select(*chain.KEY, "word_form", "frequency", "disposition")

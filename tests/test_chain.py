@@ -103,3 +103,31 @@ def test_counts_and_ranks_of_a_chapter_move_no_word(spark):
     for made in (C.word_frequency, C.top_k_by_frequency, C.triage_dispositions):
         plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan  # the texts
+
+
+def test_entries_made_of_lists_are_those_of_senses(spark, dictionary, notation, found):
+    """A lemma without an entry, of which another sense is known, has a placeholder that says so."""
+    events = [("gleam", "NOUN", "eng/x", "s", "t", "known", T0, 1), ("gleam", "VERB", "eng/x", "s", "t", "known", T0, 2), ("pack in", "VERB", "eng/pack_in__Verb__1", "draw a crowd", "anlocken", "known", T0, 3)]
+    made = (spark.createDataFrame(TEXTS, CHAPTERS), dictionary, spark.createDataFrame(events, EVENTS), notation)
+    own, long = chain.run_entries(*made), chain.entries(chain.run_chapters(*made))
+    rows = lambda df: sorted(map(str, df.select(*sorted(own.columns)).collect()))
+    assert rows(own) == rows(long)
+    status = {(r["chapter"], r["lemma"]): [(x["uncertain"], x["status"]) for x in r["candidates"]] for r in own.collect()}
+    assert status[1, "gleam"] == [(True, "new_meaning_of_known_word")] and status[1, "heart"] == [(True, "unknown")] and sorted(status[1, "pack in"]) == [(False, "known"), (False, "new_meaning_of_known_word")]
+
+
+def test_only_questions_go_to_a_worker_and_texts_come_after_the_lists(spark, found):
+    plan = chain.triaged(found, choice.first_sense, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_pairs_that_begin_nothing_do_not_move(spark):
+    from pyspark.sql import functions as F
+
+    from glossmill.operators import vocabulary
+
+    texts = spark.createDataFrame([(f"{i} {j}",) for i in range(70) for j in range(70)], "pair string")
+    known = spark.createDataFrame([("1 2",), ("3 4",), ("x",), (None,)], "pair string")
+    kept = {r[0] for r in texts.filter(vocabulary._may_be(F.col("pair"), known)).collect()}
+    assert {"1 2", "3 4"} <= kept and len(kept) < 50
+    assert texts.filter(vocabulary._may_be(F.col("pair"), known.limit(0))).isEmpty()
