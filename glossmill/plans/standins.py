@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,21 +88,27 @@ class StandInAnalyzer:
         self.word = regex.compile(r"\p{L}(?:\p{L}|['-])*")
 
     @staticmethod
+    @lru_cache(maxsize=1 << 16)
     def _number(text: str) -> int:
         return int(hashlib.md5(text.encode()).hexdigest()[:7], 16)
 
+    @staticmethod
+    @lru_cache(maxsize=1 << 16)
+    def _said(own: str, third: int) -> tuple[int, str | None, str, str]:
+        """Of a word at a place of that rest by three: its number, its kind where its place lets it have one, its word, and its part of speech."""
+        word = own.lower()
+        g = StandInAnalyzer._number("p" + word)
+        return g, SATELLITES[g // 13 % 4] if g % 13 == 0 else None, word, "PROPN" if "A" <= own[0] <= "Z" else TAGS[StandInAnalyzer._number(f"{word}{third}") % 6]
+
     def sentences(self, text: str) -> Iterator[list[Token]]:
-        found = self.word.findall(text)
-        kinds, out = [None], []
-        for i, own in enumerate(found):
-            word = own.lower()
-            g, h = self._number("p" + word), self._number(f"{word}{i % 3}")
-            kind = SATELLITES[g // 13 % 4] if g % 13 == 0 and i % 12 > 1 else None
-            inner = kind is None and kinds[-1] == "prep" and i % 12 > 0
-            kinds.append(kind)
+        before, out = None, []
+        for i, own in enumerate(self.word.findall(text)):
+            g, kind, word, pos = self._said(own, i % 3)
+            kind = kind if i % 12 > 1 else None
+            inner = kind is None and before == "prep" and i % 12 > 0
+            before = kind
             lemma = EXPRESSION_PARTICLES[g % len(EXPRESSION_PARTICLES)] if kind == "advmod" else word
-            pos = "PRON" if inner and g % 2 == 0 else "PROPN" if "A" <= own[0] <= "Z" else TAGS[h % 6]
-            out.append(Token(own, lemma, " ", pos, "pobj" if inner else kind or "dep", i - 1 if inner else i - 1 - i % 2 if kind else i))
+            out.append(Token(own, lemma, " ", "PRON" if inner and g % 2 == 0 else pos, "pobj" if inner else kind or "dep", i - 1 if inner else i - 1 - i % 2 if kind else i))
             if i % 12 == 11:
                 yield out
                 out = []

@@ -131,3 +131,19 @@ def test_pairs_that_begin_nothing_do_not_move(spark):
     kept = {r[0] for r in texts.filter(vocabulary._may_be(F.col("pair"), known)).collect()}
     assert {"1 2", "3 4"} <= kept and len(kept) < 50
     assert texts.filter(vocabulary._may_be(F.col("pair"), known.limit(0))).isEmpty()
+
+
+def test_tokens_of_many_chapters_go_on_together(spark):
+    from pyspark.sql import functions as F
+
+    from glossmill.operators.analyzer import analyzed
+    from glossmill.plans import standins as S
+
+    chapters = S.chapters(spark, "/root/testdata/sf0.001").unionByName(spark.createDataFrame([("s", "a", 0, None), ("s", "a", -1, "")], CHAPTERS)).coalesce(1)
+    tokens = analyzed(chapters, S.StandInAnalyzer)
+    assert "MapInArrow" in tokens._jdf.queryExecution().optimizedPlan().toString()
+    count = lambda parts: (type(b)({"n": [len(b)]}) for b in parts)
+    sizes = [r["n"] for r in tokens.mapInPandas(count, "n long").collect()]
+    assert len(sizes) < chapters.count() / 2
+    own = S.tokens(spark, "/root/testdata/sf0.001").select(*tokens.columns)
+    assert tokens.count() == own.count() and tokens.exceptAll(own).isEmpty()
