@@ -27,13 +27,14 @@ def pos_label(pos: Column) -> Column:
     return F.when(pos == "", F.lit(None).cast("string")).otherwise(out)
 
 
-def translation_html() -> Column:
+def translation_html(translation: Column | None = None, uncertain: Column | None = None, lemma: Column | None = None) -> Column:
     mark = F.lit(f'<span class="unsicher">{UNCERTAIN} – kein Wörterbucheintrag</span>')
-    text, uncertain = escape_html(F.col("translation")), F.coalesce("uncertain", F.lit(False))
-    missing = F.raise_error(F.concat(F.lit("no translation and not marked: "), F.col("lemma")))
+    translation, lemma = F.col("translation") if translation is None else translation, F.col("lemma") if lemma is None else lemma
+    text, uncertain = escape_html(translation), F.coalesce(F.col("uncertain") if uncertain is None else uncertain, F.lit(False))
+    missing = F.raise_error(F.concat(F.lit("no translation and not marked: "), lemma))
     return (
-        F.when(F.col("translation").isNull() & uncertain, mark)
-        .when(F.col("translation").isNull(), missing)
+        F.when(translation.isNull() & uncertain, mark)
+        .when(translation.isNull(), missing)
         .when(uncertain, F.concat(text, F.lit(f' <span class="unsicher">({UNCERTAIN})</span>')))
         .otherwise(text)
     )
@@ -48,22 +49,35 @@ def sheets(entries: DataFrame) -> DataFrame:
     return rows.withColumns({"sheet": F.floor(F.col("place") / ENTRIES_PER_SHEET).cast("int") + 1, "place": F.col("place") % ENTRIES_PER_SHEET + 1})
 
 
-def pages(entries: DataFrame) -> DataFrame:
-    """html of each chapter's printout."""
-    short = pos_label(F.col("pos"))
-    item = F.concat(
-        F.lit('<li><span class="wort">'), escape_html(F.col("word_form")), F.lit("</span>"), F.coalesce(F.concat(F.lit(' <span class="wortart">('), short, F.lit(")</span>")), F.lit("")),
-        F.lit(' – <span class="uebersetzung">'), translation_html(), F.lit("</span></li>"),
+def item_html(word_form: Column, pos: Column, translation: Column, uncertain: Column, lemma: Column) -> Column:
+    """An entry of a sheet."""
+    short = pos_label(pos)
+    return F.concat(
+        F.lit('<li><span class="wort">'), escape_html(word_form), F.lit("</span>"), F.coalesce(F.concat(F.lit(' <span class="wortart">('), short, F.lit(")</span>")), F.lit("")),
+        F.lit(' – <span class="uebersetzung">'), translation_html(translation, uncertain, lemma), F.lit("</span></li>"),
     )
-    listed = F.sort_array(F.collect_list(F.struct("place", item.alias("html"))))
-    per_sheet = sheets(entries).groupBy(*CHAPTER, "sheet", "sheet_count").agg(F.array_join(F.transform(listed, lambda x: x["html"]), "\n").alias("items"))
-    label = F.when(F.col("sheet_count") > 1, F.concat(F.lit(" – Blatt "), F.col("sheet").cast("string"), F.lit(" von "), F.col("sheet_count").cast("string"))).otherwise(F.lit(""))
+
+
+def page_html(items: Column) -> Column:
+    """The printout of a chapter of the html of its entries in order: sheets are slices of the array, so that no entry is a row."""
     title, number = escape_html(F.col("book_title")), F.col("chapter").cast("string")
-    sheet = F.concat(F.lit('<div class="blatt">\n<h1>'), title, F.lit('</h1>\n<p class="kapitel">Kapitel '), number, label, F.lit('</p>\n<ul class="wortliste">\n'), F.col("items"), F.lit("\n</ul>\n</div>"))
-    every = F.sort_array(F.collect_list(F.struct("sheet", sheet.alias("html"))))
-    joined = per_sheet.groupBy(*CHAPTER).agg(F.array_join(F.transform(every, lambda x: x["html"]), "\n").alias("body"))
+    count = F.ceil(F.size(items) / ENTRIES_PER_SHEET).cast("int")
+
+    def sheet(i: Column) -> Column:
+        label = F.when(count > 1, F.concat(F.lit(" – Blatt "), i.cast("string"), F.lit(" von "), count.cast("string"))).otherwise(F.lit(""))
+        own = F.array_join(F.slice(items, (i - 1) * ENTRIES_PER_SHEET + 1, F.lit(ENTRIES_PER_SHEET)), "\n")
+        return F.concat(F.lit('<div class="blatt">\n<h1>'), title, F.lit('</h1>\n<p class="kapitel">Kapitel '), number, label, F.lit('</p>\n<ul class="wortliste">\n'), own, F.lit("\n</ul>\n</div>"))
+
     head = F.concat(F.lit('<!DOCTYPE html>\n<html lang="de">\n<head>\n<meta charset="utf-8">\n<title>'), title, F.lit(" — Kapitel "), number, F.lit(f"</title>\n<style>{STYLE}</style>\n</head>\n<body>\n"))
-    return joined.select(*CHAPTER, F.concat(head, F.col("body"), F.lit("\n</body>\n</html>\n")).alias("html"))
+    return F.concat(head, F.array_join(F.transform(F.sequence(F.lit(1), count), sheet), "\n"), F.lit("\n</body>\n</html>\n"))
+
+
+def pages(entries: DataFrame) -> DataFrame:
+    """html of each chapter's printout."""
+    item = item_html(*(F.col(c) for c in ("word_form", "pos", "translation", "uncertain", "lemma")))
+    listed = F.sort_array(F.collect_list(F.struct("sheet", "place", item.alias("html"))))
+    joined = sheets(entries).groupBy(*CHAPTER).agg(listed.alias("_e")).withColumn("_items", F.transform("_e", lambda x: x["html"]))
+    return joined.select(*CHAPTER, page_html(F.col("_items")).alias("html"))
 
 
 def write_printout(entries: DataFrame, path: str) -> None:
